@@ -5,20 +5,70 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomspark.llm import line_quality as lq
+from loomspark.llm import token_counts as tc
 from loomspark.llm.near_duplicates import near_duplicates
+from loomspark.llm.quality_trees import quality
+from loomspark.llm.repeated_passages import remove_repeated_passages
+from loomspark.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, fold=0)
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"), F.try_element_at("offending", F.lit(1))["sentence"].alias("first_offending"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(_table(spark, sf_dir, "documents"), length=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lq.line_quality(docs, lq.fit_lines(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=3, fold=1)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automaton = tc.build(tc.read_vocabulary(spark, f"file://{tc.DEFAULT_VOCABULARY}"))
+    return tc.token_counts(_table(spark, sf_dir, "documents"), automaton)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: op5: every window of 50 words by its text. It holds all windows at once and is meant for small tables.
+_OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+49], ' ') AS t FROM w, unnest(generate_series(1, len(ws) - 49)) AS g(i) WHERE len(ws) >= 50),
+hit AS (SELECT doc_id, list(i) AS hits FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS m FROM win) WHERE doc_id > m GROUP BY doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM hit, unnest(hits) AS h(i), unnest(generate_series(i, i + 49)) AS q(p) GROUP BY doc_id),
+pos AS (SELECT w.doc_id, p, ws[p] AS word FROM w, unnest(generate_series(1, len(ws))) AS g(p)),
+dead AS (SELECT doc_id, unnest(ps) AS p FROM gone),
+kept AS (SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.p) AS t, count(*) AS n FROM pos ANTI JOIN dead ON pos.doc_id = dead.doc_id AND pos.p = dead.p GROUP BY pos.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": _OP5_SQL,
+}

@@ -97,17 +97,23 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, offsets) for runs of whole texts of about CHUNK_BYTES; null counts as empty."""
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a whole string column; null counts as empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
-    n = len(column)
-    if not n:
-        return
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     _, places, content = column.buffers()
-    offsets = np.frombuffer(places, dtype=np.int64)[column.offset : column.offset + n + 1]
+    offsets = np.frombuffer(places, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(content, dtype=np.uint8) if content is not None else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, offsets) for runs of whole texts of about CHUNK_BYTES; null counts as empty."""
+    data, offsets = text_bytes(column)
+    n = len(offsets) - 1
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
@@ -115,14 +121,30 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         at = to
 
 
+class RunHashes:
+    """Hashes of runs of consecutive words, any length, by differences of prefix sums modulo 2**64."""
+
+    def __init__(self, word_hashes: np.ndarray) -> None:
+        n = len(word_hashes) + 1
+        powers = np.cumprod(np.full(n, ODD, dtype=np.uint64))
+        self._back = np.cumprod(np.full(n, _ODD_INVERSE, dtype=np.uint64))
+        self._prefix = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(word_hashes * powers[:-1])))
+
+    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        length = np.asarray(stop - start).astype(np.uint64)
+        return mix64((self._prefix[stop] - self._prefix[start]) * self._back[start] + length)
+
+
+def window_starts(words: Words, k: int) -> np.ndarray:
+    """The first word of each run of k consecutive words inside one text."""
+    left = np.repeat(words.first[1:], words.counts) - np.arange(len(words.starts))
+    return np.flatnonzero(left >= k)
+
+
 def windows(word_hashes: np.ndarray, words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of each run of k consecutive words inside one text, by differences of prefix sums."""
-    left = np.repeat(words.first[1:], words.counts) - np.arange(len(word_hashes))
-    at = np.flatnonzero(left >= k)
-    powers = np.cumprod(np.full(len(word_hashes) + 1, ODD, dtype=np.uint64))
-    back = np.cumprod(np.full(len(word_hashes) + 1, _ODD_INVERSE, dtype=np.uint64))
-    prefix = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(word_hashes * powers[:-1])))
-    return at, mix64((prefix[at + k] - prefix[at]) * back[at])
+    """(first word, hash) of each run of k consecutive words inside one text."""
+    at = window_starts(words, k)
+    return at, RunHashes(word_hashes)(at, at + k)
 
 
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
