@@ -148,7 +148,8 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
         found = [(some[x], some[y]) for x, y in joining_links([sets[i] for i in some], percent)] if len(some) > 1 else []
         return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
 
-    return dealt.join(text, "a").groupBy("b", "low", "high").applyInArrow(compare, "a long, b long")
+    # the candidates grow with the corpus, so they and the texts are dealt by id at any size, and never broadcast
+    return dealt.join(text.hint("merge"), "a").groupBy("b", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

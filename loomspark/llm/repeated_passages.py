@@ -181,7 +181,8 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     its own text; two rows with one doc_id are never each other's earlier copy. An empty table gives none.
     """
     text = F.col("text").cast("string")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null")
+    # both joins below deal the texts by the same key with the same plan, so Spark shuffles them once
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null").hint("merge")
     seen = _occurrences(known, length)
     shared = seen.groupBy("prefix").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.min("context").alias("one"), F.max("context").alias("other"))
     shared = shared.where("earliest < latest").select("prefix", "earliest", (F.col("one") != F.col("other")).alias("branches"))
