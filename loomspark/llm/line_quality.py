@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loomspark.llm import textarrays as ta
 from loomspark.llm.sampling import labelled_sample
+from loomspark.llm.tables import id_and_text
 
 #: Fitting takes at most so many documents of each class, none of more lines than this.
 SAMPLE_PER_CLASS, SAMPLE_LINES = 1_500, 200
@@ -214,5 +214,4 @@ def line_quality(docs: DataFrame, field: Field) -> DataFrame:
                     ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_content_lines", "content_share", "base_failed", "kept"],
                 )
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(scan, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_content_lines long, content_share double, base_failed boolean, kept boolean")
+    return id_and_text(docs).mapInArrow(scan, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_content_lines long, content_share double, base_failed boolean, kept boolean")

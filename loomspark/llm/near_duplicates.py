@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import textarrays as ta
 from loomspark.llm.graph import components
 from loomspark.llm.scratch import durable
+from loomspark.llm.tables import id_and_text
 
 #: Coordinates a band and bands. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**28 < 4e-7.
 ROWS, BANDS = 4, 28
@@ -102,7 +103,7 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_a", "set_b", "band_keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, n_shingles long, set_a long, set_b long, band_keys array<long>")
+    return id_and_text(docs).mapInArrow(scan, "doc_id long, n_shingles long, set_a long, set_b long, band_keys array<long>")
 
 
 def joining_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -139,7 +140,7 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     spread = pairs.join(blocks, "b").withColumn("own", F.pmod(F.hash("a"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = spread.select("a", "b", "own", other.alias("other")).select("a", "b", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    text = docs.select(F.col("doc_id").cast("long").alias("a"), F.col("text").cast("string").alias("text")).where("a is not null")
+    text = id_and_text(docs).where("doc_id is not null").withColumnRenamed("doc_id", "a")
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group.column("a").to_numpy()

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loomspark.llm import textarrays as ta
 from loomspark.llm.sampling import held_out, labelled_sample
+from loomspark.llm.tables import id_and_text
 
 #: Fitting takes at most so many documents of each class, by their statistics only.
 SAMPLE_PER_CLASS = 10_000
@@ -163,8 +163,7 @@ def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
                 score = shared.value.score(statistics(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(scan, "doc_id long, score double, predicted int")
+    return id_and_text(docs).mapInArrow(scan, "doc_id long, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import textarrays as ta
 from loomspark.llm.scratch import durable
+from loomspark.llm.tables import id_and_text
 
 #: Words of the prefix that routes a window.
 GRAM = 10
@@ -180,9 +181,8 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     Rows without a doc_id lose nothing and are nobody's earlier copy. Repeated rows are treated alike, each by
     its own text; two rows with one doc_id are never each other's earlier copy. An empty table gives none.
     """
-    text = F.col("text").cast("string")
     # both joins below deal the texts by the same key with the same plan, so Spark shuffles them once
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null").hint("merge")
+    known = id_and_text(docs).where("doc_id is not null").withColumn("th", F.xxhash64("text")).hint("merge")
     seen = _occurrences(known, length)
     shared = seen.groupBy("prefix").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.min("context").alias("one"), F.max("context").alias("other"))
     shared = shared.where("earliest < latest").select("prefix", "earliest", (F.col("one") != F.col("other")).alias("branches"))
@@ -205,5 +205,5 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     begins = repeats.select("doc_id", "th", windows.alias("begins")).where("size(begins) > 0").union(found.where("not branches").select("doc_id", "th", F.sequence("first", "last").alias("begins")))
     gone = begins.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("begins")).alias("begins"))
     judged = known.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "begins")
-    unknown = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.lit(None).cast("array<int>").alias("begins"))
+    unknown = id_and_text(docs).where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("begins"))
     return judged.union(unknown).mapInArrow(lambda batches: _keep_rest(batches, length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.tables import id_and_text
+
 
 def held_out(folds: int, fold: int) -> Column:
     """Whether crc32 of doc_id as text leaves the remainder ``fold``; null ids are held out."""
@@ -19,5 +21,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(folds, fold))
     chosen = [known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    return id_and_text(docs).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import textarrays as ta
+from loomspark.llm.tables import id_and_text
 
 #: The automaton is broadcast; a vocabulary that makes it larger is refused.
 MOST_BYTES = 256 << 20
@@ -154,5 +155,4 @@ def token_counts(docs: DataFrame, automaton: Automaton) -> DataFrame:
                     ["doc_id", "n_words", "n_tokens", "longest_word_tokens"],
                 )
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(scan, "doc_id long, n_words long, n_tokens long, longest_word_tokens long")
+    return id_and_text(docs).mapInArrow(scan, "doc_id long, n_words long, n_tokens long, longest_word_tokens long")

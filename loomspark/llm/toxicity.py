@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loomspark.llm import textarrays as ta
 from loomspark.llm.sampling import held_out, labelled_sample
+from loomspark.llm.tables import id_and_text
 
 #: Words are hashed into so many weights.
 WEIGHTS = 1 << 18
@@ -157,8 +157,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "score", "predicted", "n_sentences", "offending"],
                 )
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(scan, "doc_id long, score double, predicted int, n_sentences long, offending array<struct<sentence: int, score: double>>")
+    return id_and_text(docs).mapInArrow(scan, "doc_id long, score double, predicted int, n_sentences long, offending array<struct<sentence: int, score: double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
