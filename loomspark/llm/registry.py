@@ -9,21 +9,33 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import line_quality as lq
 from loomspark.llm import token_counts as tc
+from loomspark.llm.decontamination import find_leaks
+from loomspark.llm.licenses import scan_licenses
+from loomspark.llm.mixing import mixture_by_document
 from loomspark.llm.near_duplicates import near_duplicates
 from loomspark.llm.quality_trees import quality
 from loomspark.llm.repeated_passages import remove_repeated_passages
 from loomspark.llm.toxicity import toxicity
+from loomspark.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_by_document(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, fold=0)
     return scored.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"), F.try_element_at("offending", F.lit(1))["sentence"].alias("first_offending"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -37,6 +49,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lq.line_quality(docs, lq.fit_lines(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Fixed values: (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES])
+    rules = spark.range(1).select(F.inline(rows))
+    return filter_urls(_table(spark, sf_dir, "pages"), rules).drop("n_open")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=3, fold=1)
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -48,10 +74,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontamination": op7_decontamination,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
@@ -69,6 +99,34 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
+_OP1_SQL = r"""
+WITH s AS (SELECT doc_id, source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS size FROM documents GROUP BY doc_id, source),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS no FROM s GROUP BY source),
+w AS (SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM src),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, no) AS r, sum(source_size) OVER () AS total FROM w),
+b AS (SELECT *, (1.5::DOUBLE * total::DOUBLE - coalesce(sum(cap) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / (sum(weight) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS rate FROM o),
+lv AS (SELECT min_by(rate, r) AS level FROM b WHERE weight * rate <= cap),
+t AS (SELECT source, no, source_size, CASE WHEN level IS NULL OR weight * level > cap THEN cap::DOUBLE ELSE weight * level END AS target FROM b, lv),
+g AS (SELECT *, round_even(target, 0)::BIGINT AS goal FROM t),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs, goal - CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END * source_size AS extra FROM g),
+d AS (SELECT s.doc_id, s.source, s.size, e.* EXCLUDE (source) FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source),
+blk AS (SELECT doc_id, source, no, extra, i AS block, least(256, size - i * 256) AS n, md5('mix:' || doc_id::VARCHAR || ':' || i::VARCHAR) AS k FROM d, unnest(generate_series(0, (size - 1) // 256)) AS x(i) WHERE size > 0),
+c AS (SELECT *, extra - sum(n) OVER (PARTITION BY no ORDER BY k, doc_id, block ROWS UNBOUNDED PRECEDING) + n AS rest FROM blk),
+m AS (SELECT doc_id, source, sum(greatest(0, least(n, rest)))::BIGINT AS more FROM c GROUP BY doc_id, source)
+SELECT d.doc_id, d.size, d.source_size, d.target, (d.epochs * d.size + coalesce(m.more, 0))::BIGINT AS taken
+FROM d LEFT JOIN m ON d.doc_id = m.doc_id AND d.source IS NOT DISTINCT FROM m.source
+"""
+
+_OP8_SQL = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+f AS (SELECT p.page_id, p.host, p.path, rh || rp AS rule, v, row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(rh || rp) DESC NULLS LAST) AS n
+      FROM p LEFT JOIN r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM f WHERE n = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": _OP1_SQL,
     "op5_substring_dedup": _OP5_SQL,
+    "op8_url_filter": _OP8_SQL,
 }
