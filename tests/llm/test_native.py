@@ -118,10 +118,11 @@ def test_leaks(spark, make_docs, prose):
     question = "A farmer named Tom has 12 sheep and buys 7 more sheep from his friend Maria for 3 dollars. How many sheep does Tom have after the 12 and the 7 are counted together"
     items = spark.createDataFrame([(1, question, "x"), (2, prose(1, 40), "x"), (3, "too short", "x"), (4, None, "x"), (5, prose(1, 40), "x")], "item_id long, text string, doc_id string")
     changed = question.replace("12", "31").replace("7", "9").replace("Tom", "Ali")
+    one_changed = " ".join("other" if i == 20 else w for i, w in enumerate(prose(1, 40).split()))
     mixed = question.replace("12 sheep", "31 sheep")  # 12 stands for 31 here and for 12 there
     texts = [
         (1, f"{prose(2, 50)}. {question}. {prose(3, 50)}"), (2, f"{prose(2, 30)}. {changed}?"), (3, mixed), (4, prose(1, 40)), (5, " ".join(prose(1, 40).split()[:20])), (6, None), (7, ""), (8, prose(9, 20_000)),
-        (4, prose(1, 40)), (9, prose(1, 40).replace(prose(1, 40).split()[20], "other")), (None, question),
+        (4, prose(1, 40)), (9, one_changed), (None, question),
     ]
     df = dc.find_leaks(make_docs(texts), items)
     found = defaultdict(set)
