@@ -70,7 +70,10 @@ def contexts(words: ta.Words, hashes: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """``(prefix, context, doc_id, th, first, last)`` of every context of every document."""
+    """``(prefix, context, doc_id, th, firsts, n)``: the contexts of every document, n windows each from every one of ``firsts``.
+
+    A document that holds a context often, such as one word over and over, has one row for it.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,11 +82,15 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
                 words = ta.split_words(data, offsets)
                 prefix, context, first, last = contexts(words, words.hashes(), length)
                 doc = np.searchsorted(words.first, first, side="right") - 1
-                base = words.first[doc]
-                columns = [ta.as_signed(prefix), ta.as_signed(context), ids[at:to][doc], marks[at:to][doc], (first - base).astype(np.int32), (last - base).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["prefix", "context", "doc_id", "th", "first", "last"])
+                order = np.lexsort((first, context, prefix, doc))
+                doc, prefix, context, first, last = doc[order], prefix[order], context[order], first[order], last[order]
+                new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (prefix[1:] != prefix[:-1]) | (context[1:] != context[:-1])))) if len(doc) else first
+                firsts = pa.ListArray.from_arrays(pa.array(np.concatenate((new, [len(doc)])).astype(np.int32)), pa.array((first - words.first[doc]).astype(np.int32)))
+                n = (last - first + 1)[new].astype(np.int32)
+                columns = [pa.array(c) for c in (ta.as_signed(prefix[new]), ta.as_signed(context[new]), ids[at:to][doc[new]], marks[at:to][doc[new]])]
+                yield pa.RecordBatch.from_arrays([*columns, firsts, pa.array(n)], ["prefix", "context", "doc_id", "th", "firsts", "n"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(scan, "prefix long, context long, doc_id long, th long, first int, last int")
+    return docs.select("doc_id", "th", "text").mapInArrow(scan, "prefix long, context long, doc_id long, th long, firsts array<int>, n int")
 
 
 def _cut_contexts(asked: DataFrame, length: int) -> DataFrame:
@@ -99,7 +106,7 @@ def _cut_contexts(asked: DataFrame, length: int) -> DataFrame:
                 raw = data.tobytes()
                 for i, wanted in enumerate(batch.column(2)[at:to].to_pylist()):
                     for w in wanted:
-                        first, last = words.first[i] + w["first"], words.first[i] + w["last"]
+                        first, last = words.first[i] + w["first"], words.first[i] + w["first"] + w["n"] - 1
                         if w["long"]:
                             begins = np.arange(first, last + 1)
                             out.append((w["part"], w["prefix"], w["context"], ids[at + i], len(begins), None, ta.as_signed(runs(begins, begins + length)).tolist()))
@@ -188,12 +195,12 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     shared = shared.where("earliest < latest").select("prefix", "earliest", (F.col("one") != F.col("other")).alias("branches"))
     found = durable(seen.join(shared, "prefix").where("branches or doc_id > earliest"), "contexts")
 
-    holder = F.min(F.struct("doc_id", "th", "first", "last")).alias("holder")
+    holder = F.min(F.struct("doc_id", "th", F.get("firsts", 0).alias("first"), "n")).alias("holder")
     branching = durable(found.where("branches").groupBy("prefix", "context").agg(holder).select("prefix", "context", "holder.*"), "branching")
     parts = max(1, -(-branching.count() // GROUP_CONTEXTS))
     wide = branching.groupBy("prefix").agg((F.count(F.lit(1)) > PREFIX_CONTEXTS).alias("long"))
     wanted = branching.join(wide, "prefix").withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(parts)).cast("int"))
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("part", "prefix", "context", "first", "last", "long")).alias("wanted"))
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("part", "prefix", "context", "first", "n", "long")).alias("wanted"))
     cut = _cut_contexts(known.join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted"), length)
     trees = cut.where("keys is null").select("part", "prefix", "context", "doc_id", "n", "words").groupBy("part").applyInArrow(lambda group: _least_of_nodes(group, length), "prefix long, context long, least array<long>")
     whole = cut.where("keys is not null").select("prefix", "context", "doc_id", F.posexplode("keys").alias("at", "key"))
@@ -201,8 +208,9 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     singles = whole.join(nodes, "key").groupBy("prefix", "context").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "earliest"))), lambda x: x["earliest"]).alias("least"))
 
     repeats = found.where("branches").join(trees.union(singles), ["prefix", "context"])
-    windows = F.filter(F.transform("least", lambda v, i: F.when(v < F.col("doc_id"), F.col("first") + i)), lambda v: v.isNotNull())
-    begins = repeats.select("doc_id", "th", windows.alias("begins")).where("size(begins) > 0").union(found.where("not branches").select("doc_id", "th", F.sequence("first", "last").alias("begins")))
+    late = F.filter(F.transform("least", lambda v, i: F.when(v < F.col("doc_id"), i)), lambda v: v.isNotNull())
+    windows = F.flatten(F.transform("firsts", lambda x: F.transform(F.col("late"), lambda i: x + i)))
+    begins = repeats.withColumn("late", late).where("size(late) > 0").select("doc_id", "th", windows.alias("begins")).union(found.where("not branches").select("doc_id", "th", F.flatten(F.transform("firsts", lambda x: F.sequence(x, x + F.col("n") - 1))).alias("begins")))
     gone = begins.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("begins")).alias("begins"))
     judged = known.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "begins")
     unknown = id_and_text(docs).where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("begins"))
