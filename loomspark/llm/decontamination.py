@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm.sqlblocks import let, runs
+
 #: Tokens of a window, the largest step between diagonals of one find, and the share of an item that must be covered.
 K, MERGE, COVER = 5, 3, 0.8
 #: Benchmark windows up to so many are broadcast (about 60 bytes each); more are joined by shuffle.
@@ -28,47 +30,35 @@ UNITS = [
 _FIRST = "§"  # marks the first word of a sentence, where a capital says nothing
 
 
-def raw_tokens(text: Column) -> Column:
-    """Letters-and-digits words of a text as they stand; the first of each sentence carries a mark before it.
+def _spaced(text: Column) -> Column:
+    """Letters-and-digits words of a text as they stand, one space between; the first of each sentence carries a mark.
 
     Digits joined by a point or comma are one number.
     """
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), _FIRST, " ")
+    plain = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(_FIRST), F.lit(" "))
     joined = F.regexp_replace(plain, r"(?<=[0-9])[.,](?=[0-9])", "")
-    marked = F.regexp_replace(joined, r"(?:^|[.!?]+\s+|\n)[^\p{L}\p{N}]*", f" {_FIRST}")
-    spaced = F.trim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{_FIRST}]+", " "))
-    return F.filter(F.split(spaced, " "), lambda w: (w != "") & (w != _FIRST))
+    marked = F.regexp_replace(joined, r"(?:^|[.!?]\s|\n)[^\p{L}\p{N}]*(?=[\p{L}\p{N}])", f" {_FIRST}")
+    return F.trim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{_FIRST}]+", " "))
+
 
+def _words(spaced: Column) -> Column:
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
-def canonical(raw: Column) -> Column:
-    """The tokens with ``<num>``, ``<unit>`` (after a number) and ``<name>`` (a capital inside a sentence) for values."""
 
-    def number(word: Column) -> Column:
-        head = F.substring(word, 1, 1)
-        return ((head >= "0") & (head <= "9")) | word.isin(NUMBER_WORDS)
+def canonical(spaced: Column) -> Column:
+    """The words in lower case, with ``<num>``, ``<unit>`` and ``<name>`` (a capital inside a sentence) for values."""
 
-    def one(word: Column, i: Column) -> Column:
-        bare = F.lower(F.replace(word, F.lit(_FIRST), F.lit("")))
-        before = F.lower(F.replace(F.coalesce(F.get(raw, i - 1), F.lit("")), F.lit(_FIRST), F.lit("")))
-        head = F.substring(word, 1, 1)
-        return (
-            F.when(number(bare), F.lit("<num>"))
-            .when(bare.isin(UNITS) & number(before), F.lit("<unit>"))
-            .when((head != _FIRST) & (head != F.lower(head)), F.lit("<name>"))
-            .otherwise(bare)
-        )
+    def one(raw: Column, word: Column) -> Column:
+        head, own = F.substring(word, 1, 1), F.substring(raw, 1, 1)
+        return F.when(((head >= "0") & (head <= "9")) | word.isin(NUMBER_WORDS), F.lit("<num>")).when(word.isin(UNITS), F.lit("<unit>")).when((own != head) & (own != _FIRST), F.lit("<name>")).otherwise(word)
 
-    return F.transform(raw, one)
+    return let(spaced, lambda s: F.zip_with(_words(s), _words(F.lower(F.replace(s, F.lit(_FIRST), F.lit("")))), one))
 
 
 def _slot(token: Column) -> Column:
     return token.isin("<num>", "<unit>", "<name>")
 
 
-def _windows(tokens: Column, k: int) -> Column:
-    return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.xxhash64(F.slice(tokens, i, k)))).otherwise(F.array().cast("array<bigint>"))
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, cover: float = COVER) -> DataFrame:
     """One row for each benchmark item found in a document: ``(doc_id, item_id, first_token, n_windows, coverage, n_slots, n_changed)``.
 
@@ -83,16 +73,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, cover: float =
     empty table on either side gives none.
     """
     text = F.col("text").cast("string")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), raw_tokens(text).alias("item_raw")).where("item_id is not null").distinct().withColumn("item_tokens", canonical(F.col("item_raw")))
-    pieces = items.select("item_id", F.size("item_tokens").alias("item_size"), "item_tokens", F.posexplode(_windows(F.col("item_tokens"), k)).alias("t", "hash"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _spaced(text).alias("spaced")).where("item_id is not null").distinct()
+    items = items.select("item_id", _words(F.col("spaced")).alias("item_raw"), canonical(F.col("spaced")).alias("item_tokens"))
+    pieces = items.select("item_id", F.size("item_tokens").alias("item_size"), "item_tokens", F.posexplode(runs(F.col("item_tokens"), k)).alias("t", "hash"))
     literal = F.size(F.filter(F.slice("item_tokens", F.col("t") + 1, k), lambda w: ~_slot(w)))
     pieces = pieces.where(literal >= LITERALS).select("item_id", "item_size", "t", "hash")
     if pieces.count() <= BROADCAST_WINDOWS:
         pieces = F.broadcast(pieces)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null")
-    tokens = keyed.select("doc_id", "th", raw_tokens(F.col("text")).alias("raw")).select("doc_id", "th", canonical(F.col("raw")).alias("tokens"))
-    hits = tokens.select("doc_id", "th", F.posexplode(_windows(F.col("tokens"), k)).alias("d", "hash")).join(pieces, "hash")
+    tokens = keyed.select("doc_id", "th", _spaced(F.col("text")).alias("spaced")).select("doc_id", "th", canonical(F.col("spaced")).alias("tokens"))
+    hits = tokens.select("doc_id", "th", F.posexplode(runs(F.col("tokens"), k)).alias("d", "hash")).join(pieces, "hash")
     key = ["doc_id", "th", "item_id"]
     diagonals = hits.groupBy(*key, "item_size", (F.col("d") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"))
     order = Window.partitionBy(*key).orderBy("diagonal")
@@ -104,10 +95,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, cover: float =
     likely = finds.withColumn("coverage", under / F.col("item_size")).where(F.col("coverage") >= cover).join(items.hint("merge"), "item_id")
 
     # the slots' values are looked up in the texts of the documents with likely finds
-    asked = likely.join(keyed.hint("merge"), ["doc_id", "th"]).withColumn("raw", raw_tokens(F.col("text")))
+    asked = likely.join(keyed.hint("merge"), ["doc_id", "th"])
     bare = lambda w: F.lower(F.replace(w, F.lit(_FIRST), F.lit("")))
-    pair = lambda m: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.struct(F.get("item_tokens", m["t"] + j).alias("kind"), bare(F.get("item_raw", m["t"] + j)).alias("a"), bare(F.get("raw", m["d"] + j)).alias("b")))
-    slots = F.array_distinct(F.filter(F.flatten(F.transform("matches", pair)), lambda p: _slot(p["kind"])))
+
+    def slots_of(raw: Column) -> Column:
+        pair = lambda m: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.struct(F.get("item_tokens", m["t"] + j).alias("kind"), bare(F.get("item_raw", m["t"] + j)).alias("a"), bare(F.get(raw, m["d"] + j)).alias("b")))
+        return F.array_distinct(F.filter(F.flatten(F.transform("matches", pair)), lambda p: _slot(p["kind"])))
+
+    slots = let(let(_spaced(F.col("text")), _words), slots_of)
     held = asked.withColumn("slots", slots).withColumn("values", F.array_distinct(F.transform("slots", lambda p: F.struct(p["kind"], p["a"]))))
     sure = held.where(F.size("slots") == F.size("values"))
     out = F.struct("coverage", F.size("matches").alias("n_windows"), (-F.array_min(F.transform("matches", lambda m: m["d"]))).alias("place"), F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("n_changed"))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm.sqlblocks import let, runs
+
 #: Words of a run, the largest step between diagonals that are merged, and the share of a template that must be covered.
 K, MERGE, COVER = 3, 2, 0.8
 #: Templates of up to so many words together are broadcast; larger sets are joined by shuffle.
@@ -57,15 +59,10 @@ def tokens(text: Column) -> Tokens:
     """
     lower = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("Å")))
     padded = F.regexp_replace(F.concat(F.lit(" "), lower, F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    words = F.when(padded == " ", F.array().cast("array<string>")).otherwise(F.split(F.trim(padded), " "))
+    words = let(F.trim(padded), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
     return Tokens(padded, words, F.length(padded) - F.length(F.replace(padded, F.lit(" "), F.lit(""))) - 1)
 
 
-def runs(words: Column, k: int) -> Column:
-    """Hashes of the runs of k words; empty for a shorter text."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
-
-
 def _phrase(padded: Column, n_words: Column, phrase: str) -> tuple[Column, Column, Column]:
     """(places, first, last) of a phrase, the latter null without one."""
     there = F.contains(padded, F.lit(f" {phrase} "))

@@ -12,12 +12,11 @@ bucket. Tables by source, bucket and shard do not grow with the texts. All of it
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.scratch import durable
+from loomspark.llm.sqlblocks import let
 
 #: Words of a block and hexadecimal digits that number the hash buckets of a source.
 BLOCK_WORDS, DIGITS = 256, 3
@@ -50,10 +49,6 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return spread.select("source", "source_no", "source_size", F.when(F.col("level").isNull() | (fair > F.col("cap")), F.col("cap").cast("double")).otherwise(fair).alias("target"))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
@@ -86,9 +81,9 @@ def hypergeometric(rest: Column, own: Column, room: Column, u: Column, v: Column
             step = lambda a, x: F.struct(F.when(x < s["most"], a["w"] * ratio(x.cast("double"))).otherwise(0.0).alias("w"), (a["sum"] + a["w"]).alias("sum"), F.when(a["sum"] + a["w"] < s["u"] * total, x + 1).otherwise(a["at"]).alias("at"))
             return F.least(high, F.aggregate(F.sequence(low, high), begin, step, lambda a: a["at"]))
 
-        return _let(F.aggregate(F.sequence(low, high), start, grow, lambda a: a["sum"]), find)
+        return let(F.aggregate(F.sequence(low, high), start, grow, lambda a: a["sum"]), find)
 
-    return _let(shape, lambda s: F.when(s["spread"] > EXACT_SPREAD, normal(s)).otherwise(exact(s)))
+    return let(shape, lambda s: F.when(s["spread"] > EXACT_SPREAD, normal(s)).otherwise(exact(s)))
 
 
 def split_quotas(quotas: DataFrame, levels: int, seed: str) -> DataFrame:
@@ -103,7 +98,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: str) -> DataFrame:
         def draw(acc: Column, x: Column) -> Column:
             u, v = (_uniform(F.lit(seed), F.lit(i), acc["room"], acc["rest"], acc["node"], F.size(acc["taken"])) for i in (0, 1))
             taken = lambda t: F.struct((acc["rest"] - x).alias("rest"), (acc["room"] - t).alias("room"), acc["node"].alias("node"), F.concat(acc["taken"], F.array(t)).alias("taken"))
-            return _let(hypergeometric(acc["rest"], x, acc["room"], u, v), taken)
+            return let(hypergeometric(acc["rest"], x, acc["room"], u, v), taken)
 
         total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
         start = F.struct(total.alias("rest"), F.floor(total / 2).cast("long").alias("room"), F.col("node"), F.array().cast("array<bigint>").alias("taken"))

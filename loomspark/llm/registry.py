@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import line_quality as lq
 from loomspark.llm import token_counts as tc
 from loomspark.llm.decontamination import find_leaks
-from loomspark.llm.licenses import scan_licenses
+from loomspark.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from loomspark.llm.mixing import mixture_by_document
 from loomspark.llm.near_duplicates import near_duplicates
 from loomspark.llm.quality_trees import quality
@@ -117,6 +117,42 @@ SELECT d.doc_id, d.size, d.source_size, d.target, (d.epochs * d.size + coalesce(
 FROM d LEFT JOIN m ON d.doc_id = m.doc_id AND d.source IS NOT DISTINCT FROM m.source
 """
 
+def _op3_sql() -> str:
+    """The phrases, and diagonals of trigrams joined as text."""
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
+    templates = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ph(phrase, label, k) AS (VALUES {phrases}),
+tp(template, label, txt) AS (VALUES {templates}),
+pl AS (SELECT doc_id, label, i AS place FROM d, ph, unnest(generate_series(0, len(w) - k)) AS g(i) WHERE array_to_string(w[i + 1:i + k], ' ') = phrase),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM pl GROUP BY doc_id),
+tg AS (SELECT template, label, len(string_split(txt, ' ')) AS t_words, i AS t, array_to_string(string_split(txt, ' ')[i + 1:i + 3], ' ') AS g FROM tp, unnest(generate_series(0, len(string_split(txt, ' ')) - 3)) AS u(i)),
+dg AS (SELECT doc_id, i AS p, array_to_string(w[i + 1:i + 3], ' ') AS g FROM d, unnest(generate_series(0, len(w) - 3)) AS u(i)),
+hit AS (SELECT DISTINCT doc_id, template, label, t_words, p - t AS diagonal, t FROM dg JOIN tg USING (g)),
+dia AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 2 THEN 1 ELSE 0 END AS starts FROM (SELECT DISTINCT doc_id, template, diagonal FROM hit)),
+cl AS (SELECT doc_id, template, diagonal, sum(starts) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM dia),
+cv AS (SELECT doc_id, label, template, cluster, count(DISTINCT t + o) / any_value(t_words) AS cover FROM hit JOIN cl USING (doc_id, template, diagonal), unnest([0, 1, 2]) AS u(o) GROUP BY doc_id, label, template, cluster),
+m AS (SELECT doc_id, max(cover) AS best, list(label) FILTER (WHERE cover >= 0.8) AS sure FROM cv GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(sure, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+#: op4: all pairs of documents that share a shingle, for small tables.
+_OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM d),
+n AS (SELECT d.doc_id, count(g) AS n_shingles FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * inter >= 80 * (x.n_shingles + y.n_shingles - inter)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON node = doc_id
+"""
+
 _OP8_SQL = r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -127,6 +163,8 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host = '' THEN 'block' E
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": _OP1_SQL,
+    "op3_license_scan": _op3_sql(),
+    "op4_minhash_dedup": _OP4_SQL,
     "op5_substring_dedup": _OP5_SQL,
     "op8_url_filter": _OP8_SQL,
 }
