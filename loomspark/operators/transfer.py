@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.operators.assignment import adjusted_rand, assign_clusters, cross_table
 from loomspark.operators.embedding import k_means, principal_components
 from loomspark.operators.neighbours import anchors
+from loomspark.sources.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ def transfer_labels(reference: DataFrame, query: DataFrame, splits: list[tuple[s
             branches = query.sparkSession.createDataFrame([(left, 0), (right, 1)], "branch string, ord int")
             chosen = assign_clusters(cross_table(clusters, hit, branches), settings.least_cluster, settings.least_percent)
             moved = clusters.join(chosen.where("branch != 'novel_cluster'").select("cluster", "branch"), "cluster").select("obs_id", "branch")
-            out.membership = out.membership.join(moved, "obs_id", "left").select("obs_id", F.coalesce("branch", "node").alias("node")).checkpoint() if query.sparkSession.sparkContext.getCheckpointDir() else out.membership.join(moved, "obs_id", "left").select("obs_id", F.coalesce("branch", "node").alias("node")).persist()
+            out.membership = materialise(out.membership.join(moved, "obs_id", "left").select("obs_id", F.coalesce("branch", "node").alias("node")))
             counts = {r.node: r["count"] for r in out.membership.groupBy("node").count().collect()}
             out.rounds.append({"node": node, "n": n, left: counts.get(left, 0), right: counts.get(right, 0), "unresolved": counts.get(node, 0)})
             todo += [left, right]

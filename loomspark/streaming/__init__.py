@@ -1,0 +1 @@
+"""The original has no streams (no watermarks, windows over time or stateful operators), so none are built."""
