@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.decontamination import find_leaks
-from loomspark.llm.mixing import mixture_by_document
+from loomspark.llm.mixing import mixture_texts
 from loomspark.llm.near_duplicates import near_duplicates
 from loomspark.llm.repeated_passages import remove_repeated_passages
 from loomspark.llm.scratch import shared_dir
@@ -65,10 +65,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each document that is taken from, with its text and ``size, source_size, target, taken, n_blocks, n_shards``."""
-    mixed = mixture_by_document(docs).where("taken > 0").withColumnRenamed("source", "of_source").withColumnRenamed("doc_id", "of_doc")
-    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return docs.select("doc_id", "text", "lang", "source").join(mixed, same).drop("of_doc", "of_source")
+    """The mixture: each document that is taken from, with the drawn words alone and as often as they are drawn.
+
+    ``pieces`` has the epoch, shard and place of each drawn block, in the order of the text.
+    """
+    return mixture_texts(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -170,3 +170,31 @@ def mixture_by_document(docs: DataFrame, **options: object) -> DataFrame:
     whole = p.join(d, F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("p.source").eqNullSafe(F.col("d.source")), "left")
     zero = F.lit(0).cast("long")
     return whole.select("p.doc_id", "p.source", "p.size", "p.source_size", "p.target", F.coalesce("d.taken", zero).alias("taken"), F.coalesce("d.n_blocks", zero).alias("n_blocks"), F.coalesce("d.n_shards", zero).alias("n_shards"))
+
+
+def mixture_texts(docs: DataFrame, **options: object) -> DataFrame:
+    """The mixture itself, one row a document that is drawn from.
+
+    ``(doc_id, text, lang, source, size, source_size, target, taken, n_blocks, n_shards, pieces)``: ``text`` has
+    the drawn words alone, as often as they are drawn, in the order of ``pieces``: ``(epoch, block, first_word,
+    n_words, shard, place)`` of each dealt block. So it has ``taken`` words, and those of a source add up to its
+    target. Words keep the white space that follows them.
+
+    Rows that repeat a doc_id and source are one document, their texts in order, with the least ``lang``. Rows
+    without a doc_id are documents by their text.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    id_ = F.col("doc_id").cast("long")
+    keyed = docs.select(F.coalesce(id_, F.xxhash64(text)).alias("doc_id"), id_.alias("own_id"), F.col("source").cast("string").alias("source"), text.alias("text"), F.col("lang"))
+    dealt, placed = mix(keyed, **options)  # type: ignore[arg-type]
+    pieces = F.array_sort(F.collect_list(F.struct("epoch", "block", "first_word", "n_words", "shard", "place")))
+    drawn = dealt.groupBy("doc_id", "source").agg(pieces.alias("pieces"))
+    texts = keyed.groupBy("doc_id", "source").agg(F.min("own_id").alias("own_id"), F.min("lang").alias("lang"), F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    same = lambda a, b: (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    both = texts.alias("t").join(drawn.alias("d"), same("t", "d")).join(placed.alias("p"), same("t", "p"))
+    words = F.regexp_extract_all(F.concat("t.text", F.lit("\n")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    cut = let(words, lambda w: F.array_join(F.flatten(F.transform("d.pieces", lambda x: F.slice(w, (x["first_word"] + 1).cast("int"), x["n_words"].cast("int")))), ""))
+    return both.select(
+        F.col("t.own_id").alias("doc_id"), F.rtrim(cut, F.lit(" \t\n\x0b\x0c\r")).alias("text"), "t.lang", "t.source", "p.size", "p.source_size", "p.target",
+        F.aggregate("d.pieces", F.lit(0).cast("long"), lambda a, x: a + x["n_words"]).alias("taken"), F.size("d.pieces").cast("long").alias("n_blocks"), F.size(F.array_distinct("d.pieces.shard")).cast("long").alias("n_shards"), "d.pieces",
+    )

@@ -1,5 +1,7 @@
 """The pipeline end to end on planted cases."""
 
+from collections import Counter
+
 import corpus_pipeline as cp
 
 
@@ -32,3 +34,24 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixture_has_the_drawn_words(spark, prose):
+    texts = [(i, prose(i, 20 + 37 * i % 700), f"s{i % 3}") for i in range(60)] + [(60, prose(7, 20_000), "s1"), (61, prose(8, 30_000), None), (62, None, "s0"), (63, "", "s1")]
+    texts += [(70, "b  c", "s1"), (70, "a\n", "s1"), (None, prose(71, 900), "s2"), (None, prose(72, 300), "s2")]
+    rows = [(i, t, "en", s, len(t or "")) for i, t, s in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    own, words = {}, Counter()
+    for i, t, s in sorted(texts, key=lambda x: x[1] or ""):
+        own.setdefault((i if i is not None else t, s), []).extend((t or "").split())
+    out = cp.mix_sources(spark, docs, "").collect()
+    for r in out:
+        written = r.text.split()
+        whole = next(w for (i, s), w in own.items() if s == r.source and (i == r.doc_id if r.doc_id is not None else len(w) == r.size))
+        assert written == [w for p in r.pieces for w in whole[p.first_word : p.first_word + p.n_words]]
+        assert len(written) == r.taken <= 2 * r.size and len({(p.block, p.epoch) for p in r.pieces}) == len(r.pieces) == r.n_blocks
+        words[r.source] += len(written)
+    target = {r.source: r.target for r in out}
+    assert len(target) == 4 and all(abs(words[s] - target[s]) <= 1 for s in target)
+    assert any(r.taken < r.size for r in out) and any(r.taken > r.size for r in out)
+    assert sum(r.doc_id is None for r in out) == 2
