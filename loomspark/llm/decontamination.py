@@ -66,45 +66,69 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, cover: float =
     alone. ``coverage`` is the share of the item's tokens under windows found along neighbouring diagonals,
     at least ``cover``; of several finds in one document the best covered is reported. ``n_slots`` counts the
     different values in the item's slots under them and ``n_changed`` those that the document replaces; a
-    value that stands for two different ones in one find makes the find void.
+    value that stands for two different ones makes the find void. Each token of the item is held against one
+    word of the document, that of the diagonal with most equal words; a diagonal that covers enough by
+    itself is also judged alone.
 
-    Null and empty texts hold nothing; null ids are dropped. Items of fewer than k tokens can't be found.
-    Repeated documents give the same rows once for each doc_id; items with equal texts are each reported. An
-    empty table on either side gives none.
+    Windows with fewer than LITERALS tokens that are not placeholders, and items of fewer than k tokens as a
+    whole, are looked for by their words in lower case, values included.
+
+    Null and empty texts hold nothing; null ids are dropped. Repeated documents give the same rows once for
+    each doc_id; items with equal texts are each reported. An empty table on either side gives none.
     """
     text = F.col("text").cast("string")
+    bare = lambda spaced: _words(F.lower(F.replace(spaced, F.lit(_FIRST), F.lit(""))))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _spaced(text).alias("spaced")).where("item_id is not null").distinct()
-    items = items.select("item_id", _words(F.col("spaced")).alias("item_raw"), canonical(F.col("spaced")).alias("item_tokens"))
-    pieces = items.select("item_id", F.size("item_tokens").alias("item_size"), "item_tokens", F.posexplode(runs(F.col("item_tokens"), k)).alias("t", "hash"))
-    literal = F.size(F.filter(F.slice("item_tokens", F.col("t") + 1, k), lambda w: ~_slot(w)))
-    pieces = pieces.where(literal >= LITERALS).select("item_id", "item_size", "t", "hash")
-    if pieces.count() <= BROADCAST_WINDOWS:
+    items = items.select("item_id", bare(F.col("spaced")).alias("item_words"), canonical(F.col("spaced")).alias("item_tokens")).withColumn("item_size", F.size("item_tokens"))
+    whole = items.where((F.col("item_size") > 0) & (F.col("item_size") < k)).select("item_id", "item_size", F.lit(0).alias("t"), F.xxhash64("item_words").alias("hash"), F.col("item_size").alias("exact"))
+    windows = items.select("item_id", "item_size", "item_tokens", runs(F.col("item_words"), k).alias("by_words"), F.posexplode(runs(F.col("item_tokens"), k)).alias("t", "hash"))
+    literal = F.size(F.filter(F.slice("item_tokens", F.col("t") + 1, k), lambda w: ~_slot(w))) >= LITERALS
+    pieces = windows.select("item_id", "item_size", "t", F.when(literal, F.col("hash")).otherwise(F.get("by_words", F.col("t"))).alias("hash"), F.when(~literal, F.lit(k)).alias("exact")).union(whole)
+    counts = {row["exact"]: row["count"] for row in pieces.groupBy("exact").count().collect()}  # k + 1 rows at most
+    pieces = pieces.drop("exact")
+    if sum(counts.values()) <= BROADCAST_WINDOWS:
         pieces = F.broadcast(pieces)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null")
-    tokens = keyed.select("doc_id", "th", _spaced(F.col("text")).alias("spaced")).select("doc_id", "th", canonical(F.col("spaced")).alias("tokens"))
-    hits = tokens.select("doc_id", "th", F.posexplode(runs(F.col("tokens"), k)).alias("d", "hash")).join(pieces, "hash")
+    by_words = [n for n in counts if n is not None]
+    hashes = let(_spaced(F.col("text")), lambda s: F.concat(F.array(runs(canonical(s), k)), let(bare(s), lambda w: F.array(*[runs(w, n) for n in by_words])) if by_words else F.array().cast("array<array<bigint>>")))
+    hits = keyed.select("doc_id", "th", F.explode(hashes).alias("hashes")).select("doc_id", "th", F.posexplode("hashes").alias("d", "hash")).join(pieces, "hash")
     key = ["doc_id", "th", "item_id"]
-    diagonals = hits.groupBy(*key, "item_size", (F.col("d") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"))
+    diagonals = hits.groupBy(*key, "item_size", (F.col("d") - F.col("t")).alias("diagonal")).agg(F.array_sort(F.collect_set("t")).alias("ts"))
     order = Window.partitionBy(*key).orderBy("diagonal")
     starts = (F.col("diagonal") - F.lag("diagonal", 1).over(order) > MERGE).cast("int")
     merged = diagonals.withColumn("starts", F.coalesce(starts, F.lit(0))).withColumn("cluster", F.sum("starts").over(order))
-    matches = F.flatten(F.collect_list(F.transform("ts", lambda x: F.struct(x.alias("t"), (x + F.col("diagonal")).alias("d")))))
-    finds = merged.groupBy(*key, "item_size", "cluster").agg(matches.alias("matches"))
-    under = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["t"], m["t"] + k - 1)))))
-    likely = finds.withColumn("coverage", under / F.col("item_size")).where(F.col("coverage") >= cover).join(items.hint("merge"), "item_id")
+    finds = merged.groupBy(*key, "item_size", "cluster").agg(F.collect_list(F.struct("diagonal", "ts")).alias("diagonals"))
+    length = F.least(F.lit(k), F.col("item_size"))
+    under = lambda ts: F.array_distinct(F.flatten(F.transform(ts, lambda t: F.sequence(t, t + length - 1))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("diagonals", lambda g: under(g["ts"])))))
+    likely = finds.where(covered / F.col("item_size") >= cover).drop("item_size").join(items.hint("merge"), "item_id")
 
-    # the slots' values are looked up in the texts of the documents with likely finds
+    # the values are looked up in the texts of the documents with likely finds: of each diagonal, its stretch of words
     asked = likely.join(keyed.hint("merge"), ["doc_id", "th"])
-    bare = lambda w: F.lower(F.replace(w, F.lit(_FIRST), F.lit("")))
-
-    def slots_of(raw: Column) -> Column:
-        pair = lambda m: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.struct(F.get("item_tokens", m["t"] + j).alias("kind"), bare(F.get("item_raw", m["t"] + j)).alias("a"), bare(F.get(raw, m["d"] + j)).alias("b")))
-        return F.array_distinct(F.filter(F.flatten(F.transform("matches", pair)), lambda p: _slot(p["kind"])))
 
-    slots = let(let(_spaced(F.col("text")), _words), slots_of)
-    held = asked.withColumn("slots", slots).withColumn("values", F.array_distinct(F.transform("slots", lambda p: F.struct(p["kind"], p["a"]))))
-    sure = held.where(F.size("slots") == F.size("values"))
-    out = F.struct("coverage", F.size("matches").alias("n_windows"), (-F.array_min(F.transform("matches", lambda m: m["d"]))).alias("place"), F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("n_changed"))
+    def stretch(words: Column) -> Column:
+        low = lambda g: F.element_at(g["ts"], 1)
+        cut = lambda g: F.slice(words, g["diagonal"] + low(g) + 1, F.element_at(g["ts"], -1) + length - low(g))
+        return F.transform("diagonals", lambda g: F.struct(g["diagonal"].alias("diagonal"), g["ts"].alias("ts"), cut(g).alias("words")))
+
+    alone = F.size("diagonals") == 1
+    along = asked.select(*key, "cluster", "item_size", "item_words", "item_tokens", alone.alias("alone"), F.explode(let(let(_spaced(F.col("text")), bare), stretch)).alias("g"))
+    pair = lambda x: F.struct(x.alias("x"), F.get("item_tokens", x).alias("kind"), F.get("item_words", x).alias("a"), F.get("g.words", x - F.element_at("g.ts", 1)).alias("b"))
+    paired = along.withColumn("pairs", F.transform(under(F.col("g.ts")), pair)).withColumn("n_equal", F.size(F.filter("pairs", lambda p: p["a"] == p["b"])))
+
+    # an alignment is one diagonal, or (null) all of the cluster
+    one, every = F.array("g.diagonal"), F.array(F.col("g.diagonal"), F.lit(None).cast("int"))
+    tokens = paired.select(*key, "cluster", "item_size", "n_equal", "g.diagonal", F.size("g.ts").alias("n"), "pairs", F.explode(F.when(F.col("alone"), one).otherwise(every)).alias("alignment")).select("*", F.explode("pairs").alias("p"))
+    held = F.struct("p.kind", "p.a", "p.b", "diagonal", "n", (F.col("diagonal") + F.col("p.x")).alias("place"))
+    aligned = tokens.groupBy(*key, "item_size", "cluster", "alignment", "p.x").agg(F.max_by(held, F.struct("n_equal", -F.col("diagonal"))).alias("h"))
+    slot = _slot(F.col("h.kind"))
+    judged = aligned.groupBy(*key, "item_size", "cluster", "alignment").agg(
+        (F.count(F.lit(1)) / F.first("item_size")).alias("coverage"), F.collect_set(F.struct("h.diagonal", "h.n")).alias("used"), F.min("h.place").alias("first"),
+        F.collect_set(F.when(slot, F.struct("h.kind", "h.a", "h.b"))).alias("slots"), F.collect_set(F.when(slot, F.struct("h.kind", "h.a"))).alias("values"),
+    )
+    sure = judged.where((F.col("coverage") >= cover) & (F.size("slots") == F.size("values")))
+    n_windows = F.aggregate("used", F.lit(0), lambda a, g: a + g["n"])
+    out = F.struct("coverage", n_windows.alias("n_windows"), (-F.col("first")).alias("place"), F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("n_changed"))
     best = sure.groupBy("doc_id", "item_id").agg(F.max(out).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.place")).cast("long").alias("first_token"), F.col("x.n_windows").cast("long").alias("n_windows"), "x.coverage", F.col("x.n_slots").cast("long").alias("n_slots"), F.col("x.n_changed").cast("long").alias("n_changed"))

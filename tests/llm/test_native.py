@@ -133,6 +133,18 @@ def test_leaks(spark, make_docs, prose):
     assert dc.find_leaks(make_docs([]), items).count() == 0 and dc.find_leaks(make_docs(texts), items.limit(0)).count() == 0
 
 
+def test_leaks_of_listings(spark, make_docs, prose):
+    listings = ["He bought 3 apples, 4 apples, 5 apples, 6 apples", "work out 5 plus 6 plus 7 plus 8"]
+    items = spark.createDataFrame(list(enumerate(listings)), "item_id long, text string")
+    around = lambda i, t: f"{prose(10 + i, 30)}. {t}. {prose(20 + i, 30)}"
+    texts = [(i, around(i, t)) for i, t in enumerate(listings)]
+    texts += [(2, around(2, listings[0].replace("4 apples", "4 big apples"))), (3, around(3, "He bought 13 apples, 14 apples, 15 apples, 16 apples")), (4, around(4, "work out 5 plus 6 plus 5 plus 5"))]
+    df = dc.find_leaks(make_docs(texts), items)
+    found = {(r.doc_id, r.item_id): r.n_changed for r in df.collect()}
+    assert not has_python(df)
+    assert found.items() >= {(0, 0): 0, (1, 1): 0, (3, 0): 4}.items() and (2, 0) in found and (4, 1) in found
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a-b.net", "/", "block"), ("b.net", "/", "allow"), ("x.example.com", "/en/q", "block")]
 
 
