@@ -145,6 +145,16 @@ def test_leaks_of_listings(spark, make_docs, prose):
     assert found.items() >= {(0, 0): 0, (1, 1): 0, (3, 0): 4}.items() and (2, 0) in found and (4, 1) in found
 
 
+def test_leaks_of_few_literals(spark, make_docs, prose):
+    dense = ["Convert 5 km, 3 miles and 20 yards to meters", "Add 3, 5, 7, 9, 11 and 13", "Solve 7 times 8"]
+    items = spark.createDataFrame(list(enumerate(dense)), "item_id long, text string")
+    texts = [(i, f"{prose(30 + i, 30)}. {t}. {prose(40 + i, 30)}") for i, t in enumerate(dense)]
+    texts += [(5, "Add 3, 5, 7, 9, 12 and 13 14 15"), (6, "Solve 7 times 9"), (7, dense[2].upper()), (None, dense[1])]
+    df = dc.find_leaks(make_docs(texts), items)
+    assert not has_python(df)
+    assert {(r.doc_id, r.item_id, r.coverage) for r in df.collect()} == {(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0), (7, 2, 1.0)}
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a-b.net", "/", "block"), ("b.net", "/", "allow"), ("x.example.com", "/en/q", "block")]
 
 
