@@ -20,8 +20,6 @@ from loomspark.llm.sqlblocks import let
 
 #: Words of a block and hexadecimal digits that number the hash buckets of a source.
 BLOCK_WORDS, DIGITS = 256, 3
-#: Spread of a draw (standard deviation) up to which it is exact; beyond, a rounded normal draw differs less than a block.
-EXACT_SPREAD = 500
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -56,18 +54,15 @@ def _uniform(*parts: Column) -> Column:
 def hypergeometric(rest: Column, own: Column, room: Column, u: Column, v: Column) -> Column:
     """How many of ``own`` among ``rest`` blocks are in a random choice of ``room``, by uniform draws u and v.
 
-    The distribution is inverted by its recurrence over eight standard deviations; a wide one is drawn as a
-    normal number from u and v and rounded.
+    The distribution is inverted by its recurrence over eight standard deviations on either side, whatever its
+    width; u has 40 bits and v gives the bits below. The steps grow with the root of the blocks: about 40,000
+    for 20 million.
     """
     n, q, k = (c.cast("double") for c in (rest, own, room))
     mean = k * q / F.greatest(n, F.lit(1.0))
     spread = F.sqrt(F.greatest(mean * (1 - q / F.greatest(n, F.lit(1.0))) * (n - k) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0)))
     least, most = F.greatest(F.lit(0.0), k - (n - q)), F.least(q, k)
-    shape = F.struct(n.alias("n"), q.alias("q"), k.alias("k"), mean.alias("mean"), spread.alias("spread"), least.alias("least"), most.alias("most"), u.alias("u"), v.alias("v"))
-
-    def normal(s: Column) -> Column:
-        z = F.sqrt(-2 * F.ln(s["u"])) * F.cos(2 * F.pi() * s["v"])
-        return F.least(s["most"], F.greatest(s["least"], F.rint(s["mean"] + s["spread"] * z))).cast("long")
+    shape = F.struct(n.alias("n"), q.alias("q"), k.alias("k"), mean.alias("mean"), spread.alias("spread"), least.alias("least"), most.alias("most"), (u + (v - 0.5) / float(1 << 40)).alias("u"))
 
     def exact(s: Column) -> Column:
         low = F.greatest(s["least"], F.floor(s["mean"] - 8 * s["spread"] - 1).cast("double")).cast("long")
@@ -83,7 +78,7 @@ def hypergeometric(rest: Column, own: Column, room: Column, u: Column, v: Column
 
         return let(F.aggregate(F.sequence(low, high), start, grow, lambda a: a["sum"]), find)
 
-    return let(shape, lambda s: F.when(s["spread"] > EXACT_SPREAD, normal(s)).otherwise(exact(s)))
+    return let(shape, exact)
 
 
 def split_quotas(quotas: DataFrame, levels: int, seed: str) -> DataFrame:

@@ -11,7 +11,7 @@ from loomspark.llm import line_quality as lq
 from loomspark.llm import token_counts as tc
 from loomspark.llm.decontamination import find_leaks
 from loomspark.llm.licenses import PHRASES, TEMPLATES, scan_licenses
-from loomspark.llm.mixing import mixture_by_document
+from loomspark.llm.mixing import mix, mixture_by_document
 from loomspark.llm.near_duplicates import near_duplicates
 from loomspark.llm.quality_trees import quality
 from loomspark.llm.repeated_passages import remove_repeated_passages
@@ -27,6 +27,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_by_document(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_mixing_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))[0]
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, fold=0)
     return scored.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"), F.try_element_at("offending", F.lit(1))["sentence"].alias("first_offending"))
@@ -75,6 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op1_mixing_dealt": op1_mixing_dealt,
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_minhash_dedup": op4_minhash_dedup,

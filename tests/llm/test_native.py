@@ -74,6 +74,34 @@ def test_hypergeometric_draws(spark):
         assert r["count"] / 4000 == pytest.approx(want[r.x], abs=1e-3)
 
 
+def test_wide_draws_are_exact(spark):
+    from math import exp, lgamma
+
+    from pyspark.sql import functions as F
+
+    n, q, k = 8_000_000, 4_000_000, 4_000_000  # a spread of 707
+    log_comb = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    below, steps = {}, 0.0
+    for x in range(q // 2 - 6000, q // 2 + 6001):
+        below[x] = steps
+        steps += exp(log_comb(q, x) + log_comb(n - q, k - x) - log_comb(n, k))
+    us = [0.001, 0.1, 0.4, 0.5003, 0.77, 0.999]
+    rows = spark.createDataFrame([(u,) for u in us], "u double").select("u", mx.hypergeometric(F.lit(n), F.lit(q), F.lit(k), F.col("u"), F.lit(0.5)).alias("x")).collect()
+    for r in rows:
+        assert below[r.x] / steps <= r.u + 1e-6 and below[r.x + 1] / steps >= r.u - 1e-6
+
+
+def test_dealt_query_shows_shards(spark, make_docs, prose, tmp_path):
+    from loomspark.llm.registry import QUERIES
+
+    _, _, docs = mixed_docs(make_docs, prose)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op1_mixing_dealt"](spark, str(tmp_path)).collect()
+    n = Counter(r.shard for r in rows)
+    assert set(n) == set(range(16)) and max(n.values()) - min(n.values()) <= 4
+    assert len({(r.shard, r.place) for r in rows}) == len(rows)
+
+
 def test_mixing_nothing(make_docs):
     assert mx.mixture_by_document(make_docs([])).count() == 0
     assert [(r.size, r.taken) for r in mx.mixture_by_document(make_docs([(1, None)])).collect()] == [(0, 0)]
