@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.scratch import durable
+from loomspark.llm.skew import HOT, SALTS, join_hot
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,15 +14,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ``component`` is the smallest node that can be reached. Each round every node takes the least label
     among its neighbours' (aggregated map-side, so a node with very many links costs one row a task), then
-    the label of that label, which halves the remaining distance. Rounds end when nothing changes; each
-    is written to the shared folder, so the plan stays short. Null ends of a link are ignored; an empty
-    table gives an empty result; repeated links and self-links change nothing but keep their nodes.
+    the label of that label, which halves the remaining distance. The label of a node with HOT or more links
+    is sent to its neighbours in SALTS tasks. Rounds end when nothing changes; each is written to the shared
+    folder, so the plan stays short. Null ends of a link are ignored; an empty table gives an empty result;
+    repeated links and self-links change nothing but keep their nodes.
     """
     ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = durable(ends.union(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    hot = durable(both.groupBy("y").count().where(F.col("count") >= HOT).select("y", F.lit(True).alias("hot")), "hot")
+    ways = F.when(F.col("hot"), F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = durable(join_hot(both, hot, "y", "x").select("x", "y", ways.alias("way")), "dealt")
+    copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     labels = durable(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
+        told = labels.withColumnRenamed("node", "y").join(hot, "y", "left").select("y", "component", copies.alias("way"))
+        near = dealt.join(told, ["y", "way"]).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
         moved = durable(step.join(jump, "next", "left").select("node", "was", F.least("next", "jump").alias("component")), "labels")

@@ -8,8 +8,9 @@ propose candidates, and a link counts only after both full sets were compared.
 How it holds up with large groups: documents with equal sets become one class before anything else. All
 members of a band's bucket go to the bucket's least document, its hub, and documents that share several
 buckets mostly share the hub, so each is sent a few times, not once a band. A hub's members are compared
-on full sets inside tasks, in blocks of a fixed number of shingles, and only the links that join two
-components leave the task: at most one a member. No pair that shares a bucket is left out.
+on full sets inside tasks, in blocks of a fixed size that all hold the hub, and only the links that join two
+components leave the task: at most one a member. Members that no block joined with the hub are then compared
+with all other blocks, so no pair that shares a bucket and could still join two components is left out.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 from loomspark.llm import textarrays as ta
 from loomspark.llm.graph import components
 from loomspark.llm.scratch import durable
+from loomspark.llm.skew import join_hot
 from loomspark.llm.tables import id_and_text
 
 #: Coordinates a band and bands. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**28 < 4e-7.
 ROWS, BANDS = 4, 28
-#: Shingles that a task holds at a time while it compares a hub's members (8 bytes each).
-BLOCK_SHINGLES = 2_000_000
+#: Shingles (8 bytes each) and members that a task holds at a time while it compares a hub's members.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 2_000_000, 512
 
 
 def _shift_mix(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -106,51 +108,87 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(scan, "doc_id long, n_shingles long, set_a long, set_b long, band_keys array<long>")
 
 
-def joining_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def joining_links(sets: list[np.ndarray], percent: int, component: np.ndarray | None = None, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between the given sets that join all their components, found by exact comparison.
 
-    A set that was compared with all others is done; the search ends when the sets that are not done
-    lie in one component, since no link between two components can then be left.
+    ``component`` names what is joined already, and only the sets marked in ``asked`` are compared with all
+    others (None: every one). A set that was compared is done; the search ends when no asked set is left
+    that could still join two components.
     """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    component, todo, links = np.arange(len(sets)), np.ones(len(sets), dtype=bool), []
+    component = np.arange(len(sets)) if component is None else np.unique(component, return_inverse=True)[1]
+    todo, links = np.ones(len(sets), dtype=bool) if asked is None else asked.copy(), []
     own = np.zeros(len(values), dtype=bool)
-    x = 0
-    while True:
+    while todo.any() and len(np.unique(component)) > 1:
+        groups, counts = np.unique(component[todo], return_counts=True)
+        if asked is None and len(groups) < 2:
+            break  # what is done was compared with everything
+        outside = np.flatnonzero(todo & (component != groups[counts.argmax()])) if len(groups) > 1 else np.flatnonzero(todo)
+        x = int(outside[0])
         todo[x] = False
         mine = place[first[x] : first[x] + sizes[x]]
         own[mine] = True
         both = np.add.reduceat(own[place].astype(np.int64), first)
         own[mine] = False
-        for y in np.flatnonzero(100 * both >= percent * (sizes + sizes[x] - both)):
+        for y in np.flatnonzero((component != component[x]) & (100 * both >= percent * (sizes + sizes[x] - both))):
             if component[y] != component[x]:
                 links.append((x, int(y)))
                 component[component == component[y]] = component[x]
-        groups, counts = np.unique(component[todo], return_counts=True)
-        if len(groups) < 2:
-            return links
-        x = int(np.flatnonzero(todo & (component != groups[counts.argmax()]))[0])
+    return links
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(a, b)`` links among the members ``a`` of each hub ``b``; pairs has ``(a, b, n_shingles)``."""
-    blocks = pairs.groupBy("b").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    spread = pairs.join(blocks, "b").withColumn("own", F.pmod(F.hash("a"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = spread.select("a", "b", "own", other.alias("other")).select("a", "b", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+def _compare(dealt: DataFrame, docs: DataFrame, key: list[str], k: int, percent: int) -> DataFrame:
+    """``(a, b)`` links among the documents ``a`` that ``dealt`` sends to each ``key``, with ``component`` and ``asked``.
+
+    The candidates grow with the corpus, so they and the texts are dealt by id at any size and never broadcast.
+    """
     text = id_and_text(docs).where("doc_id is not null").withColumnRenamed("doc_id", "a")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = group.column("a").to_numpy()
+        ids, component = group.column("a").to_numpy(), group.column("component").to_numpy()
+        asked = group.column("asked").to_numpy(zero_copy_only=False).astype(bool)
         sets = [s for chunk in group.column("text").chunks for s in shingle_sets(chunk, k)]
-        some = [i for i, s in enumerate(sets) if len(s)]
-        found = [(some[x], some[y]) for x, y in joining_links([sets[i] for i in some], percent)] if len(some) > 1 else []
-        return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
+        some = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
+        found = joining_links([sets[i] for i in some], percent, component[some], None if asked.all() else asked[some]) if len(some) > 1 else []
+        return pa.table({"a": pa.array([ids[some[x]] for x, _ in found], pa.int64()), "b": pa.array([ids[some[y]] for _, y in found], pa.int64())})
 
-    # the candidates grow with the corpus, so they and the texts are dealt by id at any size, and never broadcast
-    return dealt.join(text.hint("merge"), "a").groupBy("b", "low", "high").applyInArrow(compare, "a long, b long")
+    return dealt.join(text.hint("merge"), "a").groupBy(*key).applyInArrow(compare, "a long, b long")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(a, b)`` links that join the members ``a`` of each hub ``b``; pairs has ``(a, b, n_shingles)``, b among its own.
+
+    A group of one block is compared as a whole. A large group is dealt over blocks, each with its hub, and
+    compared within them: one copy of each text. Members that are not joined with the hub then, by way of any
+    group, are the rest; only they are compared with the other blocks.
+    """
+    need = lambda words, n: F.ceil(F.greatest(words / BLOCK_SHINGLES, n / BLOCK_MEMBERS)).cast("int")
+    total, n = F.sum("n_shingles"), F.count(F.lit(1))
+    large = durable(pairs.groupBy("b").agg(need(total, n).alias("blocks")).where("blocks > 1"), "large")
+    own = F.pmod(F.hash("a", "b"), F.coalesce("blocks", F.lit(1)))
+    placed = durable(join_hot(pairs, large, "b", "a").withColumn("own", own), "placed")
+    hubs = large.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    members = placed.where("blocks is null or a != b").select("a", "b", "own").union(hubs)
+    alone = members.select("a", "b", "own", F.col("a").alias("component"), F.lit(True).alias("asked"))
+    within = durable(_compare(alone, docs, ["b", "own"], k, percent), "links")
+    if not large.limit(1).count():
+        return within
+
+    label = components(within).withColumnRenamed("node", "a")
+    named = placed.where("blocks is not null").join(label, "a", "left").select("a", "b", "n_shingles", "own", "blocks", F.coalesce("component", "a").alias("component"))
+    main = named.where("a = b").select("b", F.col("component").alias("main"))
+    known = durable(join_hot(named, main, "b", "a"), "named")
+    rest = known.where("component != main")
+    apart = durable(rest.groupBy("b").agg(need(total, n).alias("rest_blocks")), "rest")
+    share = lambda c: F.pmod(F.xxhash64("a", "b"), F.col(c)).cast("int")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cut = join_hot(known, apart, "b", "a").where("rest_blocks is not null")
+    asked = cut.where("component != main").withColumn("rest", share("rest_blocks")).select("a", "b", "rest", numbers("blocks").alias("own"), "component", F.lit(True).alias("asked"))
+    others = cut.select("a", "b", numbers("rest_blocks").alias("rest"), "own", "component", F.lit(False).alias("asked"))
+    across = asked.union(others).groupBy("a", "b", "rest", "own").agg(F.first("component").alias("component"), F.max("asked").alias("asked"))
+    return within.union(durable(_compare(across, docs, ["b", "rest", "own"], k, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+from loomspark.llm import graph
 from loomspark.llm import near_duplicates as nd
 from loomspark.llm import repeated_passages as rp
 
@@ -59,10 +60,20 @@ def test_groups_equal_brute_force(make_docs, prose):
 
 
 def test_blocks_of_a_hub_lose_no_link(make_docs, prose, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 700)
     texts = near_texts(prose)[:40]
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(make_docs(texts), k=2).collect()}
-    assert got == brute_groups(texts, 2)
+    for shingles, members in ((700, 512), (2_000_000, 3)):
+        monkeypatch.setattr(nd, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(nd, "BLOCK_MEMBERS", members)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(make_docs(texts), k=2).collect()}
+        assert got == brute_groups(texts, 2)
+
+
+def test_components_of_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 5)
+    links = [(1, i) for i in range(10, 40)] + [(39, 50), (50, 51), (51, 52), (60, 61), (62, 61), (7, 7), (None, 3), (4, None)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in [1, *range(10, 40), 50, 51, 52]}, 60: 60, 61: 60, 62: 60, 7: 7}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark, make_docs, prose):
