@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture_by_document(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture_by_document(_table(spark, sf_dir, "documents")).drop("source")
 
 
 def op1_mixing_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,9 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
+#: op1: the targets, the permutation, the tree (a recursion over its nodes and their sources), and the shuffled shards.
 _OP1_SQL = r"""
-WITH s AS (SELECT doc_id, source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS size FROM documents GROUP BY doc_id, source),
+WITH RECURSIVE s AS (SELECT doc_id, source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS size FROM documents GROUP BY doc_id, source),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS no FROM s GROUP BY source),
 w AS (SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM src),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, no) AS r, sum(source_size) OVER () AS total FROM w),
@@ -115,13 +116,37 @@ t AS (SELECT source, no, source_size, CASE WHEN level IS NULL OR weight * level
 g AS (SELECT *, round_even(target, 0)::BIGINT AS goal FROM t),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs, goal - CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END * source_size AS extra FROM g),
 d AS (SELECT s.doc_id, s.source, s.size, e.* EXCLUDE (source) FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source),
-blk AS (SELECT doc_id, source, no, extra, i AS block, least(256, size - i * 256) AS n, md5('mix:' || doc_id::VARCHAR || ':' || i::VARCHAR) AS k FROM d, unnest(generate_series(0, (size - 1) // 256)) AS x(i) WHERE size > 0),
-c AS (SELECT *, extra - sum(n) OVER (PARTITION BY no ORDER BY k, doc_id, block ROWS UNBOUNDED PRECEDING) + n AS rest FROM blk),
-m AS (SELECT doc_id, source, sum(greatest(0, least(n, rest)))::BIGINT AS more FROM c GROUP BY doc_id, source)
-SELECT d.doc_id, d.size, d.source_size, d.target, (d.epochs * d.size + coalesce(m.more, 0))::BIGINT AS taken
-FROM d LEFT JOIN m ON d.doc_id = m.doc_id AND d.source IS NOT DISTINCT FROM m.source
+blk AS (SELECT doc_id, source, no, epochs, extra, i AS block, least(256, size - i * 256) AS n, md5('mix:' || doc_id::VARCHAR || ':' || i::VARCHAR) AS k FROM d, unnest(generate_series(0, (size - 1) // 256)) AS x(i) WHERE size > 0),
+c AS (SELECT *, extra - sum(n) OVER (PARTITION BY no ORDER BY k, doc_id, block ROWS UNBOUNDED PRECEDING) + n AS rest,
+      row_number() OVER (PARTITION BY no ORDER BY k, doc_id, block) - 1 AS rank, count(*) OVER (PARTITION BY no) AS n_blocks FROM blk),
+m AS (SELECT *, greatest(0, least(n, rest))::BIGINT AS more, epochs + (rest > 0)::BIGINT AS passes FROM c WHERE epochs > 0 OR rest > 0),
+qu AS (SELECT no, sum(passes)::BIGINT AS quota FROM m GROUP BY no),
+top AS (SELECT list(no ORDER BY no) AS nos, list(quota ORDER BY no) AS q, sum(quota)::BIGINT AS total, greatest(4, ceil(log2(greatest(1, sum(quota) / 65536))))::BIGINT AS levels FROM qu),
+tree(level, node, i, rest, room, q, taken) AS (
+  SELECT 0::BIGINT, 1::BIGINT, 1::BIGINT, total, total // 2, q, []::BIGINT[] FROM top WHERE total > 0
+  UNION ALL
+  SELECT level + up, unnest(node_next), i_next, unnest(rest_next), unnest(room_next), unnest(q_next), taken_next FROM (
+    SELECT level, 0 AS up, [node] AS node_next, i + 1 AS i_next, [rest - own] AS rest_next, [room - x] AS room_next, [q] AS q_next, list_append(taken, x) AS taken_next FROM (
+      SELECT *, least(hi, lo + list_reduce(w, lambda a, p: {'s': a.s + p, 'n': a.n + (a.s + p < u * list_sum(w))::BIGINT}, {'s': 0.0::DOUBLE, 'n': 0::BIGINT}).n) AS x FROM (
+        SELECT *, list_transform(range(lo, hi + 1), lambda x: exp(lgamma(own + 1) - lgamma(x + 1) - lgamma(own - x + 1) + lgamma(rest - own + 1) - lgamma(room - x + 1) - lgamma(rest - own - room + x + 1) - lgamma(rest + 1) + lgamma(room + 1) + lgamma(rest - room + 1))) AS w FROM (
+          SELECT *, greatest(0, room - (rest - own), floor(mean - 8 * sqrt(greatest(0, mean * (1 - own / greatest(rest, 1)) * (rest - room) / greatest(rest - 1, 1))) - 1)::BIGINT) AS lo,
+                 least(own, room, ceil(mean + 8 * sqrt(greatest(0, mean * (1 - own / greatest(rest, 1)) * (rest - room) / greatest(rest - 1, 1))) + 1)::BIGINT) AS hi FROM (
+            SELECT tree.*, tree.q[i] AS own, room::DOUBLE * tree.q[i] / greatest(rest, 1) AS mean,
+                   ((('0x' || substr(md5('mix:' || node || ':' || nos[i]), 1, 10))::BIGINT + 0.5::DOUBLE) + ((('0x' || substr(md5('mix:' || node || ':' || nos[i]), 11, 10))::BIGINT + 0.5::DOUBLE) / 1099511627776.0::DOUBLE - 0.5::DOUBLE)) / 1099511627776.0::DOUBLE AS u
+            FROM tree, top WHERE level < levels AND i <= len(tree.q)))))
+    UNION ALL
+    SELECT level, 1, [2 * node, 2 * node + 1], 1, [list_sum(taken)::BIGINT, (list_sum(tree.q) - list_sum(taken))::BIGINT], [list_sum(taken)::BIGINT // 2, (list_sum(tree.q) - list_sum(taken))::BIGINT // 2], [taken, list_transform(tree.q, lambda x, j: x - taken[j])], []::BIGINT[]
+    FROM tree, top WHERE level < levels AND i > len(tree.q))),
+lf AS (SELECT node - (1 << levels) AS shard, unnest(nos) AS no, unnest(tree.q) AS n FROM tree, top WHERE level = levels),
+st AS (SELECT no, shard, sum(n) OVER (PARTITION BY no ORDER BY shard) - n AS first, sum(n) OVER (PARTITION BY no ORDER BY shard) AS past FROM lf),
+nu AS (SELECT doc_id, source, no, epoch, CASE WHEN epoch < epochs THEN n ELSE more END AS n_words, epoch * n_blocks + rank AS number FROM m, unnest(generate_series(0, passes - 1)) AS x(epoch)),
+de AS (SELECT nu.*, shard, row_number() OVER (PARTITION BY shard ORDER BY md5('mix:place:' || nu.no || ':' || number), nu.no, number) - 1 AS position FROM nu JOIN st ON nu.no = st.no AND number >= first AND number < past),
+bd AS (SELECT doc_id, source, sum(n_words)::BIGINT AS taken, count(*) AS n_blocks, count(DISTINCT shard) AS n_shards, min((shard, position)) AS head FROM de GROUP BY doc_id, source)
+SELECT d.doc_id, d.size, d.source_size, d.target, coalesce(taken, 0)::BIGINT AS taken, coalesce(bd.n_blocks, 0)::BIGINT AS n_blocks, coalesce(n_shards, 0)::BIGINT AS n_shards, head[1]::BIGINT AS first_shard, head[2]::BIGINT AS first_position
+FROM d LEFT JOIN bd ON d.doc_id = bd.doc_id AND d.source IS NOT DISTINCT FROM bd.source
 """
 
+
 def _op3_sql() -> str:
     """The phrases, and diagonals of trigrams joined as text."""
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())

@@ -52,14 +52,47 @@ def test_mixture_meets_targets(make_docs, prose):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
-def test_shards_are_disjoint_and_even(make_docs, prose):
+def test_shards_are_disjoint_and_even(make_docs, prose, monkeypatch):
     _, _, docs = mixed_docs(make_docs, prose)
-    dealt, _ = mx.mix(docs, levels=2, block_words=32)
-    rows = dealt.collect()
-    assert len({(r.doc_id, r.block, r.epoch) for r in rows}) == len(rows)
-    n = Counter(r.shard for r in rows)
-    assert set(n) == {0, 1, 2, 3} and max(n.values()) - min(n.values()) <= 2
-    assert not has_python(dealt)
+    taken = {}
+    for shard_blocks, n_shards, broadcast in ((1 << 16, 16, 1000), (16, 128, 0)):
+        monkeypatch.setattr(mx, "BROADCAST_STRETCHES", broadcast)
+        dealt, _ = mx.mix(docs, shard_blocks=shard_blocks, block_words=32)
+        rows = dealt.collect()
+        assert len({(r.doc_id, r.block, r.epoch) for r in rows}) == len(rows)
+        n = Counter(r.shard for r in rows)
+        assert set(n) == set(range(n_shards)) and max(n.values()) - min(n.values()) <= 1
+        assert all(sorted(r.position for r in rows if r.shard == s) == list(range(n[s])) for s in n)
+        assert not has_python(dealt)
+        taken[n_shards] = {(r.doc_id, r.block, r.epoch, r.n_words) for r in rows}
+    assert taken[16] == taken[128]
+
+
+def test_the_tree_decides(make_docs, prose, monkeypatch):
+    from pyspark.sql import functions as F
+
+    _, _, docs = mixed_docs(make_docs, prose)
+    mine = {tuple(r) for r in mx.mixture_by_document(docs).collect()}
+    uneven = lambda quotas, levels, seed: quotas.select("source_no", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("first"), F.col("quota").alias("past"))
+    monkeypatch.setattr(mx, "split_quotas", uneven)
+    assert mine != {tuple(r) for r in mx.mixture_by_document(docs).collect()}
+
+
+def test_quotas_of_shards_are_hypergeometric(spark):
+    from math import comb
+
+    quotas = {1: 3000, 2: 4192, 3: 1000}
+    rows = mx.split_quotas(spark.createDataFrame(list(quotas.items()), "source_no int, quota long"), 10, "test").collect()
+    size = Counter()
+    for source, quota in quotas.items():
+        own = sorted((r.shard, r.first, r.past) for r in rows if r.source_no == source)
+        assert [s for s, _, _ in own] == list(range(1024)) and own[0][1] == 0 and own[-1][2] == quota
+        assert all(a[2] == b[1] for a, b in zip(own, own[1:], strict=False))
+        size.update({s: past - first for s, first, past in own})
+        seen = Counter(past - first for _, first, past in own)
+        want = [1024 * comb(quota, x) * comb(8192 - quota, 8 - x) / comb(8192, 8) for x in range(9)]
+        assert sum((seen[x] - w) ** 2 / w for x, w in enumerate(want) if w > 1) < 30
+    assert set(size.values()) == {8}
 
 
 def test_hypergeometric_draws(spark):
@@ -99,7 +132,7 @@ def test_dealt_query_shows_shards(spark, make_docs, prose, tmp_path):
     rows = QUERIES["op1_mixing_dealt"](spark, str(tmp_path)).collect()
     n = Counter(r.shard for r in rows)
     assert set(n) == set(range(16)) and max(n.values()) - min(n.values()) <= 4
-    assert len({(r.shard, r.place) for r in rows}) == len(rows)
+    assert len({(r.shard, r.position) for r in rows}) == len(rows)
 
 
 def test_mixing_nothing(make_docs):
@@ -108,8 +141,9 @@ def test_mixing_nothing(make_docs):
 
 
 def test_repeated_rows_are_one_document(make_docs):
-    rows = mx.mixture_by_document(make_docs([(1, "a b"), (1, "a b"), (2, "c")])).collect()
-    assert sorted((r.doc_id, r.size) for r in rows) == [(1, 4), (2, 1)]
+    rows = mx.mixture_by_document(make_docs([(1, "a b"), (1, "a b"), (2, "c"), (None, "d e f"), (None, "g")])).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in rows) == [(0, 4), (1, 4), (2, 1)]
+    assert all(r.taken <= 2 * r.size for r in rows)
 
 
 def brute_license(text):
