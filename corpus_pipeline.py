@@ -67,7 +67,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: each document that is taken from, with the drawn words alone and as often as they are drawn.
 
-    ``pieces`` has the epoch, shard and place of each drawn block, in the order of the text.
+    ``pieces`` has the epoch, shard and position of each drawn block, in the order of the text.
     """
     return mixture_texts(docs)
 
