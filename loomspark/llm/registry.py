@@ -73,7 +73,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    automaton = tc.build(tc.read_vocabulary(spark, f"file://{tc.DEFAULT_VOCABULARY}"))
+    automaton = tc.build(tc.read_vocabulary(tc.DEFAULT_VOCABULARY))
     return tc.token_counts(_table(spark, sf_dir, "documents"), automaton)
 
 

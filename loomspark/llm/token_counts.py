@@ -14,8 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from loomspark.llm import textarrays as ta
 from loomspark.llm.tables import id_and_text
@@ -109,10 +108,10 @@ def build(pieces: list[bytes]) -> Automaton:
     return Automaton(keys, ends, np.array(fail, dtype=np.int64), np.array(popped, dtype=np.int64), np.array(rest, dtype=np.int64))
 
 
-def read_vocabulary(spark: SparkSession, path: str) -> list[bytes]:
-    """Pieces of a rank file (a base64 piece and its rank a line), read by Spark so that any store will do."""
-    lines = spark.read.text(path).where("value != ''").select(F.split("value", " ")[0].alias("piece"))
-    return [base64.b64decode(row.piece) for row in lines.toLocalIterator()]
+def read_vocabulary(path: str) -> list[bytes]:
+    """Pieces of a rank file (a base64 piece and its rank a line), read where the job is started; tasks get the automaton."""
+    with open(path, encoding="ascii") as lines:
+        return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
 
 def token_counts(docs: DataFrame, automaton: Automaton) -> DataFrame:
@@ -120,8 +119,9 @@ def token_counts(docs: DataFrame, automaton: Automaton) -> DataFrame:
 
     ``docs`` has ``doc_id`` and ``text``; other columns are left alone. Words are runs without ASCII white
     space, each cut greedily into the longest pieces with a space before it; a word that the vocabulary can't
-    spell counts as one unknown piece. Null and empty texts count 0. Repeated rows give repeated rows; an
-    empty table gives none, and with an empty vocabulary every word is unknown.
+    spell counts as one unknown piece. Null and empty texts count 0. Repeated rows give repeated rows, rows
+    without a doc_id are counted like any other; an empty table gives none, and with an empty vocabulary every
+    word is unknown. An automaton of more than MOST_BYTES is refused.
     """
     if automaton.nbytes() > MOST_BYTES:
         raise ValueError(f"the automaton takes {automaton.nbytes()} bytes; at most {MOST_BYTES} are broadcast")
