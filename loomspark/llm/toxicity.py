@@ -13,15 +13,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomspark.llm import textarrays as ta
-from loomspark.llm.sampling import held_out, labelled_sample
+from loomspark.llm.sampling import held_out, labelled_sample, within_budget
 from loomspark.llm.tables import id_and_text
 
 #: Words are hashed into so many weights.
 WEIGHTS = 1 << 18
-#: Fitting takes at most so many documents of each class, none of more words than this.
-SAMPLE_PER_CLASS, SAMPLE_WORDS = 2_500, 20_000
+#: Fitting takes at most so many documents of each class, and so many words of all of them together (4 bytes each).
+SAMPLE_PER_CLASS, SAMPLE_WORDS = 2_500, 8_000_000
 #: Standard errors between the shares of toxic and other texts from which a word is weighed.
 SCREEN = 3.0
 
@@ -101,8 +102,8 @@ def fit(b: Bags, y: np.ndarray, rounds: int = 250, rate: float = 0.1, decay: flo
     return Model(weights, float(bias))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Learn from a bounded sample of labelled documents outside the held-out fold.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_class: int = SAMPLE_PER_CLASS, most_words: int = SAMPLE_WORDS) -> Model:
+    """Learn from a bounded sample of labelled documents outside the held-out fold: ``per_class`` and ``most_words``.
 
     Without an example of either class the model has no weights, and every text scores about the share of
     toxic documents in the sample (0 without any).
@@ -114,14 +115,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int =
                 b = bags(data, offsets)
                 counts = np.diff(b.first)
                 rows = [(b.words[b.first[s] : b.first[e]].astype(np.int32), counts[s:e].astype(np.int32)) for s, e in zip(b.bag[:-1], b.bag[1:], strict=True)]
-                keep = [i for i, (words, _) in enumerate(rows) if len(words) <= SAMPLE_WORDS]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at:to].take(keep), batch.column(2)[at:to].take(keep), pa.array([rows[i][0] for i in keep], pa.list_(pa.int32())), pa.array([rows[i][1] for i in keep], pa.list_(pa.int32()))],
+                    [batch.column(0)[at:to], batch.column(2)[at:to], pa.array([w for w, _ in rows], pa.list_(pa.int32())), pa.array([n for _, n in rows], pa.list_(pa.int32()))],
                     ["doc_id", "y", "words", "lengths"],
                 )
 
     sample = labelled_sample(docs, labels, "toxic", folds, fold, per_class).select("doc_id", "text", "y")
-    table = sample.mapInArrow(scan, "doc_id long, y int, words array<int>, lengths array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    read = sample.mapInArrow(scan, "doc_id long, y int, words array<int>, lengths array<int>")
+    table = within_budget(read, F.size("words"), most_words).toArrow().sort_by("doc_id").combine_chunks()
     y = table.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
@@ -138,7 +139,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     ``docs`` has ``doc_id`` and ``text``; other columns are left alone. ``score`` is the noisy-or of the
     sentence scores, ``predicted`` 1 from 0.5 on, and ``offending`` lists the sentences whose own score is
     0.5 or more as (sentence, score), sentences numbered from 0 in the whole text. Null, empty and wordless
-    texts have no sentence and score 0. Repeated rows give repeated rows; an empty table gives none.
+    texts have no sentence and score 0. Repeated rows give repeated rows, rows without a doc_id are scored like
+    any other, and an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
