@@ -3,6 +3,11 @@
 Each line has a few measures; the field weighs them and the step from one line to the next, and Viterbi
 decoding finds the best marking of a whole document. The share of words in content lines decides whether the
 document stays, after some plain rules about its size and repeats.
+
+Documents are labelled as a whole, lines are not. Which lines of a labelled document are boilerplate is a
+hidden variable: the field's own expectation of it, moved as little as is needed for most of the words of a
+bad document, and few of a good one's, to lie in boilerplate lines. The field is fitted to that expectation,
+and both are repeated.
 """
 
 from __future__ import annotations
@@ -13,13 +18,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomspark.llm import textarrays as ta
-from loomspark.llm.sampling import labelled_sample
+from loomspark.llm.sampling import labelled_sample, within_budget
 from loomspark.llm.tables import id_and_text
 
-#: Fitting takes at most so many documents of each class, none of more lines than this.
-SAMPLE_PER_CLASS, SAMPLE_LINES = 1_500, 200
+#: Fitting takes at most so many documents of each class, and so many lines of all of them together (80 bytes each).
+SAMPLE_PER_CLASS, SAMPLE_LINES = 600, 60_000
+#: Lines of a chain in fitting; longer documents are several chains under one label.
+CHAIN = 24
+#: Share of a bad document's words that is expected in boilerplate lines, at least; of a good one's, one less this at most.
+HIDDEN_SHARE = 0.6
 #: A document stays with at least this share of its words in content lines.
 CONTENT_SHARE = 0.5
 #: The plain rules: fewest words, and most of the words, in percent, inside repeated windows of RUN words.
@@ -109,45 +119,85 @@ def viterbi(scores: np.ndarray, first: np.ndarray, steps: np.ndarray) -> np.ndar
     return out
 
 
-def fit(measures: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1) -> Field:
-    """Maximum conditional likelihood by forward-backward and Adam. All lines of a text carry its label ``y``."""
-    lengths = np.diff(first)
-    n, longest = len(lengths), int(lengths.max())
-    here = np.arange(longest)[None] < lengths[:, None]
-    x = np.zeros((n, longest, measures.shape[1]))
-    x[here] = measures
-    truth = np.where(here, y[:, None], 0)
-    share = np.where(y == 1, 0.5 / max(1, lengths[y == 1].sum()), 0.5 / max(1, lengths[y == 0].sum()))
-    pairs = here[:, 1:]
-    seen = np.zeros((2, 2))
-    for label in (0, 1):
-        seen[label, label] = (pairs * (y == label)[:, None] * share[:, None]).sum()
+class Chains:
+    """Lines of texts as chains of at most CHAIN lines, the longest first; ``at[t]`` are the t-th lines of the first chains."""
+
+    def __init__(self, first: np.ndarray) -> None:
+        lengths = np.diff(first)
+        pieces = -(-lengths // CHAIN)
+        begin = np.repeat(first[:-1], pieces) + ta.ramp(pieces) * CHAIN
+        size = np.minimum(np.repeat(first[1:], pieces) - begin, CHAIN)
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        self.at = [begin[: int(np.searchsorted(-size, -t, side="left"))] + t for t in range(int(size[0]))]
+        self.n_lines = int(first[-1])
+
+    def marginals(self, scores: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each line's chance to be boilerplate, and of each pair of states for every step, by forward-backward."""
+        odds, move = np.exp(np.clip(scores, -25, 25)), np.exp(np.clip(steps, -25, 25))
+        emit = [np.stack([np.ones(len(a)), odds[a]], axis=1) for a in self.at]
+        ahead = [emit[0] / emit[0].sum(axis=1, keepdims=True)]
+        for e in emit[1:]:
+            x = (ahead[-1][: len(e)] @ move) * e
+            ahead.append(x / x.sum(axis=1, keepdims=True))
+        chance, pairs = np.zeros(self.n_lines), []
+        behind = np.ones((0, 2))
+        for t in range(len(self.at) - 1, -1, -1):
+            n = len(behind)
+            back = np.ones_like(ahead[t])
+            if n:
+                onward = behind * emit[t + 1]
+                joint = ahead[t][:n, :, None] * move[None] * onward[:, None, :]
+                pairs.append(joint / joint.sum(axis=(1, 2), keepdims=True))
+                back[:n] = onward @ move.T
+                back[:n] /= back[:n].sum(axis=1, keepdims=True)
+            both = ahead[t] * back
+            chance[self.at[t]] = both[:, 1] / both.sum(axis=1)
+            behind = back
+        return chance, pairs[::-1]
+
+
+def fit(measures: np.ndarray, words: np.ndarray, first: np.ndarray, bad: np.ndarray, rounds: int = 6, moves: int = 20, rate: float = 0.15) -> Field:
+    """Expectation under the documents' labels and maximum likelihood of the field, in turn.
+
+    ``bad`` marks documents; line i has ``words[i]`` words. The start takes every line's label for its
+    document's and no steps, so that lines found in both kinds of documents are told from those in one.
+    """
+    chains, doc = Chains(first), np.repeat(np.arange(len(bad)), np.diff(first))
+    line_bad = bad[doc].astype(float)
+    share = np.where(line_bad > 0, 0.5 / max(1.0, line_bad.sum()), 0.5 / max(1.0, (1 - line_bad).sum()))
+    all_words = np.bincount(doc, weights=words, minlength=len(bad))
     theta = np.zeros(measures.shape[1] + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for r in range(1, rounds + 1):
-        emit = np.stack([np.zeros((n, longest)), x @ theta[:-4]], axis=2)
-        steps = theta[-4:].reshape(2, 2)
-        ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            ways = ahead[:, t - 1, :, None] + steps[None]
-            ahead[:, t] = np.where(here[:, t, None], np.logaddexp(ways[:, 0], ways[:, 1]) + emit[:, t], ahead[:, t - 1])
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        for t in range(longest - 2, -1, -1):
-            ways = steps[None] + (emit[:, t + 1] + behind[:, t + 1])[:, None, :]
-            behind[:, t] = np.where(here[:, t + 1, None], np.logaddexp(ways[:, :, 0], ways[:, :, 1]), 0)
-        p = np.where(here, np.exp(np.minimum(ahead[..., 1] + behind[..., 1] - total[:, None], 0)), 0)
-        g = (((p - truth) * share[:, None])[..., None] * x).sum(axis=(0, 1))
-        joint = ahead[:, :-1, :, None] + steps[None, None] + (emit[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        expected = (np.exp(np.minimum(joint, 0)) * (pairs * share[:, None])[..., None, None]).sum(axis=(0, 1))
-        g = np.concatenate((g, (expected - seen).ravel())) + 1e-3 * theta
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+    m, v, r = np.zeros_like(theta), np.zeros_like(theta), 0
+
+    def climb(target: np.ndarray, seen: np.ndarray, moves: int) -> None:
+        nonlocal theta, m, v, r
+        for _ in range(moves):
+            chance, pairs = chains.marginals(measures @ theta[:-4], theta[-4:].reshape(2, 2))
+            expected = sum((p * share[a][:, None, None]).sum(axis=0) for p, a in zip(pairs, chains.at[1:], strict=True)) if pairs else np.zeros((2, 2))
+            g = np.concatenate((((chance - target) * share) @ measures, ((expected - seen).ravel() if seen is not None else np.zeros(4)))) + 1e-3 * theta
+            r += 1
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            theta = theta - rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
+
+    climb(line_bad, None, 3 * moves)
+    for _ in range(rounds):
+        # each document's least shift of all its lines that meets its label, by bisection
+        low, high = np.where(bad, 0.0, -25.0), np.where(bad, 25.0, 0.0)
+        scores, steps = measures @ theta[:-4], theta[-4:].reshape(2, 2)
+        for _ in range(10):
+            shift = (low + high) / 2
+            chance, _ = chains.marginals(scores + shift[doc], steps)
+            more = np.bincount(doc, weights=words * chance, minlength=len(bad)) < np.where(bad, HIDDEN_SHARE, 1 - HIDDEN_SHARE) * all_words
+            low, high = np.where(more, shift, low), np.where(more, high, shift)
+        target, pairs = chains.marginals(scores + np.where(bad, high, low)[doc], steps)
+        seen = sum((p * share[a][:, None, None]).sum(axis=0) for p, a in zip(pairs, chains.at[1:], strict=True)) if pairs else np.zeros((2, 2))
+        climb(target, seen, moves)
     return Field(theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def fit_lines(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Field:
-    """Learn from a bounded sample of documents labelled by quality; the lines of one of quality 0 count as boilerplate.
+def fit_lines(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_lines: int = SAMPLE_LINES) -> Field:
+    """Learn from a bounded sample, ``per_class`` and ``most_lines``, of documents labelled by quality.
 
     Where either class has no example the field is empty and every line is content.
     """
@@ -156,18 +206,21 @@ def fit_lines(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CL
         for batch in batches:
             for at, to, data, offsets in ta.text_chunks(batch.column(1)):
                 found = lines_of(data, offsets, ta.split_words(data, offsets))
-                keep = np.flatnonzero((np.diff(found.first) > 0) & (np.diff(found.first) <= SAMPLE_LINES))
-                rows = [found.measures[found.first[i] : found.first[i + 1]].ravel() for i in keep]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to].take(keep), batch.column(2)[at:to].take(keep), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+                keep = np.flatnonzero(np.diff(found.first) > 0)
+                cuts = [slice(found.first[i], found.first[i + 1]) for i in keep]
+                x = pa.array([found.measures[c].ravel() for c in cuts], pa.list_(pa.float64()))
+                words = pa.array([found.words[c].astype(np.int32) for c in cuts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to].take(keep), batch.column(2)[at:to].take(keep), x, words], ["doc_id", "y", "x", "words"])
 
     sample = labelled_sample(docs, labels, "quality", 1, 1, per_class).select("doc_id", "text", "y")
-    table = sample.mapInArrow(scan, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id").combine_chunks()
+    read = sample.mapInArrow(scan, "doc_id long, y int, x array<double>, words array<int>")
+    table = within_budget(read, F.size("words"), most_lines).toArrow().sort_by("doc_id").combine_chunks()
     good = table.column("y").to_numpy()
     if not len(good) or good.min() == good.max():
         return Field(np.array([-1.0] + [0.0] * (len(MEASURES) - 1)), np.zeros((2, 2)))
-    x = table.column("x").combine_chunks()
-    sizes = x.value_lengths().to_numpy(zero_copy_only=False) // len(MEASURES)
-    return fit(x.flatten().to_numpy().reshape(-1, len(MEASURES)), np.concatenate(([0], np.cumsum(sizes))), 1 - good)
+    x, words = table.column("x").combine_chunks(), table.column("words").combine_chunks()
+    first = np.concatenate(([0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return fit(x.flatten().to_numpy().reshape(-1, len(MEASURES)), words.flatten().to_numpy().astype(float), first, good == 0)
 
 
 def line_quality(docs: DataFrame, field: Field) -> DataFrame:
@@ -179,7 +232,7 @@ def line_quality(docs: DataFrame, field: Field) -> DataFrame:
     ``base_failed``: fewer than LEAST_WORDS words, or more than MOST_REPEATED percent of the words inside
     windows of RUN words that the text holds more than once. ``kept``: not failed, and at least CONTENT_SHARE
     of the words in content lines. Null and empty texts have counts of 0, a share of 0, and fail. Repeated
-    rows give repeated rows; an empty table gives none.
+    rows give repeated rows, rows without a doc_id are judged like any other, and an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 

@@ -1,5 +1,6 @@
 """Classifiers, line rules and token counts."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -124,6 +125,67 @@ def test_line_counts_and_verdicts(labelled, make_docs):
     assert lq.line_quality(make_docs([]), field).count() == 0
 
 
+def test_mixed_texts_are_marked_line_by_line(spark, make_docs, prose):
+    r = random.Random(4)
+    clean = lambda i: prose(i, r.randint(6, 14)).capitalize() + "."
+    junk = lambda i: re.sub(r"(\S+)", r"\1$$$", prose(i, r.randint(6, 14)))
+    texts, labels, truth = [], [], {}
+    for i in range(300):
+        n = r.randint(3, 10)
+        marks = [r.random() < (0.8 if i % 3 == 0 else 0.15) for _ in range(n)]
+        lines = [(junk if m else clean)(5000 + 20 * i + j) for j, m in enumerate(marks)]
+        in_junk = sum(len(x.split()) for x, m in zip(lines, marks, strict=True) if m) / sum(len(x.split()) for x in lines)
+        texts.append((i, "\n".join(lines)))
+        labels.append((i, int(in_junk < 0.5), 0))
+        truth[i] = marks
+    for i, marks in ((1000, [False, True] * 8), (1001, [True] * 3 + [False] * 12), (1002, [False] * 4 + [True] * 9)):
+        texts.append((i, "\n".join((junk if m else clean)(9000 + 20 * i + j) for j, m in enumerate(marks))))
+        truth[i] = marks
+    field = lq.fit_lines(make_docs(texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def marked(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        offsets = np.array([0, len(data)])
+        found = lq.lines_of(data, offsets, ta.split_words(data, offsets))
+        return (lq.viterbi(found.measures @ field.weights, found.first, field.steps) == 1).tolist()
+
+    got = {i: marked(t) for i, t in texts}
+    assert all(got[i] == truth[i] for i in (1000, 1001, 1002))
+    right = [a == b for i in truth for a, b in zip(got[i], truth[i], strict=True)]
+    assert np.mean(right) > 0.97
+
+
+def test_chain_marginals_are_sums_over_paths():
+    r = np.random.default_rng(2)
+    first = np.array([0, 4, 4, 5, 5 + lq.CHAIN])
+    scores, steps = r.normal(size=first[-1]), r.normal(size=(2, 2))
+    chance, pairs = lq.Chains(first).marginals(scores, steps)
+    for a, b in ((0, 4), (4, 5)):
+        paths = [[m >> i & 1 for i in range(b - a)] for m in range(2 ** (b - a))]
+        weight = [np.exp(sum(scores[a + i] * x for i, x in enumerate(p)) + sum(steps[x, y] for x, y in zip(p, p[1:], strict=False))) for p in paths]
+        assert chance[a:b] == pytest.approx([sum(w for w, p in zip(weight, paths, strict=True) if p[i]) / sum(weight) for i in range(b - a)])
+    assert [len(p) for p in pairs] == [2, 2, 2] + [1] * (lq.CHAIN - 4) and all(p.sum() == pytest.approx(len(p)) for p in pairs)
+
+
+def test_samples_stay_within_their_budgets(spark, make_docs, prose):
+    from pyspark.sql import functions as F
+
+    from loomspark.llm.sampling import within_budget
+
+    rows = spark.createDataFrame([(i, 10 + i) for i in range(50)] + [(99, 10**9)], "doc_id long, n long")
+    kept = within_budget(rows, F.col("n"), 300).collect()
+    assert 200 < sum(r.n for r in kept) <= 300 and 99 not in {r.doc_id for r in kept}
+
+
+def test_rows_without_an_id_are_scored(spark, make_docs, labelled):
+    _, labels = labelled
+    odd = make_docs([(None, "a b c."), (None, None), (1, "a b."), (1, "a b.")])
+    assert tx.toxicity(odd, labels).count() == qt.quality(odd, labels).count() == 4
+    assert lq.line_quality(odd, lq.fit_lines(odd, labels)).count() == tc.token_counts(odd, tc.build([b"a"])).count() == 4
+    none = make_docs([])
+    assert qt.quality(none, labels).count() == lq.line_quality(none, lq.fit_lines(none, labels)).count() == 0
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(1)
     first = np.array([0, 4, 4, 5, 11])
@@ -162,3 +224,13 @@ def test_token_counts_equal_greedy_matching(spark, make_docs, prose, tmp_path):
     unknown = tc.token_counts(make_docs([(1, "a b")]), tc.build([]))
     assert [(r.n_words, r.n_tokens) for r in unknown.collect()] == [(2, 2)]
     assert tc.token_counts(make_docs([]), automaton).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(tc.DEFAULT_VOCABULARY), reason="no vocabulary files")
+def test_a_real_vocabulary(make_docs, prose):
+    pieces = tc.read_vocabulary(tc.DEFAULT_VOCABULARY)
+    known, automaton = set(pieces), tc.build(pieces)
+    assert len(known) > 40_000
+    text = "The quick brown fox's 1,234 jumps—naïve, überraschend! " + prose(5, 400) + " antidisestablishmentarianism " + "z" * 300
+    row = tc.token_counts(make_docs([(1, text)]), automaton).first()
+    assert row.n_tokens == sum(brute_pieces(w, known) for w in text.encode().split())
