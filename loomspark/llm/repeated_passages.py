@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import textarrays as ta
 from loomspark.llm.scratch import durable
+from loomspark.llm.skew import join_hot, join_spread, spread_keys
 from loomspark.llm.tables import id_and_text
 
 #: Words of the prefix that routes a window.
@@ -155,10 +156,10 @@ def _least_of_nodes(group: pa.Table, length: int) -> pa.Table:
 
 def _keep_rest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, n_removed, digests, texts = [], [], [], []
-        for text, begins in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+        n_words, n_removed, digests, texts, cuts = [], [], [], [], []
+        for text, begins in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
             raw = (text or "").encode()
-            words = raw.split()
+            words, stretches = raw.split(), []
             n_words.append(len(words))
             if begins.is_valid and len(begins):
                 change = np.zeros(len(words) + 1, dtype=np.int64)
@@ -170,19 +171,26 @@ def _keep_rest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
                 layout = ta.split_words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
                 edge = np.flatnonzero(np.diff(np.concatenate(([1], covered.astype(np.int8), [1]))))
                 text = " ".join(raw[layout.starts[a] : layout.ends[b - 1]].decode() for a, b in edge.reshape(-1, 2))
+                turn = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))).reshape(-1, 2)
+                stretches = [{"first": int(a), "n_words": int(b - a)} for a, b in turn]
             n_removed.append(n_words[-1] - len(words))
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             texts.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            cuts.append(stretches)
+        columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+        spans = pa.array(cuts, pa.list_(pa.struct([("first", pa.int32()), ("n_words", pa.int32())])))
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_hash", "cuts"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(1), spans], names)
 
 
 def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
-    """One row a document: ``(doc_id, n_words, n_removed, kept_sha256, kept_text)``.
+    """One row a document: ``(doc_id, n_words, n_removed, kept_sha256, kept_text, text_hash, cuts)``.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are left alone. A word goes if a window of ``length``
     words covers it whose words also begin in a document with a smaller doc_id; all windows are judged on the
     input. ``kept_sha256`` is of the kept words joined by one space. ``kept_text`` is the text as it was where
-    nothing went, else the kept stretches with their own white space inside and one space between.
+    nothing went, else the kept stretches with their own white space inside and one space between. ``cuts`` are
+    the removed stretches as (first word, words); ``text_hash`` is xxhash64 of the text as it was.
 
     Null and empty texts have no words and keep nothing. A text of fewer than ``length`` words loses nothing.
     Rows without a doc_id lose nothing and are nobody's earlier copy. Repeated rows are treated alike, each by
@@ -190,28 +198,40 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     # both joins below deal the texts by the same key with the same plan, so Spark shuffles them once
     known = id_and_text(docs).where("doc_id is not null").withColumn("th", F.xxhash64("text")).hint("merge")
-    seen = _occurrences(known, length)
-    shared = seen.groupBy("prefix").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.min("context").alias("one"), F.max("context").alias("other"))
-    shared = shared.where("earliest < latest").select("prefix", "earliest", (F.col("one") != F.col("other")).alias("branches"))
-    found = durable(seen.join(shared, "prefix").where("branches or doc_id > earliest"), "contexts")
-
+    seen = durable(_occurrences(known, length), "occurrences")
+    ends = [F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.min("context").alias("one"), F.max("context").alias("other"), F.count(F.lit(1)).alias("n_rows")]
+    shared = seen.groupBy("prefix").agg(*ends).where("earliest < latest")
+    shared = durable(shared.select("prefix", "earliest", (F.col("one") != F.col("other")).alias("branches"), "n_rows"), "prefixes")
+    hot = spread_keys(shared, ["prefix"], "n_rows")
+    found = join_spread(seen, shared.drop("n_rows"), ["prefix"], "doc_id", hot)
+    found = durable(found.where("branches or doc_id > earliest"), "contexts")
+
+    key = ["prefix", "context"]
     holder = F.min(F.struct("doc_id", "th", F.get("firsts", 0).alias("first"), "n")).alias("holder")
-    branching = durable(found.where("branches").groupBy("prefix", "context").agg(holder).select("prefix", "context", "holder.*"), "branching")
+    branching = found.where("branches").groupBy(*key).agg(holder, F.count(F.lit(1)).alias("n_rows"))
+    branching = durable(branching.select(*key, "holder.*", "n_rows"), "branching")
     parts = max(1, -(-branching.count() // GROUP_CONTEXTS))
-    wide = branching.groupBy("prefix").agg((F.count(F.lit(1)) > PREFIX_CONTEXTS).alias("long"))
-    wanted = branching.join(wide, "prefix").withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(parts)).cast("int"))
+    wide = branching.groupBy("prefix").count().where(F.col("count") > PREFIX_CONTEXTS).select("prefix", F.lit(True).alias("wide"))
+    wanted = join_hot(branching, wide, "prefix", "context").withColumn("long", F.coalesce("wide", F.lit(False)))
+    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(parts)).cast("int"))
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("part", "prefix", "context", "first", "n", "long")).alias("wanted"))
-    cut = _cut_contexts(known.join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted"), length)
-    trees = cut.where("keys is null").select("part", "prefix", "context", "doc_id", "n", "words").groupBy("part").applyInArrow(lambda group: _least_of_nodes(group, length), "prefix long, context long, least array<long>")
-    whole = cut.where("keys is not null").select("prefix", "context", "doc_id", F.posexplode("keys").alias("at", "key"))
-    nodes = whole.groupBy("key").agg(F.min("doc_id").alias("earliest"))
-    singles = whole.join(nodes, "key").groupBy("prefix", "context").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "earliest"))), lambda x: x["earliest"]).alias("least"))
-
-    repeats = found.where("branches").join(trees.union(singles), ["prefix", "context"])
+    cut = durable(_cut_contexts(known.join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted"), length), "cut")
+    to_trees = cut.where("keys is null").select("part", *key, "doc_id", "n", "words")
+    trees = to_trees.groupBy("part").applyInArrow(lambda group: _least_of_nodes(group, length), "prefix long, context long, least array<long>")
+    whole = cut.where("keys is not null").select(*key, "doc_id", F.posexplode("keys").alias("at", "key"))
+    nodes = durable(whole.groupBy("key").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("n_rows")), "nodes")
+    told = join_spread(whole, nodes.drop("n_rows"), ["key"], "context", spread_keys(nodes, ["key"], "n_rows"))
+    singles = told.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "earliest"))), lambda x: x["earliest"]).alias("least"))
+
+    least = durable(trees.union(singles), "least")
+    repeats = join_spread(found.where("branches"), least, key, "doc_id", spread_keys(branching, key, "n_rows"))
     late = F.filter(F.transform("least", lambda v, i: F.when(v < F.col("doc_id"), i)), lambda v: v.isNotNull())
     windows = F.flatten(F.transform("firsts", lambda x: F.transform(F.col("late"), lambda i: x + i)))
-    begins = repeats.withColumn("late", late).where("size(late) > 0").select("doc_id", "th", windows.alias("begins")).union(found.where("not branches").select("doc_id", "th", F.flatten(F.transform("firsts", lambda x: F.sequence(x, x + F.col("n") - 1))).alias("begins")))
+    edges = F.flatten(F.transform("firsts", lambda x: F.sequence(x, x + F.col("n") - 1)))
+    begins = repeats.withColumn("late", late).where("size(late) > 0").select("doc_id", "th", windows.alias("begins"))
+    begins = begins.union(found.where("not branches").select("doc_id", "th", edges.alias("begins")))
     gone = begins.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("begins")).alias("begins"))
-    judged = known.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "begins")
-    unknown = id_and_text(docs).where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("begins"))
-    return judged.union(unknown).mapInArrow(lambda batches: _keep_rest(batches, length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    judged = known.join(gone, ["doc_id", "th"], "left").select("doc_id", "th", "text", "begins")
+    unknown = id_and_text(docs).where("doc_id is null").select("doc_id", F.xxhash64("text"), "text", F.lit(None).cast("array<int>").alias("begins"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_hash long, cuts array<struct<first: int, n_words: int>>"
+    return judged.union(unknown).mapInArrow(lambda batches: _keep_rest(batches, length), schema)

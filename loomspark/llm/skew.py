@@ -19,3 +19,29 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, by: str, salts: int =
     salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+#: A key is spread over tasks if it has at least one in so many rows, so there are at most as many such keys.
+SHARE = 10_000
+
+
+def spread_keys(counted: DataFrame, key: list[str], n: str) -> DataFrame:
+    """The keys of ``counted``, a row a key, that hold at least 1 / SHARE of all ``n`` rows and HOT of them.
+
+    There are at most SHARE, whatever the size of the data, so the result may be broadcast.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return counted.where(F.col(n) >= max(HOT, total // SHARE)).select(*key, F.lit(True).alias("_hot"))
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: list[str], by: str, hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Inner join with ``facts``, a row a key, in which the rows of a hot key are dealt over ``salts`` tasks.
+
+    ``hot`` comes from ``spread_keys``. Only the facts of hot keys are copied, and both sides move once.
+    """
+    hot = F.broadcast(hot)
+    way = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)
+    ways = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(hot, key, "left").withColumn("_way", way).drop("_hot")
+    right = facts.join(hot, key, "left").withColumn("_way", ways).drop("_hot")
+    return left.join(right, [*key, "_way"]).drop("_way")

@@ -5,6 +5,7 @@ import hashlib
 from loomspark.llm import graph
 from loomspark.llm import near_duplicates as nd
 from loomspark.llm import repeated_passages as rp
+from loomspark.llm import skew
 
 
 def sets_of(text, k):
@@ -113,11 +114,13 @@ def passage_texts(prose):
 def test_removal_equals_brute_force(make_docs, prose, monkeypatch):
     texts = passage_texts(prose)
     want = brute_removed(texts, 50)
-    for longest in (2_000, 1):  # by trees, and with every prefix made as long as the window
+    for longest, hot in ((2_000, 1_000), (1, 1)):  # by trees, and with every prefix made as long as the window and spread
         monkeypatch.setattr(rp, "PREFIX_CONTEXTS", longest)
+        monkeypatch.setattr(skew, "HOT", hot)
         rows = rp.remove_repeated_passages(make_docs(texts)).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == want
     for r in rows:
+        assert sum(c.n_words for c in r.cuts) == r.n_removed
         assert hashlib.sha256(b" ".join((r.kept_text or "").encode().split())).hexdigest() == r.kept_sha256
         if not r.n_removed:
             assert r.kept_text == dict(texts)[r.doc_id]
