@@ -29,6 +29,33 @@ def test_stages(spark, prose, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == len(kept["mixing"])
 
 
+def test_rows_without_ids_and_texts_that_share_one(spark, prose, tmp_path):
+    item, passage = prose(901, 40), prose(905, 60)
+    toxic = [(100 + i, prose(500 + i, 40) + ". You are a lummox here. " + prose(600 + i, 40)) for i in range(40)]
+    clean = [(i, prose(i, 120)) for i in range(40)]
+    odd = [(None, prose(700, 80)), (None, clean[3][1]), (None, prose(701, 30) + ". You are a lummox here. " + prose(702, 30)), (None, prose(703, 30) + ". " + item), (None, prose(704, 30) + " " + passage)]
+    odd += [(50, prose(705, 90)), (50, prose(706, 90)), (50, prose(706, 90)), (51, prose(707, 70) + " " + passage), (52, prose(708, 20_000)), (53, None), (None, None), (54, ""), (54, "")]
+    rows = [(i, t, "en", f"s{n % 3}", len(t or ""), "k", "c", n % 2 == 0) for n, (i, t) in enumerate(clean + toxic + odd)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, component_id string, kept boolean"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in cp.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        left[name] = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert not any("lummox" in (t or "") for _, t in left["toxicity"]) and (None, prose(700, 80)) in left["toxicity"]
+    assert (None, clean[3][1]) not in left["near_duplicates"] and (3, clean[3][1]) in left["near_duplicates"]
+    assert left["near_duplicates"][(50, prose(705, 90))] == left["near_duplicates"][(50, prose(706, 90))] == 1
+    assert left["near_duplicates"][(54, "")] == 1 and (None, None) in left["near_duplicates"]
+    assert (None, prose(704, 30)) in left["repeated_passages"] and (51, prose(707, 70) + " " + passage) in left["repeated_passages"]
+    assert (None, prose(703, 30) + ". " + item) in left["repeated_passages"] and not any(item in (t or "") for _, t in left["decontamination"])
+    assert (52, prose(708, 20_000)) in left["decontamination"]
+    assert cp.run(spark, str(tmp_path)).count() == len([t for _, t in left["decontamination"] if t])
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
