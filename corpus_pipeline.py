@@ -1,47 +1,63 @@
 """From raw documents to a training mixture in five stages, each read from what the one before wrote.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
-``docs``. Extra columns pass through. Each stage is judged on its own input: what was dropped before no
-longer counts.
+``docs``. Extra columns pass through, whatever their names. Each stage is judged on its own input: what was
+dropped before no longer counts.
+
+Rows without a doc_id are judged like all others. They come after all documents with one, in the order of a
+hash of their text.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.decontamination import find_leaks
 from loomspark.llm.mixing import mixture_texts
 from loomspark.llm.near_duplicates import near_duplicates
 from loomspark.llm.repeated_passages import remove_repeated_passages
-from loomspark.llm.scratch import shared_dir
+from loomspark.llm.scratch import new_folder, scope
 from loomspark.llm.toxicity import fit_toxicity, score_toxicity
 
+def _text() -> Column:
+    return F.col("text").cast("string")
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier calls toxic.
 
-    A null or empty text scores 0 and stays. The verdict is joined by doc_id, so rows that repeat a doc_id go
-    together; rows without one stay.
-    """
+def _rank() -> Column:
+    """doc_id, or a number above all of them where there is none: the order in which documents come."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(_text()), F.lit(1 << 61)))
+
+
+def _row() -> Column:
+    """A number for the id and text of a row, so that rows that share a doc_id are judged each by its text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), _text())
+
+
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """The two columns that the operators read, with ``key`` for doc_id."""
+    return docs.select(key.alias("doc_id"), _text().alias("text"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier calls toxic. A null or empty text scores 0 and stays."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = score_toxicity(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    toxic = score_toxicity(_keyed(docs, _row()), model).where("predicted = 1").select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", _row()).join(toxic, "__key", "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group of near-duplicates.
 
-    Five-word shingles, similarity of 0.8 or more. Of rows that repeat a doc_id one is kept. Empty texts are
-    in no group and stay; rows without a doc_id stay.
+    Five-word shingles, similarity of 0.8 or more. Of rows equal in id and text the one with the least hash
+    of all its columns is kept. Empty texts are in no group and stay.
     """
-    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    # a group's least doc_id may stand in several rows: a doc_id that repeats is one document
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.union(docs.where("doc_id is null")).select(docs.columns)
+    kept = near_duplicates(_keyed(docs, _rank()), k=5, percent=80).where("kept").select(F.col("doc_id").alias("__key")).distinct()
+    known = docs.withColumn("__key", _rank()).join(kept, "__key", "left_semi")
+    equal = Window.partitionBy("__key", F.xxhash64(_text())).orderBy(F.xxhash64(*docs.columns))
+    return known.withColumn("__copy", F.row_number().over(equal)).where("__copy = 1").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,19 +65,20 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where it was cut. Texts that lost nothing stay as they are, empty ones too.
     """
-    cut = remove_repeated_passages(docs, length=50).where("n_removed > 0").groupBy("doc_id").agg(F.min("kept_text").alias("kept_text"), F.max(F.col("n_words") - F.col("n_removed")).alias("left"))
-    whole = docs.join(cut, "doc_id", "left").where("left is null or left > 0")
-    text = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    out = whole.withColumn("text", text)
+    cut = remove_repeated_passages(_keyed(docs, _rank()), length=50).where("n_removed > 0")
+    left = F.max(F.col("n_words") - F.col("n_removed")).alias("__left")
+    cut = cut.groupBy(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__th")).agg(F.min("kept_text").alias("__kept"), left)
+    whole = docs.withColumn("__key", _rank()).withColumn("__th", F.xxhash64(_text())).join(cut, ["__key", "__th"], "left").where("__left is null or __left > 0")
+    out = whole.withColumn("text", F.when(F.col("__left").isNull(), F.col("text")).otherwise(F.col("__kept")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("left").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__left").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, also one with other numbers or names. Rows without a doc_id stay."""
-    leaked = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """Drop documents that hold a benchmark item, also one with other numbers or names."""
+    leaked = find_leaks(_keyed(docs, _row()), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", _row()).join(leaked, "__key", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,10 +102,20 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage wrote on the way goes when it is done, and its result when the next stage is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    with scope(spark):
+        for name, stage in STAGES[:-1]:
+            path = new_folder(spark, f"pipeline-{name}")
+            with scope(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+        name, stage = STAGES[-1]
+        with scope(spark):
+            mixture = stage(spark, docs, sf_dir)
+            path = f"{new_folder(spark, 'pipeline')}-{name}"  # outlives the scopes
+            mixture.write.parquet(path)
+    return spark.read.parquet(path)
