@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
-def over_feature() -> WindowSpec:
-    return Window.partitionBy("section", "feature")
+def between(value: Column, low: Column, high: Column) -> Column:
+    """``value`` on the way from low to high, in [0, 1]; 0 where they are the same."""
+    return F.when(high > low, (value - low) / F.when(high > low, high - low)).otherwise(0.0)
 
 
 def min_max(value: Column, by: WindowSpec) -> Column:
-    """To [0, 1] within a partition; a constant one becomes 0."""
-    low, high = F.min(value).over(by), F.max(value).over(by)
-    return F.when(high > low, (value - low) / (high - low)).otherwise(0.0)
-
-
-def z_score(value: Column, by: WindowSpec) -> Column:
-    """Centred and divided by the population standard deviation; a constant partition becomes 0."""
-    spread = F.stddev_pop(value).over(by)
-    return (value - F.avg(value).over(by)) / F.when(spread > 0, spread).otherwise(1.0)
+    """To [0, 1] within a partition; a constant one becomes 0. For partitions of a few rows, such as region pairs."""
+    return between(value, F.min(value).over(by), F.max(value).over(by))
 
 
 def ratio_or_inf(top: Column, bottom: Column) -> Column:
@@ -27,12 +21,6 @@ def ratio_or_inf(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / F.when(bottom > 0, bottom)).when(top > 0, F.lit(float("inf")))
 
 
-def mid_rank(value: str, *by: str) -> Column:
-    """Average rank within a partition; equal values share it."""
-    ordered = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(ordered) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def two_sided_p(z: Column) -> Column:
     """Two-sided p-value of a standard normal z by a five-term rational approximation (error under 1.5e-7)."""
     x = F.abs(z) / (2**0.5)
@@ -41,8 +29,6 @@ def two_sided_p(z: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), poly * F.exp(-x * x)))
 
 
-def benjamini_hochberg(p: str, *by: str) -> Column:
-    """Adjusted p-values within a partition: the running minimum, from the largest, of p * m / rank."""
-    upward = Window.partitionBy(*by).orderBy(p)
-    scaled = F.col(p) * F.count(F.lit(1)).over(Window.partitionBy(*by)) / F.count(F.lit(1)).over(upward)
-    return scaled
+def hashed_uniform(*parts: Column | str) -> Column:
+    """A number in (0, 1) fixed by a hash of the parts."""
+    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) + 0.5) / float(1 << 40)
