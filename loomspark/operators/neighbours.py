@@ -1,19 +1,25 @@
 """Nearest neighbours, in the plane and in feature space, and votes among them.
 
 Plane searches go by grid cells and never pair all points: a cell is joined with itself and the cells round
-it, and the ring grows for points whose k-th neighbour might lie outside. Feature-space searches compare
-blocks: queries and references are dealt into blocks of a fixed size and each pair of blocks is one task.
+it, and the ring grows for points whose k-th neighbour might lie outside. Feature-space searches go by cells
+round pivots: a query is compared with the cells nearest to it, which bounds its k-th distance, and then only
+with cells that reach inside that bound. Cells and their queries are cut into blocks of a fixed size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block in feature-space searches.
-BLOCK_ROWS = 2_048
+from loomspark.functions.joins import if_small
+from loomspark.sources.materialise import materialise
+
+#: Rows of a block in feature-space searches, and the most pivots of a group.
+BLOCK_ROWS, PIVOTS = 2_048, 256
 
 
 def _distance2(a: str, b: str) -> Column:
@@ -30,7 +36,7 @@ def plane_neighbours(points: DataFrame, others: DataFrame, k: int, cell: float =
     grid = lambda c: F.floor(F.col(c) / cell).cast("long")
     there = others.select("section", F.col("obs_id").alias("other_id"), "x", "y", grid("x").alias("cx"), grid("y").alias("cy"))
     size = there.groupBy("section").agg(F.count(F.lit(1)).alias("n_others"), *[f(c).alias(f"{name}_{c}") for c in ("cx", "cy") for f, name in ((F.min, "low"), (F.max, "high"))])
-    todo = points.select("section", "obs_id", "x", "y", grid("x").alias("cx"), grid("y").alias("cy")).join(F.broadcast(size), "section")  # a row a section
+    todo = points.select("section", "obs_id", "x", "y", grid("x").alias("cx"), grid("y").alias("cy")).join(if_small(size), "section")
     found, ring = None, max(1, int(np.ceil(np.sqrt(k))) // 2 + 1)
     for _ in range(rounds):
         near = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - ring, F.col(f"low_{c}")), F.greatest(F.least(F.col(c) + ring, F.col(f"high_{c}")), F.greatest(F.col(c) - ring, F.col(f"low_{c}")))))
@@ -41,7 +47,7 @@ def plane_neighbours(points: DataFrame, others: DataFrame, k: int, cell: float =
         whole = (F.col("low_cx") >= F.col("cx") - ring) & (F.col("high_cx") <= F.col("cx") + ring) & (F.col("low_cy") >= F.col("cy") - ring) & (F.col("high_cy") <= F.col("cy") + ring)
         edge = F.least(F.col("x") - (F.col("cx") - ring) * cell, (F.col("cx") + ring + 1) * cell - F.col("x"), F.col("y") - (F.col("cy") - ring) * cell, (F.col("cy") + ring + 1) * cell - F.col("y"))
         by_point = Window.partitionBy("section", "obs_id")
-        judged = best.withColumn("settled", whole | ((F.count(F.lit(1)).over(by_point) >= k) & (F.max("d2").over(by_point) < edge * edge))).persist()
+        judged = materialise(best.withColumn("settled", whole | ((F.count(F.lit(1)).over(by_point) >= k) & (F.max("d2").over(by_point) < edge * edge))))
         done = judged.where("settled").select("section", "obs_id", "other_id", "d2", "place")
         found = done if found is None else found.union(done)
         left = todo.join(judged.where("settled").select("section", "obs_id").distinct(), ["section", "obs_id"], "left_anti")
@@ -51,68 +57,316 @@ def plane_neighbours(points: DataFrame, others: DataFrame, k: int, cell: float =
     raise ValueError(f"neighbours unsettled after {rounds} rounds: choose a cell nearer to the spacing of the points")
 
 
-def feature_neighbours(queries: DataFrame, references: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k references nearest to each query by euclidean distance, as ``(query_id, ref_id, distance, place)``.
+def _stacked(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _nearest(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k rows of ``right`` nearest to each of ``left``, ties to the smaller id.
+
+    One matrix product finds who may be near; distances of those are then taken from the differences, so that
+    rounding is the same however the rows were cut into blocks.
+    """
+    kinds = [("key", pa.string()), ("query_id", pa.int64()), ("ref_id", pa.int64()), ("distance", pa.float64())]
+    if not len(left) or not len(right):
+        return pa.table([pa.array([], t) for _, t in kinds], names=[n for n, _ in kinds])
+    left, right = left.combine_chunks(), right.combine_chunks()
+    x, y = _stacked(left.column("vector").chunk(0)), _stacked(right.column("vector").chunk(0))
+    ids, asked = right.column("ref_id").to_numpy(), left.column("query_id").to_numpy()
+    d = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None], 0)
+    if len(ids) > k:
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        rows, columns = np.nonzero(d <= bound + 1e-9 * (1 + bound))
+    else:
+        rows, columns = np.nonzero(np.ones_like(d, dtype=bool))
+    exact = np.round(np.sqrt(((x[rows] - y[columns]) ** 2).sum(axis=1)), 9)
+    order = np.lexsort((ids[columns], exact, rows))
+    rows, columns, exact = rows[order], columns[order], exact[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    keep = place < k
+    keys = left.column("key").take(pa.array(rows[keep]))
+    return pa.table([keys, pa.array(asked[rows[keep]]), pa.array(ids[columns[keep]]), pa.array(exact[keep])], names=[n for n, _ in kinds])
+
+
+def feature_neighbours(queries: DataFrame, references: DataFrame, k: int, key: str | None = None, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k references nearest to each query, exactly, as ``(key, query_id, ref_id, distance, place)``.
+
+    Both have ``obs_id`` and ``vector`` (doubles), and the column ``key`` if searches of several groups are
+    asked at once; without it the key is empty. Distances are rounded to 9 places before they are ranked, ties
+    go to the smaller id. ``cosine`` distance is half the squared distance of the vectors at length 1.
+
+    Pivots, at most PIVOTS a group, are references chosen by a hash. References go to their nearest pivot's
+    cell. A query first asks the nearest cells that hold k references between them; the k-th distance found
+    there rules out each cell whose pivot lies further than that and the cell's radius together.
+    """
+    unit = lambda v: F.transform(v, lambda a: a / F.sqrt(F.greatest(F.aggregate(v, F.lit(0.0), lambda s, b: s + b * b), F.lit(1e-300))))
+    vector = unit(F.col("vector")) if metric == "cosine" else F.col("vector")
+    name = F.col(key).cast("string") if key else F.lit("")
+    q = queries.select(name.alias("key"), F.col("obs_id").cast("long").alias("query_id"), vector.alias("vector"))
+    r = references.select(name.alias("key"), F.col("obs_id").cast("long").alias("ref_id"), vector.alias("vector"))
+    of_group = Window.partitionBy("key")
+    n_pivots = F.least(F.lit(PIVOTS), F.ceil(F.sqrt(F.col("n") / block_rows) * 8))
+    counted = r.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("n_pivots", F.when(F.col("n") <= block_rows, 1).otherwise(n_pivots))
+    first = r.withColumn("at", F.row_number().over(of_group.orderBy(F.xxhash64("ref_id"), "ref_id"))).where(F.col("at") <= PIVOTS)
+    chosen = first.join(if_small(counted), "key").where(F.col("at") <= F.col("n_pivots")).select("key", "ref_id", "vector").toArrow().sort_by("ref_id")
+    pivots: dict[str, np.ndarray] = {}
+    for group in sorted(set(chosen.column("key").to_pylist())):
+        own = chosen.filter(pa.array([x == group for x in chosen.column("key").to_pylist()])).combine_chunks()
+        pivots[group] = _stacked(own.column("vector").chunk(0))
+
+    def to_pivots(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        names = np.array(batch.column(0).to_pylist(), dtype=object)
+        for group in dict.fromkeys(names):
+            if group in pivots:
+                here = np.flatnonzero(names == group)
+                x = _stacked(batch.column(2).take(pa.array(here)))
+                yield here, np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ pivots[group].T + (pivots[group] ** 2).sum(axis=1)[None], 0))
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, far = np.zeros(len(batch), dtype=np.int32), np.zeros(len(batch))
+            for here, d in to_pivots(batch):
+                cell[here], far[here] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], ["key", "ref_id", "vector", "cell", "far"])
+
+    celled = materialise(r.mapInArrow(to_cells, "key string, ref_id long, vector array<double>, cell int, far double"))
+    cells = celled.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # at most PIVOTS rows a group
+    held = {group: {c.cell: (c.n, c.radius) for c in cells if c.key == group} for group in pivots}
 
-    Both have ``obs_id`` and ``vector`` (doubles). Distances are rounded to 9 places before they are ranked,
-    ties go to the smaller id. Each task compares one block of either side and keeps k rows a query, so only
-    these are shuffled for the final choice.
+    def ask(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found, home = [], [], []
+            for here, d in to_pivots(batch):
+                group = held[batch.column(0)[int(here[0])].as_py()]
+                number = np.array(sorted(group))
+                n, radius = (np.array([group[c][i] for c in number]) for i in (0, 1))
+                order = np.argsort(d[:, number], axis=1, kind="stable")
+                enough = np.cumsum(n[order], axis=1) - n[order] < k  # cells until k references are held
+                near = np.zeros_like(enough)
+                np.put_along_axis(near, order, enough, axis=1)
+                if again:
+                    bound = batch.column(3).to_numpy(zero_copy_only=False)[here]
+                    wide = 1e-6 * (1 + bound)
+                    near = ~near & (d[:, number] - radius[None] <= (bound + wide)[:, None])
+                at, which = np.nonzero(near)
+                rows.append(here[at])
+                found.append(number[which])
+            at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+            cell = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+            kept = batch.select(["key", "query_id", "vector"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell.astype(np.int32))], ["key", "query_id", "vector", "cell"])
+
+    sizes = if_small(celled.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n_refs")))
+    asked_schema = "key string, query_id long, vector array<double>, cell int"
+
+    def search(asked: DataFrame) -> DataFrame:
+        n = asked.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n_asked"))
+        blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block_rows)).cast("int")
+        both = if_small(n.join(sizes, ["key", "cell"]).select("key", "cell", blocks("n_asked").alias("qs"), blocks("n_refs").alias("rs")))
+        all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+        left = asked.join(both, ["key", "cell"]).select("key", "cell", "query_id", "vector", deal("query_id", "qs").alias("qb"), all_of("rs").alias("rb"))
+        right = celled.join(both, ["key", "cell"]).select("key", "cell", "ref_id", "vector", deal("ref_id", "rs").alias("rb"), all_of("qs").alias("qb"))
+        groups = left.groupBy("key", "cell", "qb", "rb").cogroup(right.groupBy("key", "cell", "qb", "rb"))
+        near = groups.applyInArrow(lambda a, b: _nearest(a, b, k), "key string, query_id long, ref_id long, distance double")
+        order = Window.partitionBy("key", "query_id").orderBy("distance", "ref_id")
+        return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+    home = materialise(search(materialise(q.mapInArrow(lambda b: ask(b, False), asked_schema))))
+    if max((len(x) for x in held.values()), default=0) > 1:
+        bound = home.groupBy("key", "query_id").agg(F.max("distance").alias("bound"))
+        bounded = q.join(bound, ["key", "query_id"]).select("key", "query_id", "vector", "bound")
+        wider = materialise(bounded.mapInArrow(lambda b: ask(b, True), asked_schema))
+        order = Window.partitionBy("key", "query_id").orderBy("distance", "ref_id")
+        home = home.drop("place").union(search(wider).drop("place")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return home.withColumn("distance", F.col("distance") ** 2 / 2) if metric == "cosine" else home
+
+
+def anchors(references: DataFrame, queries: DataFrame, k: int | dict[str, int] = 5, by: list[str] | None = None, metric: str = "euclidean") -> DataFrame:
+    """Queries that are among the k nearest of a reference with the label, as ``(by, label, obs_id, n_votes)``.
+
+    The index is on the queries and each reference asks, so a label's anchors are the union of its answers; all
+    labels, so both sides of a split, are asked in one search. ``k`` may differ by label. ``by`` names columns
+    of both tables that keep searches apart, such as a tree node, a reference section or a modality.
     """
-    n_q, n_r = queries.count(), references.count()
-    q_blocks, r_blocks = max(1, -(-n_q // block_rows)), max(1, -(-n_r // block_rows))
-    deal = lambda n: F.pmod(F.xxhash64("obs_id"), F.lit(n)).cast("int")
-    q = queries.select("obs_id", "vector", deal(q_blocks).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("r"))
-    r = references.select(F.col("obs_id").alias("ref_id"), F.col("vector").alias("ref_vector"), deal(r_blocks).alias("rr"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qq"))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "ref_id": [], "distance": []}).astype({"query_id": "int64", "ref_id": "int64", "distance": "float64"})
-        right = right.sort_values("ref_id")
-        ids, base = right["ref_id"].to_numpy(), np.stack(right["ref_vector"].to_numpy())
-        out = []
-        for query, v in zip(left["obs_id"], left["vector"], strict=True):
-            d = np.round(np.sqrt(((base - v) ** 2).sum(axis=1)), 9)
-            at = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({"query_id": query, "ref_id": ids[at], "distance": d[at]}))
-        return pd.concat(out)
-
-    near = q.groupBy("q", "r").cogroup(r.groupBy("qq", "rr")).applyInPandas(compare, "query_id long, ref_id long, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "ref_id")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
-def anchors(references: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Queries that are among the k nearest of a reference with the label, as ``(label, obs_id, n_votes)``.
-
-    The index is on the queries and each reference asks, so a label's anchors are the union of its answers.
+    by = by or []
+    most = max(k.values()) if isinstance(k, dict) else k
+    own = F.concat_ws("\u0001", *by) if by else F.lit("")
+    hits = feature_neighbours(references.withColumn("_key", own), queries.withColumn("_key", own), most, "_key", metric)
+    labelled = hits.join(references.select(own.alias("key"), F.col("obs_id").alias("query_id"), "label", *by).distinct(), ["key", "query_id"])
+    if isinstance(k, dict):
+        labelled = labelled.where(F.col("place") <= F.coalesce(*[F.when(F.col("label") == name, F.lit(n)) for name, n in k.items()], F.lit(0)))
+    return labelled.groupBy(*by, "label", F.col("ref_id").alias("obs_id")).agg(F.count(F.lit(1)).alias("n_votes"))
+
+
+def combine_modalities(hits: DataFrame, how: str = "union", n_modalities: int = 1, by: list[str] | None = None) -> DataFrame:
+    """Anchors found in any modality (``union``) or in all of them (``shared``): ``(by, label, obs_id)``."""
+    need = {"union": 1, "shared": n_modalities}[how]
+    return hits.groupBy(*(by or []), "label", "obs_id").agg(F.countDistinct("modality").alias("n")).where(F.col("n") >= need).drop("n")
+
+
+def vote_references(hits: DataFrame, references: DataFrame, max_missing: int = 1, by: list[str] | None = None) -> DataFrame:
+    """Anchors that enough reference sections agree on, all but ``max_missing`` of them and one at least.
+
+    ``hits(by, section, label, obs_id)``; ``references(by, section)`` lists the sections that were asked.
     """
-    hits = feature_neighbours(references.select("obs_id", "vector"), queries.select("obs_id", "vector"), k)
-    labelled = hits.join(references.select(F.col("obs_id").alias("query_id"), "label"), "query_id")
-    return labelled.groupBy("label", F.col("ref_id").alias("obs_id")).agg(F.count(F.lit(1)).alias("n_votes"))
+    by = by or []
+    asked = references.groupBy(*by).agg(F.countDistinct("section").alias("n_sections"))
+    votes = hits.groupBy(*by, "label", "obs_id").agg(F.countDistinct("section").alias("n_votes"))
+    both = votes.join(if_small(asked), by) if by else votes.join(F.broadcast(asked), how="cross")  # one row
+    return both.where(F.col("n_votes") >= F.greatest(F.col("n_sections") - max_missing, F.lit(1))).select(*by, "label", "obs_id", "n_votes")
+
+
+def _votes(near: DataFrame, labelled: DataFrame) -> DataFrame:
+    named = labelled.select("section", F.col("obs_id").alias("other_id"), F.col("label").alias("vote"))
+    return near.join(named, ["section", "other_id"])
 
 
 def refine_labels(obs: DataFrame, k: int = 8) -> DataFrame:
     """A label changes if another one has more than half of the k + 1 nearest points, itself included."""
-    near = plane_neighbours(obs, obs, k + 1)
-    votes = near.join(obs.select("section", F.col("obs_id").alias("other_id"), F.col("label").alias("vote")), ["section", "other_id"])
+    votes = _votes(plane_neighbours(obs, obs, k + 1), obs)
     n = votes.groupBy("section", "obs_id", "vote").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("section", "obs_id").orderBy(F.desc("n"), "vote")
     top = n.withColumn("all", F.sum("n").over(Window.partitionBy("section", "obs_id"))).withColumn("r", F.row_number().over(order)).where("r = 1")
     return obs.join(top, ["section", "obs_id"]).select("section", "obs_id", "label", F.when(F.col("n") * 2 > F.col("all"), F.col("vote")).otherwise(F.col("label")).alias("refined"))
 
 
-def label_shares(obs: DataFrame, k: int = 6) -> DataFrame:
-    """The share of each label among a point's k nearest, itself included, and the winning label.
+def nearest_majority(points: DataFrame, labelled: DataFrame, k: int, weighted: bool = False) -> DataFrame:
+    """The label of most of a point's k nearest labelled points, ``(section, obs_id, label)``.
 
-    Ties go to the label in order of name.
+    With ``weighted`` votes count by inverse distance (1e-8 added). Of labels with equal votes the one whose
+    nearest point is nearest wins.
     """
-    near = plane_neighbours(obs, obs, k)
-    votes = near.join(obs.select("section", F.col("obs_id").alias("other_id"), F.col("label").alias("vote")), ["section", "other_id"])
+    votes = _votes(plane_neighbours(points, labelled, k), labelled)
+    weight = F.sum(1 / (F.sqrt("d2") + 1e-8)) if weighted else F.count(F.lit(1)).cast("double")
+    n = votes.groupBy("section", "obs_id", F.col("vote").alias("label")).agg(F.round(weight, 6).alias("w"), F.min("place").alias("first"))
+    order = Window.partitionBy("section", "obs_id").orderBy(F.desc("w"), "first")
+    return n.withColumn("r", F.row_number().over(order)).where("r = 1").select("section", "obs_id", "label")
+
+
+def pooled_majority(points: DataFrame, labelled: DataFrame, k: int) -> DataFrame:
+    """The label of most of all neighbours of a section's points together, ties by name: ``(section, label, n)``."""
+    n = _votes(plane_neighbours(points, labelled, k), labelled).groupBy("section", F.col("vote").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "label"))).where("r = 1").drop("r")
+
+
+def label_shares(obs: DataFrame, k: int = 6) -> DataFrame:
+    """The share of each label among a point's k nearest, itself included, ties to the label in order of name."""
+    return shares_of(_votes(plane_neighbours(obs, obs, k), obs))
+
+
+def shares_of(votes: DataFrame) -> DataFrame:
+    """Labels of each point's neighbours by falling count, then name, with their share."""
     n = votes.groupBy("section", "obs_id", F.col("vote").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("section", "obs_id")
     return n.withColumn("share", F.col("n") / F.sum("n").over(by)).withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "label")))
 
 
+def distance_quantile(points: DataFrame, others: DataFrame, q: float | None = None, k: int | None = None, own: bool = False, bins: int = 4_096) -> DataFrame:
+    """A section's radius as a quantile of distances, linearly interpolated: ``(section, radius)``.
+
+    Between all points and all others, or with ``own`` between the different pairs of one table. ``q`` is given
+    as it is, or as ``k`` over the number of others (with ``own``, others but one), 1 at most.
+
+    A section's pairs are compared in blocks inside tasks, which return counts by bin of the squared distance;
+    the pairs of the bins that hold the two order statistics are then looked at again. So the work is that of
+    all pairs, as the definition asks, but what is sent and held does not depend on their number.
+    """
+    key = ["section"]
+    span = lambda df: df.groupBy("section").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "low"), (F.max, "high"))], F.count(F.lit(1)).alias("n"))
+    a, b = span(points).alias("a"), span(others).alias("b")
+    reach = lambda c: F.greatest(F.col(f"a.high_{c}") - F.col(f"b.low_{c}"), F.col(f"b.high_{c}") - F.col(f"a.low_{c}"))
+    pairs = (F.col("a.n") * (F.col("a.n") - 1) / 2).cast("long") if own else F.col("a.n") * F.col("b.n")
+    share = F.lit(float(q)) if q is not None else F.least(F.lit(1.0), F.lit(float(k)) / (F.col("b.n") - (1 if own else 0)))
+    plan = a.join(b, F.col("a.section") == F.col("b.section")).select("a.section", F.sqrt(reach("x") ** 2 + reach("y") ** 2).alias("wide"), ((pairs - 1) * share).alias("at"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), pairs.alias("pairs")).where("pairs > 0")
+    plan = if_small(plan)
+
+    def dealt(df: DataFrame, mine: str, theirs: str, block: str, other: str) -> DataFrame:
+        blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int")
+        return df.join(plan, key).select("section", "obs_id", "x", "y", "wide", F.pmod(F.xxhash64("obs_id"), blocks(mine)).cast("int").alias(block), F.explode(F.sequence(F.lit(0), blocks(theirs) - 1)).alias(other))
+
+    left, right = dealt(points, "n_a", "n_b", "i", "j"), dealt(others, "n_b", "n_a", "j", "i")
+
+    def distances(p: pa.Table, o: pa.Table) -> np.ndarray:
+        at = lambda t, c: t.column(c).to_numpy()
+        d = np.sqrt((at(p, "x")[:, None] - at(o, "x")[None]) ** 2 + (at(p, "y")[:, None] - at(o, "y")[None]) ** 2)
+        return d[at(p, "obs_id")[:, None] < at(o, "obs_id")[None]] if own else d.ravel()
+
+    def count(p: pa.Table, o: pa.Table) -> pa.Table:
+        if not len(p) or not len(o):
+            return pa.table({"section": pa.array([], pa.string()), "bin": pa.array([], pa.int32()), "c": pa.array([], pa.int64())})
+        wide = max(p.column("wide")[0].as_py(), 1e-300)
+        bin_, n = np.unique(np.minimum((distances(p, o) / wide * bins).astype(np.int32), bins - 1), return_counts=True)
+        return pa.table({"section": pa.array([p.column("section")[0].as_py()] * len(n), pa.string()), "bin": pa.array(bin_), "c": pa.array(n.astype(np.int64))})
+
+    group = lambda df: df.groupBy("section", "i", "j")
+    counted = group(left).cogroup(group(right)).applyInArrow(count, "section string, bin int, c long").groupBy("section", "bin").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("section").orderBy("bin"))  # a row a bin
+    ranked = counted.withColumn("before", upto - F.col("c")).join(plan, key)
+    low, high = F.floor("at"), F.ceil("at")
+    wanted = ranked.where((F.col("before") <= high) & (F.col("before") + F.col("c") > low)).groupBy("section").agg(F.collect_set("bin").alias("bins"), F.min("before").alias("before"), F.first("at").alias("at"))
+    wanted = if_small(wanted)
+
+    def values(p: pa.Table, o: pa.Table) -> pa.Table:
+        if not len(p) or not len(o):
+            return pa.table({"section": pa.array([], pa.string()), "d": pa.array([], pa.float64()), "c": pa.array([], pa.int64())})
+        wide, d = max(p.column("wide")[0].as_py(), 1e-300), distances(p, o)
+        here = np.isin(np.minimum((d / wide * bins).astype(np.int32), bins - 1), p.column("bins")[0].as_py())
+        own_d, n = np.unique(d[here], return_counts=True)
+        return pa.table({"section": pa.array([p.column("section")[0].as_py()] * len(n), pa.string()), "d": pa.array(own_d), "c": pa.array(n.astype(np.int64))})
+
+    again = group(left.join(wanted, key)).cogroup(group(right)).applyInArrow(values, "section string, d double, c long").groupBy("section", "d").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("section").orderBy("d"))
+    placed = again.withColumn("upto", upto).join(wanted, key).withColumn("last", F.col("before") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("c") + 1)
+    holds = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("d")))
+    ends = placed.groupBy("section").agg(holds(low).alias("low"), holds(high).alias("high"), F.first("at").alias("at"))
+    return ends.select("section", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("radius"))
+
+
+def within_radius(points: DataFrame, others: DataFrame, radii: DataFrame) -> DataFrame:
+    """The others of the same section no further from a point than its section's radius.
+
+    ``(section, obs_id, other_id, d2)``, by cells of the radius; ``radii(section, radius)`` has a row a section.
+    """
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    cell = lambda c: F.floor(F.col(c) / F.greatest("radius", F.lit(1e-12))).cast("long")
+    known = if_small(radii)
+    here = others.join(known, "section").select("section", F.col("obs_id").alias("other_id"), "x", "y", cell("x").alias("gx"), cell("y").alias("gy")).alias("o")
+    asked = points.join(known, "section").select("section", "obs_id", "x", "y", "radius", cell("x").alias("cx"), cell("y").alias("cy")).withColumn("dx", step).withColumn("dy", step)
+    asked = asked.withColumn("gx", F.col("cx") + F.col("dx")).withColumn("gy", F.col("cy") + F.col("dy")).alias("p")
+    pairs = asked.join(here, (F.col("p.section") == F.col("o.section")) & (F.col("p.gx") == F.col("o.gx")) & (F.col("p.gy") == F.col("o.gy")))
+    return pairs.where(F.sqrt(_distance2("p", "o")) <= F.col("p.radius")).select("p.section", "p.obs_id", "o.other_id", _distance2("p", "o").alias("d2"))
+
+
+def annotate_spots(spots: DataFrame, pseudo: DataFrame, k: int, mode: str = "knn", small_regions: bool = False, dominant: float = 0.5, small: float = 0.25, novel: str = "novel_cluster", unknown: str = "unknown") -> DataFrame:
+    """A label for each spot from the pseudo-spots round it: ``(section, obs_id, label, share)``.
+
+    Neighbours are the k nearest (``knn``) or those within the distance quantile k / n (``radius``, J10). The
+    commonest label wins, ties by name, but the novel one only where there is no other. With ``small_regions``,
+    and a label of at least ``dominant`` of a section's pseudo-spots, a runner-up whose share of the section is
+    below ``small`` wins if the winner is no such label and its share round the spot is above ``small``. Spots
+    without neighbours are ``unknown``.
+    """
+    if mode == "knn":
+        near = plane_neighbours(spots, pseudo, k)
+    else:
+        near = within_radius(spots, pseudo, distance_quantile(spots, pseudo, k=k))
+    shares = shares_of(_votes(near, pseudo))
+    whole = pseudo.groupBy("section", "label").agg(F.count(F.lit(1)).alias("n"))
+    in_section = Window.partitionBy("section")  # a row a label
+    part = F.col("n") / F.sum("n").over(in_section)
+    sized = whole.withColumn("part", part).withColumn("top", F.max("part").over(in_section))
+    rare = sized.where((F.col("top") >= dominant) & (F.col("part") < small) & (F.col("label") != novel)).select("section", "label", F.lit(True).alias("rare"))
+    marked = shares.join(if_small(rare), ["section", "label"], "left").withColumn("rare", F.coalesce("rare", F.lit(False)))
+    of = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    firsts = marked.where("place <= 2").groupBy("section", "obs_id").agg(*[of(p, c).alias(f"{c}_{p}") for p in (1, 2) for c in ("label", "share", "rare")])
+    second = (F.col("label_1") == novel) & F.col("label_2").isNotNull()
+    if small_regions:
+        second = second | (~F.col("rare_1") & F.coalesce("rare_2", F.lit(False)) & (F.col("share_2") > small))
+    chosen = firsts.select("section", "obs_id", F.when(second, F.col("label_2")).otherwise(F.col("label_1")).alias("label"), F.when(second, F.col("share_2")).otherwise(F.col("share_1")).alias("share"))
+    return spots.select("section", "obs_id").join(chosen, ["section", "obs_id"], "left").select("section", "obs_id", F.coalesce("label", F.lit(unknown)).alias("label"), "share")
+
+
 def radius_pairs(obs: DataFrame, radius: float) -> DataFrame:
     """Pairs of a section's points no further apart than ``radius``, each with itself too, by cells of that size."""
     grid = lambda c: F.floor(F.col(c) / radius).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.operators.assignment import adjusted_rand, assign_clusters, cross_table
 from loomspark.operators.embedding import k_means, principal_components
 from loomspark.operators.neighbours import anchors
-from loomspark.sources.tables import materialise
+from loomspark.sources.materialise import materialise
 
 
 @dataclass(frozen=True)

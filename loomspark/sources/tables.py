@@ -7,8 +7,6 @@ its observations, so that means and shares count the zeros that are not stored.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,11 +69,3 @@ def write_coordinates(df: DataFrame, path: str, id_column: str = "spot_id") -> N
 def images(spark: SparkSession, folder: str, pattern: str = "*.{jpg,jpeg,png,tif,tiff}") -> DataFrame:
     """Encoded images by path, undecoded: ``(path, length, content)``."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; a temporary one only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
