@@ -31,7 +31,9 @@ from loomspark.llm.tables import id_and_text
 #: Coordinates a band and bands. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**28 < 4e-7.
 ROWS, BANDS = 4, 28
 #: Shingles (8 bytes each) and members that a task holds at a time while it compares a hub's members.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 2_000_000, 512
+BLOCK_SHINGLES, BLOCK_MEMBERS = 2_000_000, 256
+#: Ids of documents to be compared again up to so many are broadcast to pick their texts before these are dealt.
+BROADCAST_IDS = 500_000
 
 
 def _shift_mix(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -139,12 +141,15 @@ def joining_links(sets: list[np.ndarray], percent: int, component: np.ndarray |
     return links
 
 
-def _compare(dealt: DataFrame, docs: DataFrame, key: list[str], k: int, percent: int) -> DataFrame:
+def _compare(dealt: DataFrame, docs: DataFrame, key: list[str], k: int, percent: int, ids: DataFrame | None = None) -> DataFrame:
     """``(a, b)`` links among the documents ``a`` that ``dealt`` sends to each ``key``, with ``component`` and ``asked``.
 
-    The candidates grow with the corpus, so they and the texts are dealt by id at any size and never broadcast.
+    The candidates grow with the corpus, so they and the texts are dealt by id at any size and never broadcast;
+    only a counted list of ``ids`` is, where the caller has one, so that other texts stay where they are.
     """
     text = id_and_text(docs).where("doc_id is not null").withColumnRenamed("doc_id", "a")
+    if ids is not None:
+        text = text.join(F.broadcast(ids), "a", "left_semi")
 
     def compare(group: pa.Table) -> pa.Table:
         ids, component = group.column("a").to_numpy(), group.column("component").to_numpy()
@@ -188,7 +193,9 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     asked = cut.where("component != main").withColumn("rest", share("rest_blocks")).select("a", "b", "rest", numbers("blocks").alias("own"), "component", F.lit(True).alias("asked"))
     others = cut.select("a", "b", numbers("rest_blocks").alias("rest"), "own", "component", F.lit(False).alias("asked"))
     across = asked.union(others).groupBy("a", "b", "rest", "own").agg(F.first("component").alias("component"), F.max("asked").alias("asked"))
-    return within.union(durable(_compare(across, docs, ["b", "rest", "own"], k, percent), "links"))
+    again = durable(cut.select("a").distinct(), "again")
+    ids = again if again.count() <= BROADCAST_IDS else None
+    return within.union(durable(_compare(across, docs, ["b", "rest", "own"], k, percent, ids), "links"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
