@@ -73,32 +73,44 @@ def fit(b: Bags, y: np.ndarray, rounds: int = 250, rate: float = 0.1, decay: flo
     Only words that stand in clearly more toxic than other texts get a weight: at least three texts, and a
     difference of the two shares of at least SCREEN standard errors.
     """
-    used, words = np.unique(b.words, return_inverse=True)
-    owner = np.repeat(np.arange(len(y)), np.diff(b.first[b.bag]))
-    held = np.unique(words * len(y) + owner)
-    spread = np.bincount(held // len(y), minlength=len(used))
-    toxic = np.bincount(held // len(y), weights=y[held % len(y)], minlength=len(used))
+    lengths = np.diff(b.first)
+    spread, toxic = np.zeros(WEIGHTS), np.zeros(WEIGHTS)
+    for at in range(0, len(y), 500):  # documents at a time, to hold few words twice
+        here = slice(b.first[b.bag[at]], b.first[b.bag[min(at + 500, len(y))]])
+        owner = np.repeat(np.arange(at, min(at + 500, len(y))), np.diff(b.first[b.bag[at : at + 501]]))
+        held = np.unique(b.words[here] * len(y) + owner)
+        spread += np.bincount(held // len(y), minlength=WEIGHTS)
+        toxic += np.bincount(held // len(y), weights=y[held % len(y)], minlength=WEIGHTS)
     n_toxic, n_other, rate_all = y.sum(), len(y) - y.sum(), spread / len(y)
     error = np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-12) * (1 / n_toxic + 1 / n_other))
-    common = ((spread >= 3) & (toxic / n_toxic - (spread - toxic) / n_other >= SCREEN * error)).astype(np.float64)
-    lengths, sizes = np.diff(b.first), np.diff(b.bag)
+    common = np.flatnonzero((spread >= 3) & (toxic / n_toxic - (spread - toxic) / n_other >= SCREEN * error))
+    # words without a weight add nothing to a sentence, and sentences without another word are all alike
+    number = np.full(WEIGHTS, -1, dtype=np.int64)
+    number[common] = np.arange(len(common))
+    words = number[b.words]
+    lengths = ta.segment_sums((words >= 0).astype(np.int64), b.first)
+    words, some = words[words >= 0], np.flatnonzero(lengths)
+    bag = np.searchsorted(some, b.bag)
+    lengths = lengths[some]
+    first, sizes = np.concatenate(([0], np.cumsum(lengths))), np.diff(bag)
+    bare = np.diff(b.bag) - sizes
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, bias = np.zeros(len(used)), -4.0
+    w, bias = np.zeros(len(common)), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.clip(ta.segment_sums(w[words], b.first) + bias, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        p_bag = np.clip(noisy_or(p, b.bag), 1e-9, 1 - 1e-12)
+        z = np.clip(ta.segment_sums(w[words], first) + bias, -30, 30)
+        p, p_bare = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-np.clip(bias, -30, 30)))
+        p_bag = np.clip(-np.expm1(ta.segment_sums(np.log1p(-p), bag) + bare * np.log1p(-p_bare)), 1e-9, 1 - 1e-12)
         step = np.where(y == 1, 1 - 1 / p_bag, 1.0) * share
         by_sentence = p * np.repeat(step, sizes)
-        g = np.bincount(words, weights=np.repeat(by_sentence, lengths), minlength=len(used)) * common + decay * w / max(1.0, common.sum())
-        gb = by_sentence.sum()
+        g = np.bincount(words, weights=np.repeat(by_sentence, lengths), minlength=len(common)) + decay * w / max(1, len(common))
+        gb = by_sentence.sum() + p_bare * (bare * step).sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * common
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(WEIGHTS, dtype=np.float32)
-    weights[used] = w
+    weights[common] = w
     return Model(weights, float(bias))
 
 
