@@ -72,10 +72,10 @@ def group_components(vectors: DataFrame, key: str, k: int, column: str = "vector
         axes = axes[:, np.argsort(-value, kind="stable")[: max(0, min(k, len(mean), int(n) - 1))]]
         signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])]) if axes.size else np.zeros(0)
         models.append((row.key, mean.tolist(), (axes * np.where(signs == 0, 1, signs)).T.tolist()))
-    model = vectors.sparkSession.createDataFrame(models, "_key string, _mean array<double>, _axes array<array<double>>")
-    placed = vectors.join(F.broadcast(model), F.col(key).cast("string") == F.col("_key"))  # a row a group, k vectors each
+    model = vectors.sparkSession.createDataFrame(models, "_model string, _mean array<double>, _axes array<array<double>>")
+    placed = vectors.join(F.broadcast(model), F.col(key).cast("string") == F.col("_model"))  # a row a group, k vectors each
     dot = lambda axis: F.aggregate(F.zip_with(axis, F.zip_with(column, "_mean", lambda a, b: a - b), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return placed.withColumn("pca", F.transform("_axes", dot)).drop("_key", "_mean", "_axes")
+    return placed.withColumn("pca", F.transform("_axes", dot)).drop("_model", "_mean", "_axes")
 
 
 def principal_components(vectors: DataFrame, k: int) -> DataFrame:

@@ -1,64 +1,143 @@
-"""Heterogeneity of a region across sections."""
+"""Heterogeneity of a region across sections.
+
+Silhouettes need the distances of all pairs of a region's observations; no closed form of sums of euclidean
+distances exists. Each pair of blocks is compared once, for all replicates of the labels: one matrix product of
+distances and label memberships gives the sums that every replicate needs. The work is quadratic in the size of
+a region, so regions of more than some hundred thousand observations should be sampled by the caller.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.joins import if_small
+
+#: Rows of a block, and replicates whose sums are added up in one task.
+BLOCK_ROWS, CHUNK = 1_024, 25
+
 
-def silhouette(vectors: DataFrame, region: str = "label", group: str = "section", block_rows: int = 1_024) -> DataFrame:
-    """Mean silhouette (euclidean) of the groups of each region.
+def _replicate_silhouettes(members: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(region, replicate, silhouette, n_obs)`` of ``members(region, obs_id, vector, groups)``.
 
-    Each observation needs its mean distance to every group. Blocks of a region are compared pairwise in
-    tasks, which return sums by observation and group; nothing larger than two blocks is held at once. A
-    group of one scores 0. Regions with fewer than two groups have no silhouette.
+    ``groups`` has an observation's group number in every replicate; a group of one scores 0. Group numbers
+    run from 0, and a group is as large in each replicate as in the first.
     """
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy(region)) / block_rows)).cast("int")
-    dealt = vectors.select(F.col(region).alias("region"), F.col(group).cast("string").alias("grp"), "obs_id", "vector", n_blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("obs_id"), F.col("blocks")).cast("int"))
+    n = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max(F.get("groups", 0)).alias("last"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int")
+    plan = if_small(n.select("region", blocks.alias("blocks"), (F.col("last") + 1).alias("n_groups")))
+    dealt = members.join(plan, "region").withColumn("own", F.pmod(F.xxhash64("obs_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.withColumn("other", other)
-    right = dealt.select(F.col("region").alias("region_b"), F.col("grp").alias("grp_b"), F.col("vector").alias("vector_b"), F.col("own").alias("other_b"), other.alias("own_b"))
+    left = dealt.select("region", "own", other.alias("other"), "obs_id", "vector", "groups", "n_groups")
+    right = dealt.select(F.col("region").alias("region_b"), F.col("own").alias("other_b"), other.alias("own_b"), F.col("vector").alias("vector_b"), F.col("groups").alias("groups_b"))
 
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def stacked(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(len(column), -1)
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        kinds = pa.schema([("region", pa.string()), ("own", pa.int32()), ("chunk", pa.int32()), ("obs_id", pa.int64()), ("groups", pa.list_(pa.int32())), ("n_groups", pa.int32()), ("sums", pa.list_(pa.float64()))])
         if not len(a) or not len(b):
-            return pd.DataFrame({"region": [], "obs_id": [], "grp": [], "other_grp": [], "d": []}).astype({"obs_id": "int64", "d": "float64"})
-        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["vector_b"].to_numpy())
+            return kinds.empty_table()
+        x, y, theirs, mine = stacked(a["vector"]), stacked(b["vector_b"]), stacked(b["groups_b"]), stacked(a["groups"])
         d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
-        wide = pd.DataFrame(d, columns=b["grp_b"].to_numpy()).T.groupby(level=0).sum().T
-        wide.index = pd.MultiIndex.from_frame(a[["region", "obs_id", "grp"]])
-        return wide.rename_axis(columns="other_grp").stack().rename("d").reset_index()
+        d[d < 1e-7 * (1 + np.sqrt((x**2).sum(1))[:, None])] = 0  # what rounding leaves of a distance of 0
+        n_groups, out = a["n_groups"][0].as_py(), []
+        for c in range(0, theirs.shape[1], CHUNK):
+            part = theirs[:, c : c + CHUNK]
+            member = (part[:, :, None] == np.arange(n_groups)).reshape(len(y), -1).astype(float)
+            own, ids = (pa.array([v] * len(x), t) for v, t in ((a["own"][0].as_py(), pa.int32()), (c // CHUNK, pa.int32())))
+            columns = [a["region"].combine_chunks(), own, ids, a["obs_id"].combine_chunks(), pa.array(list(mine[:, c : c + CHUNK]), pa.list_(pa.int32())), pa.array([n_groups] * len(x), pa.int32()), pa.array(list(d @ member), pa.list_(pa.float64()))]
+            out.append(pa.table(columns, schema=kinds))
+        return pa.concat_tables(out)
+
+    groups = left.groupBy("region", "own", "other").cogroup(right.groupBy("region_b", "own_b", "other_b"))
+    parts = groups.applyInArrow(sums, "region string, own int, chunk int, obs_id long, groups array<int>, n_groups int, sums array<double>")
+    sizes = members.select("region", F.get("groups", 0).alias("g")).groupBy("region", "g").agg(F.count(F.lit(1)).alias("n"))
+    sizes = if_small(sizes.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "n"))), lambda v: v["n"]).alias("sizes")))
+
+    def score(table: pa.Table) -> pa.Table:
+        ids, at, first = np.unique(table["obs_id"].to_numpy(), return_index=True, return_inverse=True)[:3]
+        total = np.zeros((len(ids), stacked(table["sums"]).shape[1]))
+        np.add.at(total, first, stacked(table["sums"]))
+        groups, n = stacked(table["groups"])[at], np.array(table["sizes"][0].as_py(), dtype=float)
+        total = total.reshape(len(ids), groups.shape[1], len(n))
+        inside = np.take_along_axis(total, groups[:, :, None], axis=2)[:, :, 0] / np.maximum(n[groups] - 1, 1)
+        outside = total / n
+        np.put_along_axis(outside, groups[:, :, None], np.inf, axis=2)
+        b = outside.min(axis=2)
+        s = np.where(n[groups] <= 1, 0.0, (b - inside) / np.maximum(np.maximum(inside, b), 1e-300))
+        replicate = np.arange(groups.shape[1], dtype=np.int32) + CHUNK * table["chunk"][0].as_py()
+        region = pa.array([table["region"][0].as_py()] * len(replicate), pa.string())
+        return pa.table([region, pa.array(replicate.astype(np.int32)), pa.array(s.sum(axis=0)), pa.array(np.full(len(replicate), len(ids), dtype=np.int64))], names=["region", "replicate", "s", "n_obs"])
+
+    scored = parts.join(sizes, "region").groupBy("region", "own", "chunk").applyInArrow(score, "region string, replicate int, s double, n_obs long")
+    total = scored.groupBy("region", "replicate").agg((F.sum("s") / F.sum("n_obs")).alias("silhouette"), F.sum("n_obs").alias("n_obs"))
+    return total
+
+
+def _numbered(vectors: DataFrame, region: str, group: str) -> DataFrame:
+    """``(region, obs_id, vector, g)`` of regions with at least two groups and more observations than groups."""
+    named = vectors.select(F.col(region).cast("string").alias("region"), F.col(group).cast("string").alias("grp"), "obs_id", "vector")
+    size = named.groupBy("region", "grp").agg(F.count(F.lit(1)).alias("n"))
+    of_region = Window.partitionBy("region")  # a row a group
+    numbered = size.withColumn("g", (F.row_number().over(of_region.orderBy("grp")) - 1).cast("int"))
+    able = numbered.withColumn("groups", F.count(F.lit(1)).over(of_region)).withColumn("all", F.sum("n").over(of_region)).where("groups > 1 and all > groups")
+    return named.join(if_small(able.select("region", "grp", "g")), ["region", "grp"]).drop("grp")
 
-    part = left.groupBy("region", "own", "other").cogroup(right.groupBy("region_b", "own_b", "other_b")).applyInPandas(sums, "region string, obs_id long, grp string, other_grp string, d double")
-    total = part.groupBy("region", "obs_id", "grp", "other_grp").agg(F.sum("d").alias("d"))
-    size = dealt.groupBy("region", F.col("grp").alias("other_grp")).agg(F.count(F.lit(1)).alias("n"))
-    own = F.col("grp") == F.col("other_grp")
-    mean = total.join(size, ["region", "other_grp"]).withColumn("m", F.col("d") / F.when(own, F.greatest(F.col("n") - 1, F.lit(1))).otherwise(F.col("n")))
-    by_obs = mean.groupBy("region", "obs_id", "grp").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n_own"))
-    s = F.when(F.col("n_own") <= 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return by_obs.where("b is not null").groupBy("region").agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_obs"))
 
+def silhouette(vectors: DataFrame, region: str = "label", group: str = "section") -> DataFrame:
+    """Mean silhouette (euclidean) of the groups of each region: ``(region, silhouette, n_obs)``.
 
-def permuted_silhouette(vectors: DataFrame, n_perm: int = 20, seed: int = 0) -> DataFrame:
+    Regions with fewer than two groups, or no more observations than groups, have none.
+    """
+    return _replicate_silhouettes(_numbered(vectors, region, group).withColumn("groups", F.array("g"))).drop("replicate")
+
+
+def permuted_silhouette(vectors: DataFrame, n_perm: int = 200, seed: int = 0, region: str = "label", group: str = "section") -> DataFrame:
     """The silhouette against its value under permuted sections: adjusted, z, and p with one added.
 
-    Permutations shuffle the section labels within a region; they are replicates of one plan, told apart in
-    the region's key.
+    A permutation orders a region's observations by a hash and hands out the groups' places in that order, so
+    every group keeps its size. Only ids go through it, and vectors once.
     """
-    order = F.xxhash64(F.lit(seed), "replicate", "obs_id")
-    many = vectors.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
-    by = Window.partitionBy("label", "replicate")
-    place = many.withColumn("i", F.row_number().over(by.orderBy("obs_id"))).withColumn("j", F.row_number().over(by.orderBy(order)))
-    names = place.select("label", "replicate", F.col("i").alias("j"), F.col("section").alias("shuffled"))
-    mixed = place.join(names, ["label", "replicate", "j"]).withColumn("grp", F.when(F.col("replicate") == 0, F.col("section")).otherwise(F.col("shuffled")))
-    keyed = mixed.withColumn("key", F.concat_ws("#", "label", F.col("replicate").cast("string")))
-    scored = silhouette(keyed, "key", "grp").withColumn("label", F.substring_index("region", "#", 1)).withColumn("replicate", F.substring_index("region", "#", -1).cast("int"))
-    seen = scored.where("replicate = 0").select("label", F.col("silhouette").alias("observed"), "n_obs")
-    wide = scored.where("replicate > 0").drop("n_obs").join(seen, "label").groupBy("label", "observed", "n_obs")
-    both = wide.agg(F.avg("silhouette").alias("mean"), F.stddev_samp("silhouette").alias("spread"), F.count(F.lit(1)).alias("n"), F.sum((F.col("silhouette") >= F.col("observed")).cast("int")).alias("above"), F.sum((F.col("silhouette") <= F.col("observed")).cast("int")).alias("below"))
+    named = _numbered(vectors, region, group)
+    size = named.groupBy("region", "g").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("region").orderBy("g"))  # a row a group
+    ends = if_small(size.withColumn("upto", upto).groupBy("region").agg(F.array_sort(F.collect_list("upto")).alias("ends")))
+    each = F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("replicate")
+    shuffled = named.select("region", "obs_id", each).withColumn("place", F.row_number().over(Window.partitionBy("region", "replicate").orderBy(F.xxhash64(F.lit(seed), "replicate", "obs_id"), "obs_id")))
+    given = shuffled.join(ends, "region").select("region", "obs_id", "replicate", F.size(F.filter("ends", lambda e: e < F.col("place"))).alias("g"))
+    lists = given.groupBy("region", "obs_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "g"))), lambda x: x["g"]).alias("drawn"))
+    members = named.join(lists, ["region", "obs_id"]).select("region", "obs_id", "vector", F.concat(F.array("g"), "drawn").alias("groups"))
+    scored = _replicate_silhouettes(members)
+    seen = scored.where("replicate = 0").select("region", F.col("silhouette").alias("observed"), "n_obs")
+    wide = scored.where("replicate > 0").drop("n_obs").join(seen, "region").groupBy("region", "observed", "n_obs")
+    count = lambda c: F.sum(c.cast("int"))
+    both = wide.agg(F.avg("silhouette").alias("mean"), F.stddev_samp("silhouette").alias("spread"), F.count(F.lit(1)).alias("n"), count(F.col("silhouette") >= F.col("observed")).alias("above"), count(F.col("silhouette") <= F.col("observed")).alias("below"))
     one = lambda c: (F.col(c) + 1) / (F.col("n") + 1)
-    return both.select("label", "observed", "mean", "spread", (F.col("observed") - F.col("mean")).alias("adjusted"), ((F.col("observed") - F.col("mean")) / (F.col("spread") + 1e-12)).alias("z"), F.least(F.lit(1.0), 2 * F.least(one("above"), one("below"))).alias("p"))
+    gap = F.col("observed") - F.col("mean")
+    return both.select(F.col("region").alias("label"), "observed", "mean", "spread", gap.alias("adjusted"), (gap / (F.col("spread") + 1e-12)).alias("z"), F.least(F.lit(1.0), 2 * F.least(one("above"), one("below"))).alias("p"), "n_obs")
+
+
+def region_vectors(expr: DataFrame, genes: DataFrame) -> DataFrame:
+    """Each observation's values of its region's genes, in order of name: ``(section, obs_id, label, vector)``.
+
+    ``expr`` is dense; ``genes(label, feature)`` lists some tens to hundreds a region.
+    """
+    wanted = if_small(genes.select("label", "feature").distinct())
+    entry = F.struct("feature", "value")
+    return expr.join(wanted, ["label", "feature"]).groupBy("section", "obs_id", "label").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["value"]).alias("vector"))
+
+
+def region_silhouettes(expr: DataFrame, obs: DataFrame, genes: DataFrame, n_perm: int = 200, least: int = 10) -> DataFrame:
+    """A row a region; silhouette columns are null without genes, with fewer than ``least`` observations, or with one section."""
+    n = obs.groupBy("label").agg(F.count(F.lit(1)).alias("n_spots"))
+    n_genes = genes.groupBy("label").agg(F.countDistinct("feature").alias("n_genes"))
+    able = if_small(n.where(F.col("n_spots") >= least).select("label"))
+    scored = permuted_silhouette(region_vectors(expr, genes).join(able, "label", "left_semi"), n_perm).drop("n_obs")
+    return n.join(n_genes, "label", "left").withColumn("n_genes", F.coalesce("n_genes", F.lit(0).cast("long"))).join(scored, "label", "left")
 
 
 def heterogeneity_score(silhouettes: DataFrame, stability: DataFrame) -> DataFrame:

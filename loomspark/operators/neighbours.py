@@ -282,15 +282,16 @@ def distance_quantile(points: DataFrame, others: DataFrame, q: float | None = No
     plan = if_small(plan)
 
     def dealt(df: DataFrame, mine: str, theirs: str, block: str, other: str) -> DataFrame:
-        blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int")
-        return df.join(plan, key).select("section", "obs_id", "x", "y", "wide", F.pmod(F.xxhash64("obs_id"), blocks(mine)).cast("int").alias(block), F.explode(F.sequence(F.lit(0), blocks(theirs) - 1)).alias(other))
+        n_blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int")
+        return df.join(plan, key).select("section", "obs_id", "x", "y", "wide", F.pmod(F.xxhash64("obs_id"), n_blocks(mine)).cast("int").alias(block), F.explode(F.sequence(F.lit(0), n_blocks(theirs) - 1)).alias(other))
 
-    left, right = dealt(points, "n_a", "n_b", "i", "j"), dealt(others, "n_b", "n_a", "j", "i")
+    left = dealt(points, "n_a", "n_b", "i", "j")
+    right = dealt(others, "n_b", "n_a", "j", "i").toDF(*[f"{c}_b" for c in ("section", "obs_id", "x", "y", "wide", "j", "i")])
 
     def distances(p: pa.Table, o: pa.Table) -> np.ndarray:
         at = lambda t, c: t.column(c).to_numpy()
-        d = np.sqrt((at(p, "x")[:, None] - at(o, "x")[None]) ** 2 + (at(p, "y")[:, None] - at(o, "y")[None]) ** 2)
-        return d[at(p, "obs_id")[:, None] < at(o, "obs_id")[None]] if own else d.ravel()
+        d = np.sqrt((at(p, "x")[:, None] - at(o, "x_b")[None]) ** 2 + (at(p, "y")[:, None] - at(o, "y_b")[None]) ** 2)
+        return d[at(p, "obs_id")[:, None] < at(o, "obs_id_b")[None]] if own else d.ravel()
 
     def count(p: pa.Table, o: pa.Table) -> pa.Table:
         if not len(p) or not len(o):
@@ -299,8 +300,8 @@ def distance_quantile(points: DataFrame, others: DataFrame, q: float | None = No
         bin_, n = np.unique(np.minimum((distances(p, o) / wide * bins).astype(np.int32), bins - 1), return_counts=True)
         return pa.table({"section": pa.array([p.column("section")[0].as_py()] * len(n), pa.string()), "bin": pa.array(bin_), "c": pa.array(n.astype(np.int64))})
 
-    group = lambda df: df.groupBy("section", "i", "j")
-    counted = group(left).cogroup(group(right)).applyInArrow(count, "section string, bin int, c long").groupBy("section", "bin").agg(F.sum("c").alias("c"))
+    blocks = lambda df: df.groupBy("section", "i", "j").cogroup(right.groupBy("section_b", "i_b", "j_b"))
+    counted = blocks(left).applyInArrow(count, "section string, bin int, c long").groupBy("section", "bin").agg(F.sum("c").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("section").orderBy("bin"))  # a row a bin
     ranked = counted.withColumn("before", upto - F.col("c")).join(plan, key)
     low, high = F.floor("at"), F.ceil("at")
@@ -315,7 +316,7 @@ def distance_quantile(points: DataFrame, others: DataFrame, q: float | None = No
         own_d, n = np.unique(d[here], return_counts=True)
         return pa.table({"section": pa.array([p.column("section")[0].as_py()] * len(n), pa.string()), "d": pa.array(own_d), "c": pa.array(n.astype(np.int64))})
 
-    again = group(left.join(wanted, key)).cogroup(group(right)).applyInArrow(values, "section string, d double, c long").groupBy("section", "d").agg(F.sum("c").alias("c"))
+    again = blocks(left.join(wanted, key)).applyInArrow(values, "section string, d double, c long").groupBy("section", "d").agg(F.sum("c").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("section").orderBy("d"))
     placed = again.withColumn("upto", upto).join(wanted, key).withColumn("last", F.col("before") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("c") + 1)
     holds = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("d")))

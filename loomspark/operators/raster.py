@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.columns import between
+from loomspark.functions.joins import if_small
+from loomspark.operators.neighbours import plane_neighbours
+
 
 def mask_labels(obs: DataFrame, mask: DataFrame, rounded: bool = False, scale: float = 1.0, background: str = "nan") -> DataFrame:
     """The mask's label at each observation, by truncated or (half to even) rounded coordinates; outside is background."""
@@ -14,42 +18,114 @@ def mask_labels(obs: DataFrame, mask: DataFrame, rounded: bool = False, scale: f
     return placed.join(named, ["section", "mx", "my"], "left").select("section", "obs_id", F.coalesce("mask_label", F.lit(background)).alias("mask_label"))
 
 
-def grid_to_spots(spots: DataFrame, grid: DataFrame, size: float, cell: float, by: str = "overlap") -> DataFrame:
-    """Cells under each spot's square, averaged with the overlapping area as weight.
+def grid_to_spots(spots: DataFrame, grid: DataFrame, size: float, cell: float, by: str = "overlap", skip_zero: bool = False, statistic: str = "weighted") -> DataFrame:
+    """Cells under each spot's square, averaged with the overlapping area as weight.
 
-    ``spots(section, obs_id, x, y)``, ``grid(section, gx, gy, value)``. ``by``: divide by the area found
-    (``overlap``) or by the whole spot's (``spot``), which counts what lies off the grid as 0.
+    ``spots(section, obs_id, x, y)``, ``grid(section, gx, gy, value)``, with ``feature`` if it has several. ``by``:
+    divide by the area found (``overlap``) or by the whole spot's (``spot``), which counts what lies off the grid
+    as 0. ``statistic`` may be the plain ``mean`` or ``median`` instead; ``skip_zero`` leaves out cells that are 0.
     """
     half = size / 2
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / cell).cast("int"), (F.ceil((F.col(c) + half) / cell) - 1).cast("int")))
     under = spots.withColumn("gx", span("x")).withColumn("gy", span("y"))
     cover = lambda c, g: F.least(F.col(c) + half, (F.col(g) + 1) * cell) - F.greatest(F.col(c) - half, F.col(g) * cell)
-    weighed = under.withColumn("area", cover("x", "gx") * cover("y", "gy")).where("area > 0").join(grid, ["section", "gx", "gy"])
+    cells = grid.where("value != 0") if skip_zero else grid
+    weighed = under.withColumn("area", cover("x", "gx") * cover("y", "gy")).where("area > 0").join(cells, ["section", "gx", "gy"])
     whole = F.sum("area") if by == "overlap" else F.lit(size * size)
-    return weighed.groupBy("section", "obs_id").agg((F.sum(F.col("value") * F.col("area")) / whole).alias("value"), F.count(F.lit(1)).alias("n_cells"))
+    value = {"weighted": F.sum(F.col("value") * F.col("area")) / whole, "mean": F.avg("value"), "median": F.percentile("value", F.lit(0.5))}[statistic]
+    key = ["section", "obs_id", *(["feature"] if "feature" in grid.columns else [])]
+    return weighed.groupBy(*key).agg(value.alias("value"), F.count(F.lit(1)).alias("n_cells"))
 
 
 def window_means(grid: DataFrame, radius: int) -> DataFrame:
-    """Mean over the square window round each cell, clipped at the edge, from two passes of running sums."""
-    rows = Window.partitionBy("section", "gy").orderBy("gx").rangeBetween(-radius, radius)
-    columns = Window.partitionBy("section", "gx").orderBy("gy").rangeBetween(-radius, radius)
+    """Mean over the square window round each cell, clipped at the edge, from two passes of running sums.
+
+    With a ``feature`` column each feature by itself. A pass's partition is one line of the grid.
+    """
+    key = ["section", *(["feature"] if "feature" in grid.columns else [])]
+    rows = Window.partitionBy(*key, "gy").orderBy("gx").rangeBetween(-radius, radius)
+    columns = Window.partitionBy(*key, "gx").orderBy("gy").rangeBetween(-radius, radius)
     along = grid.withColumn("s", F.sum("value").over(rows)).withColumn("n", F.count("value").over(rows))
-    return along.select("section", "gx", "gy", (F.sum("s").over(columns) / F.sum("n").over(columns)).alias("mean"))
+    return along.select(*key, "gx", "gy", (F.sum("s").over(columns) / F.sum("n").over(columns)).alias("mean"))
+
 
+def scan_extremes(obs: DataFrame, axis: str = "x") -> DataFrame:
+    """By line of the array, the median pixel along the axis and the least and greatest pixel across it.
+
+    ``obs(section, array_x, array_y, x, y)``. ``axis`` x scans lines of equal ``array_x``: the median of x and
+    the ends of y; y the other way round. Points with a missing or infinite coordinate don't count.
+    """
+    along, across, line = ("x", "y", "array_x") if axis == "x" else ("y", "x", "array_y")
+    finite = F.col(line).isNotNull()
+    for c in ("x", "y"):
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return obs.where(finite).groupBy("section", F.col(line).alias("line")).agg(F.percentile(along, F.lit(0.5)).alias("median"), F.min(across).alias("least"), F.max(across).alias("most"))
 
-def scan_extremes(obs: DataFrame) -> DataFrame:
-    """By row of the array, the median along it and the least and greatest places across it."""
-    return obs.groupBy("section", "y").agg(F.percentile("y", F.lit(0.5)).alias("median"), F.min("x").alias("least"), F.max("x").alias("most"))
 
+def tile_statistics(pixels: DataFrame, size: int) -> DataFrame:
+    """Colours by tile: ``(section, tx, ty, spread, mean, spread_scaled, mean_scaled, ratio)``.
 
-def impute(weights: DataFrame, known: DataFrame) -> DataFrame:
-    """Values at new places as sums of known ones, weighted by inverse squared distance (0.1 added).
+    ``pixels(section, gx, gy, channel, value)``. ``spread`` is the population deviation of all values of a tile;
+    ``mean`` weighs the channels' means by their variance over the section's tiles (equally where nothing
+    varies). Both scaled to [1, 2] over the section, their ratio to [0, 1]; what is constant scales to the low end.
+    """
+    tile = ["section", "tx", "ty"]
+    cut = pixels.withColumn("tx", F.floor(F.col("gx") / size)).withColumn("ty", F.floor(F.col("gy") / size))
+    sums = cut.groupBy(*tile, "channel").agg(F.avg("value").alias("m"), F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    weights = if_small(sums.groupBy("section", "channel").agg(F.var_pop("m").alias("w")))
+    w = F.sum("w")
+    mean = F.when(w > 1e-12, F.sum(F.col("m") * F.col("w")) / F.when(w > 1e-12, w)).otherwise(F.avg("m"))
+    n, s = F.sum("n"), F.sum("s")
+    tiles = sums.join(weights, ["section", "channel"]).groupBy(*tile).agg(F.sqrt(F.greatest(F.sum("q") / n - (s / n) ** 2, F.lit(0.0))).alias("spread"), mean.alias("mean"))
+    ends = lambda c: [F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}")]
+    known = tiles.join(if_small(tiles.groupBy("section").agg(*ends("spread"), *ends("mean"))), "section")
+    scaled = known.withColumn("spread_scaled", between(F.col("spread"), F.col("low_spread"), F.col("high_spread")) + 1).withColumn("mean_scaled", between(F.col("mean"), F.col("low_mean"), F.col("high_mean")) + 1)
+    raw = scaled.withColumn("raw", F.col("spread_scaled") / F.col("mean_scaled"))
+    whole = raw.join(if_small(raw.groupBy("section").agg(*ends("raw"))), "section")
+    return whole.select(*tile, "spread", "mean", "spread_scaled", "mean_scaled", between(F.col("raw"), F.col("low_raw"), F.col("high_raw")).alias("ratio"))
+
+
+def impute(weights: DataFrame, known: DataFrame, how: str = "inverse", power: float = 2.0, scale: float = 1.0) -> DataFrame:
+    """Values at new places as sums of known ones.
 
     ``weights(section, obs_id, other_id, d2)`` from a neighbour search, ``known(section, obs_id, feature, value)``.
+    Weights are ``inverse`` powers of the distance (0.1 added to it as raised), ``exponential`` in the distance
+    over ``scale``, or ``uniform``; a place's weights add up to 1.
     """
-    w = weights.withColumn("w", 1 / (F.col("d2") + 0.1)).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("section", "obs_id")))
+    d = F.sqrt("d2")
+    w = {"inverse": 1 / ((F.col("d2") if power == 2 else F.pow(d, F.lit(power))) + 0.1), "exponential": F.exp(-d / scale), "uniform": F.lit(1.0)}[how]
+    shared = weights.withColumn("w", w).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("section", "obs_id")))
     values = known.select("section", F.col("obs_id").alias("other_id"), "feature", "value")
-    return w.join(values, ["section", "other_id"]).groupBy("section", "obs_id", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return shared.join(values, ["section", "other_id"]).groupBy("section", "obs_id", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def pseudo_grid(obs: DataFrame, step: float, most: int = 250_000) -> DataFrame:
+    """Places ``step`` apart over each section's bounds: ``(section, obs_id, x, y)``, ids by row and column.
+
+    A section of more than ``most`` places is an error when rows are read.
+    """
+    ends = [f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "low"), (F.max, "high"))]
+    box = obs.groupBy("section").agg(*ends)
+    n = lambda c: F.floor((F.col(f"high_{c}") - F.col(f"low_{c}")) / step + 1e-9).cast("long")
+    sized = box.withColumn("nx", n("x")).withColumn("ny", n("y"))
+    able = F.when((F.col("nx") + 1) * (F.col("ny") + 1) > most, F.raise_error("too many places: choose a larger step").cast("boolean")).otherwise(F.lit(True))
+    rows = sized.where(able).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny"))))
+    cells = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx"))))
+    return cells.select("section", (F.col("i") * (F.col("nx") + 1) + F.col("j")).alias("obs_id"), (F.col("low_x") + F.col("j") * step).alias("x"), (F.col("low_y") + F.col("i") * step).alias("y"))
+
+
+def enhance(obs: DataFrame, expr: DataFrame, step: float, k: int = 10, cut: float | None = 0.95, how: str = "inverse", cell: float = 1.0) -> DataFrame:
+    """Values on a grid of pseudo-places from the k nearest observations: ``(section, obs_id, feature, value)``.
+
+    Places whose nearest observation lies beyond the section's ``cut`` quantile of such distances are dropped.
+    """
+    near = plane_neighbours(pseudo_grid(obs, step), obs, k, cell)
+    if cut is not None:
+        first = near.where("place = 1")
+        far = first.groupBy("section").agg(F.percentile("d2", F.lit(cut)).alias("far"))
+        kept = first.join(if_small(far), "section").where(F.col("d2") <= F.col("far")).select("section", "obs_id")
+        near = near.join(kept, ["section", "obs_id"], "left_semi")
+    return impute(near, expr, how)
 
 
 def boundary_scores(clusters: DataFrame, features: DataFrame, least: int = 10, veto: float = 0.8) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.columns import min_max
+from loomspark.functions.joins import if_small
 from loomspark.operators.neighbours import neighbour_composition
 
 _PAIR = ["section", "region_i", "region_j"]
@@ -58,7 +59,7 @@ def combine_distances(components: DataFrame, weights: dict[str, float]) -> DataF
 def integrate_sections(distances: DataFrame, obs: DataFrame) -> DataFrame:
     """Mean over sections weighted by their observations, then average ranks of the pairs."""
     size = obs.groupBy("section").agg(F.count(F.lit(1)).alias("n_obs"))
-    mean = distances.join(F.broadcast(size), "section").groupBy("region_i", "region_j").agg((F.sum(F.col("n_obs") * F.col("distance")) / F.sum("n_obs")).alias("distance"))
+    mean = distances.join(if_small(size), "section").groupBy("region_i", "region_j").agg((F.sum(F.col("n_obs") * F.col("distance")) / F.sum("n_obs")).alias("distance"))
     near = mean.withColumn("near", F.round("distance", 9))
     ordered = Window.orderBy("near")  # a row a pair of regions
     return near.withColumn("rank", F.rank().over(ordered) + (F.count(F.lit(1)).over(Window.partitionBy("near")) - 1) / 2).drop("near")
@@ -104,7 +105,7 @@ def tree_table(spark: SparkSession, ranked: DataFrame, most_pairs: int = 100_000
 
 def tree_paths(splits: DataFrame) -> DataFrame:
     """Every node with its ancestors' number and the root-to-node path, by repeated joins down the tree."""
-    edges = splits.select("parent", F.explode(F.array("child_1", "child_2")).alias("node")).persist()
+    edges = if_small(splits.select("parent", F.explode(F.array("child_1", "child_2")).alias("node")))
     root = edges.select(F.col("parent").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
     layer = root.select("node", F.col("node").alias("path"), F.lit(0).alias("depth"))
     found = layer
@@ -120,17 +121,23 @@ def ks_similarity(expr: DataFrame, query: str) -> DataFrame:
     """1 less the two-sample Kolmogorov-Smirnov statistic of each feature, every other section against ``query``.
 
     Values of both samples are merged in order with steps of their empirical distributions; the gap is read
-    at the last of equal values.
+    at the last of equal values. The query's distribution is not copied by section: at each value the gaps of
+    all sections to it are taken at once, from their running sums as an array.
     """
-    n = Window.partitionBy("section", "feature")
-    steps = expr.groupBy("section", "feature", "value").agg(F.count(F.lit(1)).alias("c")).withColumn("step", F.col("c") / F.sum("c").over(n))
-    refs = steps.where(F.col("section") != query)
-    own = steps.where(F.col("section") == query).select("feature", "value", (-F.col("step")).alias("step"))
-    sections = refs.select("section").distinct()
-    both = refs.select("section", "feature", "value", "step").unionByName(own.join(F.broadcast(sections), how="cross"))  # a copy of the query's steps for each section
-    gaps = both.groupBy("section", "feature", "value").agg(F.sum("step").alias("step"))
-    running = Window.partitionBy("section", "feature").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return gaps.withColumn("gap", F.abs(F.sum("step").over(running))).groupBy("section", "feature").agg((1 - F.max("gap")).alias("similarity"))
+    counted = expr.groupBy("section", "feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    total = if_small(counted.groupBy("section", "feature").agg(F.sum("c").alias("n")))
+    steps = counted.join(total, ["section", "feature"]).select("section", "feature", "value", (F.col("c") / F.col("n")).alias("step"))
+    names = [r.section for r in total.select("section").distinct().orderBy("section").collect()]  # a row a section
+    others = [n for n in names if n != query]
+    of = lambda name: F.sum(F.when(F.col("section") == name, F.col("step")).otherwise(0.0))
+    wide = steps.groupBy("feature", "value").agg(*[of(n).alias(f"s{i}") for i, n in enumerate([query, *others])])
+    running = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = wide.select("feature", *[F.sum(f"s{i}").over(running).alias(f"f{i}") for i in range(len(others) + 1)])
+    gaps = upto.groupBy("feature").agg(*[F.max(F.abs(F.col(f"f{i}") - F.col("f0"))).alias(f"g{i}") for i in range(1, len(others) + 1)])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), (1 - F.col(f"g{i}")).alias("similarity")) for i, n in enumerate(others, 1)]))
+    found = gaps.select("feature", rows.alias("x")).select("x.section", "feature", "x.similarity") if others else gaps.select(F.lit(query).alias("section"), "feature", F.lit(None).cast("double").alias("similarity")).limit(0)
+    held = total.select("section", "feature")
+    return found.join(if_small(held), ["section", "feature"], "left_semi").join(if_small(held.where(F.col("section") == query).select("feature")), "feature", "left_semi")
 
 
 def select_references(similarity: DataFrame, valid: DataFrame, alpha: float = 0.9, least: float = 0.7) -> DataFrame:
@@ -150,3 +157,82 @@ def select_references(similarity: DataFrame, valid: DataFrame, alpha: float = 0.
     best_above = F.row_number().over(everything.orderBy(F.desc("above"), F.desc("score"), "section"))
     chosen = F.when(~F.col("any_above"), F.col("first") == 1).when(F.col("any_both"), F.col("both")).otherwise(F.col("first_above") == 1)
     return both.withColumn("first", best).withColumn("first_above", best_above).select("section", "similarity", "weight", "score", "above", "by_rule", chosen.alias("chosen"), (~F.col("any_above")).alias("none_above"))
+
+
+def first_split(splits: DataFrame) -> DataFrame:
+    """The root's two children with their regions: ``(parent, child, regions)``.
+
+    ``splits`` as the tree's table gives it; a leaf's region is its own name.
+    """
+    root = splits.where("level = 0")
+    regions = splits.select(F.col("parent").alias("child"), "regions")
+    children = root.select("parent", F.explode(F.array("child_1", "child_2")).alias("child"))
+    return children.join(regions, "child", "left").select("parent", "child", F.coalesce("regions", "child").alias("regions"))
+
+
+def split_order(splits: DataFrame, largest_first: bool = True) -> DataFrame:
+    """Splits by their number of regions, in the order of levels and names where equal: ``(parent, n_regions, place)``."""
+    n = splits.withColumn("n_regions", F.size(F.split("regions", ";")))
+    order = Window.orderBy(F.desc("n_regions") if largest_first else F.asc("n_regions"), "level", "parent")  # a row a split
+    return n.select("parent", "n_regions", F.row_number().over(order).alias("place"))
+
+
+def tree_nodes(splits: DataFrame) -> DataFrame:
+    """Every node with its kind, parent and regions: ``(node, kind, parent, regions)``; the root has no parent."""
+    edges = splits.select("parent", F.explode(F.array("child_1", "child_2")).alias("node"))
+    inner = splits.select(F.col("parent").alias("node"), "regions")
+    every = edges.select("node").union(splits.select(F.col("parent"))).distinct()
+    kind = F.when(F.col("regions").isNull(), "leaf").when(F.col("parent").isNull(), "root").otherwise("internal")
+    return every.join(edges, "node", "left").join(inner, "node", "left").select("node", kind.alias("kind"), "parent", F.coalesce("regions", "node").alias("regions"))
+
+
+def store_components(parts: dict[str, DataFrame]) -> DataFrame:
+    """Component distances of all sections in one table, to be written once and weighed again at will."""
+    named = [df.select(*_PAIR, "distance").withColumn("component", F.lit(name)) for name, df in parts.items()]
+    out = named[0]
+    for df in named[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def reweight(components: DataFrame, obs: DataFrame, weights: dict[str, float], sections: list[str] | None = None) -> DataFrame:
+    """Ranks of region pairs from stored components with other weights, and of some sections only.
+
+    A component with a weight that no section has is an error, as is a section that is not stored.
+    """
+    held = {(r.section, r.component) for r in components.select("section", "component").distinct().collect()}  # a row a section and component
+    known, have = {s for s, _ in held}, {c for _, c in held}
+    lacking = [k for k, w in weights.items() if w and k not in have] + [s for s in sections or [] if s not in known]
+    if lacking:
+        raise ValueError(f"not stored: {', '.join(lacking)}")
+    chosen = components if sections is None else components.where(F.col("section").isin(sections))
+    return integrate_sections(combine_distances(chosen, weights), obs)
+
+
+def tree_features(markers: dict[str, DataFrame]) -> DataFrame:
+    """The features that distances are taken over, ``(section, modality, feature)``, from markers of each modality.
+
+    ``markers`` are region markers by modality, gene and image chosen by their own bounds.
+    """
+    named = [df.select("section", "feature").distinct().withColumn("modality", F.lit(name)) for name, df in markers.items()]
+    out = named[0]
+    for df in named[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def infer_tree(expr: DataFrame, obs: DataFrame, features: DataFrame, weights: dict[str, float], radius: float, most_pairs: int = 100_000) -> dict[str, DataFrame]:
+    """H11's features, distances by section and modality, the neighbourhood's, their mean over sections, and the tree.
+
+    ``expr(section, obs_id, label, modality, feature, value)``. A modality without features has weight 0.
+    """
+    have = {r.modality for r in features.select("modality").distinct().collect()}  # a row a modality
+    parts = {}
+    for name in sorted(have):
+        wanted = if_small(features.where(F.col("modality") == name).select("section", "feature"))
+        parts[name] = feature_distance(expr.where(F.col("modality") == name).join(wanted, ["section", "feature"], "left_semi"))
+    parts["Spatial"] = spatial_distance(obs, radius)
+    used = {k: (w if k in parts else 0.0) for k, w in weights.items()}
+    components = store_components(parts)
+    ranked = integrate_sections(combine_distances(components, used), obs)
+    return {"components": components, "ranked": ranked, "splits": tree_table(expr.sparkSession, ranked, most_pairs)}

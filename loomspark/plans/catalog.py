@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.joins import if_small
 from loomspark.operators import assignment as a
+from loomspark.operators import config_choice as cc
 from loomspark.operators import embedding as e
 from loomspark.operators import features as f
 from loomspark.operators import heterogeneity as h
@@ -18,7 +20,7 @@ from loomspark.operators import markers as m
 from loomspark.operators import neighbours as n
 from loomspark.operators import raster as g
 from loomspark.operators import regions as r
-from loomspark.operators import transfer as t
+from loomspark.operators import subtypes as st
 from loomspark.sources import tables as s
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,16 +55,16 @@ def _expr(spark: SparkSession, d: str) -> DataFrame:
 # --- selection -------------------------------------------------------------------------------------------
 
 
-@query("s01_section_scan", f"WITH {_OBS} SELECT section, obs_id, label, x, y FROM obs WHERE section IN ('s0', 's1')")
+@query("s01_section_scan", f"WITH {_OBS} SELECT section, obs_id, label, x, y FROM obs")
 def section_scan(spark: SparkSession, d: str) -> DataFrame:
-    return s.obs(spark, d).where(F.col("section").isin("s0", "s1"))
+    return s.obs(spark, d)
 
 
 @query("s02_reference_scan", f"WITH {_EXPR}, k AS (SELECT feature FROM expr GROUP BY feature, section HAVING avg((value > 0.5)::INT) >= 0.05), ok AS (SELECT feature FROM k GROUP BY feature HAVING count(*) = 4), z AS (SELECT section, obs_id, feature, value, min(value) OVER w AS lo, max(value) OVER w AS hi FROM expr WHERE feature IN (SELECT feature FROM ok) WINDOW w AS (PARTITION BY section, feature)) SELECT section, feature, count(*) AS n_obs, round(avg(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END), 6) AS mean FROM z GROUP BY section, feature")
 def reference_scan(spark: SparkSession, d: str) -> DataFrame:
     expr = _expr(spark, d)
     ok = f.shared_features(f.detected_features(expr.withColumn("value", F.when(F.col("value") > 0.5, F.col("value")).otherwise(0.0)), s.obs(spark, d)))
-    return f.scale_min_max(expr.join(F.broadcast(ok.select("feature")), "feature", "left_semi")).groupBy("section", "feature").agg(F.count(F.lit(1)).alias("n_obs"), _r(F.avg("value"), "mean"))
+    return f.scale_min_max(expr.join(if_small(ok.select("feature")), "feature", "left_semi")).groupBy("section", "feature").agg(F.count(F.lit(1)).alias("n_obs"), _r(F.avg("value"), "mean"))
 
 
 @query("p01_project_features", f"WITH {_RAW} SELECT section, obs_id, feature, value, ord FROM raw JOIN (VALUES ('f5', 0), ('f1', 1), ('f63', 3)) AS w(feature, ord) USING (feature)")
@@ -107,10 +109,12 @@ def split_modality(spark: SparkSession, d: str) -> DataFrame:
     return f.split_modality(s.raw_expr(spark, d), "F6").groupBy("modality").agg(F.countDistinct("feature").alias("n_features"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("p15_common_observations", f"WITH {_OBS} SELECT section, obs_id FROM obs WHERE obs_id % 3 != 0 AND obs_id % 5 != 0")
+@query("p15_common_observations", f"WITH {_RAW}, hi AS (SELECT DISTINCT section, obs_id FROM raw WHERE feature IN ('f0', 'f1') AND value > 0.2), lo AS (SELECT DISTINCT section, obs_id FROM raw WHERE feature IN ('f2', 'f3') AND value < -0.2) SELECT section, obs_id FROM hi SEMI JOIN lo USING (section, obs_id)")
 def common_observations(spark: SparkSession, d: str) -> DataFrame:
-    o = s.obs(spark, d).select("section", "obs_id")
-    return o.where("obs_id % 3 != 0").join(o.where("obs_id % 5 != 0"), ["section", "obs_id"], "left_semi")
+    raw = s.raw_expr(spark, d)
+    key = ["section", "obs_id"]
+    high = raw.where("feature in ('f0', 'f1') and value > 0.2").select(*key).distinct()
+    return high.join(raw.where("feature in ('f2', 'f3') and value < -0.2").select(*key).distinct(), key, "left_semi")
 
 
 # --- scaling ---------------------------------------------------------------------------------------------
@@ -207,7 +211,15 @@ def adjusted_p(spark: SparkSession, d: str) -> DataFrame:
     return m.adjust(m.rank_sum(_expr(spark, d)), "section", "label").select("section", "label", "feature", _r("p", places=5), _r("p_adj", places=5))
 
 
-@query("a06_markers_tested")
+_TESTS = f"""k AS (SELECT *, rank() OVER (PARTITION BY section, feature ORDER BY value) + (count(*) OVER (PARTITION BY section, feature, value) - 1) / 2 AS rk FROM expr),
+ri AS (SELECT section, label, feature, count(*) AS n_in, sum(rk)::DOUBLE AS rank_sum FROM k GROUP BY ALL), ro AS (SELECT *, (sum(n_in) OVER (PARTITION BY section, feature) - n_in)::BIGINT AS n_out FROM ri),
+zz AS (SELECT *, (rank_sum - n_in * (n_in + n_out + 1) / 2) / sqrt(n_in * n_out * (n_in + n_out + 1) / 12) AS z FROM ro WHERE n_out > 0),
+tt AS (SELECT section, label, feature, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM zz), pp AS (SELECT section, label, feature, {_P} AS p FROM tt),
+sc AS (SELECT *, p * count(*) OVER (PARTITION BY section, label) / count(*) OVER (PARTITION BY section, label ORDER BY p) AS sc FROM pp),
+pa AS (SELECT section, label, feature, least(1, min(sc) OVER (PARTITION BY section, label ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS p_adj FROM sc)"""
+
+
+@query("a06_markers_tested", f"WITH {_STATS.replace('value > 1', 'value > 0')}, {_TESTS}, mt AS (SELECT section, label, feature, fold_change, p_adj, row_number() OVER (PARTITION BY section, label ORDER BY fold_change DESC, feature) AS place FROM st JOIN pa USING (section, label, feature) WHERE p_adj <= 0.5 AND ratio >= 1 AND fraction_in >= 0.5 AND fold_change >= 1.02) SELECT section, label, feature, place, round(fold_change, 6) AS fold_change, round(p_adj, 5) AS p_adj FROM mt WHERE place <= 10")
 def markers_tested(spark: SparkSession, d: str) -> DataFrame:
     return m.region_markers(_expr(spark, d), most_p=0.5, least_change=1.02).select("section", "label", "feature", "place", _r("fold_change"), _r("p_adj", places=5))
 
@@ -289,16 +301,51 @@ def integrated_ranks(spark: SparkSession, d: str) -> DataFrame:
     return r.integrate_sections(_combined(spark, d), s.obs(spark, d)).select("region_i", "region_j", _r("distance"), "rank")
 
 
-@query("h05_region_tree")
+_RANKED = f"{_COMBINED}, sz AS (SELECT section, count(*) AS n FROM obs GROUP BY section), mn AS (SELECT region_i, region_j, sum(n * distance) / sum(n) AS distance FROM cb JOIN sz USING (section) GROUP BY ALL), rd AS (SELECT *, round(distance, 9) AS nr FROM mn), rk AS (SELECT region_i, region_j, row_number() OVER (ORDER BY nr, region_i, region_j) AS i FROM rd)"
+#: One region pair after the other, with the node that holds each region as a map.
+_TREE = f"""{_RANKED}, t(i, held, n, parent, child_1, child_2, regions) AS (
+  SELECT 0::BIGINT, (SELECT map(list(r), list(r)) FROM (SELECT region_i AS r FROM rd UNION SELECT region_j FROM rd)), 0, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR
+  UNION ALL
+  SELECT i, CASE WHEN a = b THEN held ELSE map(map_keys(held), list_transform(map_values(held), lambda v: CASE WHEN v = a OR v = b THEN 'node_' || (n + 1) ELSE v END)) END, n + (a != b)::INT,
+         CASE WHEN a != b THEN 'node_' || (n + 1) END, CASE WHEN a != b THEN a END, CASE WHEN a != b THEN b END,
+         CASE WHEN a != b THEN array_to_string(list_sort(list_transform(list_filter(map_entries(held), lambda e: e.value = a OR e.value = b), lambda e: e.key)), ';') END
+  FROM (SELECT rk.i, held, n, held[region_i] AS a, held[region_j] AS b FROM t JOIN rk ON rk.i = t.i + 1)),
+me AS (SELECT parent, child_1, child_2, regions, n FROM t WHERE parent IS NOT NULL),
+lv(node, level) AS (SELECT parent, 0 FROM me WHERE n = (SELECT max(n) FROM me) UNION ALL SELECT unnest([child_1, child_2]), level + 1 FROM lv JOIN me ON me.parent = lv.node),
+spl AS (SELECT parent, child_1, child_2, regions, level FROM me JOIN lv ON lv.node = me.parent)"""
+
+
+@query("h05_region_tree", f"WITH RECURSIVE {_TREE} SELECT * FROM spl")
 def region_tree(spark: SparkSession, d: str) -> DataFrame:
     return r.tree_table(spark, r.integrate_sections(_combined(spark, d), s.obs(spark, d)))
 
 
-@query("h06_tree_paths")
+@query("h06_tree_paths", f"WITH RECURSIVE {_TREE}, ph(node, path, depth) AS (SELECT parent, parent, 0 FROM spl WHERE level = 0 UNION ALL SELECT c, path || '/' || c, depth + 1 FROM (SELECT unnest([child_1, child_2]) AS c, path, depth FROM ph JOIN spl ON spl.parent = ph.node)) SELECT * FROM ph")
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     return r.tree_paths(region_tree(spark, d))
 
 
+@query("h08_tree_nodes", f"WITH RECURSIVE {_TREE}, ed AS (SELECT unnest([child_1, child_2]) AS node, parent FROM spl) SELECT node, CASE WHEN spl.parent IS NULL THEN 'leaf' ELSE 'internal' END AS kind, ed.parent, coalesce(spl.regions, node) AS regions FROM ed LEFT JOIN spl ON spl.parent = node UNION ALL SELECT parent, 'root', NULL, regions FROM spl WHERE level = 0")
+def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return r.tree_nodes(region_tree(spark, d))
+
+
+@query("h09_first_split", f"WITH RECURSIVE {_TREE}, ch AS (SELECT parent, unnest([child_1, child_2]) AS child FROM spl WHERE level = 0) SELECT ch.parent, child, coalesce(spl.regions, child) AS regions FROM ch LEFT JOIN spl ON spl.parent = child")
+def first_split(spark: SparkSession, d: str) -> DataFrame:
+    return r.first_split(region_tree(spark, d))
+
+
+@query("w11_split_order", f"WITH RECURSIVE {_TREE} SELECT parent, len(string_split(regions, ';')) AS n_regions, row_number() OVER (ORDER BY len(string_split(regions, ';')) DESC, level, parent) AS place FROM spl")
+def split_order(spark: SparkSession, d: str) -> DataFrame:
+    return r.split_order(region_tree(spark, d))
+
+
+@query("h10_reweight", f"WITH {_COMBINED.rpartition(', cb AS')[0]}, cb AS (SELECT section, region_i, region_j, 2.0 * fd.distance + 1.0 * sd.distance AS distance FROM fd JOIN sd USING (section, region_i, region_j) WHERE section IN ('s0', 's2')), sz AS (SELECT section, count(*) AS n FROM obs GROUP BY section), mn AS (SELECT region_i, region_j, sum(n * distance) / sum(n) AS distance FROM cb JOIN sz USING (section) GROUP BY ALL), rd AS (SELECT *, round(distance, 9) AS nr FROM mn) SELECT region_i, region_j, round(distance, 6) AS distance, rank() OVER (ORDER BY nr) + (count(*) OVER (PARTITION BY nr) - 1) / 2 AS rank FROM rd")
+def reweight(spark: SparkSession, d: str) -> DataFrame:
+    stored = r.store_components({"gene": r.feature_distance(_expr(spark, d)), "spatial": r.spatial_distance(s.obs(spark, d), 3.0)})
+    return r.reweight(stored, s.obs(spark, d), {"gene": 2.0, "spatial": 1.0}, ["s0", "s2"]).select("region_i", "region_j", _r("distance"), "rank")
+
+
 _KS = f"{_EXPR}, qn AS (SELECT count(DISTINCT obs_id)::DOUBLE AS n FROM expr WHERE section = 's3'), rn AS (SELECT section, count(DISTINCT obs_id)::DOUBLE AS n FROM expr GROUP BY section), al AS (SELECT section, feature, value, 1 / n AS st FROM expr JOIN rn USING (section) WHERE section != 's3' UNION ALL SELECT rn.section, feature, value, -1 / qn.n FROM expr, qn, rn WHERE expr.section = 's3' AND rn.section != 's3'), cl AS (SELECT section, feature, value, sum(st) AS st FROM al GROUP BY ALL), rs AS (SELECT section, feature, abs(sum(st) OVER (PARTITION BY section, feature ORDER BY value ROWS UNBOUNDED PRECEDING)) AS gap FROM cl), ks AS (SELECT section, feature, 1 - max(gap) AS similarity FROM rs GROUP BY ALL)"
 
 
@@ -324,11 +371,22 @@ def plane_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return n.plane_neighbours(o, o, 7)
 
 
-@query("j05_nearest_label", f"WITH {_OBS}, nn AS (SELECT a.section, a.obs_id, b.label, row_number() OVER (PARTITION BY a.obs_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.obs_id) AS place FROM obs a JOIN obs b ON a.section = b.section WHERE a.obs_id % 3 = 0 AND b.obs_id % 3 != 0) SELECT section, obs_id, label FROM nn WHERE place = 1")
-def nearest_label(spark: SparkSession, d: str) -> DataFrame:
+#: The query section's places looked up in each reference section, all of them.
+_ACROSS = f"{_OBS}, cr AS (SELECT b.section, a.obs_id, b.obs_id AS other_id, b.label, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2, row_number() OVER (PARTITION BY a.obs_id, b.section ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.obs_id) AS place FROM obs a JOIN obs b ON a.section = 's3' AND b.section != 's3')"
+
+
+def _across(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o = s.obs(spark, d)
-    near = n.plane_neighbours(o.where("obs_id % 3 = 0"), o.where("obs_id % 3 != 0"), 1)
-    return near.join(o.select("section", F.col("obs_id").alias("other_id"), "label"), ["section", "other_id"]).select("section", "obs_id", "label")
+    others = o.where("section != 's3'")
+    asked = o.where("section = 's3'").select("obs_id", "x", "y").join(if_small(others.select("section").distinct()), how="cross")  # a copy a section
+    return asked, others
+
+
+@query("j05_nearest_label", f"WITH {_ACROSS} SELECT section, obs_id, label FROM cr WHERE place = 1")
+def nearest_label(spark: SparkSession, d: str) -> DataFrame:
+    asked, others = _across(spark, d)
+    near = n.plane_neighbours(asked, others, 1)
+    return near.join(others.select("section", F.col("obs_id").alias("other_id"), "label"), ["section", "other_id"]).select("section", "obs_id", "label")
 
 
 @query("l09_refine_labels", f"WITH {_SELF}, v AS (SELECT section, obs_id, label, vote, count(*) AS n, sum(count(*)) OVER (PARTITION BY obs_id) AS al FROM nn WHERE place <= 9 GROUP BY section, obs_id, label, vote), w AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY n DESC, vote) AS r FROM v) SELECT section, obs_id, label, CASE WHEN n * 2 > al THEN vote ELSE label END AS refined FROM w WHERE r = 1")
@@ -354,11 +412,10 @@ def feature_anchors(spark: SparkSession, d: str) -> DataFrame:
     return _anchors(spark, d)
 
 
-@query("j17_impute", f"WITH {_EXPR}, {_OBS}, nn AS (SELECT a.section, a.obs_id, b.obs_id AS other_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2, row_number() OVER (PARTITION BY a.obs_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.obs_id) AS place FROM obs a JOIN obs b ON a.section = b.section WHERE a.obs_id % 5 = 0 AND b.obs_id % 5 != 0), w AS (SELECT *, 1 / (d2 + 0.1) AS w FROM nn WHERE place <= 4), ww AS (SELECT section, obs_id, other_id, w / sum(w) OVER (PARTITION BY obs_id) AS w FROM w) SELECT ww.section, ww.obs_id, feature, round(sum(w * value), 6) AS value FROM ww JOIN expr ON ww.section = expr.section AND other_id = expr.obs_id GROUP BY ALL")
+@query("j17_impute", f"WITH {_EXPR}, {_ACROSS}, w AS (SELECT *, 1 / (d2 + 0.1) AS w FROM cr WHERE place <= 4), ww AS (SELECT section, obs_id, other_id, w / sum(w) OVER (PARTITION BY section, obs_id) AS w FROM w) SELECT ww.section, ww.obs_id, feature, round(sum(w * value), 6) AS value FROM ww JOIN expr ON ww.section = expr.section AND other_id = expr.obs_id GROUP BY ALL")
 def impute(spark: SparkSession, d: str) -> DataFrame:
-    o = s.obs(spark, d)
-    near = n.plane_neighbours(o.where("obs_id % 5 = 0"), o.where("obs_id % 5 != 0"), 4)
-    return g.impute(near, _expr(spark, d)).select("section", "obs_id", "feature", _r("value"))
+    asked, others = _across(spark, d)
+    return g.impute(n.plane_neighbours(asked, others, 4), _expr(spark, d)).select("section", "obs_id", "feature", _r("value"))
 
 
 # --- assignment ------------------------------------------------------------------------------------------
@@ -380,13 +437,22 @@ def hierarchy_anchors(spark: SparkSession, d: str) -> DataFrame:
     return a.hierarchy_anchors(a.feature_flags(expr, a.quantile_thresholds(expr, "r1")))
 
 
-_CROSS = f"{_ANCHORS}, bw AS (SELECT obs_id, CASE WHEN label IN ('r0', 'r1', 'r2', 'r3', 'r4') THEN 'left' ELSE 'right' END AS branch FROM an GROUP BY ALL), cu AS (SELECT obs_id, obs_id % 7 AS cluster FROM ve WHERE section = 's3'), sz AS (SELECT cluster, count(*) AS size FROM cu GROUP BY cluster), ht AS (SELECT cluster, branch, count(*) AS n FROM cu JOIN bw USING (obs_id) GROUP BY ALL), ct AS (SELECT sz.cluster, size, b.branch, b.ord, coalesce(n, 0) AS n, 100.0::DOUBLE * coalesce(n, 0) / size AS percent FROM sz CROSS JOIN (VALUES ('left', 0), ('right', 1)) AS b(branch, ord) LEFT JOIN ht ON ht.cluster = sz.cluster AND ht.branch = b.branch), cx AS (SELECT *, n / nullif(sum(n) OVER (PARTITION BY branch), 0) AS share FROM ct)"
+_CROSS = f"{_ANCHORS}, bw AS (SELECT obs_id, CASE WHEN label IN ('r0', 'r1', 'r2', 'r3', 'r4') THEN 'left' ELSE 'right' END AS branch FROM an GROUP BY ALL), cu AS (SELECT obs_id, list_position(v[1:7], list_max(v[1:7])) - 1 AS cluster FROM ve WHERE section = 's3'), sz AS (SELECT cluster, count(*) AS size FROM cu GROUP BY cluster), ht AS (SELECT cluster, branch, count(*) AS n FROM cu JOIN bw USING (obs_id) GROUP BY ALL), ct AS (SELECT sz.cluster, size, b.branch, b.ord, coalesce(n, 0) AS n, 100.0::DOUBLE * coalesce(n, 0) / size AS percent FROM sz CROSS JOIN (VALUES ('left', 0), ('right', 1)) AS b(branch, ord) LEFT JOIN ht ON ht.cluster = sz.cluster AND ht.branch = b.branch), cx AS (SELECT *, n / nullif(sum(n) OVER (PARTITION BY branch), 0) AS share FROM ct)"
+
+
+def largest_axis(column: str, n: int) -> Column:
+    """The number of the largest of the first n features: a clustering that SQL can repeat."""
+    return (F.array_position(F.slice(column, 1, n), F.array_max(F.slice(column, 1, n))) - 1).cast("int")
+
+
+def _axis_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return s.vectors(spark, d).where("section = 's3'").select("section", "obs_id", "x", "y", largest_axis("vector", 7).alias("cluster"))
 
 
 def _cross(spark: SparkSession, d: str) -> DataFrame:
     left = F.col("label").isin("r0", "r1", "r2", "r3", "r4")
     hits = _anchors(spark, d).select("obs_id", F.when(left, "left").otherwise("right").alias("branch"))
-    clusters = s.obs(spark, d).where("section = 's3'").select("obs_id", (F.col("obs_id") % 7).alias("cluster"))
+    clusters = _axis_clusters(spark, d).select("obs_id", "cluster")
     branches = spark.range(1).select(F.inline(F.array(F.struct(F.lit("left").alias("branch"), F.lit(0).alias("ord")), F.struct(F.lit("right").alias("branch"), F.lit(1).alias("ord")))))
     return a.cross_table(clusters, hits, branches)
 
@@ -403,7 +469,7 @@ def assign_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j16_scatter_labels", f"WITH {_CROSS}, b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY percent DESC, ord) AS r FROM cx WHERE size >= 10), fi AS (SELECT obs_id, CASE WHEN percent > 5 THEN branch ELSE 'novel_cluster' END AS branch FROM b JOIN cu USING (cluster) WHERE r = 1), {_OBS} SELECT obs.obs_id, section, label, coalesce(branch, 'novel_cluster') AS final FROM obs LEFT JOIN fi USING (obs_id)")
 def scatter_labels(spark: SparkSession, d: str) -> DataFrame:
-    clusters = s.obs(spark, d).where("section = 's3'").select("obs_id", (F.col("obs_id") % 7).alias("cluster"))
+    clusters = _axis_clusters(spark, d).select("obs_id", "cluster")
     final = clusters.join(a.assign_clusters(_cross(spark, d)), "cluster").select("obs_id", "branch")
     return a.scatter_labels(s.obs(spark, d), final).select("obs_id", "section", "label", "final")
 
@@ -413,74 +479,134 @@ def binary_ratio(spark: SparkSession, d: str) -> DataFrame:
     return a.binary_ratio(s.obs(spark, d), "r1").select("section", _r("ratio"))
 
 
-_ARI = f"{_OBS}, q AS (SELECT section, label, obs_id % 5 AS cl, count(*) AS n FROM obs GROUP BY ALL), ce AS (SELECT section, sum(n * (n - 1) / 2) AS ce, sum(n) AS al FROM q GROUP BY section), ro AS (SELECT section, sum(n * (n - 1) / 2) AS ro FROM (SELECT section, label, sum(n) AS n FROM q GROUP BY ALL) GROUP BY section), co AS (SELECT section, sum(n * (n - 1) / 2) AS co FROM (SELECT section, cl, sum(n) AS n FROM q GROUP BY ALL) GROUP BY section), ri AS (SELECT section, (ce - ro * co / (al * (al - 1) / 2)) / ((ro + co) / 2 - ro * co / (al * (al - 1) / 2)) AS ari FROM ce JOIN ro USING (section) JOIN co USING (section))"
+_ARI = f"q AS (SELECT 's' || (vec_id % 4) AS section, 'r' || label AS label, list_position(embedding[1:5], list_max(embedding[1:5])) AS cl, count(*) AS n FROM embeddings GROUP BY ALL), ce AS (SELECT section, sum(n * (n - 1) / 2) AS ce, sum(n) AS al FROM q GROUP BY section), ro AS (SELECT section, sum(n * (n - 1) / 2) AS ro FROM (SELECT section, label, sum(n) AS n FROM q GROUP BY ALL) GROUP BY section), co AS (SELECT section, sum(n * (n - 1) / 2) AS co FROM (SELECT section, cl, sum(n) AS n FROM q GROUP BY ALL) GROUP BY section), ri AS (SELECT section, (ce - ro * co / (al * (al - 1) / 2)) / ((ro + co) / 2 - ro * co / (al * (al - 1) / 2)) AS ari FROM ce JOIN ro USING (section) JOIN co USING (section))"
 
 
 @query("a22_adjusted_rand", f"WITH {_ARI} SELECT section, round(ari, 6) AS ari FROM ri")
 def adjusted_rand(spark: SparkSession, d: str) -> DataFrame:
-    return a.adjusted_rand(s.obs(spark, d).withColumn("cl", F.col("obs_id") % 5), "label", "cl", "section").select("section", _r("ari"))
+    return a.adjusted_rand(s.vectors(spark, d).withColumn("cl", largest_axis("vector", 5)), "label", "cl", "section").select("section", _r("ari"))
 
 
-@query("a21_score_summary", "SELECT event_type AS kind, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS least, max(value) AS most, count(value) AS n, row_number() OVER (ORDER BY avg(value) DESC, event_type) AS place FROM events GROUP BY event_type")
+_ARIS = "aq AS (SELECT k, 's' || (vec_id % 4) AS section, 'r' || label AS label, list_position(embedding[1:k], list_max(embedding[1:k])) AS cl, count(*) AS n FROM embeddings, (VALUES (3), (5), (8)) AS u(k) GROUP BY ALL), ace AS (SELECT k, section, sum(n * (n - 1) / 2) AS ce, sum(n) AS al FROM aq GROUP BY ALL), aro AS (SELECT k, section, sum(n * (n - 1) / 2) AS ro FROM (SELECT k, section, label, sum(n) AS n FROM aq GROUP BY ALL) GROUP BY ALL), aco AS (SELECT k, section, sum(n * (n - 1) / 2) AS co FROM (SELECT k, section, cl, sum(n) AS n FROM aq GROUP BY ALL) GROUP BY ALL), ari AS (SELECT k, section, (ce - ro * co / (al * (al - 1) / 2)) / ((ro + co) / 2 - ro * co / (al * (al - 1) / 2)) AS ari FROM ace JOIN aro USING (k, section) JOIN aco USING (k, section))"
+
+
+@query("a21_score_summary", f"WITH {_ARIS} SELECT 'axes_' || k AS kind, round(avg(ari), 6) AS mean, round(quantile_cont(ari, 0.5), 6) AS median, round(min(ari), 6) AS least, round(max(ari), 6) AS most, count(ari) AS n, row_number() OVER (ORDER BY avg(ari) DESC, k) AS place FROM ari GROUP BY k")
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = a.summarise_scores(s.read(spark, d, "events").withColumnRenamed("event_type", "kind"), "kind", "value")
-    return out.select("kind", _r("mean"), _r("median"), "least", "most", "n", "place")
+    v = s.vectors(spark, d)
+    scores = None
+    for k in (3, 5, 8):
+        one = a.adjusted_rand(v.withColumn("cl", largest_axis("vector", k)), "label", "cl", "section").withColumn("kind", F.lit(f"axes_{k}")).withColumn("status", F.lit("success"))
+        scores = one if scores is None else scores.unionByName(one)
+    return cc.score_summary(scores, "kind").select("kind", _r("mean"), _r("median"), _r("least"), _r("most"), "n", "place")
 
 
-@query("j04_transfer_columns", f"WITH {_OBS} SELECT section, obs_id, label, x FROM obs WHERE obs_id % 2 = 0")
+@query("j04_transfer_columns", f"WITH {_SELF} SELECT nn.section, nn.obs_id AS asked_by, other_id AS obs_id, vote AS label, b.x FROM nn JOIN obs b ON b.section = nn.section AND b.obs_id = other_id WHERE place <= 2")
 def transfer_columns(spark: SparkSession, d: str) -> DataFrame:
     o = s.obs(spark, d)
-    return a.transfer_columns(o, o.where("obs_id % 2 = 0").select("section", "obs_id"), ["label", "x"]).select("section", "obs_id", "label", "x")
+    target = n.plane_neighbours(o, o, 2).select("section", F.col("obs_id").alias("asked_by"), F.col("other_id").alias("obs_id"))
+    return a.transfer_columns(o, target, ["label", "x"]).select("section", "asked_by", "obs_id", "label", "x")
 
 
-@query("j15_missing_observations", f"WITH {_OBS} SELECT section, obs_id FROM obs WHERE obs_id % 7 = 0")
+@query("j15_missing_observations", f"WITH {_ANCHORS} SELECT section, obs_id FROM ve WHERE section = 's3' AND obs_id NOT IN (SELECT obs_id FROM an WHERE n_votes > 1)")
 def missing_observations(spark: SparkSession, d: str) -> DataFrame:
-    o = s.obs(spark, d).select("section", "obs_id")
-    return a.missing_observations(o, o.where("obs_id % 7 != 0"))
+    found = _anchors(spark, d).where("n_votes > 1").select(F.lit("s3").alias("section"), "obs_id")
+    return a.missing_observations(s.obs(spark, d).where("section = 's3'").select("section", "obs_id"), found)
+
+
+_HITS = f"{_ANCHORS}, nbs AS (SELECT a.section, a.label, b.obs_id, row_number() OVER (PARTITION BY a.obs_id ORDER BY round(list_distance(a.v, b.v), 9), b.obs_id) AS place FROM ve a, ve b WHERE a.section != 's3' AND b.section = 's3'), hs AS (SELECT DISTINCT section, label, obs_id FROM nbs WHERE place <= 5)"
+
+
+def _section_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = s.vectors(spark, d)
+    refs = v.where("section != 's3'")
+    sections = refs.select("section").distinct()
+    copies = v.where("section = 's3'").select("obs_id", "vector").join(if_small(sections), how="cross")  # a copy a section
+    return n.anchors(refs, copies, 5, ["section"]), sections
 
 
-@query("a12_vote_anchors", f"WITH {_OBS} SELECT label, obs_id // 8 AS obs_id, count(DISTINCT section) AS n_votes FROM obs GROUP BY ALL HAVING count(DISTINCT section) >= 2")
+@query("a12_vote_anchors", f"WITH {_HITS} SELECT label, obs_id, count(*) AS n_votes FROM hs GROUP BY ALL HAVING count(*) >= 2")
 def vote_anchors(spark: SparkSession, d: str) -> DataFrame:
-    flags = s.obs(spark, d).select("section", "label", F.expr("obs_id div 8").alias("obs_id"))
-    return n.vote_anchors(flags, 4, "min_count", 2)
+    return n.vote_anchors(_section_hits(spark, d)[0], 3, "min_count", 2)
+
+
+@query("l02_reference_votes", f"WITH {_HITS} SELECT label, obs_id, count(*) AS n_votes FROM hs GROUP BY ALL HAVING count(*) >= 3")
+def reference_votes(spark: SparkSession, d: str) -> DataFrame:
+    hits, sections = _section_hits(spark, d)
+    return n.vote_references(hits, sections, 0)
+
+
+@query("l01_two_sided_anchors", f"WITH {_HITS}, sd AS (SELECT *, CASE WHEN label IN ('r0', 'r1', 'r2', 'r3', 'r4') THEN 'left' ELSE 'right' END AS side FROM nbs) SELECT side AS label, obs_id, count(*) AS n_votes FROM sd WHERE place <= CASE WHEN side = 'left' THEN 5 ELSE 3 END GROUP BY ALL")
+def two_sided_anchors(spark: SparkSession, d: str) -> DataFrame:
+    v = s.vectors(spark, d)
+    sided = v.where("section != 's3'").withColumn("label", F.when(F.col("label").isin("r0", "r1", "r2", "r3", "r4"), "left").otherwise("right"))
+    return n.anchors(sided, v.where("section = 's3'"), {"left": 5, "right": 3})
+
+
+@query("l01_shared_modalities", f"WITH {_ANCHORS}, mo AS (SELECT *, CASE m WHEN 0 THEN v[1:32] ELSE v[33:64] END AS w, m FROM ve, (VALUES (0), (1)) AS u(m)), nm AS (SELECT a.m, a.label, b.obs_id, row_number() OVER (PARTITION BY a.m, a.obs_id ORDER BY round(list_distance(a.w, b.w), 9), b.obs_id) AS place FROM mo a JOIN mo b ON a.m = b.m WHERE a.section != 's3' AND b.section = 's3') SELECT label, obs_id FROM nm WHERE place <= 5 GROUP BY ALL HAVING count(DISTINCT m) = 2")
+def shared_modalities(spark: SparkSession, d: str) -> DataFrame:
+    v = s.vectors(spark, d)
+    both = F.explode(F.array(F.struct(F.lit("Gene").alias("modality"), F.slice("vector", 1, 32).alias("vector")), F.struct(F.lit("Image").alias("modality"), F.slice("vector", 33, 32).alias("vector"))))
+    parts = v.select("section", "obs_id", "label", both.alias("m")).select("section", "obs_id", "label", "m.modality", "m.vector")
+    return n.combine_modalities(n.anchors(parts.where("section != 's3'"), parts.where("section = 's3'"), 5, ["modality"]), "shared", 2)
+
+
+@query("l04_anchor_summary", f"WITH {_ANCHORS} SELECT label, count(DISTINCT obs_id) AS n_anchors, (SELECT count(*) FROM ve WHERE section = 's3') AS n_obs, round(count(DISTINCT obs_id) / (SELECT count(*) FROM ve WHERE section = 's3'), 6) AS fraction FROM an GROUP BY label")
+def anchor_summary(spark: SparkSession, d: str) -> DataFrame:
+    total = s.obs(spark, d).where("section = 's3'").agg(F.count(F.lit(1)).alias("n_obs"))
+    return a.anchor_summary(_anchors(spark, d), total, ["label"]).select("label", "n_anchors", "n_obs", _r("fraction"))
 
 
 # --- raster ----------------------------------------------------------------------------------------------
 
-_GRID = "gr AS (SELECT 's' || (vec_id % 4) AS section, ((vec_id // 4) % 25)::INT AS gx, ((vec_id // 4) // 25)::INT AS gy, embedding[1]::DOUBLE AS value FROM embeddings)"
+_GRID = "gr AS (SELECT 's' || (vec_id % 4) AS section, 'f' || (i - 1) AS feature, ((vec_id // 4) % 25)::INT AS gx, ((vec_id // 4) // 25)::INT AS gy, embedding[i]::DOUBLE AS value FROM embeddings, unnest(generate_series(1, 64)) AS u(i))"
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    return s.read(spark, d, "embeddings").select(F.expr("concat('s', vec_id % 4)").alias("section"), F.expr("int((vec_id div 4) % 25)").alias("gx"), F.expr("int((vec_id div 4) div 25)").alias("gy"), F.get("embedding", 0).cast("double").alias("value"))
+    cell = s.raw_expr(spark, d)
+    return cell.select("section", "feature", F.expr("int((obs_id div 4) % 25)").alias("gx"), F.expr("int((obs_id div 4) div 25)").alias("gy"), "value")
 
 
-@query("a36_grid_to_spots", f"WITH {_GRID}, {_OBS}, o AS (SELECT a.section, a.obs_id, value, (least(a.x * 3 + 2.5, (gx + 1) * 2) - greatest(a.x * 3 - 2.5, gx * 2)) AS w, (least(a.y * 3 + 2.5, (gy + 1) * 2) - greatest(a.y * 3 - 2.5, gy * 2)) AS hh FROM obs a JOIN gr ON a.section = gr.section) SELECT section, obs_id, round(sum(value * w * hh) / sum(w * hh), 6) AS value, count(*) AS n_cells FROM o WHERE w > 0 AND hh > 0 GROUP BY ALL")
+@query("a36_grid_to_spots", f"WITH {_GRID}, {_OBS}, o AS (SELECT a.section, a.obs_id, feature, value, (least(a.x * 3 + 2.5, (gx + 1) * 2) - greatest(a.x * 3 - 2.5, gx * 2)) AS w, (least(a.y * 3 + 2.5, (gy + 1) * 2) - greatest(a.y * 3 - 2.5, gy * 2)) AS hh FROM obs a JOIN gr ON a.section = gr.section) SELECT section, obs_id, feature, round(sum(value * w * hh) / sum(w * hh), 6) AS value, count(*) AS n_cells FROM o WHERE w > 0 AND hh > 0 GROUP BY ALL")
 def grid_to_spots(spark: SparkSession, d: str) -> DataFrame:
     spots = s.obs(spark, d).withColumn("x", F.col("x") * 3).withColumn("y", F.col("y") * 3)
-    return g.grid_to_spots(spots, _grid(spark, d), 5.0, 2.0).select("section", "obs_id", _r("value"), "n_cells")
+    return g.grid_to_spots(spots, _grid(spark, d), 5.0, 2.0).select("section", "obs_id", "feature", _r("value"), "n_cells")
 
 
-@query("a37_window_means", f"WITH {_GRID} SELECT a.section, a.gx, a.gy, round(avg(b.value), 6) AS mean FROM gr a JOIN gr b ON a.section = b.section AND abs(a.gx - b.gx) <= 2 AND abs(a.gy - b.gy) <= 2 GROUP BY ALL")
+@query("a37_window_means", f"WITH {_GRID} SELECT a.section, a.feature, a.gx, a.gy, round(avg(b.value), 6) + 0 AS mean FROM gr a JOIN gr b ON a.section = b.section AND a.feature = b.feature AND abs(a.gx - b.gx) <= 2 AND abs(a.gy - b.gy) <= 2 GROUP BY ALL")
 def window_means(spark: SparkSession, d: str) -> DataFrame:
-    return g.window_means(_grid(spark, d), 2).select("section", "gx", "gy", _r("mean"))
+    return g.window_means(_grid(spark, d), 2).select("section", "feature", "gx", "gy", (F.round("mean", 6) + 0.0).alias("mean"))  # no negative zero
+
 
+_SCAN = "sc AS (SELECT 's' || (vec_id % 4) AS section, vec_id % 25 AS array_x, vec_id // 25 AS array_y, embedding[1]::DOUBLE + 3 * (vec_id % 25) AS x, embedding[2]::DOUBLE + 3 * (vec_id // 25) AS y FROM embeddings)"
 
-@query("a38_scan_extremes", f"WITH {_OBS} SELECT section, y, quantile_cont(y, 0.5) AS median, min(x) AS least, max(x) AS most FROM obs GROUP BY ALL")
+
+@query("a38_scan_extremes", f"WITH {_SCAN} SELECT 'x' AS axis, section, array_x AS line, quantile_cont(x, 0.5) AS median, min(y) AS least, max(y) AS most FROM sc GROUP BY ALL UNION ALL SELECT 'y', section, array_y, quantile_cont(y, 0.5), min(x), max(x) FROM sc GROUP BY ALL")
 def scan_extremes(spark: SparkSession, d: str) -> DataFrame:
-    return g.scan_extremes(s.obs(spark, d))
+    at = lambda i: F.get("vector", i)
+    lines = s.vectors(spark, d).select("section", (F.col("obs_id") % 25).alias("array_x"), F.expr("obs_id div 25").alias("array_y"), (at(0) + 3 * (F.col("obs_id") % 25)).alias("x"), (at(1) + 3 * F.expr("obs_id div 25")).alias("y"))
+    return g.scan_extremes(lines, "x").withColumn("axis", F.lit("x")).unionByName(g.scan_extremes(lines, "y").withColumn("axis", F.lit("y")))
+
+
+@query("a40_tile_statistics", f"""WITH {_GRID}, ti AS (SELECT section, gx // 2 AS tx, gy // 2 AS ty, feature, value FROM gr), mc AS (SELECT section, tx, ty, feature, avg(value) AS m FROM ti GROUP BY ALL), sd AS (SELECT section, tx, ty, stddev_pop(value) AS spread FROM ti GROUP BY ALL),
+w AS (SELECT section, feature, var_pop(m) AS w FROM mc GROUP BY ALL), z AS (SELECT section, tx, ty, sum(m * w) / sum(w) AS mean FROM mc JOIN w USING (section, feature) GROUP BY ALL),
+n AS (SELECT *, (spread - min(spread) OVER v) / (max(spread) OVER v - min(spread) OVER v) + 1 AS ss, (mean - min(mean) OVER v) / (max(mean) OVER v - min(mean) OVER v) + 1 AS ms FROM sd JOIN z USING (section, tx, ty) WINDOW v AS (PARTITION BY section))
+SELECT section, tx, ty, round(spread, 6) AS spread, round(mean, 6) AS mean, round(ss, 6) AS spread_scaled, round(ms, 6) AS mean_scaled, round((ss / ms - min(ss / ms) OVER v) / (max(ss / ms) OVER v - min(ss / ms) OVER v), 6) AS ratio FROM n WINDOW v AS (PARTITION BY section)""")
+def tile_statistics(spark: SparkSession, d: str) -> DataFrame:
+    pixels = _grid(spark, d).withColumnRenamed("feature", "channel")
+    return g.tile_statistics(pixels, 2).select("section", "tx", "ty", *[_r(c) for c in ("spread", "mean", "spread_scaled", "mean_scaled", "ratio")])
 
 
-@query("j12_mask_labels", f"WITH {_OBS}, mk AS (SELECT section, x::INT AS x, y::INT AS y, 'm' || label AS ml FROM obs WHERE obs_id % 2 = 0) SELECT o.section, o.obs_id, coalesce(ml, 'nan') AS mask_label FROM obs o LEFT JOIN mk ON o.section = mk.section AND o.x::INT = mk.x AND o.y::INT = mk.y")
+@query("j12_mask_labels", f"WITH {_OBS}, mk AS (SELECT x::INT AS x, y::INT AS y, 'm' || label AS ml FROM obs WHERE section = 's0') SELECT o.section, o.obs_id, coalesce(ml, 'nan') AS mask_label FROM obs o LEFT JOIN mk ON o.x::INT = mk.x AND o.y::INT = mk.y")
 def mask_labels(spark: SparkSession, d: str) -> DataFrame:
     o = s.obs(spark, d)
-    mask = o.where("obs_id % 2 = 0").select("section", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.concat(F.lit("m"), "label").alias("label"))
-    return g.mask_labels(o, mask)
+    one = o.where("section = 's0'").select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.concat(F.lit("m"), "label").alias("label"))
+    return g.mask_labels(o, one.join(if_small(o.select("section").distinct()), how="cross"))  # a copy a section
 
 
-@query("a33_boundary_scores", f"WITH {_RAW}, mn AS (SELECT section, label AS cluster, feature, avg(value) AS m, count(*) AS n FROM raw WHERE feature IN ('f0', 'f1', 'f2') GROUP BY ALL), sc AS (SELECT section, cluster, sum(abs(m)) AS score, max(n) AS size FROM mn GROUP BY ALL HAVING max(n) >= 5), rk AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score, cluster) AS place FROM sc), ot AS (SELECT section, quantile_cont(score, 0.5) AS med FROM rk WHERE place > 1 GROUP BY section) SELECT section, cluster, round(score, 6) AS score, size, place = 1 AND NOT coalesce(score > 0.8 * med, false) AS boundary FROM rk LEFT JOIN ot USING (section)")
+@query("a33_boundary_scores", f"WITH {_RAW}, mn AS (SELECT section, label AS cluster, feature, avg(value) AS m, count(*) AS n FROM raw GROUP BY ALL), sc AS (SELECT section, cluster, sum(abs(m)) AS score, max(n) AS size FROM mn GROUP BY ALL HAVING max(n) >= 5), rk AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score, cluster) AS place FROM sc), ot AS (SELECT section, quantile_cont(score, 0.5) AS med FROM rk WHERE place > 1 GROUP BY section) SELECT section, cluster, round(score, 6) AS score, size, place = 1 AND NOT coalesce(score > 0.8 * med, false) AS boundary FROM rk LEFT JOIN ot USING (section)")
 def boundary_scores(spark: SparkSession, d: str) -> DataFrame:
     o = s.obs(spark, d).select("section", "obs_id", F.col("label").alias("cluster"))
-    rgb = s.raw_expr(spark, d).where(F.col("feature").isin("f0", "f1", "f2")).select("section", "obs_id", "feature", "value")
+    rgb = s.raw_expr(spark, d).select("section", "obs_id", "feature", "value")
     return g.boundary_scores(o, rgb, 5).select("section", "cluster", _r("score"), "size", "boundary")
 
 
@@ -494,38 +620,70 @@ def principal_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c04_k_means")
 def k_means(spark: SparkSession, d: str) -> DataFrame:
-    return e.k_means(e.scaled(e.principal_components(s.vectors(spark, d), 10), "pca"), 5, "pca", 3).select("section", "obs_id", "cluster")
+    return e.k_means(e.scaled(e.principal_components(s.vectors(spark, d), 10), "pca"), 5, "pca").select("section", "obs_id", "cluster")
 
 
-@query("c07_merge_small_clusters")
-def merge_small_clusters(spark: SparkSession, d: str) -> DataFrame:
-    v = s.vectors(spark, d).withColumn("cluster", F.expr("int(least(obs_id % 40, 6))"))
-    return e.merge_small_clusters(v, 20).select("section", "obs_id", "cluster")
+@query("c02_selected_features", f"WITH {_RAW}, l AS (SELECT section, obs_id, feature, value, CASE feature WHEN 'f9' THEN 0 WHEN 'f3' THEN 1 ELSE 2 END AS ord FROM raw WHERE feature IN ('f9', 'f3', 'f40')) SELECT section, obs_id, round(max(value) FILTER (WHERE ord = 0), 6) AS first, round(max(value) FILTER (WHERE ord = 1), 6) AS second, round(max(value) FILTER (WHERE ord = 2), 6) AS third FROM l GROUP BY ALL")
+def selected_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(i).alias("ord")) for i, x in enumerate(["f9", "f3", "f40", "f9"])])
+    found = e.selected_features(s.raw_expr(spark, d), spark.range(1).select(F.inline(rows)))
+    return found.select("section", "obs_id", *[_r(F.get("vector", i), name) for i, name in enumerate(("first", "second", "third"))])
 
 
-@query("c14_modality_scores")
-def modality_scores(spark: SparkSession, d: str) -> DataFrame:
-    return t.modality_scores(s.vectors(spark, d), s.obs(spark, d), 10, 1)
+_MANY = "mc AS (SELECT 's' || (vec_id % 4) AS section, vec_id AS obs_id, embedding::DOUBLE[] AS v, list_position(embedding, list_max(embedding)) - 1 AS cluster FROM embeddings), sz AS (SELECT cluster, count(*) AS n FROM mc GROUP BY cluster), kp AS (SELECT cluster FROM sz WHERE n >= 8 ORDER BY n DESC, cluster LIMIT 10)"
 
 
-@query("a28_silhouette", f"WITH ve AS (SELECT 's' || (vec_id % 4) AS section, vec_id AS obs_id, 'r' || label AS label, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT a.label, a.obs_id, a.section, b.section AS os, sum(list_distance(a.v, b.v)) AS d, count(*) AS n FROM ve a JOIN ve b ON a.label = b.label GROUP BY ALL), ab AS (SELECT label, obs_id, max(CASE WHEN section = os THEN d / greatest(n - 1, 1) END) AS a, min(CASE WHEN section != os THEN d / n END) AS b, max(CASE WHEN section = os THEN n END) AS own FROM ds GROUP BY ALL) SELECT label AS region, round(avg(CASE WHEN own <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n_obs FROM ab WHERE b IS NOT NULL GROUP BY label")
+@query("w07_kept_clusters", f"WITH {_MANY} SELECT cluster, n FROM sz WHERE cluster IN (SELECT cluster FROM kp)")
+def kept_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return e.kept_clusters(s.vectors(spark, d).withColumn("cluster", largest_axis("vector", 64)), 8, 10)
+
+
+@query("c07_control_clusters", f"""WITH {_MANY}, ce AS (SELECT cluster, i, avg(v[i]) AS m FROM mc, unnest(generate_series(1, 64)) AS u(i) GROUP BY ALL), ds AS (SELECT a.cluster, b.cluster AS to_c, round(sum((a.m - b.m) ** 2), 9) AS d FROM ce a JOIN ce b USING (i) WHERE a.cluster NOT IN (SELECT cluster FROM kp) AND b.cluster IN (SELECT cluster FROM kp) GROUP BY ALL),
+ne AS (SELECT cluster, first(to_c ORDER BY d, to_c) AS to_c FROM ds GROUP BY cluster), mv AS (SELECT section, obs_id, coalesce(to_c, mc.cluster) AS c FROM mc LEFT JOIN ne USING (cluster)), rn AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS no FROM mv GROUP BY c) SELECT section, obs_id, no AS cluster FROM mv JOIN rn USING (c)""")
+def control_clusters(spark: SparkSession, d: str) -> DataFrame:
+    v = s.vectors(spark, d).withColumn("cluster", largest_axis("vector", 64))
+    return e.control_clusters(v, 8, 10).select("section", "obs_id", "cluster")
+
+
+_SILHOUETTE = "ve AS (SELECT 's' || (vec_id % 4) AS section, vec_id AS obs_id, 'r' || label AS label, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT a.label, a.obs_id, a.section, b.section AS os, sum(list_distance(a.v, b.v)) AS d, count(*) AS n FROM ve a JOIN ve b ON a.label = b.label GROUP BY ALL), ab AS (SELECT label, obs_id, max(CASE WHEN section = os THEN d / greatest(n - 1, 1) END) AS a, min(CASE WHEN section != os THEN d / n END) AS b, max(CASE WHEN section = os THEN n END) AS own FROM ds GROUP BY ALL), si AS (SELECT label AS region, avg(CASE WHEN own <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette, count(*) AS n_obs FROM ab WHERE b IS NOT NULL GROUP BY label)"
+
+
+@query("a28_silhouette", f"WITH {_SILHOUETTE} SELECT region, round(silhouette, 6) AS silhouette, n_obs FROM si")
 def silhouette(spark: SparkSession, d: str) -> DataFrame:
     return h.silhouette(s.vectors(spark, d)).select("region", _r("silhouette"), "n_obs")
 
 
 @query("x01_heterogeneity_score")
 def heterogeneity_score(spark: SparkSession, d: str) -> DataFrame:
-    return h.heterogeneity_score(h.permuted_silhouette(s.vectors(spark, d), 10), m.marker_stability(_markers(spark, d)))
+    found = st.score_regions(_expr(spark, d), s.obs(spark, d), 200, **_LOOSE)
+    return found["scores"].select("label", _r("adjusted_silhouette"), _r("adjusted_genes"), _r("score"), _r("scaled"))
+
+
+@query("a29_region_silhouettes")
+def region_silhouettes(spark: SparkSession, d: str) -> DataFrame:
+    markers = _markers(spark, d)
+    return h.region_silhouettes(_expr(spark, d), s.obs(spark, d), m.marker_union(markers, f.shared_features(markers)), 200)
 
 
-@query("w05_heterogeneous_regions")
+_STABLE = f"{_MARKED}, prs AS (SELECT a.label, a.section AS sa, b.section AS sb, count(*) AS i FROM mk a JOIN mk b ON a.label = b.label AND a.feature = b.feature AND a.section < b.section GROUP BY ALL), szs AS (SELECT label, section, count(*) AS n FROM mk GROUP BY ALL), js AS (SELECT a.label, coalesce(i, 0) / (a.n + b.n - coalesce(i, 0)) AS j FROM szs a JOIN szs b ON a.label = b.label AND a.section < b.section LEFT JOIN prs ON prs.label = a.label AND sa = a.section AND sb = b.section), us AS (SELECT label, count(DISTINCT feature) AS union_size FROM mk GROUP BY label), sb AS (SELECT label, (1 - avg(j)) * ln(1 + union_size) / ln(1 + max(union_size) OVER ()) AS adjusted FROM us LEFT JOIN js USING (label) GROUP BY label, union_size)"
+_SCORED = f"{_STABLE}, {_SILHOUETTE}, hs AS (SELECT sb.label, silhouette * adjusted AS score FROM si JOIN sb ON sb.label = si.region), hz AS (SELECT label, score, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS scaled FROM hs)"
+
+
+def _observed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A30 on silhouettes as they are, not held against permuted ones: what SQL can repeat."""
+    seen = h.silhouette(s.vectors(spark, d)).select(F.col("region").alias("label"), F.col("silhouette").alias("adjusted"))
+    return h.heterogeneity_score(seen, m.marker_stability(_markers(spark, d)))
+
+
+@query("a30_observed_scores", f"WITH {_SCORED} SELECT label, round(score, 6) AS score, round(scaled, 6) AS scaled FROM hz")
+def observed_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _observed_scores(spark, d).select("label", _r("score"), _r("scaled"))
+
+
+@query("w05_heterogeneous_regions", f"WITH {_SCORED} SELECT label, round(scaled, 6) AS scaled, rank() OVER (ORDER BY scaled DESC) AS place FROM hz QUALIFY rank() OVER (ORDER BY scaled DESC) <= 3")
 def heterogeneous_regions(spark: SparkSession, d: str) -> DataFrame:
-    return h.heterogeneous_regions(heterogeneity_score(spark, d), top=3)
+    return h.heterogeneous_regions(_observed_scores(spark, d), top=3).select("label", _r("scaled"), "place")
 
 
-@query("l14_label_transfer")
-def label_transfer(spark: SparkSession, d: str) -> DataFrame:
-    ranked = r.integrate_sections(_combined(spark, d), s.obs(spark, d)).select("region_i", "region_j", "rank").collect()  # a row a pair of regions
-    v = s.vectors(spark, d)
-    done = t.transfer_labels(v.where("section != 's3'"), v.where("section = 's3'"), r.build_tree([tuple(x) for x in ranked]), t.TransferSettings(seeds=1))
-    return done.membership
+#: Bounds under which the given vectors, which hold little structure, have markers.
+_LOOSE: dict[str, float] = {"most_p": 1.0, "least_ratio": 0.9, "least_change": 1.0, "n": 20}
