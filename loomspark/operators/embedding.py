@@ -22,7 +22,7 @@ from loomspark.sources.materialise import materialise
 #: Rows of each group from which seeds are drawn, and numbers of all centroids together.
 SEED_ROWS, MOST_NUMBERS = 1_000, 20_000_000
 #: Steps of k-means and the relative fall in cost at which it ends.
-STEPS, LEAST_FALL = 25, 1e-4
+STEPS, LEAST_FALL = 20, 1e-3
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -9,7 +9,7 @@ from loomspark.operators import features as f
 from loomspark.operators import hierarchy_features as hf
 from loomspark.operators import markers as m
 from loomspark.operators import regions as r
-from loomspark.plans.catalog import _EXPR, _MARKED, _OBS, _P, _RAW, _expr, _markers, _r, query
+from loomspark.plans.catalog import _EXPR, _MARKED, _OBS, _P, _RAW, _SPATIAL, _expr, _markers, _r, query
 from loomspark.sources import tables as s
 
 #: A tree over the ten regions: fixed values.
@@ -166,3 +166,41 @@ def outside_image(spark: SparkSession, d: str) -> DataFrame:
 def drop_by_prefix(spark: SparkSession, d: str) -> DataFrame:
     orders = s.read(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("kmeans_1"), F.col("o_orderdate").alias("kmeans_2"))
     return f.drop_columns_by_prefix(orders, "kmeans_")
+
+
+@query("s06_align_features", f"WITH {_RAW}, {_OBS} SELECT raw.section, raw.obs_id, feature, round(value, 6) AS value, x, y FROM raw JOIN obs USING (section, obs_id) WHERE obs.section IN ('s1', 's2')")
+def align_features(spark: SparkSession, d: str) -> DataFrame:
+    stored = s.raw_expr(spark, d).drop("label").withColumn("kmeans_10", F.lit(0))
+    return s.align_features(stored, s.obs(spark, d).where("section in ('s1', 's2')")).select("section", "obs_id", "feature", _r("value"), "x", "y")
+
+
+@query("p16_active_observations", f"WITH {_RAW}, {_SIDES} SELECT section, obs_id, feature, round(value, 6) AS value FROM raw WHERE label IN (SELECT label FROM sides WHERE child = 'low_b')")
+def active_observations(spark: SparkSession, d: str) -> DataFrame:
+    inside = hf.split_sides(splits(spark)).where("child = 'low_b'").select("label")
+    members = s.obs(spark, d).join(F.broadcast(inside), "label", "left_semi")
+    return s.active_observations(s.raw_expr(spark, d), members).select("section", "obs_id", "feature", _r("value"))
+
+
+_CHOSEN = {"gene": {"least_ratio": 0.9, "least_change": 1.02, "least_fraction": 0.0, "n": 10}, "image": {"least_ratio": 0.9, "least_change": 1.02, "least_fraction": 0.0, "n": 5}}
+_TREE_MARKS = f"{_EXPR}, px AS (SELECT *, CASE WHEN contains(feature, 'f6') THEN 'image' ELSE 'gene' END AS modality FROM expr), gi AS (SELECT section, modality, label, feature, count(*) AS n_in, sum(value) AS s_in, sum((value > 0)::INT) AS d_in FROM px GROUP BY ALL), go AS (SELECT *, sum(n_in) OVER w - n_in AS n_out, sum(s_in) OVER w - s_in AS s_out, sum(d_in) OVER w - d_in AS d_out FROM gi WINDOW w AS (PARTITION BY section, feature)), gs AS (SELECT section, modality, label, feature, exp(s_in / n_in - s_out / n_out) AS fc, CASE WHEN d_out > 0 THEN (d_in / n_in) / (d_out / n_out) WHEN d_in > 0 THEN 'inf'::DOUBLE END AS ratio FROM go WHERE n_out > 0), gm AS (SELECT section, modality, label, feature FROM gs WHERE ratio >= 0.9 AND fc >= 1.02 QUALIFY row_number() OVER (PARTITION BY section, modality, label ORDER BY fc DESC, feature) <= CASE modality WHEN 'gene' THEN 10 ELSE 5 END), tf AS (SELECT DISTINCT section, modality, feature FROM gm)"
+
+
+def _tree_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    both = f.split_modality(_expr(spark, d), "f6").withColumn("modality", F.lower("modality"))
+    marks = {name: m.select_markers(m.group_statistics(both.where(F.col("modality") == name)), None, **bounds) for name, bounds in _CHOSEN.items()}  # type: ignore[arg-type]
+    return both, r.tree_features(marks)
+
+
+@query("h11_tree_features", f"WITH {_TREE_MARKS} SELECT * FROM tf")
+def tree_features(spark: SparkSession, d: str) -> DataFrame:
+    return _tree_features(spark, d)[1]
+
+
+_SPATIAL_PART = _SPATIAL.replace("pr AS", "spr AS").replace("FROM pr ", "FROM spr ")
+
+
+@query("h12_tree_ranks", f"WITH {_TREE_MARKS}, {_SPATIAL_PART}, ce AS (SELECT section, modality, label, feature, avg(value) AS v FROM px JOIN tf USING (section, modality, feature) GROUP BY ALL), rw AS (SELECT a.section, a.modality, a.label AS region_i, b.label AS region_j, sqrt(sum((a.v - b.v) ** 2)) AS raw FROM ce a JOIN ce b ON a.section = b.section AND a.modality = b.modality AND a.feature = b.feature AND a.label < b.label GROUP BY ALL), fd AS (SELECT *, CASE WHEN max(raw) OVER w > min(raw) OVER w THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 0 END AS distance FROM rw WINDOW w AS (PARTITION BY section, modality)), al AS (SELECT section, region_i, region_j, distance * CASE modality WHEN 'gene' THEN 1.0 ELSE 0.5 END AS wd FROM fd UNION ALL SELECT section, region_i, region_j, distance FROM sd), cb AS (SELECT section, region_i, region_j, sum(wd) AS distance FROM al GROUP BY ALL), sz AS (SELECT section, count(*) AS n FROM obs GROUP BY section), mn AS (SELECT region_i, region_j, sum(n * distance) / sum(n) AS distance FROM cb JOIN sz USING (section) GROUP BY ALL), rd AS (SELECT *, round(distance, 9) AS nr FROM mn) SELECT region_i, region_j, round(distance, 6) AS distance, rank() OVER (ORDER BY nr) + (count(*) OVER (PARTITION BY nr) - 1) / 2 AS rank FROM rd")
+def tree_ranks(spark: SparkSession, d: str) -> DataFrame:
+    both, wanted = _tree_features(spark, d)
+    done = r.infer_tree(both, s.obs(spark, d), wanted, {"gene": 1.0, "image": 0.5, "Spatial": 1.0}, 3.0)
+    return done["ranked"].select("region_i", "region_j", _r("distance"), "rank")

@@ -69,3 +69,45 @@ def write_coordinates(df: DataFrame, path: str, id_column: str = "spot_id") -> N
 def images(spark: SparkSession, folder: str, pattern: str = "*.{jpg,jpeg,png,tif,tiff}") -> DataFrame:
     """Encoded images by path, undecoded: ``(path, length, content)``."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
+
+
+def align_features(features: DataFrame, obs: DataFrame) -> DataFrame:
+    """Precomputed features of exactly the molecular observations, with their coordinates.
+
+    ``features(section, obs_id, feature, value)``; clusterings stored with them (``kmeans_*`` columns) go. An
+    observation that has no features is an error when rows are read.
+    """
+    kept = features.drop(*[c for c in features.columns if c.startswith("kmeans_")])
+    have = kept.select("section", "obs_id").distinct().withColumn("_have", F.lit(True))
+    checked = obs.join(have, ["section", "obs_id"], "left")
+    wrong = F.raise_error(F.concat(F.lit("no features for observation "), F.col("obs_id").cast("string"))).cast("boolean")
+    covered = checked.where(F.when(F.col("_have"), F.lit(True)).otherwise(wrong)).select("section", "obs_id", "x", "y")
+    return kept.join(covered, ["section", "obs_id"])
+
+
+def active_observations(features: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of a node's members, ``members(section, obs_id)``; a member without a row is an error when rows are read."""
+    have = features.select("section", "obs_id").distinct().withColumn("_have", F.lit(True))
+    wrong = F.raise_error(F.concat(F.lit("a member has no row: "), F.col("obs_id").cast("string"))).cast("boolean")
+    checked = members.select("section", "obs_id").join(have, ["section", "obs_id"], "left")
+    return features.join(checked.where(F.when(F.col("_have"), F.lit(True)).otherwise(wrong)).select("section", "obs_id"), ["section", "obs_id"])
+
+
+def section_files(spark: SparkSession, template: str, sections: list[str], extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "tif", "tiff")) -> DataFrame:
+    """The file of each section, ``(section, path, length)``, by a template with ``{section}`` and perhaps ``{ext}``.
+
+    Listing goes by the templates' globs, contents are not read. A section without a file is an error.
+    """
+    if "{section}" not in template:
+        raise ValueError("the template needs {section}")
+    folder, _, pattern = template.rpartition("/")
+    found = None
+    for section in sections:
+        glob = pattern.replace("{section}", section).replace("{ext}", "{" + ",".join(extensions) + "}")
+        one = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(F.lit(section).alias("section"), "path", "length")
+        found = one if found is None else found.unionByName(one)
+    rows = {r.section for r in found.select("section").distinct().collect()} if found is not None else set()
+    lacking = [s for s in sections if s not in rows]
+    if lacking or found is None:
+        raise FileNotFoundError(f"no file for sections: {', '.join(lacking)}")
+    return found
