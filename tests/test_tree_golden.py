@@ -28,10 +28,11 @@ def test_tree_has_2n_minus_1_nodes(spark):
 
 
 def test_mid_ranks_share_ties(spark):
-    from loomspark.functions.columns import mid_rank
+    from loomspark.operators.markers import rank_sum
 
-    df = spark.createDataFrame([("g", float(v)) for v in (0, 1, 1, 3, 7, 7, 9)], "k string, v double")
-    assert sorted(x.r for x in df.select(mid_rank("v", "k").alias("r")).collect()) == [1, 2.5, 2.5, 4, 5.5, 5.5, 7]
+    rows = [("s", f"l{i}", "f", float(v)) for i, v in enumerate((0, 1, 1, 3, 7, 7, 9))]
+    got = {r.label: r.rank_sum for r in rank_sum(spark.createDataFrame(rows, "section string, label string, feature string, value double")).collect()}
+    assert [got[f"l{i}"] for i in range(7)] == [1, 2.5, 2.5, 4, 5.5, 5.5, 7]
 
 
 def test_ratio_of_zero_parts(spark):
