@@ -2,8 +2,9 @@
 
 Every run of K words of a text is hashed and joined with the places of that run in the notice templates. A hit
 votes for a diagonal, the distance between its place in the text and in the template; an undisturbed notice
-puts all its votes on one, an edited one on a few neighbours. Neighbouring diagonals are merged, and a span
-counts once the template's words under its hits cover enough of the template. All of it is SQL functions.
+puts all its votes on one, an edited one on a few neighbours. Neighbouring diagonals are merged to spans; one
+that is much longer than its template is no notice. A span counts once the template's words under its hits cover
+enough of the template, and those words are then held against the text. All of it is SQL functions.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm.scratch import durable
 from loomspark.llm.sqlblocks import let, runs
 
-#: Words of a run, the largest step between diagonals that are merged, and the share of a template that must be covered.
-K, MERGE, COVER = 3, 2, 0.8
+#: Words of a run, the largest step between diagonals that are merged, the share of a template that must be covered,
+#: and the most words of a span, in percent of its template's.
+K, MERGE, COVER, STRETCH = 3, 2, 0.8, 140
+#: Documents whose spans are verified: up to so many keys (16 bytes each) are broadcast to pick their texts.
+BROADCAST_KEYS = 1_000_000
 #: Templates of up to so many words together are broadcast; larger sets are joined by shuffle.
 BROADCAST_WORDS = 200_000
 
@@ -31,11 +36,33 @@ PHRASES = {
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished"
+        " to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    (
+        "apache-2",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express"
+        " or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright"
+        " notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    (
+        "gpl-3",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu"
+        " general public license for more details",
+    ),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
@@ -86,16 +113,24 @@ def _templates(spark: SparkSession, templates: list[tuple[str, str]], k: int) ->
     return rows.select("template", "label", F.size("words").alias("t_words"), F.posexplode(runs(F.col("words"), k)).alias("t", "hash"))
 
 
+def _template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """``(template, t_list)``: the words of every template."""
+    listed = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(text).alias("text")) for i, (_, text) in enumerate(templates)])
+    return spark.range(1).select(F.explode(listed).alias("x")).select("x.template", F.split("x.text", " ").alias("t_list"))
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
     """One row a document: ``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)``.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are left alone. ``n_base`` counts all places of the
     phrases, ``first_word`` and ``last_word`` are their least and greatest first words (from 0; null without
-    a place). ``labels`` adds the labels of templates covered by at least COVER; ``score`` is the largest
-    share of a template found, 1 where a phrase stands. ``spans`` lists (label, first, last, cover), words
-    inclusive. Labels are distinct, sorted and joined by commas, empty without any. Null and empty texts have
-    no words, labels or spans and score 0. Repeated rows give repeated rows of the same result; an empty table
-    gives none. Templates of fewer than k words can't be found by the method.
+    a place). ``labels`` adds the labels of templates covered by at least COVER in a span of at most STRETCH percent
+    of the template's words, which are those of the text; ``score`` is the largest share of a template found in
+    such a span, 1 where a phrase stands. ``spans`` lists (label, first, last, cover), words inclusive. Labels are distinct, sorted and joined by commas, empty without any. Null and empty texts have
+    no words, labels or spans and score 0. Repeated rows give repeated rows of the same result; rows
+    without a doc_id are scanned like all others; an empty table gives none. Templates of fewer than k words
+    can't be found by the method. A run that very many documents share is no hot key: templates up to
+    BROADCAST_WORDS are broadcast, and beyond that Spark splits the skewed side of the join.
     """
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -114,7 +149,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     )
 
     table = _templates(docs.sparkSession, templates, k)
-    if sum(len(text.split()) for _, text in templates) <= BROADCAST_WORDS:
+    small = sum(len(text.split()) for _, text in templates) <= BROADCAST_WORDS
+    if small:
         table = F.broadcast(table)
     grams = keyed.select("doc_id", "th", t.words.alias("words")).select("doc_id", "th", F.posexplode(runs(F.col("words"), k)).alias("d", "hash"))
     key = ["doc_id", "th", "template"]
@@ -123,10 +159,25 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     starts = (F.col("diagonal") - F.lag("diagonal", 1).over(order) > MERGE).cast("int")
     merged = diagonals.withColumn("starts", F.coalesce(starts, F.lit(0))).withColumn("cluster", F.sum("starts").over(order))
     least, most = F.min(F.col("diagonal") + F.array_min("ts")), F.max(F.col("diagonal") + F.array_max("ts")) + k - 1
-    spans = merged.groupBy(*key, "label", "t_words", "cluster").agg(F.flatten(F.collect_list("ts")).alias("ts"), least.alias("first"), most.alias("last"))
-    under = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda x: F.sequence(x, x + k - 1)))))
-    judged = spans.select("doc_id", "th", F.struct("label", "first", "last", (under / F.col("t_words")).alias("cover")).alias("span"))
-    by_doc = judged.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    on_diagonal = F.collect_list(F.struct("diagonal", "ts")).alias("diagonals")
+    spans = merged.groupBy(*key, "label", "t_words", "cluster").agg(on_diagonal, least.alias("first"), most.alias("last")).where(100 * (F.col("last") - F.col("first") + 1) <= STRETCH * F.col("t_words"))
+    under = lambda ts: F.flatten(F.transform(ts, lambda x: F.sequence(x, x + k - 1)))
+    cover = F.size(F.array_distinct(F.flatten(F.transform("diagonals", lambda g: under(g["ts"]))))) / F.col("t_words")
+    covered = durable(spans.withColumn("cover", cover).select("doc_id", "th", "template", "label", "t_words", "first", "last", "diagonals", "cover"), "spans")
+
+    # the words of spans that cover enough are looked up again in their texts
+    sure = covered.where(F.col("cover") >= COVER)
+    keys = durable(sure.select("doc_id", "th").distinct(), "keys")
+    known = lambda left, right: left["doc_id"].eqNullSafe(right["doc_id"]) & (left["th"] == right["th"])
+    texts = keyed.alias("x").join(F.broadcast(keys).alias("y") if keys.count() <= BROADCAST_KEYS else keys.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.th") == F.col("y.th")), "left_semi")
+    held = texts.select("doc_id", "th", t.words.alias("words")).distinct()
+    rows = F.broadcast(_template_words(docs.sparkSession, templates)) if small else _template_words(docs.sparkSession, templates)
+    checked = sure.join(held, known(sure, held)).drop(held["doc_id"]).drop(held["th"]).join(rows, "template")
+    same = lambda d: lambda x: F.get("words", x + d) == F.get("t_list", x)
+    true_words = F.array_distinct(F.flatten(F.transform("diagonals", lambda g: F.filter(under(g["ts"]), same(g["diagonal"])))))
+    verified = checked.select("doc_id", "th", "label", "first", "last", (F.size(true_words) / F.col("t_words")).alias("cover"))
+    judged = verified.union(covered.where(F.col("cover") < COVER).select("doc_id", "th", "label", "first", "last", "cover"))
+    by_doc = judged.select("doc_id", "th", F.struct("label", "first", "last", "cover").alias("span")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
     b, s = base.alias("b"), by_doc.alias("s")
     whole = b.join(s, F.col("b.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("b.th") == F.col("s.th")), "left")

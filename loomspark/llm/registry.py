@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import line_quality as lq
 from loomspark.llm import token_counts as tc
 from loomspark.llm.decontamination import find_leaks
-from loomspark.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from loomspark.llm.licenses import PHRASES, STRETCH, TEMPLATES, scan_licenses
 from loomspark.llm.mixing import mix, mixture_by_document
 from loomspark.llm.near_duplicates import near_duplicates
 from loomspark.llm.quality_trees import quality
@@ -159,10 +159,10 @@ pl AS (SELECT doc_id, label, i AS place FROM d, ph, unnest(generate_series(0, le
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM pl GROUP BY doc_id),
 tg AS (SELECT template, label, len(string_split(txt, ' ')) AS t_words, i AS t, array_to_string(string_split(txt, ' ')[i + 1:i + 3], ' ') AS g FROM tp, unnest(generate_series(0, len(string_split(txt, ' ')) - 3)) AS u(i)),
 dg AS (SELECT doc_id, i AS p, array_to_string(w[i + 1:i + 3], ' ') AS g FROM d, unnest(generate_series(0, len(w) - 3)) AS u(i)),
-hit AS (SELECT DISTINCT doc_id, template, label, t_words, p - t AS diagonal, t FROM dg JOIN tg USING (g)),
+hit AS (SELECT DISTINCT doc_id, template, label, t_words, p - t AS diagonal, t, p FROM dg JOIN tg USING (g)),
 dia AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 2 THEN 1 ELSE 0 END AS starts FROM (SELECT DISTINCT doc_id, template, diagonal FROM hit)),
 cl AS (SELECT doc_id, template, diagonal, sum(starts) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM dia),
-cv AS (SELECT doc_id, label, template, cluster, count(DISTINCT t + o) / any_value(t_words) AS cover FROM hit JOIN cl USING (doc_id, template, diagonal), unnest([0, 1, 2]) AS u(o) GROUP BY doc_id, label, template, cluster),
+cv AS (SELECT doc_id, label, template, cluster, count(DISTINCT t + o) / any_value(t_words) AS cover FROM hit JOIN cl USING (doc_id, template, diagonal), unnest([0, 1, 2]) AS u(o) GROUP BY doc_id, label, template, cluster HAVING 100 * (max(p) + 3 - min(p)) <= {STRETCH} * any_value(t_words)),
 m AS (SELECT doc_id, max(cover) AS best, list(label) FILTER (WHERE cover >= 0.8) AS sure FROM cv GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
 coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(sure, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score

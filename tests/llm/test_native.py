@@ -1,5 +1,6 @@
 """Operators made of SQL functions: mixing, licenses, decontamination, URL rules."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -176,6 +177,21 @@ def test_licenses(make_docs, prose):
     assert li.scan_licenses(make_docs([])).count() == 0
 
 
+def test_licenses_by_shuffle_and_broken_ones(make_docs, prose, monkeypatch):
+    monkeypatch.setattr(li, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(li, "BROADCAST_KEYS", 0)
+    mit = max((t for label, t in li.TEMPLATES if label == "mit"), key=len)
+    words = mit.split()
+    broken = " ".join(w if i % 3 < 2 else f"{w} zzz{i} yyy{i}" for i, w in enumerate(words))
+    dropped = " ".join(w for i, w in enumerate(words) if i % 29 != 28)
+    texts = [(1, f"{prose(1, 60)} {mit.upper()}. {prose(2, 60)}"), (2, broken), (3, dropped), (4, " ".join(reversed(words))), (5, prose(4, 300)), (None, mit)]
+    got = {r.doc_id: r for r in li.scan_licenses(make_docs(texts)).collect()}
+    assert got[1].labels == got[3].labels == got[None].labels == "mit" and got[1].score == 1
+    assert got[2].labels == got[4].labels == got[5].labels == ""
+    span = max(got[1].spans, key=lambda x: x.last - x.first)
+    assert (span.first, span.last, span.cover) == (60, 60 + len(words) - 1, 1.0)
+
+
 def test_leaks(spark, make_docs, prose):
     question = "A farmer named Tom has 12 sheep and buys 7 more sheep from his friend Maria for 3 dollars. How many sheep does Tom have after the 12 and the 7 are counted together"
     items = spark.createDataFrame([(1, question, "x"), (2, prose(1, 40), "x"), (3, "too short", "x"), (4, None, "x"), (5, prose(1, 40), "x")], "item_id long, text string, doc_id string")
@@ -217,6 +233,33 @@ def test_leaks_of_few_literals(spark, make_docs, prose):
     assert {(r.doc_id, r.item_id, r.coverage) for r in df.collect()} == {(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0), (7, 2, 1.0)}
 
 
+def seeded_items(prose):
+    """Items that repeat phrases, hold numbers only, or have a few words."""
+    r = random.Random(11)
+    items = []
+    for i in range(20):
+        phrase = prose(300 + i, 3)
+        items.append(f"{prose(400 + i, 2)} " + " ".join(f"{phrase} {r.randint(2, 99)} {r.choice(['cups', 'days', 'km'])}" for _ in range(r.randint(2, 5))))
+        items.append("".join(f"{r.randint(1000, 9999)} " for _ in range(r.randint(4, 12))).strip())
+        items.append(prose(500 + i, 3))
+        items.append(f"{prose(600 + i, 4)} Tom {prose(700 + i, 3)} Maria {r.randint(2, 9)} {prose(800 + i, 4)} Tom {r.randint(10, 99)}")
+    return items
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_exact_copies_of_any_item_are_found(spark, make_docs, prose, monkeypatch, broadcast):
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", broadcast)
+    texts = seeded_items(prose)
+    items = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:2]), (None, texts[0])], "item_id long, text string")
+    docs = [(i, f"{prose(1000 + i, 25)}. {t}. {prose(2000 + i, 25)}") for i, t in enumerate(texts)] + [(500 + i, prose(3000 + i, 80)) for i in range(20)]
+    df = dc.find_leaks(make_docs(docs), items)
+    rows = df.collect()
+    assert not has_python(df)
+    assert {(r.doc_id, r.item_id) for r in rows} >= {(i, i) for i in range(len(texts))}
+    assert not [r for r in rows if r.doc_id >= 500] and len({(r.doc_id, r.item_id) for r in rows}) == len(rows)
+    assert all(r.n_changed == 0 and r.coverage == 1 for r in rows if r.doc_id == r.item_id)
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a-b.net", "/", "block"), ("b.net", "/", "allow"), ("x.example.com", "/en/q", "block")]
 
 
@@ -243,3 +286,12 @@ def test_url_rules(spark):
     assert len(unruled) > 100 and all((r.host, r.path) == brute_url(urls[r.page_id])[:2] for r in unruled)
     assert all(r.rule is None and r.verdict == ("allow" if r.host else "block") for r in unruled)
     assert uf.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_long_urls_and_clashing_columns(spark):
+    long = "http://" + "a." * 5_000 + "example.com/en/" + "x" * 50_000
+    rows = [(1, long, "h", "p", "v", "r"), (2, "http://net/es/", "h", "p", "v", "r"), (2, "http://net/es/", "h", "p", "v", "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, verdict string, rule string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = uf.filter_urls(pages, rules).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [("example.com/en/", "block"), ("net/es/", "block"), ("net/es/", "block")]
