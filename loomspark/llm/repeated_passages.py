@@ -35,7 +35,7 @@ from loomspark.llm.tables import id_and_text
 #: Words of the prefix that routes a window.
 GRAM = 10
 #: Contexts that a task holds at a time, and how many of one prefix are still handled as a group.
-GROUP_CONTEXTS, PREFIX_CONTEXTS = 4_000, 2_000
+GROUP_CONTEXTS, PREFIX_CONTEXTS = 1_000, 1_000
 
 
 def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
