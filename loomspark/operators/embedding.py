@@ -123,22 +123,38 @@ def join_modalities(parts: list[DataFrame], column: str = "vector", strict: bool
     return joined.select("section", "obs_id", F.concat(*[f"part_{i}" for i in range(len(parts))]).alias(column))
 
 
+def _closest(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and its squared distance."""
+    d = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centre.T + (centre**2).sum(axis=1)[None], 0)
+    at = d.argmin(axis=1)
+    return at, d[np.arange(len(x)), at]
+
+
 def _seeded(x: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
-    """k rows of x, each drawn by its squared distance to those before."""
+    """k centres: rows of x, each drawn by its squared distance to those before, then settled on x."""
     chosen = [int(r.integers(len(x)))]
     gap = ((x - x[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < k:
         total = gap.sum()
         chosen.append(int(r.choice(len(x), p=gap / total)) if total > 0 else int(np.setdiff1d(np.arange(len(x)), chosen)[0]))
         gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return x[chosen]
+    centre, before = x[chosen], np.inf
+    for _ in range(STEPS):
+        at, d = _closest(x, centre)
+        if before - d.sum() <= LEAST_FALL * d.sum():
+            break
+        before, n = d.sum(), np.bincount(at, minlength=k)[:, None]
+        sums = np.zeros_like(centre)
+        np.add.at(sums, at, x)
+        centre = np.where(n > 0, sums / np.maximum(n, 1), centre)
+    return centre
 
 
 def group_k_means(vectors: DataFrame, key: str, k: dict[str, int], column: str = "vector", seeds: int = 10) -> DataFrame:
     """C04, C06, W08 for every group named in ``k``: ``(key, obs_id, cluster)`` of least cost among the seeds.
 
     Clusters are numbered by falling size, from 0. Seeds are drawn on the driver from SEED_ROWS rows of each
-    group, chosen by a hash of obs_id; all steps go over all rows. A cluster that loses its rows keeps its
+    group, chosen by a hash of obs_id, and settled on these; the steps after that go over all rows. A cluster that loses its rows keeps its
     place. Groups with fewer rows than clusters, or fewer than two clusters, are an error.
     """
     base = vectors.select(F.col(key).cast("string").alias("key"), "obs_id", F.col(column).alias("x")).where(F.col("key").isin(list(k)))
@@ -157,11 +173,6 @@ def group_k_means(vectors: DataFrame, key: str, k: dict[str, int], column: str =
         x = _matrix(sample.column("x").take(pa.array(own)).combine_chunks())
         centres[name] = np.stack([_seeded(x, n, np.random.default_rng(s)) for s in range(seeds)])
 
-    def nearest(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centre.T + (centre**2).sum(axis=1)[None], 0)
-        at = d.argmin(axis=1)
-        return at, d[np.arange(len(x)), at]
-
     def step(now: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[str, np.ndarray] = {}
@@ -172,7 +183,7 @@ def group_k_means(vectors: DataFrame, key: str, k: dict[str, int], column: str =
                     n_seeds, n, w = now[name].shape
                     out = held.setdefault(name, np.zeros((n_seeds, n, w + 2)))
                     for s in range(n_seeds):
-                        at, d = nearest(x, now[name][s])
+                        at, d = _closest(x, now[name][s])
                         np.add.at(out[s], at, np.concatenate((x, np.ones((len(x), 1)), d[:, None]), axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([h.ravel() for h in held.values()], pa.list_(pa.float64()))], ["key", "sums"])
 
@@ -199,7 +210,7 @@ def group_k_means(vectors: DataFrame, key: str, k: dict[str, int], column: str =
             own_names, out = np.array(batch.column(0).to_pylist(), dtype=object), np.zeros(len(batch), dtype=np.int32)
             for name in dict.fromkeys(own_names):
                 here = own_names == name
-                out[here] = nearest(_matrix(batch.column(2).filter(pa.array(here))), best[name])[0]
+                out[here] = _closest(_matrix(batch.column(2).filter(pa.array(here))), best[name])[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["key", "obs_id", "cluster"])
 
     found = rows.mapInArrow(label, f"key string, obs_id {dict(rows.dtypes)['obs_id']}, cluster int")

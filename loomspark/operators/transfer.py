@@ -176,7 +176,7 @@ class Session:
         sizes = self._sizes()
         active = materialise(self.query.join(self.membership.where(F.col("node").isin(nodes)).select("section", "obs_id", "node"), ["section", "obs_id"]))
         counts = {n: cluster_count(sum(map(len, self.sides_of[n])), sizes[n], s) for n in nodes}
-        embedded = group_scaled(group_components(active, "node", s.components), "node", "pca")
+        embedded = materialise(group_scaled(group_components(active, "node", s.components), "node", "pca"))
         found = group_k_means(embedded, "node", counts, "pca", s.seeds).withColumnRenamed("key", "node")
         clusters = embedded.join(found, ["node", "obs_id"])
         if s.most_clusters is not None:
@@ -184,7 +184,7 @@ class Session:
         clusters = materialise(clusters.select("node", "section", "obs_id", "cluster"))
         sides = self.sides(nodes)
         hits = materialise(self.detect(active, sides))
-        table = cross_table(clusters.select("node", "obs_id", "cluster"), hits, sides.select("node", "branch", "ord").distinct(), ["node"])
+        table = materialise(cross_table(clusters.select("node", "obs_id", "cluster"), hits, sides.select("node", "branch", "ord").distinct(), ["node"]))
         sided = self.reference.join(if_small(sides.select("node", "label", F.when(F.col("ord") == 0, "first").otherwise("second").alias("side"))), "label")
         ratios = side_ratio(sided, "first", "second", s.ratio_mode, by=["node"])
         threshold = s.one_sided_ratio if s.one_sided_ratio is not None else float("inf")
