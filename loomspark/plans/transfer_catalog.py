@@ -216,6 +216,10 @@ def _built(spark: SparkSession, d: str) -> list[t.Split]:
     return [(x.parent, x.child_1, x.child_2, regions.get(x.child_1, [x.child_1]), regions.get(x.child_2, [x.child_2])) for x in rows]
 
 
+def _fixed_tree(spark: SparkSession) -> list[t.Split]:
+    return [(x.parent, x.child_1, x.child_2, x.child_1_regions, x.child_2_regions) for x in splits(spark).collect()]  # four splits
+
+
 _SETTINGS = t.TransferSettings(least_cluster=5, least_percent=5.0, seeds=10)
 
 
@@ -229,16 +233,14 @@ def label_transfer(spark: SparkSession, d: str) -> DataFrame:
 @query("l15_multi_reference")
 def multi_reference(spark: SparkSession, d: str) -> DataFrame:
     v = s.vectors(spark, d)
-    return t.transfer_multi(v.where("section != 's3'"), v.where("section = 's3'"), _built(spark, d), _SETTINGS).run_auto().summary()
+    return t.transfer_multi(v.where("section != 's3'"), v.where("section = 's3'"), _fixed_tree(spark), _SETTINGS).run_auto().summary()
 
 
 @query("l16_quantile_session")
 def quantile_session(spark: SparkSession, d: str) -> DataFrame:
     v = s.vectors(spark, d)
     lists = hf.quantile_feature_lists(selected(spark, d))
-    rows = splits(spark).collect()  # the fixed tree
-    tree = [(x.parent, x.child_1, x.child_2, x.child_1_regions, x.child_2_regions) for x in rows]
-    return t.transfer_quantile(v.where("section != 's3'"), v.where("section = 's3'"), _expr(spark, d), lists, tree, _SETTINGS).run_auto().labels()
+    return t.transfer_quantile(v.where("section != 's3'"), v.where("section = 's3'"), _expr(spark, d), lists, _fixed_tree(spark), _SETTINGS).run_auto().labels()
 
 
 # --- subtypes ------------------------------------------------------------------------------------------------
