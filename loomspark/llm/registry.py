@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from loomspark.llm import line_quality as lq
 from loomspark.llm import token_counts as tc
 from loomspark.llm.decontamination import find_leaks
+from loomspark.llm.fill_in_middle import fill_in_middle, restored
 from loomspark.llm.licenses import PHRASES, STRETCH, TEMPLATES, scan_licenses
+from loomspark.llm.merkle import verified_documents
 from loomspark.llm.mixing import mix, mixture_by_document
 from loomspark.llm.near_duplicates import near_duplicates
 from loomspark.llm.quality_trees import quality
 from loomspark.llm.repeated_passages import remove_repeated_passages
+from loomspark.llm.simhash import simhash_duplicates
 from loomspark.llm.toxicity import toxicity
 from loomspark.llm.url_filter import filter_urls
 
@@ -77,6 +80,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(_table(spark, sf_dir, "documents"), automaton)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(_table(spark, sf_dir, "documents"), k=3, radius=2).drop("kept")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle(_table(spark, sf_dir, "documents"), seed=1)
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op1_mixing_dealt": op1_mixing_dealt,
@@ -89,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: op5: every window of 50 words by its text. It holds all windows at once and is meant for small tables.
@@ -191,10 +211,69 @@ f AS (SELECT p.page_id, p.host, p.path, rh || rp AS rule, v, row_number() OVER (
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM f WHERE n = 1
 """
 
+#: op11: the trees level by level, the siblings of every leaf's ancestors, and crc32 bit by bit.
+_OP11_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT) AS chars
+  FROM documents),
+c AS (
+  SELECT *, xor(list_reduce(chars, lambda crc, b: list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, b)), 4294967295), 4294967295) AS crc FROM f),
+h AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS altered FROM c),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM h),
+t(level, source, i, digest, n) AS (
+  SELECT 0::BIGINT, source, rank, leaf, n FROM l
+  UNION ALL
+  SELECT level + 1, source, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY level, source, i // 3, n),
+r AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS rank, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, i, digest, n) AS (
+  SELECT 0::BIGINT, rank, subroot, n FROM r
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3, n),
+own AS (
+  SELECT l.doc_id, l.source, l.rank AS leaf_rank, level, l.rank // (3 ** level)::BIGINT AS i FROM l, (SELECT DISTINCT level FROM t) WHERE 3 ** level < l.n),
+low AS (
+  SELECT own.source, own.leaf_rank, own.level, coalesce(string_agg(digest, '' ORDER BY t.i) FILTER (WHERE t.i < own.i), '') AS lhs, coalesce(string_agg(digest, '' ORDER BY t.i) FILTER (WHERE t.i > own.i), '') AS rhs
+  FROM own JOIN t ON t.source IS NOT DISTINCT FROM own.source AND t.level = own.level AND t.i // 3 = own.i // 3 GROUP BY own.source, own.leaf_rank, own.level),
+up AS (SELECT r.source, level, r.rank // (3 ** level)::BIGINT AS i FROM r, (SELECT DISTINCT level FROM u) WHERE 3 ** level < r.n),
+high AS (
+  SELECT up.source, up.level, coalesce(string_agg(digest, '' ORDER BY u.i) FILTER (WHERE u.i < up.i), '') AS lhs, coalesce(string_agg(digest, '' ORDER BY u.i) FILTER (WHERE u.i > up.i), '') AS rhs
+  FROM up JOIN u ON u.level = up.level AND u.i // 3 = up.i // 3 GROUP BY up.source, up.level),
+lows AS (SELECT source, leaf_rank, list({'l': lhs, 'r': rhs} ORDER BY level) AS steps FROM low GROUP BY ALL),
+highs AS (SELECT source, list({'l': lhs, 'r': rhs} ORDER BY level) AS steps FROM high GROUP BY ALL),
+p AS (
+  SELECT l.*, subroot, (SELECT digest FROM u WHERE n = 1) AS root, list_concat(coalesce(lows.steps, []), coalesce(highs.steps, [])) AS steps
+  FROM l JOIN r ON l.source IS NOT DISTINCT FROM r.source LEFT JOIN lows ON lows.source IS NOT DISTINCT FROM l.source AND leaf_rank = l.rank LEFT JOIN highs ON highs.source IS NOT DISTINCT FROM l.source),
+q AS (
+  SELECT *, list_reduce(steps, lambda a, s: {'l': sha256(s.l || a.l || s.r), 'r': ''}, {'l': coalesce(altered, leaf), 'r': ''}).l AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM q
+"""
+
+_OP13_SQL = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+w AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(d, i, 8))::BIGINT) AS x FROM h),
+c AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM w),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN a END AS prefix_chars, CASE WHEN form != 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": _OP1_SQL,
     "op3_license_scan": _op3_sql(),
     "op4_minhash_dedup": _OP4_SQL,
     "op5_substring_dedup": _OP5_SQL,
     "op8_url_filter": _OP8_SQL,
+    "op11_merkle_manifest": _OP11_SQL,
+    "op13_fill_in_middle": _OP13_SQL,
 }
