@@ -151,16 +151,22 @@ def _seeded(x: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
 
 
 def group_k_means(vectors: DataFrame, key: str, k: dict[str, int], column: str = "vector", seeds: int = 10) -> DataFrame:
-    """C04, C06, W08 for every group named in ``k``: ``(key, obs_id, cluster)`` of least cost among the seeds.
+    """C04, C06, W08 for every group named in ``k``: ``(key, section, obs_id, cluster)`` of least cost among the seeds.
 
-    Clusters are numbered by falling size, from 0. Seeds are drawn on the driver from SEED_ROWS rows of each
-    group, chosen by a hash of obs_id, and settled on these; the steps after that go over all rows. A cluster that loses its rows keeps its
-    place. Groups with fewer rows than clusters, or fewer than two clusters, are an error.
+    An observation is its section and obs_id; without a column ``section``, or where that is the key, its obs_id,
+    of any type. Clusters are numbered by falling size, from 0. Seeds are drawn on the driver from SEED_ROWS rows
+    of each group, chosen by a hash of their ids, and settled on these; the steps after that go over all rows. A
+    cluster that loses its rows keeps its place. Groups with fewer rows than clusters, or fewer than two clusters,
+    are an error.
     """
-    base = vectors.select(F.col(key).cast("string").alias("key"), "obs_id", F.col(column).alias("x")).where(F.col("key").isin(list(k)))
-    rows = materialise(base.repartition("key", "obs_id"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("obs_id"), "obs_id")
-    sample = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SEED_ROWS).drop("_n").toArrow().sort_by([("key", "ascending"), ("obs_id", "ascending")])
+    ids = [c for c in ("section", "obs_id") if c in vectors.columns and c != key]
+    base = vectors.select(F.col(key).cast("string").alias("key"), *ids, F.col(column).alias("x")).where(F.col("key").isin(list(k)))
+    rows = materialise(base.repartition("key", *ids))
+    sizes = if_small(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_size")))
+    likely = (F.shiftrightunsigned(F.xxhash64(*ids), 11) / float(1 << 53)) * F.col("_size") < 4 * SEED_ROWS  # few rows are sorted
+    order = Window.partitionBy("key").orderBy(F.xxhash64(*ids), *ids)
+    drawn = rows.join(sizes, "key").where(likely).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SEED_ROWS)
+    sample = drawn.drop("_n", "_size").toArrow().sort_by([("key", "ascending"), *((c, "ascending") for c in ids)])
     names = np.array(sample.column("key").to_pylist(), dtype=object)
     width = len(sample.column("x")[0]) if len(sample) else 0
     if seeds * sum(k.values()) * width > MOST_NUMBERS:
@@ -179,7 +185,7 @@ def group_k_means(vectors: DataFrame, key: str, k: dict[str, int], column: str =
             for batch in batches:
                 own_names = np.array(batch.column(0).to_pylist(), dtype=object)
                 for name in dict.fromkeys(own_names):
-                    x = _matrix(batch.column(2).filter(pa.array(own_names == name)))
+                    x = _matrix(batch.column("x").filter(pa.array(own_names == name)))
                     n_seeds, n, w = now[name].shape
                     out = held.setdefault(name, np.zeros((n_seeds, n, w + 2)))
                     for s in range(n_seeds):
@@ -210,10 +216,10 @@ def group_k_means(vectors: DataFrame, key: str, k: dict[str, int], column: str =
             own_names, out = np.array(batch.column(0).to_pylist(), dtype=object), np.zeros(len(batch), dtype=np.int32)
             for name in dict.fromkeys(own_names):
                 here = own_names == name
-                out[here] = _closest(_matrix(batch.column(2).filter(pa.array(here))), best[name])[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["key", "obs_id", "cluster"])
+                out[here] = _closest(_matrix(batch.column("x").filter(pa.array(here))), best[name])[0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", *ids)), pa.array(out)], ["key", *ids, "cluster"])
 
-    found = rows.mapInArrow(label, f"key string, obs_id {dict(rows.dtypes)['obs_id']}, cluster int")
+    found = rows.mapInArrow(label, ", ".join(["key string", *(f"{c} {dict(rows.dtypes)[c]}" for c in ids), "cluster int"]))
     return dense_by_size(found, ["key"])
 
 
@@ -226,8 +232,9 @@ def dense_by_size(clusters: DataFrame, by: list[str]) -> DataFrame:
 
 def k_means(vectors: DataFrame, k: int, column: str = "vector", seeds: int = 10) -> DataFrame:
     """C04, W08 of all rows as one group: every row with its ``cluster``."""
+    ids = [c for c in ("section", "obs_id") if c in vectors.columns]
     found = group_k_means(vectors.withColumn("_all", F.lit("all")), "_all", {"all": k}, column, seeds)
-    return vectors.join(found.select("obs_id", "cluster"), "obs_id")
+    return vectors.join(found.select(*ids, "cluster"), ids)
 
 
 def kept_clusters(clusters: DataFrame, least: int = 1, most: int | None = None, by: list[str] | None = None) -> DataFrame:

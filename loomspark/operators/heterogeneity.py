@@ -79,8 +79,12 @@ def _replicate_silhouettes(members: DataFrame, block_rows: int = BLOCK_ROWS) ->
 
 
 def _numbered(vectors: DataFrame, region: str, group: str) -> DataFrame:
-    """``(region, obs_id, vector, g)`` of regions with at least two groups and more observations than groups."""
-    named = vectors.select(F.col(region).cast("string").alias("region"), F.col(group).cast("string").alias("grp"), "obs_id", "vector")
+    """``(region, obs_id, vector, g)`` of regions with at least two groups and more observations than groups.
+
+    ``obs_id`` becomes a hash of section and id, where both are there: ids may be shared by sections, and of any type.
+    """
+    own = F.xxhash64(*[c for c in ("section", "obs_id") if c in vectors.columns]).alias("obs_id")
+    named = vectors.select(F.col(region).cast("string").alias("region"), F.col(group).cast("string").alias("grp"), own, "vector")
     size = named.groupBy("region", "grp").agg(F.count(F.lit(1)).alias("n"))
     of_region = Window.partitionBy("region")  # a row a group
     numbered = size.withColumn("g", (F.row_number().over(of_region.orderBy("grp")) - 1).cast("int"))

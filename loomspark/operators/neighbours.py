@@ -67,12 +67,12 @@ def _nearest(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     One matrix product finds who may be near; distances of those are then taken from the differences, so that
     rounding is the same however the rows were cut into blocks.
     """
-    kinds = [("key", pa.string()), ("query_id", pa.int64()), ("ref_id", pa.int64()), ("distance", pa.float64())]
+    kinds = [("key", pa.string()), ("query_id", left.schema.field("query_id").type), ("ref_id", right.schema.field("ref_id").type), ("distance", pa.float64())]
     if not len(left) or not len(right):
         return pa.table([pa.array([], t) for _, t in kinds], names=[n for n, _ in kinds])
     left, right = left.combine_chunks(), right.combine_chunks()
     x, y = _stacked(left.column("vector").chunk(0)), _stacked(right.column("vector").chunk(0))
-    ids, asked = right.column("ref_id").to_numpy(), left.column("query_id").to_numpy()
+    ids = np.unique(right.column("ref_id").to_numpy(), return_inverse=True)[1]  # by their order, whatever their type
     d = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None], 0)
     if len(ids) > k:
         bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
@@ -84,15 +84,15 @@ def _nearest(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     rows, columns, exact = rows[order], columns[order], exact[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
     keep = place < k
-    keys = left.column("key").take(pa.array(rows[keep]))
-    return pa.table([keys, pa.array(asked[rows[keep]]), pa.array(ids[columns[keep]]), pa.array(exact[keep])], names=[n for n, _ in kinds])
+    asked, found = pa.array(rows[keep]), pa.array(columns[keep])
+    return pa.table([left.column("key").take(asked), left.column("query_id").take(asked), right.column("ref_id").take(found), pa.array(exact[keep])], names=[n for n, _ in kinds])
 
 
 def feature_neighbours(queries: DataFrame, references: DataFrame, k: int, key: str | None = None, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k references nearest to each query, exactly, as ``(key, query_id, ref_id, distance, place)``.
 
     Both have ``obs_id`` and ``vector`` (doubles), and the column ``key`` if searches of several groups are
-    asked at once; without it the key is empty. Distances are rounded to 9 places before they are ranked, ties
+    asked at once; without it the key is empty. Ids may be numbers or text. Distances are rounded to 9 places before they are ranked, ties
     go to the smaller id. ``cosine`` distance is half the squared distance of the vectors at length 1.
 
     Pivots, at most PIVOTS a group, are references chosen by a hash. References go to their nearest pivot's
@@ -102,13 +102,15 @@ def feature_neighbours(queries: DataFrame, references: DataFrame, k: int, key: s
     unit = lambda v: F.transform(v, lambda a: a / F.sqrt(F.greatest(F.aggregate(v, F.lit(0.0), lambda s, b: s + b * b), F.lit(1e-300))))
     vector = unit(F.col("vector")) if metric == "cosine" else F.col("vector")
     name = F.col(key).cast("string") if key else F.lit("")
-    q = queries.select(name.alias("key"), F.col("obs_id").cast("long").alias("query_id"), vector.alias("vector"))
-    r = references.select(name.alias("key"), F.col("obs_id").cast("long").alias("ref_id"), vector.alias("vector"))
+    kinds = ["string" if dict(t.dtypes)["obs_id"] == "string" else "long" for t in (queries, references)]
+    q = queries.select(name.alias("key"), F.col("obs_id").cast(kinds[0]).alias("query_id"), vector.alias("vector"))
+    r = references.select(name.alias("key"), F.col("obs_id").cast(kinds[1]).alias("ref_id"), vector.alias("vector"))
     of_group = Window.partitionBy("key")
     n_pivots = F.least(F.lit(PIVOTS), F.ceil(F.sqrt(F.col("n") / block_rows) * 8))
     counted = r.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("n_pivots", F.when(F.col("n") <= block_rows, 1).otherwise(n_pivots))
-    first = r.withColumn("at", F.row_number().over(of_group.orderBy(F.xxhash64("ref_id"), "ref_id"))).where(F.col("at") <= PIVOTS)
-    chosen = first.join(if_small(counted), "key").where(F.col("at") <= F.col("n_pivots")).select("key", "ref_id", "vector").toArrow().sort_by("ref_id")
+    likely = (F.shiftrightunsigned(F.xxhash64("ref_id"), 11) / float(1 << 53)) * F.col("n") < 4 * PIVOTS  # few rows are sorted
+    first = r.join(if_small(counted), "key").where(likely).withColumn("at", F.row_number().over(of_group.orderBy(F.xxhash64("ref_id"), "ref_id")))
+    chosen = first.where(F.col("at") <= F.col("n_pivots")).select("key", "ref_id", "vector").toArrow().sort_by("ref_id")
     pivots: dict[str, np.ndarray] = {}
     for group in sorted(set(chosen.column("key").to_pylist())):
         own = chosen.filter(pa.array([x == group for x in chosen.column("key").to_pylist()])).combine_chunks()
@@ -129,7 +131,7 @@ def feature_neighbours(queries: DataFrame, references: DataFrame, k: int, key: s
                 cell[here], far[here] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], ["key", "ref_id", "vector", "cell", "far"])
 
-    celled = materialise(r.mapInArrow(to_cells, "key string, ref_id long, vector array<double>, cell int, far double"))
+    celled = materialise(r.mapInArrow(to_cells, f"key string, ref_id {kinds[1]}, vector array<double>, cell int, far double"))
     cells = celled.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # at most PIVOTS rows a group
     held = {group: {c.cell: (c.n, c.radius) for c in cells if c.key == group} for group in pivots}
 
@@ -157,7 +159,7 @@ def feature_neighbours(queries: DataFrame, references: DataFrame, k: int, key: s
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell.astype(np.int32))], ["key", "query_id", "vector", "cell"])
 
     sizes = if_small(celled.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n_refs")))
-    asked_schema = "key string, query_id long, vector array<double>, cell int"
+    asked_schema = f"key string, query_id {kinds[0]}, vector array<double>, cell int"
 
     def search(asked: DataFrame) -> DataFrame:
         n = asked.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n_asked"))
@@ -168,7 +170,7 @@ def feature_neighbours(queries: DataFrame, references: DataFrame, k: int, key: s
         left = asked.join(both, ["key", "cell"]).select("key", "cell", "query_id", "vector", deal("query_id", "qs").alias("qb"), all_of("rs").alias("rb"))
         right = celled.join(both, ["key", "cell"]).select("key", "cell", "ref_id", "vector", deal("ref_id", "rs").alias("rb"), all_of("qs").alias("qb"))
         groups = left.groupBy("key", "cell", "qb", "rb").cogroup(right.groupBy("key", "cell", "qb", "rb"))
-        near = groups.applyInArrow(lambda a, b: _nearest(a, b, k), "key string, query_id long, ref_id long, distance double")
+        near = groups.applyInArrow(lambda a, b: _nearest(a, b, k), f"key string, query_id {kinds[0]}, ref_id {kinds[1]}, distance double")
         order = Window.partitionBy("key", "query_id").orderBy("distance", "ref_id")
         return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
@@ -192,8 +194,9 @@ def anchors(references: DataFrame, queries: DataFrame, k: int | dict[str, int] =
     by = by or []
     most = max(k.values()) if isinstance(k, dict) else k
     own = F.concat_ws("\u0001", *by) if by else F.lit("")
-    hits = feature_neighbours(references.withColumn("_key", own), queries.withColumn("_key", own), most, "_key", metric)
-    labelled = hits.join(references.select(own.alias("key"), F.col("obs_id").alias("query_id"), "label", *by).distinct(), ["key", "query_id"])
+    asking = F.xxhash64(*[c for c in ("section", "obs_id") if c in references.columns])  # references of several sections may share ids
+    hits = feature_neighbours(references.withColumn("_key", own).withColumn("obs_id", asking), queries.withColumn("_key", own), most, "_key", metric)
+    labelled = hits.join(references.select(own.alias("key"), asking.alias("query_id"), "label", *by).distinct(), ["key", "query_id"])
     if isinstance(k, dict):
         labelled = labelled.where(F.col("place") <= F.coalesce(*[F.when(F.col("label") == name, F.lit(n)) for name, n in k.items()], F.lit(0)))
     return labelled.groupBy(*by, "label", F.col("ref_id").alias("obs_id")).agg(F.count(F.lit(1)).alias("n_votes"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.joins import if_small
+from loomspark.operators.components import connected_components
 from loomspark.operators.embedding import dense_by_size, group_components, group_k_means
+from loomspark.operators.graph_clusters import graph_communities, neighbour_graph
 from loomspark.operators.neighbours import nearest_majority, refine_labels
 from loomspark.operators.raster import boundary_scores
 from loomspark.sources.materialise import materialise
@@ -56,13 +58,34 @@ def refine_boundary(clusters: DataFrame, scores: DataFrame, k: int = 25, smooth_
     return moved.join(smoothed, ["section", "obs_id"], "left").select("section", "obs_id", "cluster", "reassigned", F.coalesce("refined", "reassigned").alias("refined"))
 
 
-def gene_subtypes(expr: DataFrame, clusters: DataFrame, features: DataFrame, n_first: int = 10, least: int = 50, least_share: float = 0.05, most: int = 3, components: int = 10, seeds: int = 10) -> DataFrame:
+def _graph_parts(vectors: DataFrame, resolution: float, most: int, k: int) -> DataFrame:
+    """``(key, node, part)``: graph clusters of each key at the first of the falling resolutions that gives ``most`` at most.
+
+    The last resolution counts however many clusters it gives. The graph is built once for all.
+    """
+    edges = materialise(neighbour_graph(vectors, "key", k))
+    steps = list(dict.fromkeys(r for r in (resolution, resolution / 2, resolution / 4, 0.05, 0.01) if r <= resolution))
+    done, left = None, edges
+    for step in steps:
+        found = materialise(graph_communities(left, step))
+        n = found.groupBy("key").agg((F.max("cluster") + 1).alias("n")).collect()  # a row a cluster of the section
+        over = [r.key for r in n if r.n > most] if step != steps[-1] else []
+        settled = found.where(~F.col("key").isin(over)) if over else found
+        done = settled if done is None else done.union(settled)
+        if not over:
+            break
+        left = edges.where(F.col("key").isin(over))
+    return done.withColumnRenamed("cluster", "part")
+
+
+def gene_subtypes(expr: DataFrame, clusters: DataFrame, features: DataFrame, n_first: int = 10, least: int = 50, least_share: float = 0.05, most: int = 3, components: int = 10, seeds: int = 10, method: str = "graph", resolution: float = 0.5, k: int = 15) -> DataFrame:
     """Clusters split further by genes: ``(section, obs_id, cluster, subtype, code)``.
 
     ``clusters(section, obs_id, cluster)``, ``features(direction, feature, place)``: the first ``n_first`` of
-    each direction are used. A cluster is split if it has ``least`` observations and ``least_share`` of all;
-    its parts, ``most`` at most, are named ``cluster_part``, others ``cluster_0``. Codes number the names. All
-    clusters are embedded and split together.
+    each direction are used. A cluster is split if it has ``least`` observations and ``least_share`` of all; its
+    parts are named ``cluster_part``, others ``cluster_0``. Codes number the names. All clusters are embedded and
+    split together: by ``graph`` clusters at a resolution that falls until there are ``most`` at most, or by
+    ``k_means`` into ``most``. Observations are told apart by section and id.
     """
     genes = features.where(F.col("place") <= n_first).select("feature").distinct()
     size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
@@ -74,8 +97,12 @@ def gene_subtypes(expr: DataFrame, clusters: DataFrame, features: DataFrame, n_f
         inside = clusters.where(F.col("cluster").isin(able))
         vectors = expr.join(if_small(genes), "feature").join(inside, ["section", "obs_id"]).groupBy("section", "obs_id", name.alias("key")).agg(entry.alias("vector"))
         embedded = group_components(vectors, "key", components)
-        parts = group_k_means(embedded, "key", {str(c): most for c in able}, "pca", seeds).select("obs_id", F.col("cluster").alias("part"))
-        placed = clusters.join(parts, "obs_id", "left")
+        node = F.xxhash64("section", "obs_id")
+        if method == "graph":
+            parts = _graph_parts(embedded.select("key", node.alias("obs_id"), F.col("pca").alias("vector")), resolution, most, k).select("node", "part")
+        else:
+            parts = group_k_means(embedded, "key", {str(c): most for c in able}, "pca", seeds).select(node.alias("node"), F.col("cluster").alias("part"))
+        placed = clusters.withColumn("node", node).join(parts, "node", "left").drop("node")
     else:
         placed = clusters.withColumn("part", F.lit(None).cast("int"))
     labelled = placed.withColumn("subtype", F.concat(name, F.lit("_"), F.coalesce(F.col("part"), F.lit(0)).cast("string")))
@@ -90,8 +117,9 @@ def postprocess(expr: DataFrame, clusters: DataFrame, image: DataFrame | None, f
     """
     out = clusters.select("section", "obs_id", "x", "y", F.col("cluster").cast("string").alias("initial"))
     if image is not None:
-        scores = boundary_scores(clusters.select("section", "obs_id", "cluster"), image, (boundary or {}).pop("least", 10))
-        step = refine_boundary(clusters, scores, **(boundary or {})).select("section", "obs_id", "refined")
+        options = dict(boundary or {})
+        scores = boundary_scores(clusters.select("section", "obs_id", "cluster"), image, options.pop("least", 10))
+        step = refine_boundary(clusters, scores, **options).select("section", "obs_id", "refined")
         out = out.join(step, ["section", "obs_id"])
     else:
         out = out.withColumn("refined", F.col("initial"))
@@ -101,25 +129,6 @@ def postprocess(expr: DataFrame, clusters: DataFrame, image: DataFrame | None, f
     return out.join(step.select("section", "obs_id", F.col("subtype").alias("final")), ["section", "obs_id"]).select("section", "obs_id", "initial", "refined", "final")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, component)``, the least node that can be reached; a node without edges is its own.
-
-    ``nodes(node)``, ``edges(a, b)`` undirected. Each round every node takes the least label of its neighbours,
-    then that label's own, which halves what is left of a path; each is written, so plans stay short.
-    """
-    ends = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    both = materialise(ends.union(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = nodes.select("node", F.col("node").alias("component")).distinct()
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        moved = materialise(step.join(jump, "next", "left").select("node", "was", F.least("next", F.coalesce("jump", "next")).alias("component")))
-        labels = moved.drop("was")
-        if not moved.where("was != component").limit(1).count():
-            return labels
-
-
 def raster_components(cells: DataFrame, diagonal: bool = True) -> DataFrame:
     """Connected cells of one label: ``(section, gx, gy, label, component, size, place)``; place 1 is a label's largest.
 

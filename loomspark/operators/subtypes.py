@@ -31,9 +31,10 @@ def best_cluster_numbers(vectors: DataFrame, key: str, least: int = 2, most: int
     n = {r["key"]: r.n for r in vectors.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a group
     wanted = {f"{name}{_JOINT}{k}": k for name, rows in n.items() for k in range(least, min(most, rows - 1) + 1)}
     tries = F.explode(F.sequence(F.lit(least), F.lit(most))).alias("k")
-    many = vectors.select(F.col(key).cast("string").alias("own"), "obs_id", F.col(column).alias("vector"), tries).withColumn("key", _key("own", "k")).where(F.col("key").isin(list(wanted)))
+    ids = [c for c in ("section", "obs_id") if c in vectors.columns]
+    many = vectors.select(F.col(key).cast("string").alias("own"), *ids, F.col(column).alias("vector"), tries).withColumn("key", _key("own", "k")).where(F.col("key").isin(list(wanted)))
     clusters = group_k_means(many, "key", wanted, "vector", seeds)
-    scored = silhouette(many.join(clusters, ["key", "obs_id"]), "key", "cluster").select(*_parts("region", "key", "k"), F.round("silhouette", 9).alias("silhouette"))
+    scored = silhouette(many.join(clusters, ["key", *ids]), "key", "cluster").select(*_parts("region", "key", "k"), F.round("silhouette", 9).alias("silhouette"))
     scored = scored.withColumn("k", F.col("k").cast("int"))
     order = Window.partitionBy("key").orderBy(F.desc("silhouette"), "k")  # a row a number of clusters
     return scored.withColumn("best", F.row_number().over(order) == 1)
@@ -50,7 +51,7 @@ def section_subtypes(vectors: DataFrame, k: int = 3, components: int = 30, seeds
     able = {name: k for name, rows in n.items() if rows > k}
     embedded = group_scaled(group_components(keyed.where(F.col("_key").isin(list(able))), "_key", components), "_key", "pca")
     found = group_k_means(embedded, "_key", able, "pca", seeds)
-    return found.select(*_parts("key", "label", "section"), "obs_id", "cluster")
+    return found.select(_parts("key", "label")[0], "section", "obs_id", "cluster")
 
 
 def subtype_markers(expr: DataFrame, subtypes: DataFrame, least_share: float = 0.05, by: tuple[str, ...] = ("label", "section"), **bounds: float) -> DataFrame:
@@ -81,7 +82,7 @@ def shared_subtypes(expr: DataFrame, genes: DataFrame, most: int = 5, seeds: int
     numbers = {r["key"]: r.k for r in best_cluster_numbers(vectors, "label", 2, most, "vector", seeds).where("best").collect()}  # a row a region
     found = group_k_means(vectors, "label", numbers, "vector", seeds).withColumnRenamed("key", "label")
     k = F.coalesce(*[F.when(F.col("label") == name, F.lit(n)) for name, n in numbers.items()], F.lit(0))
-    return vectors.select("label", "section", "obs_id").join(found, ["label", "obs_id"]).withColumn("k", k)
+    return vectors.select("label", "section", "obs_id").join(found, ["label", "section", "obs_id"]).withColumn("k", k)
 
 
 def shared_markers(expr: DataFrame, subtypes: DataFrame, cutoff: int = 2, **bounds: float) -> tuple[DataFrame, DataFrame]:

@@ -178,7 +178,7 @@ class Session:
         counts = {n: cluster_count(sum(map(len, self.sides_of[n])), sizes[n], s) for n in nodes}
         embedded = materialise(group_scaled(group_components(active, "node", s.components), "node", "pca"))
         found = group_k_means(embedded, "node", counts, "pca", s.seeds).withColumnRenamed("key", "node")
-        clusters = embedded.join(found, ["node", "obs_id"])
+        clusters = embedded.join(found, ["node", "section", "obs_id"])
         if s.most_clusters is not None:
             clusters = control_clusters(clusters, 1, s.most_clusters, "pca", ["node"])
         clusters = materialise(clusters.select("node", "section", "obs_id", "cluster"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.joins import if_small
@@ -17,6 +17,7 @@ from loomspark.operators import postprocess as pp
 from loomspark.operators import raster as g
 from loomspark.operators import regions as r
 from loomspark.operators import subtypes as st
+from loomspark.operators import graph_clusters as gc
 from loomspark.operators import transfer as t
 from loomspark.plans.catalog import _CROSS, _EXPR, _LOOSE, _MARKED, _OBS, _RAW, _axis_clusters, _combined, _cross, _expr, _markers, _r, largest_axis, query
 from loomspark.plans.hierarchy_catalog import _BOUNDS, _QUANTILE, selected, splits
@@ -25,10 +26,24 @@ from loomspark.sources import tables as s
 # --- radius joins ------------------------------------------------------------------------------------------
 
 
-@query("j10_radius_quantile", f"WITH {_OBS}, ra AS (SELECT a.section, quantile_cont(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), least(1, 10 / (SELECT count(*) FROM obs c WHERE c.section = a.section))) AS radius FROM obs a JOIN obs b ON a.section = b.section GROUP BY a.section) SELECT a.section, a.obs_id, count(*) AS n_near, round(any_value(radius), 6) AS radius FROM obs a JOIN obs b ON a.section = b.section JOIN ra ON ra.section = a.section WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= radius GROUP BY ALL".replace("quantile_cont(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), least(1, 10 / (SELECT count(*) FROM obs c WHERE c.section = a.section)))", "quantile_cont(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 0.08)"))
+_RADII = """ds AS (
+  SELECT a.section, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d,
+         row_number() OVER (PARTITION BY a.section ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) - 1 AS place
+  FROM obs a JOIN obs b ON a.section = b.section),
+pt AS (SELECT section, (count(*) * count(*) - 1) * least(1, 10 / count(*)) AS pt FROM obs GROUP BY section),
+ra AS (
+  SELECT section, low + (high - low) * (pt - floor(pt)) AS radius
+  FROM (SELECT section, pt, max(d) FILTER (WHERE place = floor(pt)) AS low, max(d) FILTER (WHERE place = ceil(pt)) AS high
+        FROM ds JOIN pt USING (section) GROUP BY section, pt))"""
+
+
+@query("j10_radius_quantile", f"""WITH {_OBS}, {_RADII}
+SELECT a.section, a.obs_id, count(*) AS n_near, round(any_value(radius), 6) AS radius
+FROM obs a JOIN obs b ON a.section = b.section JOIN ra ON ra.section = a.section
+WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= radius GROUP BY ALL""")
 def radius_quantile(spark: SparkSession, d: str) -> DataFrame:
     o = s.obs(spark, d)
-    radii = n.distance_quantile(o, o, q=0.08)
+    radii = n.distance_quantile(o, o, k=10)
     near = n.within_radius(o, o, radii).groupBy("section", "obs_id").agg(F.count(F.lit(1)).alias("n_near"))
     return near.join(if_small(radii), "section").select("section", "obs_id", "n_near", _r("radius"))
 
@@ -191,6 +206,32 @@ def query_clusters(spark: SparkSession, d: str) -> DataFrame:
     return e.group_k_means(joined, "section", sections).withColumnRenamed("key", "section")
 
 
+@query("c05_graph_clusters")
+def graph_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of each section's observations, clustered at once."""
+    v = e.group_components(s.vectors(spark, d), "section", 10)
+    return gc.graph_clusters(v, "section", 0.5, 10, "pca").withColumnRenamed("key", "section")
+
+
+_NEAR = """pr AS (
+  SELECT a.section, a.obs_id AS a, b.obs_id AS b, round(sqrt(list_sum(list_transform(a.v, lambda x, i: (x - b.v[i]) ** 2))), 9) AS d
+  FROM vc a JOIN vc b ON a.section = b.section),
+rk AS (SELECT *, row_number() OVER (PARTITION BY section, a ORDER BY d, b) AS place FROM pr),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section, a ORDER BY d, b) AS no FROM rk WHERE place <= 10 AND a != b) WHERE no <= 9)"""
+
+
+@query("c05_neighbour_graph", f"""WITH {_OBS}, vc AS (SELECT 's' || (vec_id % 4) AS section, vec_id AS obs_id, embedding::DOUBLE[] AS v FROM embeddings), {_NEAR},
+e AS (SELECT section, least(a, b) AS a, greatest(a, b) AS b, count(*) AS n_given, max(d) AS d FROM nb GROUP BY ALL)
+SELECT section, a, b, n_given, round(max(d), 6) AS distance FROM e GROUP BY ALL""")
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Who is linked with whom, and how many of the two chose the other."""
+    v = s.vectors(spark, d)
+    edges = gc.neighbour_graph(v, "section", 10).where("a < b").select("key", "a", "b")
+    near = n.feature_neighbours(v, v, 10, "section").where("query_id != ref_id").withColumn("no", F.row_number().over(Window.partitionBy("key", "query_id").orderBy("place"))).where("no <= 9")
+    given = near.groupBy("key", F.least("query_id", "ref_id").alias("a"), F.greatest("query_id", "ref_id").alias("b")).agg(F.count(F.lit(1)).alias("n_given"), F.max("distance").alias("distance"))
+    return edges.join(given, ["key", "a", "b"], "left").select(F.col("key").alias("section"), "a", "b", "n_given", _r("distance"))
+
+
 @query("c12_gene_subtypes")
 def gene_subtypes(spark: SparkSession, d: str) -> DataFrame:
     features = selected(spark, d).where("parent = 'root'").groupBy("direction", "feature").agg(F.min("place").alias("place"))
