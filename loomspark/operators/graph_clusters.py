@@ -187,7 +187,7 @@ class Block:
 def _round(links: DataFrame, state: DataFrame, totals: DataFrame, resolution: float, seed: int) -> DataFrame:
     """``(key, node, degree, community, part)`` after every block moved its nodes once."""
     by = state.groupBy("key", "community").agg(F.sum("degree").alias("volume"), F.count(F.lit(1)).alias("members"))
-    known = materialise(state.join(by, ["key", "community"]).join(totals, "key"))
+    known = state.join(by, ["key", "community"]).join(totals, "key")
     together = F.when(F.col("members") * F.col("edges") <= F.lit(BLOCK_EDGES // 4) * F.col("nodes"), F.col("community")).otherwise(F.col("node"))
     block = F.pmod(F.xxhash64(F.lit(seed), "key", together), F.col("blocks")).cast("int").alias("block")
     here = known.select("key", F.col("node").alias("a"), F.col("community").alias("near"), F.col("volume").alias("near_volume"), "degree", "two_m", block)
@@ -231,31 +231,31 @@ def graph_communities(edges: DataFrame, resolution: float = 0.5, seed: int = 0)
     Edges are weighted, stand in both directions, and join nodes (longs) of one key; a self-link counts once.
     Every cluster is connected. Reruns agree. A node without any edge has no row; an empty table gives none.
     """
-    base = materialise(edges.select(F.col("key").cast("string").alias("key"), "a", "b", F.col("w").cast("double").alias("w")))
-    level, members = base, None
-    state = base.groupBy("key", F.col("a").alias("node")).agg(F.sum("w").alias("degree")).withColumn("community", F.col("node"))
+    level = materialise(edges.select(F.col("key").cast("string").alias("key"), "a", "b", F.col("w").cast("double").alias("w")))
+    state = level.groupBy("key", F.col("a").alias("node")).agg(F.sum("w").alias("degree")).withColumn("community", F.col("node"))
+    members, before = None, None
     for depth in range(LEVELS):
         counted = level.groupBy("key").agg(F.sum("w").alias("two_m"), F.count(F.lit(1)).alias("edges"), F.countDistinct("a").alias("nodes"))
         totals = if_small(counted.withColumn("blocks", F.ceil(F.col("edges") / BLOCK_EDGES).cast("int")))
-        sizes = {r.key: r.blocks for r in totals.select("key", "blocks").collect()}  # a row a group
-        moved = materialise(_moved(level.where("a != b"), state, totals, sizes, resolution, seed + 1_000 * depth))
-        own = moved.select("key", "node", "part", "community")
-        members = own.withColumnRenamed("node", "obs") if members is None else members.select("key", "obs", F.col("part").alias("node")).join(own, ["key", "node"]).drop("node")
-        members = materialise(members)
-        n = moved.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("key", "part").alias("parts")).first()
-        if n.parts == n.nodes:
+        sizes = {r.key: (r.nodes, r.blocks) for r in totals.collect()}  # a row a group
+        if before is not None and all(sizes[key][0] == before[key][0] for key in sizes):
             break
-        end = lambda c: own.select("key", F.col("node").alias(c), F.col("part").alias(f"p{c}"))  # noqa: E731, B023
+        moved = _moved(level.where("a != b"), state, totals, {key: blocks for key, (_, blocks) in sizes.items()}, resolution, seed + 1_000 * depth)
+        step = moved.select("key", "node", "part")
+        members = step.withColumnRenamed("node", "obs") if members is None else members.withColumnRenamed("part", "node").join(step, ["key", "node"]).drop("node")
+        end = lambda c: moved.select("key", F.col("node").alias(c), F.col("part").alias(f"p{c}"))  # noqa: E731, B023
         level = materialise(level.join(end("a"), ["key", "a"]).join(end("b"), ["key", "b"]).groupBy("key", F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w")))
         state = moved.groupBy("key", F.col("part").alias("node")).agg(F.sum("degree").alias("degree"), F.min("community").alias("community"))
-    # a community that moves have cut apart is better as its pieces
-    named = members.select("key", F.col("obs").alias("node"), "community", F.xxhash64("key", "obs").alias("id"))
+        before = sizes
+    # a community that moves have cut apart is better as its pieces; each node of the last graph is connected in itself
+    named = materialise(state.select("key", "node", "community", F.xxhash64("key", "node").alias("id")))
     at = lambda c: named.select("key", F.col("node").alias(c), F.col("community").alias(f"c{c}"), F.col("id").alias(f"i{c}"))
-    inside = base.join(at("a"), ["key", "a"]).join(at("b"), ["key", "b"]).where("ca = cb and a < b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    inside = level.join(at("a"), ["key", "a"]).join(at("b"), ["key", "b"]).where("ca = cb and a < b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     pieces = connected_components(named.select(F.col("id").alias("node")), inside).withColumnRenamed("node", "id")
-    cut = named.join(pieces, "id")
-    least = cut.groupBy("key", "component").agg(F.min("node").alias("cluster"))
-    return dense_by_size(cut.join(least, ["key", "component"]).select("key", "node", "cluster"), ["key"])
+    cut = named.join(pieces, "id").select("key", F.col("node").alias("part"), "component")
+    placed = members.join(cut, ["key", "part"])
+    least = placed.groupBy("key", "component").agg(F.min("obs").alias("cluster"))
+    return dense_by_size(placed.join(least, ["key", "component"]).select("key", F.col("obs").alias("node"), "cluster"), ["key"])
 
 
 def graph_clusters(vectors: DataFrame, key: str, resolution: float = 0.5, k: int = 10, column: str = "vector", metric: str = "euclidean", seed: int = 0) -> DataFrame:
