@@ -22,6 +22,7 @@ from loomspark.llm.repeated_passages import remove_repeated_passages
 from loomspark.llm.scratch import new_folder, scope
 from loomspark.llm.toxicity import fit_toxicity, score_toxicity
 
+
 def _text() -> Column:
     return F.col("text").cast("string")
 
@@ -51,12 +52,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group of near-duplicates.
 
-    Five-word shingles, similarity of 0.8 or more. Of rows equal in id and text the one with the least hash
-    of all its columns is kept. Empty texts are in no group and stay.
+    Five-word shingles, similarity of 0.8 or more. Rows of one doc_id but with other texts are judged each by its
+    text; of those in one group the one with the least hash of id and text is kept. Of rows equal in id and text the
+    one with the least hash of all its columns is kept. Empty texts are in no group and stay.
     """
-    kept = near_duplicates(_keyed(docs, _rank()), k=5, percent=80).where("kept").select(F.col("doc_id").alias("__key")).distinct()
-    known = docs.withColumn("__key", _rank()).join(kept, "__key", "left_semi")
-    equal = Window.partitionBy("__key", F.xxhash64(_text())).orderBy(F.xxhash64(*docs.columns))
+    grouped = near_duplicates(_keyed(docs, _row()), k=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    ranks = docs.groupBy(_row().alias("__key")).agg(F.min(_rank()).alias("__rank"))
+    kept = grouped.join(ranks, "__key").groupBy("component_id").agg(F.min(F.struct("__rank", "__key"))["__key"].alias("__key")).select("__key")
+    known = docs.withColumn("__key", _row()).join(kept, "__key", "left_semi")
+    equal = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
     return known.withColumn("__copy", F.row_number().over(equal)).where("__copy = 1").select(docs.columns)
 
 
