@@ -82,3 +82,13 @@ def test_mixture_has_the_drawn_words(spark, prose):
     assert len(target) == 4 and all(abs(words[s] - target[s]) <= 1 for s in target)
     assert any(r.taken < r.size for r in out) and any(r.taken > r.size for r in out)
     assert sum(r.doc_id is None for r in out) == 2
+
+
+def test_an_id_of_which_one_text_is_a_copy(spark, prose):
+    a, b, near = prose(1, 200), prose(2, 200), prose(1, 200) + " tail"
+    rows = [(3, a), (7, near), (7, b), (7, b), (2, prose(4, 90)), (9, None), (9, ""), (9, b + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = sorted(((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    assert left == sorted([(3, a), (7, b), (2, prose(4, 90)), (9, None), (9, "")], key=repr)
+    other = spark.createDataFrame([(5, a, "x"), (5, near, "y"), (5, b, "z")], "doc_id long, text string, lang string")
+    assert len({r.text for r in cp.drop_near_duplicates(spark, other, "").collect()} - {b}) == 1
