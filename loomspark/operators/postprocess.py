@@ -134,7 +134,7 @@ def raster_components(cells: DataFrame, diagonal: bool = True) -> DataFrame:
 
     ``cells(section, gx, gy, label)``; neighbours are the eight round a cell, or the four beside it.
     """
-    node = F.xxhash64("section", "gx", "gy")
+    node = F.xxhash64("section", "label", "gx", "gy")  # a cell may have several labels
     named = materialise(cells.withColumn("node", node))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     moves = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in steps]))
