@@ -32,7 +32,7 @@ from loomspark.llm.tables import id_and_text
 #: Fingerprints that the shards' tree is built from at most, and those of them that a shard should hold at least.
 SAMPLE, SAMPLED_A_SHARD = 1_000_000, 32
 #: Points a shard is meant to hold, and points of a leaf inside a shard, whose distances are all computed.
-SHARD, LEAF = 20_000, 192
+SHARD, LEAF = 4_000, 192
 #: Vantage points tried for a node, points by which they are judged, how often a split may place its points on
 #: average, and the share of them that a branch may hold.
 TRIED, JUDGED, MOST_PLACES, LARGEST_PART = 12, 2_048, 1.8, 0.95
