@@ -228,9 +228,89 @@ def test_leaks_of_few_literals(spark, make_docs, prose):
     items = spark.createDataFrame(list(enumerate(dense)), "item_id long, text string")
     texts = [(i, f"{prose(30 + i, 30)}. {t}. {prose(40 + i, 30)}") for i, t in enumerate(dense)]
     texts += [(5, "Add 3, 5, 7, 9, 12 and 13 14 15"), (6, "Solve 7 times 9"), (7, dense[2].upper()), (None, dense[1])]
+    texts += [(8, f"{prose(50, 9)}. Convert 9 km, 4 miles and 31 yards to meters"), (9, "Convert 9 km and 4 miles"), (10, "Add 3, 3, 3, 9, 12 and 13"), (11, "Sum 3, 5, 7, 9, 12 or 13")]
     df = dc.find_leaks(make_docs(texts), items)
     assert not has_python(df)
-    assert {(r.doc_id, r.item_id, r.coverage) for r in df.collect()} == {(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0), (7, 2, 1.0)}
+    found = {(r.doc_id, r.item_id): (r.coverage, r.n_changed) for r in df.collect()}
+    assert found == {(0, 0): (1.0, 0), (1, 1): (1.0, 0), (2, 2): (1.0, 0), (7, 2): (1.0, 0), (5, 1): (0.875, 1), (8, 0): (1.0, 3), (10, 1): (0.875, 3)}
+
+
+def test_leaks_in_other_letter_case(spark, make_docs, prose):
+    questions = ["Tom has 3 apples and gives Maria 2 of the apples that he has", "The capital of France is Paris and the river there is the Seine", "which of them weighs more in the end and why"]
+    items = spark.createDataFrame(list(enumerate(questions)), "item_id long, text string")
+    texts = [(10 * i + j, f"{prose(i, 20)} {f(q)} {prose(9 + i, 20)}") for i, q in enumerate(questions) for j, f in enumerate((str.upper, str.lower, str.title, str))]
+    texts += [(90, "The capital of Spain is Madrid and the river there is the Tajo"), (91, "the capital of spain is madrid and the river there is the tajo"), (92, f"{questions[0]} " * 2_000), (93, prose(1, 20_000))]
+    found = {(r.doc_id, r.item_id): r.n_changed for r in dc.find_leaks(make_docs(texts), items).collect()}
+    assert found == {**{(10 * i + j, i): 0 for i in range(3) for j in range(4)}, (90, 1): 3, (92, 0): 0}
+
+
+def plain_tokens(text):
+    """Words in lower case and their templates, by a reading of the rules with Python's own expressions."""
+    text = re.sub("(?<=[0-9])[.,](?=[0-9])", "", (text or "").replace("\u00a7", " "))
+    first = {m.end() for m in re.finditer(r"(?:^|[.!?]\s|\n)(?:(?![^\W_]).)*(?=[^\W_])", text, re.S)}
+    words, tokens = [], []
+    for m in re.finditer(r"[^\W_]+", text):
+        word = m[0].lower()
+        slot = "<num>" if word[0] in "0123456789" or word in dc.NUMBER_WORDS else "<unit>" if word in dc.UNITS else "<name>" if m.start() not in first and m[0][0] != word[0] else word
+        words.append(word)
+        tokens.append(slot)
+    return words, tokens
+
+
+def brute_leak(doc, item, k=5, cover=0.8):
+    (dw, dt), (iw, it) = plain_tokens(doc), plain_tokens(item)
+    size, slots = len(it), ("<num>", "<unit>", "<name>")
+    asked = {(t, k, False) for t in range(size - k + 1)} if size >= k else {(0, size, False)} if size else set()
+    for t in range(size - k + 1):
+        for n in dc.lengths_of(k):
+            s = min(t, size - n)
+            if s >= 0 and sum(x not in slots for x in it[s : s + n]) >= dc.LITERALS:
+                asked.add((s, n, True))
+                break
+    met = defaultdict(set)
+    for t, n, template in asked:
+        for d in range(len(dw) - n + 1):
+            if (dt[d : d + n] == it[t : t + n]) if template else (dw[d : d + n] == iw[t : t + n]):
+                met[d - t].add((t, n))
+    clusters = []
+    for g in sorted(met):
+        if clusters and g - clusters[-1][-1] <= dc.MERGE:
+            clusters[-1].append(g)
+        else:
+            clusters.append([g])
+    under = lambda g: {x for t, n in met[g] for x in range(t, t + n)}
+    best = None
+    for cluster in clusters:
+        if len(set().union(*map(under, cluster))) / size < cover:
+            continue
+        equal = {g: sum(iw[x] == dw[g + x] for x in under(g)) for g in cluster}
+        for some in [[g] for g in cluster] + ([cluster] if len(cluster) > 1 else []):
+            held = {x: max((g for g in some if x in under(g)), key=lambda g: (equal[g], -g)) for x in set().union(*map(under, some))}
+            pairs = {(it[x], iw[x], dw[g + x]) for x, g in held.items() if it[x] in slots}
+            if len(held) / size >= cover and len(pairs) == len({p[:2] for p in pairs}):
+                windows = sum(len(met[g]) for g in set(held.values()))
+                found = (len(held) / size, windows, -min(g + x for x, g in held.items()), len(pairs), sum(a != b for _, a, b in pairs))
+                best = max(best or found, found)
+    return best
+
+
+def test_finds_and_non_finds_equal_brute_force(spark, make_docs, prose):
+    r = random.Random(5)
+    base = [t for t in seeded_items(prose)[:24]] + ["Convert 5 km, 3 miles and 20 yards to meters", "He bought 3 apples, 4 apples, 5 apples, 6 apples", "Anna saw Tom. Tom saw Anna and 2 dogs. Who saw Tom"]
+    items = spark.createDataFrame(list(enumerate(base)), "item_id long, text string")
+    docs = []
+    for i, text in enumerate(base * 4):
+        words = text.split()
+        for _ in range(r.randint(0, 3)):  # other values, other words, words gone or doubled
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[str(r.randint(2, 99))], ["Bert"], [], [words[at]] * 2, [words[at].upper()], ["km"]])
+        docs.append((i, f"{prose(i, r.randint(0, 12))}. {' '.join(words)}{r.choice(['.', '', ' ' + text])} {prose(i + 500, r.randint(0, 9))}"))
+    found = {(x.doc_id, x.item_id): x for x in dc.find_leaks(make_docs(docs), items).collect()}
+    want = {(i, j): b for i, d in docs for j, t in enumerate(base) if (b := brute_leak(d, t))}
+    assert set(found) == set(want) and 20 < len(want) < len(docs) * 2
+    for key, b in want.items():
+        x = found[key]
+        assert (round(x.coverage, 9), x.n_windows, -x.first_token, x.n_slots, x.n_changed) == (round(b[0], 9), *b[1:])
 
 
 def seeded_items(prose):
