@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.joins import if_small
-from loomspark.operators.assignment import adjust_one_sided, cross_table, quantile_anchors, side_ratio
+from loomspark.operators.assignment import adjust_one_sided, cross_table, novel_clusters, quantile_anchors, reassign_novel, side_ratio
 from loomspark.operators.embedding import control_clusters, group_components, group_k_means, group_scaled
 from loomspark.operators.neighbours import anchors, vote_references
+from loomspark.operators.postprocess import refine_boundary
+from loomspark.operators.raster import boundary_scores
 from loomspark.sources.materialise import materialise
 
 #: ``(node, child_1, child_2, regions of the first, regions of the second)``
@@ -43,6 +45,13 @@ class TransferSettings:
     least_share: float = 0.05
     max_missing: int = 1
     seeds: int = 10
+    #: Whether novel clusters may stay, whether others go to their neighbours' branch, by how many.
+    novel: bool | str = "auto"
+    reassign: bool = False
+    reassign_neighbours: int = 25
+    least_novel_share: float = 0.1
+    #: C11 in a round: options of ``refine_boundary``, with ``least`` and ``veto`` of the scores.
+    boundary: dict | None = None
 
 
 def split_paths(splits: list[Split]) -> dict[str, int]:
@@ -81,14 +90,36 @@ def novel_allowed(children_regions: tuple[list[str], list[str]], policy: bool |
     return min(map(len, children_regions)) == 1 if policy == "auto" else bool(policy)
 
 
-def nearest_detector(reference: DataFrame, settings: TransferSettings, several: bool = False) -> Detect:
-    """L01 (one reference) or L02 (``several``, by votes of sections): anchors by nearest neighbours of both sides at once."""
+def node_vectors(members: DataFrame, expr: DataFrame, features: DataFrame) -> DataFrame:
+    """``members(node, section, obs_id, ...)`` with the values of their node's own features as ``vector``.
+
+    ``expr(section, obs_id, feature, value)``, absent values count 0; ``features(parent, feature, place)`` as F03
+    and F04 give them, some tens to hundreds a node, each once in its order. Nodes without features have no rows.
+    """
+    once = features.groupBy(F.col("parent").alias("node"), "feature").agg(F.min("place").alias("place"))
+    lists = if_small(once.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "feature"))), lambda x: x["feature"]).alias("_features")))
+    wanted = members.select("node", "section", "obs_id").distinct().join(expr.select("section", "obs_id", "feature", "value").join(if_small(once.select("feature").distinct()), "feature", "left_semi"), ["section", "obs_id"])
+    held = wanted.join(if_small(once.select("node", "feature")), ["node", "feature"]).groupBy("node", "section", "obs_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_held"))
+    filled = F.transform("_features", lambda f: F.coalesce(F.try_element_at("_held", f), F.lit(0.0)))
+    return members.join(lists, "node").join(held, ["node", "section", "obs_id"], "left").withColumn("vector", filled).drop("_features", "_held")
+
+
+def nearest_detector(reference: DataFrame, settings: TransferSettings, several: bool = False, expr: DataFrame | None = None, features: DataFrame | None = None, guide: DataFrame | None = None) -> Detect:
+    """L01 (one reference) or L02 (``several``, by votes of sections): anchors by nearest neighbours of both sides at once.
+
+    With ``expr`` and ``features`` each node is searched in its own features (``node_vectors``), else in the
+    references' ``vector``. ``guide(parent, section)``, as F07 gives it, says which sections a node learns from.
+    """
 
     def detect(active: DataFrame, sides: DataFrame) -> DataFrame:
         marked = reference.join(if_small(sides.select("node", "branch", "label")), "label")
-        marked = marked.select("node", F.col("branch").alias("label"), "section", "obs_id", "vector")
+        if guide is not None:
+            marked = marked.join(if_small(guide.select(F.col("parent").alias("node"), "section").distinct()), ["node", "section"], "left_semi")
+        if features is not None:
+            marked = node_vectors(marked.select("node", "section", "obs_id", "branch"), expr, features)
+        marked = materialise(marked.select("node", F.col("branch").alias("label"), "section", "obs_id", "vector"))
         if not several:
-            hits = anchors(marked.drop("section"), active.select("node", "obs_id", "vector"), settings.neighbours, ["node"])
+            hits = anchors(marked.withColumn("obs_id", F.xxhash64("section", "obs_id")).drop("section"), active.select("node", "obs_id", "vector"), settings.neighbours, ["node"])
             return hits.select("node", F.col("label").alias("branch"), "obs_id")
         asked = marked.select("node", "section").distinct()
         copies = active.select("node", "obs_id", "vector").join(if_small(asked), "node")  # a copy a reference section
@@ -116,7 +147,10 @@ class Session:
     """Who is in which node, and what was done.
 
     ``query(section, obs_id, vector)``; ``reference(section, obs_id, label, vector)`` gives the sizes of sides.
-    Membership is a table that is written at each commit, so plans stay as long as one level.
+    Membership is a table that is written at each commit, so plans stay as long as one level. With ``expr`` and
+    ``features`` each node is embedded by its own features (``node_vectors``) instead of ``vector``. ``image``,
+    ``(section, obs_id, feature, value)``, is what a boundary cluster is known by where the settings ask for
+    that; this and reassigning need ``x`` and ``y`` in ``query``.
     """
 
     query: DataFrame
@@ -124,6 +158,9 @@ class Session:
     splits: list[Split]
     detect: Detect
     settings: TransferSettings = TransferSettings()
+    expr: DataFrame | None = None
+    features: DataFrame | None = None
+    image: DataFrame | None = None
     membership: DataFrame = field(init=False)
     rounds: list[dict] = field(default_factory=list)
     ended: dict[str, str] = field(default_factory=dict)
@@ -174,7 +211,9 @@ class Session:
         """
         s = self.settings
         sizes = self._sizes()
-        active = materialise(self.query.join(self.membership.where(F.col("node").isin(nodes)).select("section", "obs_id", "node"), ["section", "obs_id"]))
+        members = self.membership.where(F.col("node").isin(nodes)).select("section", "obs_id", "node")
+        active = self.query.join(members, ["section", "obs_id"])
+        active = materialise(active if self.features is None else node_vectors(active.drop("vector"), self.expr, self.features))
         counts = {n: cluster_count(sum(map(len, self.sides_of[n])), sizes[n], s) for n in nodes}
         embedded = materialise(group_scaled(group_components(active, "node", s.components), "node", "pca"))
         found = group_k_means(embedded, "node", counts, "pca", s.seeds).withColumnRenamed("key", "node")
@@ -182,6 +221,8 @@ class Session:
         if s.most_clusters is not None:
             clusters = control_clusters(clusters, 1, s.most_clusters, "pca", ["node"])
         clusters = materialise(clusters.select("node", "section", "obs_id", "cluster"))
+        if s.boundary is not None and self.image is not None:
+            clusters = materialise(self._refined(clusters))
         sides = self.sides(nodes)
         hits = materialise(self.detect(active, sides))
         table = materialise(cross_table(clusters.select("node", "obs_id", "cluster"), hits, sides.select("node", "branch", "ord").distinct(), ["node"]))
@@ -189,9 +230,37 @@ class Session:
         ratios = side_ratio(sided, "first", "second", s.ratio_mode, by=["node"])
         threshold = s.one_sided_ratio if s.one_sided_ratio is not None else float("inf")
         chosen = adjust_one_sided(table, ratios, threshold, s.cutoff, by=["node"], least_size=s.least_cluster, least_percent=s.least_percent)
-        placed = clusters.join(if_small(chosen.select("node", "cluster", "branch", "percent")), ["node", "cluster"], "left")
+        chosen = materialise(chosen.select("node", "cluster", "size", "branch", "percent"))
+        placed = clusters.join(if_small(chosen.drop("size")), ["node", "cluster"], "left")
+        if s.reassign:
+            placed = self._reassigned(materialise(placed), chosen, nodes, sizes)
         return placed.withColumn("branch", F.when(F.col("branch") != "novel_cluster", F.col("branch")))
 
+    def _refined(self, clusters: DataFrame) -> DataFrame:
+        """The boundary cluster of each node and section is dealt to the others; all nodes at once."""
+        own = F.concat_ws("\u0001", "node", "section")
+        joint = clusters.join(self.query.select("section", "obs_id", "x", "y"), ["section", "obs_id"]).withColumn("section", own)
+        options = dict(self.settings.boundary or {})
+        seen = clusters.select("node", "section", "obs_id").join(self.image, ["section", "obs_id"]).withColumn("section", own).select("section", "obs_id", "feature", "value")
+        scores = boundary_scores(joint.select("section", "obs_id", "cluster"), seen, options.pop("least", 10), options.pop("veto", 0.8))
+        found = refine_boundary(joint.select("section", "obs_id", "x", "y", "cluster"), scores, **options)
+        part = F.split("section", "\u0001")
+        return found.select(part[0].alias("node"), part[1].alias("section"), "obs_id", F.col("refined").cast("int").alias("cluster"))
+
+    def _reassigned(self, placed: DataFrame, chosen: DataFrame, nodes: list[str], sizes: dict[str, int]) -> DataFrame:
+        """Novel clusters that must not stay, and those too large to be novel, go to their neighbours' branch."""
+        s, out = self.settings, placed
+        at = self.query.select("section", "obs_id", "x", "y")
+        for node in nodes:
+            wanted = novel_clusters(chosen.where(F.col("node") == node), sizes[node], novel_allowed(self.sides_of[node], s.novel), s.least_novel_share)
+            if not wanted:
+                continue
+            own = out.where(F.col("node") == node)
+            labelled = own.where("branch is not null").join(at, ["section", "obs_id"]).select("section", "obs_id", "x", "y", "cluster", F.col("branch").alias("label"))
+            moved = reassign_novel(labelled, wanted, s.reassign_neighbours).select("section", "obs_id", F.lit(node).alias("node"), F.col("label").alias("_moved"))
+            out = materialise(out.join(moved, ["node", "section", "obs_id"], "left").withColumn("branch", F.coalesce("_moved", "branch")).drop("_moved"))
+        return out
+
     def commit(self, nodes: list[str], moved: DataFrame) -> None:
         """Put observations into children; what lay below the nodes from an earlier round goes back to them first."""
         under = {n: [d for d in self.depth if d != n and self._above(d, n)] for n in nodes}
@@ -239,14 +308,14 @@ class Session:
         return self.query.sparkSession.createDataFrame([tuple(r.values()) for r in self.rounds], kinds)
 
 
-def transfer_single(reference: DataFrame, query: DataFrame, splits: list[Split], settings: TransferSettings = TransferSettings()) -> Session:
-    """One reference, anchors by nearest neighbours."""
-    return Session(query, reference, splits, nearest_detector(reference, settings), settings)
+def transfer_single(reference: DataFrame, query: DataFrame, splits: list[Split], settings: TransferSettings = TransferSettings(), expr: DataFrame | None = None, features: DataFrame | None = None, image: DataFrame | None = None) -> Session:
+    """One reference, anchors by nearest neighbours, in each node's own features where these are given."""
+    return Session(query, reference, splits, nearest_detector(reference, settings, False, expr, features), settings, expr, features, image)
 
 
-def transfer_multi(reference: DataFrame, query: DataFrame, splits: list[Split], settings: TransferSettings = TransferSettings()) -> Session:
-    """Several reference sections vote on anchors."""
-    return Session(query, reference, splits, nearest_detector(reference, settings, several=True), settings)
+def transfer_multi(reference: DataFrame, query: DataFrame, splits: list[Split], settings: TransferSettings = TransferSettings(), expr: DataFrame | None = None, features: DataFrame | None = None, guide: DataFrame | None = None, image: DataFrame | None = None) -> Session:
+    """Several reference sections vote on anchors, those that the guide names for a node."""
+    return Session(query, reference, splits, nearest_detector(reference, settings, True, expr, features, guide), settings, expr, features, image)
 
 
 def transfer_quantile(reference: DataFrame, query: DataFrame, expr: DataFrame, features: DataFrame, splits: list[Split], settings: TransferSettings = TransferSettings(), **bounds: float) -> Session:

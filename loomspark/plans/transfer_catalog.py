@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from loomspark.operators import subtypes as st
 from loomspark.operators import graph_clusters as gc
 from loomspark.operators import transfer as t
 from loomspark.plans.catalog import _CROSS, _EXPR, _LOOSE, _MARKED, _OBS, _RAW, _axis_clusters, _combined, _cross, _expr, _markers, _r, largest_axis, query
-from loomspark.plans.hierarchy_catalog import _BOUNDS, _QUANTILE, selected, splits
+from loomspark.plans.hierarchy_catalog import _BOUNDS, _NEAREST, _QUANTILE, selected, splits
 from loomspark.sources import tables as s
 
 # --- radius joins ------------------------------------------------------------------------------------------
@@ -277,6 +279,32 @@ def multi_reference(spark: SparkSession, d: str) -> DataFrame:
     return t.transfer_multi(v.where("section != 's3'"), v.where("section = 's3'"), _fixed_tree(spark), _SETTINGS).run_auto().summary()
 
 
+@query("l13_node_features", f"""WITH {_NEAREST}, {_OBS},
+mb AS (SELECT parent AS node, obs.section, obs_id FROM obs JOIN sides USING (label) WHERE obs.section = 's3')
+SELECT mb.node, mb.section, mb.obs_id, round(sum(value), 5) AS total, round(max(value) FILTER (WHERE nf.place = 1), 6) AS first, count(*) AS width
+FROM mb JOIN nf ON nf.parent = mb.node JOIN expr ON expr.section = mb.section AND expr.obs_id = mb.obs_id AND expr.feature = nf.feature GROUP BY ALL""")
+def node_features(spark: SparkSession, d: str) -> DataFrame:
+    """Each observation below a split in the split's own features."""
+    sides = hf.split_sides(splits(spark))
+    lists = hf.nearest_feature_lists(selected(spark, d), sides, 2)
+    members = s.obs(spark, d).where("section = 's3'").join(F.broadcast(sides.select(F.col("parent").alias("node"), "label")), "label").select("node", "section", "obs_id")
+    rows = t.node_vectors(members, _expr(spark, d), lists)
+    total = F.aggregate("vector", F.lit(0.0), lambda x, v: x + v)
+    return rows.select("node", "section", "obs_id", F.round(total, 5).alias("total"), F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.size("vector").cast("long").alias("width"))
+
+
+@query("l15_guided_rounds")
+def guided_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds in the nodes' own features, with a guide, novel clusters reassigned."""
+    sides = hf.split_sides(splits(spark))
+    lists = hf.nearest_feature_lists(selected(spark, d), sides)
+    o = s.obs(spark, d)
+    references, query_ = o.where("section != 's3'"), o.where("section = 's3'")
+    guide = hf.guide_references(references.select("section").distinct(), splits(spark), spark.createDataFrame([("root", ["s0", "s1"])], "parent string, sections array<string>"))
+    settings = replace(_SETTINGS, reassign=True)
+    return t.transfer_multi(references, query_, _fixed_tree(spark), settings, _expr(spark, d), lists, guide).run_auto().labels()
+
+
 @query("l16_quantile_session")
 def quantile_session(spark: SparkSession, d: str) -> DataFrame:
     v = s.vectors(spark, d)

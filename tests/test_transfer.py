@@ -130,3 +130,69 @@ def test_features_must_cover_the_observations(spark):
         tables.align_features(stored, obs).collect()
     with pytest.raises(Exception, match="a member has no row"):
         tables.active_observations(stored, obs).collect()
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Observations on a plane whose classes stand out in a few features of their own, and not in the others."""
+    own = {"a": ["f2"], "b": ["f3"], "c": ["f0", "f1"]}
+    cells, values = [], []
+    for i in range(480):
+        section, label = f"s{i % 4}", "abc"[(i // 4) % 40 // 14 % 3]
+        cells.append((section, i // 4, label, float((i // 4) % 12), float((i // 4) // 12), [0.0]))
+        for k in range(8):
+            noise = ((i * 7919 + k * 104729) % 1009) / 1009
+            values.append((section, i // 4, label, f"f{k}", (6.0 if f"f{k}" in own[label] else 0.0) + noise * (1.0 if k < 4 else 9.0)))
+    obs = spark.createDataFrame(cells, "section string, obs_id long, label string, x double, y double, vector array<double>")
+    expr = spark.createDataFrame(values, "section string, obs_id long, label string, feature string, value double")
+    return obs, expr
+
+
+def test_rounds_embed_a_nodes_own_features(spark, noisy):
+    obs, expr = noisy
+    splits = spark.createDataFrame([(p, x, y, i, j) for p, x, y, i, j in TREE], "parent string, child_1 string, child_2 string, child_1_regions array<string>, child_2_regions array<string>")
+    known = expr.where("section != 's3'")
+    found = hf.hierarchical_features(known, splits, most_p=0.05, least_ratio=1.0, least_change=1.5, n=3)
+    lists = {p: sorted(r.feature for r in found["clustering"].collect() if r.parent == p) for p in ("root", "low")}
+    assert lists["low"] == ["f2", "f3"] and {"f0", "f1"} <= set(lists["root"])
+    reference, query = obs.where("section != 's3'"), obs.where("section = 's3'")
+    guide = hf.guide_references(reference.select("section").distinct(), splits, spark.createDataFrame([("low", ["s1"])], "parent string, sections array<string>"))
+    settings = t.TransferSettings(least_cluster=3, seeds=3, components=3, reassign=True)
+    session = t.transfer_multi(reference, query, TREE, settings, expr, found["clustering"], guide).run_auto()
+    truth = {r.obs_id: r.label for r in query.collect()}
+    got = {r.obs_id: r.label for r in session.labels().collect()}
+    assert set(got) == set(truth) and sum(got[i] == truth[i] for i in truth) > 0.9 * len(truth)
+    rounds = {r.node: r for r in session.summary().collect()}
+    assert rounds["root"].n_obs == len(truth) and all(r.n_obs == r.n_child_1 + r.n_child_2 + r.n_unresolved for r in rounds.values())
+    members = reference.where("section = 's0' and obs_id < 3").select(F.lit("low").alias("node"), "section", "obs_id").union(query.where("obs_id = 1").select(F.lit("nowhere"), "section", "obs_id"))
+    sparse = expr.where("feature != 'f3' or obs_id > 0")
+    rows = {r.obs_id: r.vector for r in t.node_vectors(members, sparse, found["clustering"]).collect()}
+    assert set(rows) == {0, 1, 2} and {len(v) for v in rows.values()} == {2} and 0.0 in rows[0]
+
+
+def test_novel_clusters_go_to_their_neighbours(spark, noisy):
+    obs, expr = noisy
+    reference, query = obs.where("section = 's0'"), obs.where("section = 's3'")
+    lone = expr.withColumn("value", F.when((F.col("section") == "s3") & (F.col("obs_id") >= 100), F.lit(60.0)).otherwise(F.col("value")))
+    lists = spark.createDataFrame([(n, f, i) for n, fs in (("root", ["f0", "f1", "f2", "f3"]), ("low", ["f2", "f3"])) for i, f in enumerate(fs)], "parent string, feature string, place int")
+    odd = query.where("obs_id >= 100").count()
+    kept = {}
+    for reassign in (False, True):
+        settings = t.TransferSettings(neighbours=2, least_cluster=3, seeds=3, components=3, clusters=4, novel=False, reassign=reassign, reassign_neighbours=9, one_sided_ratio=None)
+        moved = t.transfer_single(reference, query, TREE, settings, lone, lists).preview(["root"])
+        kept[reassign] = {r.obs_id: r.branch for r in moved.collect()}
+        assert len(kept[reassign]) == query.count()
+    free = {i for i, b in kept[False].items() if b is None}
+    assert len(free) == odd and all(i >= 100 for i in free)
+    assert None not in kept[True].values() and all(kept[True][i] == b for i, b in kept[False].items() if b is not None)
+
+
+def test_a_rounds_boundary_cluster_is_dealt_to_the_others(spark, noisy):
+    obs, _ = noisy
+    query = obs.where("section = 's3'")
+    image = query.select("section", "obs_id", F.lit("rgb").alias("feature"), F.when(F.col("label") == "b", 0.01).otherwise(F.col("obs_id") % 3 + 5.0).alias("value"))
+    session = t.Session(query, obs.where("section = 's0'"), TREE, lambda active, sides: active, t.TransferSettings(boundary={"least": 5, "k": 9, "smooth": False}), image=image)
+    clusters = query.select(F.lit("root").alias("node"), "section", "obs_id", F.expr("int(ascii(label)) - 97").alias("cluster"))
+    found = {r.obs_id: r.cluster for r in session._refined(clusters).collect()}
+    truth = {r.obs_id: r.label for r in query.collect()}
+    assert set(found) == set(truth) and set(found.values()) == {0, 2} and all(found[i] == ord(x) - 97 for i, x in truth.items() if x != "b")
