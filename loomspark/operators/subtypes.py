@@ -107,9 +107,12 @@ def region_status(obs: DataFrame, genes: DataFrame, least: int = 10) -> DataFram
 
 
 def score_regions(expr: DataFrame, obs: DataFrame, n_perm: int = 200, least_detected: float = 0.05, **bounds: float) -> dict[str, DataFrame]:
-    """P06, A06, A27, A26, A29, A30."""
+    """P06, A06, A27, A26, A29, A30. A section that keeps no feature is an error."""
     shared = expr.join(if_small(shared_features(expr).select("feature")), "feature", "left_semi")
     kept = detected_features(shared, obs, least_detected).select("section", "feature")
+    emptied = [r.section for r in obs.select("section").distinct().join(kept, "section", "left_anti").orderBy("section").collect()]  # a row a section
+    if emptied:
+        raise ValueError(f"no feature is detected often enough in {emptied}")
     filtered = shared.join(if_small(kept), ["section", "feature"], "left_semi")
     markers = region_markers(filtered, **bounds).select("section", "label", "feature")
     common = shared_features(filtered)

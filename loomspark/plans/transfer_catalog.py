@@ -315,21 +315,26 @@ def quantile_session(spark: SparkSession, d: str) -> DataFrame:
 # --- subtypes ------------------------------------------------------------------------------------------------
 
 
-def _genes(spark: SparkSession, d: str) -> DataFrame:
+def _all_genes(spark: SparkSession, d: str) -> DataFrame:
     markers = _markers(spark, d)
-    return m.marker_union(markers, f.shared_features(markers)).where("label in ('r0', 'r1', 'r2', 'r3')")
+    return m.marker_union(markers, f.shared_features(markers))
+
+
+def _genes(spark: SparkSession, d: str) -> DataFrame:
+    """Those of some regions, so that others have none."""
+    return _all_genes(spark, d).where("label in ('r0', 'r1', 'r2', 'r3')")
 
 
 @query("x02_section_subtypes")
 def section_subtypes(spark: SparkSession, d: str) -> DataFrame:
     from loomspark.operators.heterogeneity import region_vectors
 
-    return st.section_subtypes(region_vectors(_expr(spark, d), _genes(spark, d)), 2, 5)
+    return st.section_subtypes(region_vectors(_expr(spark, d), _all_genes(spark, d)), 2, 5)
 
 
 @query("x03_shared_subtypes")
 def shared_subtypes(spark: SparkSession, d: str) -> DataFrame:
-    return st.shared_subtypes(_expr(spark, d), _genes(spark, d), 4)
+    return st.shared_subtypes(_expr(spark, d), _all_genes(spark, d), 4)
 
 
 @query("x04_agreed_markers", f"WITH {_EXPR}, sb AS (SELECT 's' || (vec_id % 4) AS section, vec_id AS obs_id, 'r' || label AS region, CASE WHEN embedding[1] > 0 THEN '1' ELSE '0' END AS subtype FROM embeddings), kx AS (SELECT expr.section, region, subtype, feature, value FROM expr JOIN sb USING (section, obs_id)), sh AS (SELECT section, region, subtype FROM kx GROUP BY ALL HAVING count(*) > 0), nc AS (SELECT section, region FROM sh GROUP BY ALL HAVING count(*) > 1), i AS (SELECT section, region, subtype, feature, count(*) AS n_in, sum(value) AS s_in, sum((value > 0)::INT) AS d_in FROM kx GROUP BY ALL), o AS (SELECT *, sum(n_in) OVER w - n_in AS n_out, sum(s_in) OVER w - s_in AS s_out, sum(d_in) OVER w - d_in AS d_out FROM i WINDOW w AS (PARTITION BY section, region, feature)), st AS (SELECT section, region, subtype, feature, d_in / n_in AS fi, exp(s_in / n_in - s_out / n_out) AS fc, CASE WHEN d_out > 0 THEN (d_in / n_in) / (d_out / n_out) WHEN d_in > 0 THEN 'inf'::DOUBLE END AS ratio FROM o WHERE n_out > 0), mk AS (SELECT section, region, subtype, feature FROM st SEMI JOIN nc USING (section, region) WHERE ratio >= 0.9 AND fi >= 0.5 AND fc >= 1.0 QUALIFY row_number() OVER (PARTITION BY section, region, subtype ORDER BY fc DESC, feature) <= 20), c AS (SELECT region, subtype, feature, count(DISTINCT section) AS n_sections FROM mk GROUP BY ALL) SELECT region AS label, subtype, feature, n_sections FROM (SELECT *, max(n_sections) OVER (PARTITION BY region, subtype) AS most FROM c) WHERE n_sections >= least(most, 2)")
