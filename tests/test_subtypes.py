@@ -135,3 +135,18 @@ def test_postprocess_and_weighted_votes(spark, planted):
     points = spark.createDataFrame([("s", 0, 0.0, 0.0)], "section string, obs_id long, x double, y double")
     around = spark.createDataFrame([("s", 1, 0.1, 0.0, "near"), ("s", 2, 2.0, 0.0, "far"), ("s", 3, 0.0, 2.0, "far")], "section string, obs_id long, x double, y double, label string")
     assert [n.nearest_majority(points, around, 3, w).first().label for w in (False, True)] == ["far", "near"]
+
+
+def test_trees_refined_labels_and_choices_come_back(spark, planted, tmp_path):
+    obs, _ = planted
+    table = lambda name: spark.createDataFrame([("s0", name, 1.5), ("s1", name, 2.5)], "section string, name string, value double")
+    sinks.write_tree({name: table(name) for name in ("components", "ranked", "splits")}, obs, f"{tmp_path}/tree")
+    assert {r.section: r.n_obs for r in spark.read.parquet(f"{tmp_path}/tree/sizes").collect()} == {"s0": 80, "s1": 80}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/tree/ranks").select("section", "name", "value").collect()} == {("s0", "ranked", 1.5), ("s1", "ranked", 2.5)}
+    odd = obs.withColumn("label", F.when((F.col("section") == "s0") & (F.col("obs_id") == 55), "odd").otherwise(F.col("label")))
+    sinks.write_refined(odd, obs, f"{tmp_path}/refined")
+    back = {(r.section, r.obs_id): r for r in spark.read.parquet(f"{tmp_path}/refined/refined_labels").collect()}
+    assert len(back) == 160 and (back["s0", 55].initial, back["s0", 55].refined) == ("odd", "same") and back["s1", 2].x == 2.0
+    scores = spark.createDataFrame([("Gene", 0.5)], "modality string, mean double")
+    sinks.write_clustering_config({"modalities": ["Gene", "Image"], "dim_reduction_method": "pca", "modality_scores": scores, "method_scores": scores}, f"{tmp_path}/config", spark)
+    assert tuple(spark.read.parquet(f"{tmp_path}/config/chosen").first()) == ("Gene;Image", "pca")
