@@ -220,7 +220,7 @@ def close_pairs(prints: DataFrame, radius: int, shard: int = SHARD, sample: int
     share = min(1.0, sample / max(1, n))
     bound = int(share * 0.9 * (1 << 62)) if share < 1 else 1 << 62
     picked = prints.where(F.shiftrightunsigned(F.xxhash64("fingerprint"), 2) < bound).limit(sample)
-    points = picked.toPandas()["fingerprint"].to_numpy(dtype=np.int64).view(np.uint64)
+    points = picked.toArrow().column("fingerprint").to_numpy().view(np.uint64)
     tree = prints.sparkSession.sparkContext.broadcast(grow(points, radius, max(SAMPLED_A_SHARD, int(shard * len(points) / max(1, n)))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
