@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from loomspark.llm.decontamination import find_leaks
 from loomspark.llm.mixing import mixture_texts
 from loomspark.llm.near_duplicates import near_duplicates
 from loomspark.llm.repeated_passages import remove_repeated_passages
-from loomspark.llm.scratch import new_folder, scope
+from loomspark.llm.scratch import durable, new_folder, scope
 from loomspark.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -45,6 +46,7 @@ def _keyed(docs: DataFrame, key: Column) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier calls toxic. A null or empty text scores 0 and stays."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    pa.default_memory_pool().release_unused()  # what the fit's sample took, before the other stages
     toxic = score_toxicity(_keyed(docs, _row()), model).where("predicted = 1").select(F.col("doc_id").alias("__key")).distinct()
     return docs.withColumn("__key", _row()).join(toxic, "__key", "left_anti").select(docs.columns)
 
@@ -56,9 +58,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text; of those in one group the one with the least hash of id and text is kept. Of rows equal in id and text the
     one with the least hash of all its columns is kept. Empty texts are in no group and stay.
     """
-    grouped = near_duplicates(_keyed(docs, _row()), k=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    ranks = docs.groupBy(_row().alias("__key")).agg(F.min(_rank()).alias("__rank"))
-    kept = grouped.join(ranks, "__key").groupBy("component_id").agg(F.min(F.struct("__rank", "__key"))["__key"].alias("__key")).select("__key")
+    ranks = durable(docs.groupBy(_row().alias("__key")).agg(F.min(_rank()).alias("__rank")), "ranks")
+    grouped = near_duplicates(_keyed(docs, _row()), k=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id").join(ranks, "__key")
+    kept = durable(grouped.groupBy("component_id").agg(F.min(F.struct("__rank", "__key"))["__key"].alias("__key")).select("__key"), "kept")
     known = docs.withColumn("__key", _row()).join(kept, "__key", "left_semi")
     equal = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
     return known.withColumn("__copy", F.row_number().over(equal)).where("__copy = 1").select(docs.columns)
