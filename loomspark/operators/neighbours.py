@@ -9,6 +9,7 @@ with cells that reach inside that bound. Cells and their queries are cut into bl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +32,22 @@ def plane_neighbours(points: DataFrame, others: DataFrame, k: int, cell: float =
 
     Both tables have ``section, obs_id, x, y``; ties go to the smaller id. A point is settled by a ring of
     cells once its k-th distance reaches no further than the ring; the ring doubles for the rest. Sections
-    with fewer than k others give all they have.
+    with fewer than k others give all they have. If both have ``z``, distances are those in space; cells stay in
+    the plane, where no distance is longer.
     """
+    axes = ["x", "y", *(["z"] if "z" in points.columns and "z" in others.columns else [])]
+    d2 = reduce(Column.__add__, [(F.col(f"p.{c}") - F.col(f"o.{c}")) ** 2 for c in axes])
     grid = lambda c: F.floor(F.col(c) / cell).cast("long")
-    there = others.select("section", F.col("obs_id").alias("other_id"), "x", "y", grid("x").alias("cx"), grid("y").alias("cy"))
+    there = others.select("section", F.col("obs_id").alias("other_id"), *axes, grid("x").alias("cx"), grid("y").alias("cy"))
     size = there.groupBy("section").agg(F.count(F.lit(1)).alias("n_others"), *[f(c).alias(f"{name}_{c}") for c in ("cx", "cy") for f, name in ((F.min, "low"), (F.max, "high"))])
-    todo = points.select("section", "obs_id", "x", "y", grid("x").alias("cx"), grid("y").alias("cy")).join(if_small(size), "section")
+    todo = points.select("section", "obs_id", *axes, grid("x").alias("cx"), grid("y").alias("cy")).join(if_small(size), "section")
     found, ring = None, max(1, int(np.ceil(np.sqrt(k))) // 2 + 1)
     for _ in range(rounds):
         near = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - ring, F.col(f"low_{c}")), F.greatest(F.least(F.col(c) + ring, F.col(f"high_{c}")), F.greatest(F.col(c) - ring, F.col(f"low_{c}")))))
         asked = todo.withColumn("gx", near("cx")).withColumn("gy", near("cy")).alias("p")
         pairs = asked.join(there.alias("o"), (F.col("p.section") == F.col("o.section")) & (F.col("p.gx") == F.col("o.cx")) & (F.col("p.gy") == F.col("o.cy")))
         order = Window.partitionBy("section", "obs_id").orderBy("d2", "other_id")
-        best = pairs.select("p.section", "p.obs_id", "p.x", "p.y", "p.cx", "p.cy", "p.n_others", "p.low_cx", "p.high_cx", "p.low_cy", "p.high_cy", "o.other_id", _distance2("p", "o").alias("d2")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        best = pairs.select("p.section", "p.obs_id", "p.x", "p.y", "p.cx", "p.cy", "p.n_others", "p.low_cx", "p.high_cx", "p.low_cy", "p.high_cy", "o.other_id", d2.alias("d2")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
         whole = (F.col("low_cx") >= F.col("cx") - ring) & (F.col("high_cx") <= F.col("cx") + ring) & (F.col("low_cy") >= F.col("cy") - ring) & (F.col("high_cy") <= F.col("cy") + ring)
         edge = F.least(F.col("x") - (F.col("cx") - ring) * cell, (F.col("cx") + ring + 1) * cell - F.col("x"), F.col("y") - (F.col("cy") - ring) * cell, (F.col("cy") + ring + 1) * cell - F.col("y"))
         by_point = Window.partitionBy("section", "obs_id")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.columns import between
 from loomspark.functions.joins import if_small
-from loomspark.operators.neighbours import plane_neighbours
 
 
 def mask_labels(obs: DataFrame, mask: DataFrame, rounded: bool = False, scale: float = 1.0, background: str = "nan") -> DataFrame:
@@ -85,20 +84,6 @@ def tile_statistics(pixels: DataFrame, size: int) -> DataFrame:
     return whole.select(*tile, "spread", "mean", "spread_scaled", "mean_scaled", between(F.col("raw"), F.col("low_raw"), F.col("high_raw")).alias("ratio"))
 
 
-def impute(weights: DataFrame, known: DataFrame, how: str = "inverse", power: float = 2.0, scale: float = 1.0) -> DataFrame:
-    """Values at new places as sums of known ones.
-
-    ``weights(section, obs_id, other_id, d2)`` from a neighbour search, ``known(section, obs_id, feature, value)``.
-    Weights are ``inverse`` powers of the distance (0.1 added to it as raised), ``exponential`` in the distance
-    over ``scale``, or ``uniform``; a place's weights add up to 1.
-    """
-    d = F.sqrt("d2")
-    w = {"inverse": 1 / ((F.col("d2") if power == 2 else F.pow(d, F.lit(power))) + 0.1), "exponential": F.exp(-d / scale), "uniform": F.lit(1.0)}[how]
-    shared = weights.withColumn("w", w).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("section", "obs_id")))
-    values = known.select("section", F.col("obs_id").alias("other_id"), "feature", "value")
-    return shared.join(values, ["section", "other_id"]).groupBy("section", "obs_id", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-
-
 def pseudo_grid(obs: DataFrame, step: float, most: int = 250_000) -> DataFrame:
     """Places ``step`` apart over each section's bounds: ``(section, obs_id, x, y)``, ids by row and column.
 
@@ -114,20 +99,6 @@ def pseudo_grid(obs: DataFrame, step: float, most: int = 250_000) -> DataFrame:
     return cells.select("section", (F.col("i") * (F.col("nx") + 1) + F.col("j")).alias("obs_id"), (F.col("low_x") + F.col("j") * step).alias("x"), (F.col("low_y") + F.col("i") * step).alias("y"))
 
 
-def enhance(obs: DataFrame, expr: DataFrame, step: float, k: int = 10, cut: float | None = 0.95, how: str = "inverse", cell: float = 1.0) -> DataFrame:
-    """Values on a grid of pseudo-places from the k nearest observations: ``(section, obs_id, feature, value)``.
-
-    Places whose nearest observation lies beyond the section's ``cut`` quantile of such distances are dropped.
-    """
-    near = plane_neighbours(pseudo_grid(obs, step), obs, k, cell)
-    if cut is not None:
-        first = near.where("place = 1")
-        far = first.groupBy("section").agg(F.percentile("d2", F.lit(cut)).alias("far"))
-        kept = first.join(if_small(far), "section").where(F.col("d2") <= F.col("far")).select("section", "obs_id")
-        near = near.join(kept, ["section", "obs_id"], "left_semi")
-    return impute(near, expr, how)
-
-
 def boundary_scores(clusters: DataFrame, features: DataFrame, least: int = 10, veto: float = 0.8) -> DataFrame:
     """The sum of a cluster's absolute feature means; the least is the boundary, unless near the others' median."""
     mean = clusters.join(features, ["section", "obs_id"]).groupBy("section", "cluster", "feature").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))

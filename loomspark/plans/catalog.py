@@ -14,6 +14,7 @@ from loomspark.functions.joins import if_small
 from loomspark.operators import assignment as a
 from loomspark.operators import config_choice as cc
 from loomspark.operators import embedding as e
+from loomspark.operators import enhancement as en
 from loomspark.operators import features as f
 from loomspark.operators import heterogeneity as h
 from loomspark.operators import markers as m
@@ -412,10 +413,14 @@ def feature_anchors(spark: SparkSession, d: str) -> DataFrame:
     return _anchors(spark, d)
 
 
-@query("j17_impute", f"WITH {_EXPR}, {_ACROSS}, w AS (SELECT *, 1 / (d2 + 0.1) AS w FROM cr WHERE place <= 4), ww AS (SELECT section, obs_id, other_id, w / sum(w) OVER (PARTITION BY section, obs_id) AS w FROM w) SELECT ww.section, ww.obs_id, feature, round(sum(w * value), 6) AS value FROM ww JOIN expr ON ww.section = expr.section AND other_id = expr.obs_id GROUP BY ALL")
+@query("j17_impute", f"""WITH {_EXPR}, {_ACROSS},
+w AS (SELECT *, 1 / (sqrt(d2) + 0.1) ** 2 AS w FROM cr WHERE place <= 4),
+ww AS (SELECT section, obs_id, other_id, w / sum(w) OVER (PARTITION BY section, obs_id) AS w FROM w)
+SELECT ww.section, ww.obs_id, feature, round(sum(w * value), 6) AS value FROM ww JOIN expr ON ww.section = expr.section AND other_id = expr.obs_id GROUP BY ALL""")
 def impute(spark: SparkSession, d: str) -> DataFrame:
     asked, others = _across(spark, d)
-    return g.impute(n.plane_neighbours(asked, others, 4), _expr(spark, d)).select("section", "obs_id", "feature", _r("value"))
+    weights = en.neighbour_weights(n.plane_neighbours(asked, others, 4))
+    return en.impute(weights, _expr(spark, d)).select("section", "obs_id", "feature", _r("value"))
 
 
 # --- assignment ------------------------------------------------------------------------------------------

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.joins import if_small
 from loomspark.operators import contours as ct
+from loomspark.operators import enhancement as en
 from loomspark.operators import images as im
 from loomspark.operators import mixtures as mx
-from loomspark.plans.catalog import _GRID, _grid, _r, query
+from loomspark.plans.catalog import _EXPR, _GRID, _expr, _grid, _r, query
+from loomspark.plans.transfer_catalog import _WEIGHED
 from loomspark.sources import tables as s
 
 _CELL = "'s' || (vec_id % 4) AS section, ((vec_id // 4) % 25)::INT AS gx, ((vec_id // 4) // 25)::INT AS gy"
@@ -103,13 +105,23 @@ eg AS (
     SELECT 1 FROM en r WHERE r.section = p.section
     AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0
          OR ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) AND ((r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) > 0)))))"""
-_SCANNED = f"""{_SPOTS},
-ln AS (SELECT section, array_x AS line, round_even(quantile_cont(x, 0.5), 0)::INT AS x, round_even(min(y), 0)::INT AS low, round_even(max(y), 0)::INT AS high FROM sc GROUP BY section, array_x),
+_LINES = """ln AS (SELECT section, array_x AS line, round_even(quantile_cont(x, 0.5), 0)::INT AS x, round_even(min(y), 0)::INT AS low, round_even(max(y), 0)::INT AS high FROM sc GROUP BY section, array_x),
 sd AS (
   SELECT section, x, min(ord) AS ord, y
   FROM (SELECT section, x, low AS y, line AS ord FROM ln UNION ALL SELECT section, x, high, 100000 - line FROM ln) GROUP BY section, x, y),
 cn AS (SELECT section, (row_number() OVER (PARTITION BY section ORDER BY ord) - 1)::INT AS place, x, y, count(*) OVER (PARTITION BY section) AS n FROM sd QUALIFY n >= 3)"""
-_EDGES = "eg AS (SELECT section, place, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM cn WINDOW w AS (PARTITION BY section ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+_SCANNED = f"{_SPOTS},\n{_LINES}"
+
+
+def _edges(name: str = "eg", of: str = "cn") -> str:
+    follow = "coalesce(lead({0}) OVER w, first({0}) OVER w) AS {0}2"
+    return (
+        f"{name} AS (SELECT section, place, x, y, {follow.format('x')}, {follow.format('y')} FROM {of} "
+        "WINDOW w AS (PARTITION BY section ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+    )
+
+
+_EDGES = _edges()
 _FILLED = """bx AS (SELECT section, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM eg GROUP BY section),
 ce AS (SELECT section, unnest(range(x0, x1 + 1)) AS gx, y0, y1 FROM bx),
 cl AS (SELECT section, gx::INT AS gx, unnest(range(y0, y1 + 1))::INT AS gy FROM ce),
@@ -145,9 +157,12 @@ def fill_contour(spark: SparkSession, d: str) -> DataFrame:
     return ct.fill_contour(ct.scan_contour(_spots(spark, d), "x")).select("section", "gx", "gy")
 
 
-@query("i03_scale_contour", f"""WITH {_SCANNED}, {_EDGES},
-mo AS (SELECT section, sum(x * y2 - x2 * y) AS a, sum((x + x2) * (x * y2 - x2 * y)) AS mx, sum((y + y2) * (x * y2 - x2 * y)) AS my, avg(x) AS ax, avg(y) AS ay FROM eg GROUP BY section),
-cc AS (SELECT section, CASE WHEN a != 0 THEN mx / (3 * a) ELSE ax END AS cx, CASE WHEN a != 0 THEN my / (3 * a) ELSE ay END AS cy FROM mo)
+#: The centroid of each contour's area.
+_CENTRE = """mo AS (SELECT section, sum(x * y2 - x2 * y) AS a, sum((x + x2) * (x * y2 - x2 * y)) AS mx, sum((y + y2) * (x * y2 - x2 * y)) AS my, avg(x) AS ax, avg(y) AS ay FROM {} GROUP BY section),
+cc AS (SELECT section, CASE WHEN a != 0 THEN mx / (3 * a) ELSE ax END AS cx, CASE WHEN a != 0 THEN my / (3 * a) ELSE ay END AS cy FROM mo)"""
+
+
+@query("i03_scale_contour", f"""WITH {_SCANNED}, {_EDGES}, {_CENTRE.format("eg")}
 SELECT section, place, round_even((x - cx) * 1.3 + cx, 0)::INT AS x, round_even((y - cy) * 1.3 + cy, 0)::INT AS y FROM cn JOIN cc USING (section)""")
 def scale_contour(spark: SparkSession, d: str) -> DataFrame:
     return ct.scale_contour(ct.scan_contour(_spots(spark, d), "x"), 1.3).select("section", "place", "x", "y")
@@ -255,3 +270,66 @@ def inpainted(spark: SparkSession, d: str) -> DataFrame:
     """Cells of one label's observations, from what lies round them."""
     holes = s.obs(spark, d).where("label = 'r1'").select("section", F.expr("int((obs_id div 4) % 25)").alias("gx"), F.expr("int((obs_id div 4) div 25)").alias("gy"))
     return im.inpaint(_grid(spark, d).where("feature = 'f5'").drop("feature"), holes, 20)
+
+
+# --- enhancement -------------------------------------------------------------------------------------------
+
+#: Observations beside their own cells, with whole features.
+_PLACED = f"sc AS (SELECT {_CELL}, vec_id AS obs_id, (vec_id // 4) % 25 AS array_x, (vec_id // 4) % 25 + 0.25 + embedding[4]::DOUBLE AS x, (vec_id // 4) // 25 + 0.25 + embedding[5]::DOUBLE AS y FROM embeddings)"
+#: The enlarged contour's cells, places among them, colour round all points, and its depth.
+_DEPTHS = f"""{_PIXELS}, {_PLACED},
+{_LINES}, {_edges("e1")}, {_CENTRE.format("e1")},
+c2 AS (
+  SELECT section, place, round_even(greatest(0, least((x - cx) * 1.05 + cx, w - 1)), 0)::INT AS x, round_even(greatest(0, least((y - cy) * 1.05 + cy, h - 1)), 0)::INT AS y
+  FROM cn JOIN cc USING (section) JOIN ex USING (section)),
+{_edges("eg", "c2")}, {_FILLED},
+al AS (
+  SELECT 0 AS known, section, (gy * w + gx)::BIGINT AS obs_id, gx::DOUBLE AS x, gy::DOUBLE AS y FROM fl JOIN ex USING (section) WHERE gx % 2 = 1 AND gy % 2 = 1
+  UNION ALL SELECT 1, section, obs_id, x, y FROM sc),
+s0 AS (SELECT al.*, w, h, least(greatest(0, least(round_even(x, 0) - 1, w)) + 2, w) AS x1, least(greatest(0, least(round_even(y, 0) - 1, h)) + 2, h) AS y1 FROM al JOIN ex USING (section)),
+me AS (
+  SELECT known, s0.section, obs_id, x, y, avg(r) AS r, avg(g) AS g, avg(b) AS b
+  FROM s0 JOIN px ON px.section = s0.section AND gx >= greatest(0, x1 - 2) AND gx < x1 AND gy >= greatest(0, y1 - 2) AND gy < y1 GROUP BY ALL),
+va AS (SELECT *, var_pop(r) OVER w AS vr, var_pop(g) OVER w AS vg, var_pop(b) OVER w AS vb FROM me WINDOW w AS (PARTITION BY section)),
+sg AS (SELECT *, (r * vr + g * vg + b * vb) / (vr + vg + vb) AS signature FROM va),
+de AS (SELECT *, (signature - avg(signature) OVER w) / stddev_pop(signature) OVER w * greatest(stddev_pop(x) OVER w, stddev_pop(y) OVER w) AS z FROM sg WINDOW w AS (PARTITION BY section))"""
+_IN_SPACE = "(a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2"
+_NEAR = f"""ne AS (
+  SELECT a.section, a.obs_id, b.obs_id AS other_id, {_IN_SPACE} AS d2 FROM de a JOIN de b ON a.section = b.section AND a.known = 0 AND b.known = 1
+  QUALIFY row_number() OVER (PARTITION BY a.section, a.obs_id ORDER BY {_IN_SPACE}, b.obs_id) <= 6)"""
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    column, line = F.expr("(obs_id div 4) % 25"), F.expr("(obs_id div 4) div 25")
+    at = lambda c, i: c + F.lit(0.25) + F.get("vector", i)
+    return s.vectors(spark, d).select("section", "obs_id", column.alias("array_x"), line.alias("array_y"), at(column, 3).alias("x"), at(line, 4).alias("y"))
+
+
+def _enhanced(spark: SparkSession, d: str, **weights: object) -> tuple[DataFrame, DataFrame]:
+    known = _placed(spark, d)
+    return en.enhance_tissue(known, _expr(spark, d), _pixels(spark, d), ct.scan_contour(known, "x"), 2.0, 6, **weights)
+
+
+@query("i04_histology_places", f"""WITH {_DEPTHS}, {_NEAR},
+la AS (SELECT section, obs_id, sqrt(max(d2)) AS d, sqrt(min(d2)) AS nearest FROM ne GROUP BY ALL),
+fa AS (SELECT section, quantile_cont(d, 0.95) AS far FROM la GROUP BY section),
+co AS (SELECT section, obs_id, count(*) AS n_neighbours FROM ne JOIN fa USING (section) WHERE sqrt(d2) <= far GROUP BY ALL)
+SELECT section, obs_id, de.x, de.y, round(signature, 6) AS signature, round(z, 6) AS z, round(nearest, 6) AS nearest, coalesce(n_neighbours, 0) AS n_neighbours
+FROM de LEFT JOIN la USING (section, obs_id) LEFT JOIN co USING (section, obs_id) WHERE known = 0""")
+def histology_places(spark: SparkSession, d: str) -> DataFrame:
+    _, places = _enhanced(spark, d)
+    return places.select("section", "obs_id", "x", "y", _r("signature"), _r("z"), _r("nearest"), "n_neighbours")
+
+
+@query("i04_histology_enhance", f"WITH {_EXPR}, {_DEPTHS}, {_NEAR}, {_WEIGHED.format('1 / (sqrt(d2) + 0.1) ** 2')}")
+def histology_enhance(spark: SparkSession, d: str) -> DataFrame:
+    values, _ = _enhanced(spark, d)
+    return values.select("section", "obs_id", "feature", _r("value"))
+
+
+@query("i04_exponential_weights", f"""WITH {_EXPR}, {_DEPTHS}, {_NEAR},
+md AS (SELECT section, greatest(quantile_cont(sqrt(d2), 0.5), 0.1) AS scale FROM ne WHERE d2 > 0 GROUP BY section),
+{_WEIGHED.format("exp(-sqrt(d2) / (SELECT scale FROM md WHERE md.section = ne.section))")}""")
+def exponential_weights(spark: SparkSession, d: str) -> DataFrame:
+    values, _ = _enhanced(spark, d, how="exponential")
+    return values.select("section", "obs_id", "feature", _r("value"))

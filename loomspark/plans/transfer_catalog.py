@@ -11,6 +11,7 @@ from loomspark.functions.joins import if_small
 from loomspark.operators import assignment as a
 from loomspark.operators import config_choice as cc
 from loomspark.operators import embedding as e
+from loomspark.operators import enhancement as en
 from loomspark.operators import features as f
 from loomspark.operators import hierarchy_features as hf
 from loomspark.operators import markers as m
@@ -116,9 +117,21 @@ def annotate_spots(spark: SparkSession, d: str) -> DataFrame:
     return n.annotate_spots(g.pseudo_grid(o, 2.0), o, 6, "knn", True, 0.1, 0.11).select("section", "obs_id", "label", _r("share"))
 
 
-@query("i04_enhance", f"WITH {_SPOTS}, {_EXPR}, ne AS (SELECT a.section, a.obs_id, b.obs_id AS other_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2, row_number() OVER (PARTITION BY a.section, a.obs_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.obs_id) AS place FROM sp a JOIN obs b USING (section) QUALIFY place <= 4), fa AS (SELECT section, quantile_cont(d2, 0.95) AS far FROM ne WHERE place = 1 GROUP BY section), ke AS (SELECT section, obs_id FROM ne JOIN fa USING (section) WHERE place = 1 AND d2 <= far), w AS (SELECT ne.section, ne.obs_id, other_id, 1 / (d2 + 0.1) AS w FROM ne SEMI JOIN ke ON ne.section = ke.section AND ne.obs_id = ke.obs_id), ww AS (SELECT *, w / sum(w) OVER (PARTITION BY section, obs_id) AS nw FROM w) SELECT ww.section, ww.obs_id, feature, round(sum(nw * value), 6) AS value FROM ww JOIN expr ON expr.section = ww.section AND expr.obs_id = other_id GROUP BY ALL")
+_WEIGHED = """la AS (SELECT section, obs_id, sqrt(max(d2)) AS d FROM ne GROUP BY ALL),
+fa AS (SELECT section, quantile_cont(d, 0.95) AS far FROM la GROUP BY section),
+w AS (SELECT ne.section, ne.obs_id, other_id, {} AS w FROM ne JOIN fa USING (section) WHERE sqrt(d2) <= far),
+ww AS (SELECT *, w / sum(w) OVER (PARTITION BY section, obs_id) AS nw FROM w)
+SELECT ww.section, ww.obs_id, feature, round(sum(nw * value), 6) AS value FROM ww JOIN expr ON expr.section = ww.section AND expr.obs_id = other_id GROUP BY ALL"""
+
+
+@query("i04_enhance", f"""WITH {_SPOTS}, {_EXPR},
+ne AS (
+  SELECT a.section, a.obs_id, b.obs_id AS other_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM sp a JOIN obs b USING (section)
+  QUALIFY row_number() OVER (PARTITION BY a.section, a.obs_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.obs_id) <= 4),
+{_WEIGHED.format("1 / (sqrt(d2) + 0.1) ** 2")}""")
 def enhance(spark: SparkSession, d: str) -> DataFrame:
-    return g.enhance(s.obs(spark, d), _expr(spark, d), 2.0, 4).select("section", "obs_id", "feature", _r("value"))
+    o = s.obs(spark, d)
+    return en.enhance(g.pseudo_grid(o, 2.0), o, _expr(spark, d), 4).select("section", "obs_id", "feature", _r("value"))
 
 
 # --- boundaries, components ----------------------------------------------------------------------------------
