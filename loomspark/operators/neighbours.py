@@ -8,7 +8,7 @@ with cells that reach inside that bound. Cells and their queries are cut into bl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -188,18 +188,19 @@ def feature_neighbours(queries: DataFrame, references: DataFrame, k: int, key: s
     return home.withColumn("distance", F.col("distance") ** 2 / 2) if metric == "cosine" else home
 
 
-def anchors(references: DataFrame, queries: DataFrame, k: int | dict[str, int] = 5, by: list[str] | None = None, metric: str = "euclidean") -> DataFrame:
+def anchors(references: DataFrame, queries: DataFrame, k: int | dict[str, int] = 5, by: list[str] | None = None, metric: str = "euclidean", search: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Queries that are among the k nearest of a reference with the label, as ``(by, label, obs_id, n_votes)``.
 
     The index is on the queries and each reference asks, so a label's anchors are the union of its answers; all
     labels, so both sides of a split, are asked in one search. ``k`` may differ by label. ``by`` names columns
-    of both tables that keep searches apart, such as a tree node, a reference section or a modality.
+    of both tables that keep searches apart, such as a tree node, a reference section or a modality. ``search``
+    may be another search than the exact one, such as ``feature_index.indexed_neighbours``.
     """
     by = by or []
     most = max(k.values()) if isinstance(k, dict) else k
     own = F.concat_ws("\u0001", *by) if by else F.lit("")
     asking = F.xxhash64(*[c for c in ("section", "obs_id") if c in references.columns])  # references of several sections may share ids
-    hits = feature_neighbours(references.withColumn("_key", own).withColumn("obs_id", asking), queries.withColumn("_key", own), most, "_key", metric)
+    hits = (search or feature_neighbours)(references.withColumn("_key", own).withColumn("obs_id", asking), queries.withColumn("_key", own), most, "_key", metric)
     labelled = hits.join(references.select(own.alias("key"), asking.alias("query_id"), "label", *by).distinct(), ["key", "query_id"])
     if isinstance(k, dict):
         labelled = labelled.where(F.col("place") <= F.coalesce(*[F.when(F.col("label") == name, F.lit(n)) for name, n in k.items()], F.lit(0)))

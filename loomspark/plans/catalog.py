@@ -15,6 +15,7 @@ from loomspark.operators import assignment as a
 from loomspark.operators import config_choice as cc
 from loomspark.operators import embedding as e
 from loomspark.operators import enhancement as en
+from loomspark.operators import feature_index as fi
 from loomspark.operators import features as f
 from loomspark.operators import heterogeneity as h
 from loomspark.operators import markers as m
@@ -413,6 +414,19 @@ def feature_anchors(spark: SparkSession, d: str) -> DataFrame:
     return _anchors(spark, d)
 
 
+@query("j06_indexed_neighbours")
+def indexed_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every observation whose id 20 divides asks all observations."""
+    v = s.vectors(spark, d)
+    return fi.indexed_neighbours(v.where("obs_id % 20 = 0"), v, 10).select("query_id", "ref_id", "distance", "place")
+
+
+@query("j06_indexed_anchors")
+def indexed_anchors(spark: SparkSession, d: str) -> DataFrame:
+    v = s.vectors(spark, d)
+    return n.anchors(v.where("section != 's3'"), v.where("section = 's3'"), 5, search=fi.indexed_neighbours)
+
+
 @query("j17_impute", f"""WITH {_EXPR}, {_ACROSS},
 w AS (SELECT *, 1 / (sqrt(d2) + 0.1) ** 2 AS w FROM cr WHERE place <= 4),
 ww AS (SELECT section, obs_id, other_id, w / sum(w) OVER (PARTITION BY section, obs_id) AS w FROM w)
