@@ -9,6 +9,7 @@ length is found in one pass over its bytes, without building a piece.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from loomspark.llm.tables import id_and_text
 MOST_BYTES = 256 << 20
 #: Different words whose counts a task remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Words up to which the last ones of a batch are walked one by one, not in step with each other.
+FEW = 64
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -45,13 +48,38 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
         return np.where(self.edge[at] == key, self.child[at], -1)
 
+    def walk(self, word: bytes, node: int, known: dict[int, int]) -> tuple[int, int]:
+        """Pieces popped along one word from a node on, and where it ends, -1 if it can't be cut up.
+
+        A step is a look into ``known``, the edges that were met, so very long words take no array operation a byte.
+        """
+        edge, child, fail, popped = (memoryview(a) for a in (self.edge, self.child, self.fail, self.popped))
+        total, i, n = 0, 0, len(word)
+        while i < n:
+            key = node * 256 + word[i]
+            to = known.get(key)
+            if to is None:
+                at = bisect_left(edge, key)
+                to = child[at] if at < len(edge) and edge[at] == key else -1
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = to
+            if to >= 0:
+                node, i = to, i + 1
+            else:
+                total += popped[node]
+                node = fail[node]
+                if node < 0:
+                    return total, -1
+        return total, node
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Greedy piece counts of words, each read with a space before it; a word that can't be cut up counts 1."""
         node = np.repeat(self.step(np.zeros(1, dtype=np.int64), np.array([32])), len(starts)) if len(self.edge) else np.full(len(starts), -1)
         total, at = np.zeros(len(starts), dtype=np.int64), starts.astype(np.int64)
         lost = node < 0
         live = np.flatnonzero(~lost & (at < ends))
-        while len(live):
+        while len(live) > FEW:
             to = self.step(node[live], data[at[live]].astype(np.int64))
             ahead = to >= 0
             going, stuck = live[ahead], live[~ahead]
@@ -61,6 +89,11 @@ class Automaton:
             node[stuck] = self.fail[node[stuck]]
             lost[stuck[node[stuck] < 0]] = True
             live = live[~lost[live] & (at[live] < ends[live])]
+        known: dict[int, int] = {}
+        for i in live.tolist():
+            more, node[i] = self.walk(data[at[i] : ends[i]].tobytes(), int(node[i]), known)
+            total[i] += more
+            lost[i] = node[i] < 0
         end = np.where(lost, -1, self.rest[np.maximum(node, 0)])
         return np.where(end < 0, 1, total + end)
 
