@@ -242,13 +242,13 @@ def test_a_word_of_a_megabyte_is_counted_in_seconds():
     r = random.Random(4)
     pieces = {b" ", b" a", *(bytes([b]) for b in b"abcd"), *(bytes(r.choices(b"abcd", k=r.randint(2, 6))) for _ in range(400))}
     automaton = tc.build(sorted(pieces))
-    words = [bytes(r.choices(b"abcd", k=n)) for n in (1_000_000, 3_000, 7)] + [b"abcx" + b"a" * 500, b"abc" * 100 + b"x"]
+    words = [bytes(r.choices(b"abcd", k=n)) for n in (1_000_000, 900, 7)] + [b"abcx" + b"a" * 500, b"abc" * 100 + b"x"]
     data = b" ".join(words)
     w = ta.split_words(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
     started = time.monotonic()
     got = automaton.counts(w.data, w.starts, w.ends)
     assert time.monotonic() - started < 5
     assert got[1:].tolist() == [brute_pieces(x, pieces) for x in words[1:]]
-    short = words[0][:20_000]
+    short = words[0][:800]
     crowd = ta.split_words(np.frombuffer(b" ".join([short] * (tc.FEW + 1)), dtype=np.uint8), np.array([0, (len(short) + 1) * (tc.FEW + 1) - 1]))
     assert set(automaton.counts(crowd.data, crowd.starts, crowd.ends).tolist()) == {brute_pieces(short, pieces)}
