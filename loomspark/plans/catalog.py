@@ -511,12 +511,57 @@ _ARIS = "aq AS (SELECT k, 's' || (vec_id % 4) AS section, 'r' || label AS label,
 
 @query("a21_score_summary", f"WITH {_ARIS} SELECT 'axes_' || k AS kind, round(avg(ari), 6) AS mean, round(quantile_cont(ari, 0.5), 6) AS median, round(min(ari), 6) AS least, round(max(ari), 6) AS most, count(ari) AS n, row_number() OVER (ORDER BY avg(ari) DESC, k) AS place FROM ari GROUP BY k")
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
+    return cc.score_summary(_axis_scores(spark, d), "kind").select("kind", _r("mean"), _r("median"), _r("least"), _r("most"), "n", "place")
+
+
+def _axis_scores(spark: SparkSession, d: str) -> DataFrame:
     v = s.vectors(spark, d)
     scores = None
     for k in (3, 5, 8):
         one = a.adjusted_rand(v.withColumn("cl", largest_axis("vector", k)), "label", "cl", "section").withColumn("kind", F.lit(f"axes_{k}")).withColumn("status", F.lit("success"))
         scores = one if scores is None else scores.unionByName(one)
-    return cc.score_summary(scores, "kind").select("kind", _r("mean"), _r("median"), _r("least"), _r("most"), "n", "place")
+    return scores
+
+
+@query("a34_weighted_vote", f"""WITH {_ACROSS},
+v AS (
+  SELECT section, obs_id, label, round(sum(1 / (sqrt(d2) + 1e-8)), 6) AS w, min(place) AS first
+  FROM cr WHERE place <= 7 GROUP BY ALL)
+SELECT section, obs_id, label FROM v QUALIFY row_number() OVER (PARTITION BY section, obs_id ORDER BY w DESC, first) = 1""")
+def weighted_vote(spark: SparkSession, d: str) -> DataFrame:
+    asked, others = _across(spark, d)
+    return n.nearest_majority(asked, others, 7, weighted=True)
+
+
+@query("a34_plurality_vote", f"""WITH {_ACROSS},
+v AS (SELECT section, obs_id, label, count(*) AS w, min(place) AS first FROM cr WHERE place <= 7 GROUP BY ALL)
+SELECT section, obs_id, label FROM v QUALIFY row_number() OVER (PARTITION BY section, obs_id ORDER BY w DESC, first) = 1""")
+def plurality_vote(spark: SparkSession, d: str) -> DataFrame:
+    asked, others = _across(spark, d)
+    return n.nearest_majority(asked, others, 7)
+
+
+@query("j02_join_modalities", """WITH ge AS (SELECT 's' || (vec_id % 4) AS section, vec_id AS obs_id, embedding[1:40]::DOUBLE[] AS v FROM embeddings WHERE label != 9),
+im AS (SELECT 's' || (vec_id % 4) AS section, vec_id AS obs_id, embedding[41:64]::DOUBLE[] AS v FROM embeddings WHERE label != 4),
+jo AS (SELECT section, obs_id, list_concat(ge.v, im.v) AS v FROM ge JOIN im USING (section, obs_id))
+SELECT section, obs_id, i - 1 AS pos, round(v[i], 6) AS value FROM jo, unnest(generate_series(1, 64)) AS u(i)""")
+def join_modalities(spark: SparkSession, d: str) -> DataFrame:
+    """Two modalities, each without the observations of one region."""
+    v = s.vectors(spark, d)
+    gene = f.exclude_labels(v, ["r9"]).withColumn("vector", F.slice("vector", 1, 40))
+    image = f.exclude_labels(v, ["r4"]).withColumn("vector", F.slice("vector", 41, 24))
+    joined = e.join_modalities([gene, image])
+    return joined.select("section", "obs_id", F.posexplode("vector").alias("pos", "value")).select("section", "obs_id", F.col("pos").cast("long").alias("pos"), _r("value"))
+
+
+@query("c15_select_modalities", f"""WITH {_ARIS},
+me AS (SELECT 'axes_' || k AS modality, avg(ari) AS mean FROM ari GROUP BY k),
+ab AS (SELECT modality, mean FROM me WHERE mean >= 0.01 AND mean >= 0.6 * (SELECT max(mean) FROM me))
+SELECT (row_number() OVER (ORDER BY mean DESC, modality) - 1)::INT AS ord, modality FROM ab
+UNION ALL SELECT 0, 'Gene' WHERE NOT EXISTS (SELECT 1 FROM ab)""")
+def select_modalities(spark: SparkSession, d: str) -> DataFrame:
+    means = cc.score_summary(_axis_scores(spark, d), "kind").select(F.col("kind").alias("modality"), "mean")
+    return spark.createDataFrame(list(enumerate(cc.select_modalities(means, 0.01, 0.6))), "ord int, modality string")
 
 
 @query("j04_transfer_columns", f"WITH {_SELF} SELECT nn.section, nn.obs_id AS asked_by, other_id AS obs_id, vote AS label, b.x FROM nn JOIN obs b ON b.section = nn.section AND b.obs_id = other_id WHERE place <= 2")
