@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from loomspark.functions.joins import if_small
 from loomspark.operators import embedding as e
 from loomspark.operators import neighbours as n
 from loomspark.sources import tables as s
@@ -64,3 +65,12 @@ def test_sections_and_coordinates_round_trip(spark, points, tmp_path):
     (tmp_path / "images" / "a.png").write_bytes(b"x")
     (tmp_path / "images" / "a.txt").write_bytes(b"xx")
     assert [x.length for x in s.images(spark, f"{tmp_path}/images").collect()] == [1]
+
+
+def test_only_small_tables_are_broadcast(spark):
+    hinted = lambda t: "ResolvedHint" in t._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(30).selectExpr("id", "array_repeat(id, 100) AS v")
+    assert hinted(if_small(wide)) and hinted(if_small(wide, most=30))
+    for bounds in ({"most": 29}, {"most_bytes": 1_000}):
+        kept = if_small(wide, **bounds)
+        assert not hinted(kept) and kept.count() == 30
