@@ -36,16 +36,33 @@ def grid_to_spots(spots: DataFrame, grid: DataFrame, size: float, cell: float, b
     return weighed.groupBy(*key).agg(value.alias("value"), F.count(F.lit(1)).alias("n_cells"))
 
 
+def with_gaps(cells: DataFrame, key: list[str], r: int) -> DataFrame:
+    """``cells`` and the free places of each column within ``r`` of a cell, marked by ``own``; these have a null ``value``.
+
+    Two passes over lines, along gx and then along gy, then miss no neighbour: a cell's column passes through free
+    places whose lines hold cells. A full image gets the places beyond its columns' ends only. A partition is one
+    column of the grid.
+    """
+    down = Window.partitionBy(*key, "gx").orderBy("gy")
+    near = cells.withColumn("_before", F.lag("gy").over(down)).withColumn("_after", F.lead("gy").over(down))
+    free = lambda o: (o == 0) | ((o > 0) & (F.col("_after").isNull() | (F.col("gy") + o < F.col("_after")))) | ((o < 0) & (F.col("_before").isNull() | (F.col("gy") + o > F.col("_before") + r)))
+    spread = near.withColumn("_o", F.explode(F.filter(F.array(*[F.lit(o) for o in range(-r, r + 1)]), free))).withColumn("own", F.col("_o") == 0)
+    return spread.withColumn("gy", F.col("gy") + F.col("_o")).withColumn("value", F.when(F.col("own"), F.col("value"))).drop("_before", "_after", "_o")
+
+
 def window_means(grid: DataFrame, radius: int) -> DataFrame:
-    """Mean over the square window round each cell, clipped at the edge, from two passes of running sums.
+    """Mean over the cells in the square window round each cell, from two passes of running sums.
 
-    With a ``feature`` column each feature by itself. A pass's partition is one line of the grid.
+    Places without a cell, off the grid or in it, don't count. With a ``feature`` column each feature by itself. A
+    pass's partition is one line of the grid.
     """
     key = ["section", *(["feature"] if "feature" in grid.columns else [])]
     rows = Window.partitionBy(*key, "gy").orderBy("gx").rangeBetween(-radius, radius)
     columns = Window.partitionBy(*key, "gx").orderBy("gy").rangeBetween(-radius, radius)
-    along = grid.withColumn("s", F.sum("value").over(rows)).withColumn("n", F.count("value").over(rows))
-    return along.select(*key, "gx", "gy", (F.sum("s").over(columns) / F.sum("n").over(columns)).alias("mean"))
+    whole = with_gaps(grid.select(*key, "gx", "gy", "value"), key, radius)
+    along = whole.withColumn("s", F.sum("value").over(rows)).withColumn("n", F.count("value").over(rows))
+    summed = along.withColumn("s", F.sum("s").over(columns)).withColumn("n", F.sum("n").over(columns))
+    return summed.where("own").select(*key, "gx", "gy", (F.col("s") / F.nullif("n", F.lit(0))).alias("mean"))
 
 
 def scan_extremes(obs: DataFrame, axis: str = "x") -> DataFrame:

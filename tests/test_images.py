@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import contours as ct
 from loomspark.operators import images as im
 from loomspark.operators import mixtures as mx
+from loomspark.operators import raster as g
 
 W, H = 23, 17
 
@@ -320,3 +321,18 @@ def test_texture_classes(spark):
     df = spark.createDataFrame(rows, "section string, tx int, ty int, energy double, homogeneity double, entropy double")
     found = mx.tissue_textures(df).collect()
     assert len(found) == 160 and {r.ty for r in found if r.tissue} == {2, 3} and sum(r.tissue for r in found) == 80
+
+def test_images_that_lack_cells(spark):
+    """An image whose last line is short and that has holes: what is absent counts nothing, and is no tissue."""
+    rng = np.random.default_rng(11)
+    there = {(x, y): int(rng.integers(0, 256)) for y in range(12) for x in range(9) if not (y == 11 and x > 3) and (x, y) not in {(4, 5), (5, 5), (4, 6), (4, 7), (4, 8), (0, 0)}}
+    df = spark.createDataFrame([("s", x, y, float(v)) for (x, y), v in there.items()], "section string, gx int, gy int, value double")
+    means = {(r.gx, r.gy): r["mean"] for r in g.window_means(df, 2).collect()}
+    near = {c: [v for (x, y), v in there.items() if abs(x - c[0]) <= 2 and abs(y - c[1]) <= 2] for c in there}
+    assert means == pytest.approx({c: sum(v) / len(v) for c, v in near.items()})
+    mirror = lambda i, n: -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+    smooth = {c: sum(a * b * there.get((mirror(c[0] + i - 2, 9), mirror(c[1] + j - 2, 12)), 0) for i, a in enumerate(im.BLUR) for j, b in enumerate(im.BLUR)) for c in there}
+    assert {(r.gx, r.gy): r.value for r in im.smooth(df, im.extent_of(df), im.BLUR).collect()} == pytest.approx(smooth)
+    ring = [("s", x, y) for x in range(2, 7) for y in range(3, 10) if x in (2, 6) or y in (3, 9)]
+    filled = im.fill_holes(spark.createDataFrame(ring, "section string, gx int, gy int"), im.extent_of(df), df)
+    assert {(r.gx, r.gy) for r in filled.collect()} == {(x, y) for x in range(2, 7) for y in range(3, 10)} & set(there)
