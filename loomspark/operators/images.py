@@ -8,12 +8,14 @@ shifted cells and windows along one line of the grid, so no image has to fit in
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.joins import if_small
 from loomspark.operators.postprocess import raster_components
+from loomspark.operators.raster import with_gaps
 from loomspark.sources.materialise import materialise
 
 CELL = ["section", "gx", "gy"]
@@ -71,14 +73,17 @@ def all_cells(extent: DataFrame) -> DataFrame:
     return extent.where("width > 0 and height > 0").select("section", "width", "height", line("height").alias("gy")).select("section", "gy", line("width").alias("gx")).select(*CELL)
 
 
-def fill_holes(mask: DataFrame, extent: DataFrame) -> DataFrame:
-    """The mask and the background that its four-neighbour paths can't lead out of the image."""
-    outside = all_cells(extent).join(mask, CELL, "left_anti").withColumn("label", F.lit("background"))
+def fill_holes(mask: DataFrame, extent: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """The mask and the background that its four-neighbour paths can't lead out of the image.
+
+    ``cells`` are those the image has, where it lacks some of its extent; only they are background or mask.
+    """
+    there = all_cells(extent) if cells is None else cells.select(*CELL)
+    outside = there.join(mask.hint("merge"), CELL, "left_anti").withColumn("label", F.lit("background"))
     parts = materialise(raster_components(outside, diagonal=False).select(*CELL, "component"))
     on_edge = (F.col("gx") == 0) | (F.col("gy") == 0) | (F.col("gx") == F.col("width") - 1) | (F.col("gy") == F.col("height") - 1)
     open_ = parts.join(if_small(extent), "section").groupBy("section", "component").agg(F.max(on_edge).alias("open")).where("open")
-    holes = parts.join(open_, ["section", "component"], "left_anti").select(*CELL)
-    return mask.select(*CELL).union(holes)
+    return there.join(parts.join(open_, ["section", "component"], "left_semi").select(*CELL).hint("merge"), CELL, "left_anti")
 
 
 def drop_small(mask: DataFrame, extent: DataFrame, fraction: float = 0.001) -> DataFrame:
@@ -105,20 +110,19 @@ def pad_mirror(cells: DataFrame, extent: DataFrame, r: int) -> DataFrame:
 
 
 def smooth(cells: DataFrame, extent: DataFrame, weights: list[float], column: str = "value") -> DataFrame:
-    """A dense image weighed along x, then along y, by ``weights`` (an odd number), edges mirrored.
+    """An image weighed along x, then along y, by ``weights`` (an odd number), edges mirrored.
 
-    Sums are not divided by the weights' sum. A pass's partition is one line of the grid.
+    Sums are not divided by the weights' sum; a cell that the image lacks counts 0. A pass's partition is one line of the grid.
     """
     r = len(weights) // 2
     kept = cells.select(*CELL, F.col(column).cast("double").alias("value"))
 
     def along(df: DataFrame, line: str, at: str) -> DataFrame:
-        window = Window.partitionBy("section", line).orderBy(at).rowsBetween(-r, r)
-        near = df.withColumn("near", F.collect_list("value").over(window))
-        total = F.aggregate(F.zip_with("near", F.array(*[F.lit(float(w)) for w in weights]), lambda v, w: v * w), F.lit(0.0), lambda a, x: a + x)
-        return near.withColumn("value", total).drop("near")
+        near = Window.partitionBy("section", line).orderBy(at)
+        value = lambda d: F.coalesce(F.sum("value").over(near.rangeBetween(d, d)), F.lit(0.0))
+        return df.withColumn("value", reduce(Column.__add__, [value(i - r) * w for i, w in enumerate(map(float, weights))], F.lit(0.0)))
 
-    passed = along(along(pad_mirror(kept, extent, r), "gy", "gx"), "gx", "gy")
+    passed = along(along(with_gaps(pad_mirror(kept, extent, r), ["section"], r), "gy", "gx"), "gx", "gy").where("own")
     return passed.join(if_small(extent), "section").where("gx >= 0 and gy >= 0 and gx < width and gy < height").select(*CELL, "value")
 
 
@@ -178,7 +182,7 @@ def tissue_mask(pixels: DataFrame, fraction: float = 0.001, kernel: int | None =
     if done is None:
         return raw
     clean = materialise(done)
-    return drop_small(materialise(fill_holes(clean, extent)), extent, fraction)
+    return drop_small(materialise(fill_holes(clean, extent, evidence)), extent, fraction)
 
 
 # --- density, ratio and texture -----------------------------------------------------------------------------
