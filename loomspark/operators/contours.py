@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.joins import if_small
 from loomspark.operators.postprocess import raster_components
 from loomspark.operators.raster import scan_extremes
+from loomspark.sources.materialise import materialise
 
 CELL = ["section", "gx", "gy"]
 OF = ["section", "method"]
@@ -96,11 +97,11 @@ def mask_contour(mask: DataFrame, strategy: str = "largest", method: str = "colo
     """
     if strategy == "convex_hull":
         return convex_hull(mask.select("section", F.col("gx").alias("x"), F.col("gy").alias("y")), method)
-    parts = raster_components(mask.select(*CELL).distinct().withColumn("label", F.lit("mask"))).where("place = 1").select(*CELL)
+    parts = materialise(raster_components(mask.select(*CELL).distinct().withColumn("label", F.lit("mask"))).where("place = 1").select(*CELL))
     around = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
     shifted = parts.select(*CELL, around.alias("o")).select("section", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"))
     inner = shifted.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where("n = 9")
-    edge = parts.join(inner, CELL, "left_anti")
+    edge = parts.join(inner.hint("merge"), CELL, "left_anti")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         found = _walk({(int(x), int(y)) for x, y in zip(group["gx"], group["gy"], strict=True)})

@@ -132,19 +132,20 @@ def postprocess(expr: DataFrame, clusters: DataFrame, image: DataFrame | None, f
 def raster_components(cells: DataFrame, diagonal: bool = True) -> DataFrame:
     """Connected cells of one label: ``(section, gx, gy, label, component, size, place)``; place 1 is a label's largest.
 
-    ``cells(section, gx, gy, label)``; neighbours are the eight round a cell, or the four beside it.
+    ``cells(section, gx, gy, label)``; neighbours are the eight round a cell, or the four beside it. All tables are
+    as long as the image, so none is broadcast.
     """
     node = F.xxhash64("section", "label", "gx", "gy")  # a cell may have several labels
     named = materialise(cells.withColumn("node", node))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     moves = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in steps]))
     asked = named.select("section", "label", F.col("node").alias("a"), "gx", "gy", moves.alias("m")).select("section", "label", "a", (F.col("gx") + F.col("m.dx")).alias("gx"), (F.col("gy") + F.col("m.dy")).alias("gy"))
-    edges = asked.join(named.select("section", "label", "gx", "gy", F.col("node").alias("b")), ["section", "label", "gx", "gy"]).select("a", "b")
-    found = named.join(connected_components(named.select("node"), edges), "node")
+    edges = asked.join(named.select("section", "label", "gx", "gy", F.col("node").alias("b")).hint("merge"), ["section", "label", "gx", "gy"]).select("a", "b")
+    found = named.join(connected_components(named.select("node"), edges).hint("merge"), "node")
     first = found.groupBy("section", "label", "component").agg(F.min(F.struct("gy", "gx")).alias("corner"), F.count(F.lit(1)).alias("size"))
     order = Window.partitionBy("section", "label").orderBy(F.desc("size"), "corner")  # a row a component
     ranked = first.withColumn("place", F.row_number().over(order))
-    return found.join(ranked.drop("corner"), ["section", "label", "component"]).select("section", "gx", "gy", "label", "component", "size", "place")
+    return found.join(ranked.drop("corner").hint("merge"), ["section", "label", "component"]).select("section", "gx", "gy", "label", "component", "size", "place")
 
 
 def relabel_small(components: DataFrame, least: int) -> DataFrame:
