@@ -169,3 +169,30 @@ def test_spots_take_small_regions(spark):
     assert plain == {1: "big", 2: "big"} and small == {1: "small", 2: "big"}
     near = {r.obs_id: r.label for r in n.annotate_spots(spots, df, 3, "radius").collect()}
     assert near == {1: near[1], 2: "big"} and near[1] in ("big", "small")
+
+
+def test_counts_are_dealt_by_order(spark, monkeypatch):
+    """Tasks follow from the number of lines, so what one holds does not grow with the table."""
+    from loomspark.sources import tables as s
+
+    d = "/root/testdata/sf0.001"
+    whole = {(r.section, r.obs_id, r.label, r.feature): r.value for r in s.counts(spark, d).collect()}
+    monkeypatch.setattr(s, "COUNT_ROWS", 700)
+    held = s.counts(spark, d).withColumn("task", F.spark_partition_id())
+    sizes = held.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("obs_id").alias("orders")).collect()
+    assert 8 <= len(sizes) <= 9 and max(r.n for r in sizes) < 1000
+    assert sum(r.orders for r in sizes) == len({k[1] for k in whole})
+    assert {(r.section, r.obs_id, r.label, r.feature): r.value for r in held.collect()} == whole
+
+
+def test_a_query_of_many_cells_leaves_a_task_in_slices(cloud, monkeypatch):
+    """A query may ask every cell; batches of its copies stay as long as a slice."""
+    x, df = cloud
+    tasks = []
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, task, schema: tasks.append((task, schema)) or plain(self, task, schema))
+    monkeypatch.setattr(n, "SLICE_ROWS", 16)
+    assert n.feature_neighbours(df, df, 3, block_rows=8).count() == 3 * len(x)
+    whole = n.pa.table({"key": [""] * len(x), "query_id": list(range(len(x))), "vector": x.tolist(), "bound": [1e3] * len(x)}).to_batches()
+    wide = [len(b) for task, schema in tasks if "query_id" in schema for b in task(iter(whole))]
+    assert sum(wide) > 4 * len(x) and max(wide) <= 16
