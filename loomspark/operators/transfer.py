@@ -148,7 +148,8 @@ class Session:
 
     ``query(section, obs_id, vector)``; ``reference(section, obs_id, label, vector)`` gives the sizes of sides.
     Membership is a table that is written at each commit, so plans stay as long as one level. With ``expr`` and
-    ``features`` each node is embedded by its own features (``node_vectors``) instead of ``vector``. ``image``,
+    ``features`` each node is embedded by its own features (``node_vectors``) instead of ``vector``, and one that has
+    none is not split. ``image``,
     ``(section, obs_id, feature, value)``, is what a boundary cluster is known by where the settings ask for
     that; this and reassigning need ``x`` and ``y`` in ``query``.
     """
@@ -172,6 +173,7 @@ class Session:
         self.root = self.splits[0][0] if self.splits else "root"
         self.membership = materialise(self.query.select("section", "obs_id", F.lit(self.root).alias("node")))
         self.total = self.membership.count()
+        self.featured = None if self.features is None else {r.parent for r in self.features.select("parent").distinct().collect()}  # a row a node
 
     def _sizes(self) -> dict[str, int]:
         return {r.node: r["count"] for r in self.membership.groupBy("node").count().collect()}  # a row a node
@@ -192,6 +194,8 @@ class Session:
                 self.ended[node] = "empty"
             elif n < self.settings.least_node or n < self.settings.least_share * self.total:
                 self.ended[node] = "too few observations"
+            elif self.featured is not None and node not in self.featured:
+                self.ended[node] = "no features"
             else:
                 out.append(node)
         return out

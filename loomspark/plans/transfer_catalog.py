@@ -25,6 +25,7 @@ from loomspark.operators import transfer as t
 from loomspark.plans.catalog import _CROSS, _EXPR, _LOOSE, _MARKED, _OBS, _RAW, _axis_clusters, _combined, _cross, _expr, _markers, _r, largest_axis, query
 from loomspark.plans.hierarchy_catalog import _BOUNDS, _NEAREST, _QUANTILE, selected, splits
 from loomspark.sources import tables as s
+from loomspark.sources.materialise import materialise
 
 # --- radius joins ------------------------------------------------------------------------------------------
 
@@ -310,7 +311,7 @@ def node_features(spark: SparkSession, d: str) -> DataFrame:
 def guided_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Rounds in the nodes' own features, with a guide, novel clusters reassigned."""
     sides = hf.split_sides(splits(spark))
-    lists = hf.nearest_feature_lists(selected(spark, d), sides)
+    lists = materialise(hf.nearest_feature_lists(selected(spark, d), sides))
     o = s.obs(spark, d)
     references, query_ = o.where("section != 's3'"), o.where("section = 's3'")
     guide = hf.guide_references(references.select("section").distinct(), splits(spark), spark.createDataFrame([("root", ["s0", "s1"])], "parent string, sections array<string>"))

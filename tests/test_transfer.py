@@ -48,6 +48,17 @@ def test_a_second_commit_takes_the_subtree_back(sides):
     assert sizes == {"c": query.where("label = 'c'").count(), "low": query.where("label != 'c'").count()}
 
 
+@pytest.mark.parametrize("node", ["root", "low"])
+def test_a_node_without_features_is_not_split(spark, sides, node):
+    reference, query = sides
+    long = lambda df: df.select("section", "obs_id", "label", F.posexplode("vector").alias("p", "value")).withColumn("feature", F.concat(F.lit("f"), F.col("p").cast("string"))).drop("p")
+    features = spark.createDataFrame([(n, f"f{i}", i + 1) for n in ("root", "low") if n != node for i in range(3)], "parent string, feature string, place int")
+    session = t.transfer_multi(reference, query, TREE, t.TransferSettings(least_cluster=3, seeds=3, components=3), long(reference).union(long(query)), features).run_auto()
+    assert session.ended[node] == "no features" and [r["node"] for r in session.rounds] == ([] if node == "root" else ["root"])
+    held = {r.label for r in session.labels().collect()}
+    assert session.labels().count() == query.count() and held == {"root"} if node == "root" else {"low", "c"} <= held
+
+
 def test_quantile_session(spark, sides):
     reference, query = sides
     long = lambda df: df.select("section", "obs_id", "label", F.posexplode("vector").alias("p", "value")).withColumn("feature", F.concat(F.lit("f"), F.col("p").cast("string"))).drop("p")
