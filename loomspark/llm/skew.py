@@ -25,13 +25,13 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, by: str, salts: int =
 SHARE = 10_000
 
 
-def spread_keys(counted: DataFrame, key: list[str], n: str) -> DataFrame:
-    """The keys of ``counted``, a row a key, that hold at least 1 / SHARE of all ``n`` rows and HOT of them.
+def spread_keys(counted: DataFrame, key: list[str], n: str, least: int = HOT) -> DataFrame:
+    """The keys of ``counted``, a row a key, that hold at least 1 / SHARE of all ``n`` rows and ``least`` of them.
 
     There are at most SHARE, whatever the size of the data, so the result may be broadcast.
     """
     total = counted.agg(F.sum(n)).first()[0] or 0
-    return counted.where(F.col(n) >= max(HOT, total // SHARE)).select(*key, F.lit(True).alias("_hot"))
+    return counted.where(F.col(n) >= max(least, total // SHARE)).select(*key, F.lit(True).alias("_hot"))
 
 
 def join_spread(rows: DataFrame, facts: DataFrame, key: list[str], by: str, hot: DataFrame, salts: int = SALTS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicate groups and removed passages against brute force."""
 
 import hashlib
+import random
 
 from loomspark.llm import graph
 from loomspark.llm import near_duplicates as nd
@@ -77,6 +78,28 @@ def test_components_of_a_hot_node(spark, monkeypatch):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_join_each_link_once(spark, monkeypatch):
+    """The links of a star are joined once for each end, not in every round, and long paths are halved."""
+    rng = random.Random(3)
+    links = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1100)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(260)]
+    group = {n: n for link in links for n in link}
+    for _ in range(101):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    seen = []
+    spread = graph.join_spread
+
+    def counting(rows, facts, key, by, hot):
+        out = spread(rows, facts, key, by, hot)
+        if key in (["x"], ["y"]):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "join_spread", counting)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == group and sum(seen) <= 3 * len(links)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, make_docs, prose):
     texts = [(1, prose(1, 40)), (1, prose(1, 40)), (2, prose(1, 40)), (None, prose(1, 40))]
     rows = nd.near_duplicates(make_docs(texts)).collect()
