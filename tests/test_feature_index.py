@@ -60,3 +60,20 @@ def test_text_ids_equal_vectors_nulls_and_empty_tables(spark):
     assert not fi.indexed_neighbours(df, df.where("false"), 3).count()
     assert not fi.indexed_neighbours(df.where("false"), df, 3).count()
     assert [r.ref_id for r in fi.indexed_neighbours(df.where("obs_id = 'far'"), df.where("obs_id = 'far'"), 3).collect()] == ["far"]
+
+
+def test_queries_of_many_lists_leave_a_task_in_slices(spark, monkeypatch):
+    """A query is copied once a list it looks into; batches of copies stay as long as a slice."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obs_id long, vector array<double>")
+    tasks = []
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, task, schema: tasks.append((task, schema)) or plain(self, task, schema))
+    monkeypatch.setattr(fi, "SLICE_ROWS", 32)
+    found = fi.search_index(fi.build_index(df), df, 3, 10)
+    assert found.where("place = 1 and query_id = ref_id").count() == len(x)
+    task = next(task for task, schema in tasks if "query_id" in schema)
+    whole = fi.pa.table({"key": [""] * len(x), "query_id": list(range(len(x))), "vector": x.tolist()}).to_batches()
+    wide = [len(b) for b in task(iter(whole))]
+    assert sum(wide) == 10 * len(x) and max(wide) <= 32
