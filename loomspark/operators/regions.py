@@ -44,16 +44,22 @@ def spatial_distance(obs: DataFrame, radius: float) -> DataFrame:
     return raw.withColumn("distance", min_max(F.col("raw"), Window.partitionBy("section")))
 
 
-def combine_distances(components: DataFrame, weights: dict[str, float]) -> DataFrame:
+def combine_distances(components: DataFrame, weights: dict[str, float], by_section: bool = False) -> DataFrame:
     """Weighted sum of stored components ``(section, component, region_i, region_j, distance)``.
 
-    Weights are not negative, not all 0, and each positive one needs its component.
+    Weights are not negative, not all 0, and each positive one needs its component: in every section, or with
+    ``by_section`` in those that hold it, a component counting 0 where a section lacks it altogether.
     """
     if any(w < 0 for w in weights.values()) or not any(weights.values()):
         raise ValueError("weights must not be negative, and one must be positive")
     used = {k: w for k, w in weights.items() if w}
     weight = F.coalesce(*[F.when(F.col("component") == k, F.lit(float(w))) for k, w in used.items()])
-    return components.where(F.col("component").isin(list(used))).groupBy(*_PAIR).agg(F.sum(weight * F.col("distance")).alias("distance"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(used)).drop("n")
+    chosen = components.where(F.col("component").isin(list(used)))
+    summed = chosen.groupBy(*_PAIR).agg(F.sum(weight * F.col("distance")).alias("distance"), F.count(F.lit(1)).alias("n"))
+    if not by_section:
+        return summed.where(F.col("n") == len(used)).drop("n")
+    held = if_small(chosen.groupBy("section").agg(F.countDistinct("component").alias("held")))
+    return summed.join(held, "section").where(F.col("n") == F.col("held")).drop("n", "held")
 
 
 def integrate_sections(distances: DataFrame, obs: DataFrame) -> DataFrame:
@@ -224,7 +230,8 @@ def tree_features(markers: dict[str, DataFrame]) -> DataFrame:
 def infer_tree(expr: DataFrame, obs: DataFrame, features: DataFrame, weights: dict[str, float], radius: float, most_pairs: int = 100_000) -> dict[str, DataFrame]:
     """H11's features, distances by section and modality, the neighbourhood's, their mean over sections, and the tree.
 
-    ``expr(section, obs_id, label, modality, feature, value)``. A modality without features has weight 0.
+    ``expr(section, obs_id, label, modality, feature, value)``. A modality without features has weight 0, and so it
+    has in a section where it has none.
     """
     have = {r.modality for r in features.select("modality").distinct().collect()}  # a row a modality
     parts = {}
@@ -234,5 +241,5 @@ def infer_tree(expr: DataFrame, obs: DataFrame, features: DataFrame, weights: di
     parts["Spatial"] = spatial_distance(obs, radius)
     used = {k: (w if k in parts else 0.0) for k, w in weights.items()}
     components = store_components(parts)
-    ranked = integrate_sections(combine_distances(components, used), obs)
+    ranked = integrate_sections(combine_distances(components, used, by_section=True), obs)
     return {"components": components, "ranked": ranked, "splits": tree_table(expr.sparkSession, ranked, most_pairs)}

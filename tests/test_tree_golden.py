@@ -114,3 +114,15 @@ def test_scores_scale_and_ties(spark):
     assert h.heterogeneous_regions(scored, top=1).count() == 2 and h.heterogeneous_regions(scored, top=1, ties=False).count() == 1
     flat = h.heterogeneity_score(sil.where("label != 'c'"), sil)
     assert {x.scaled for x in flat.select(F.col("scaled")).collect()} == {0.0}
+
+
+def test_a_section_without_a_modality_counts_by_the_others(spark):
+    places = [("a", 0.0), ("b", 1.0), ("c", 2.0)]
+    obs = spark.createDataFrame([(s, i, label, x, 0.0) for s in ("s0", "s1") for i, (label, x) in enumerate(places)], "section string, obs_id long, label string, x double, y double")
+    values = {"g": {"a": 0.0, "b": 1.0, "c": 4.0}, "f6": {"a": 0.0, "b": 3.0, "c": 1.0}}
+    expr = obs.crossJoin(spark.createDataFrame([(m, f, label, v) for m, f in (("gene", "g"), ("image", "f6")) for label, v in values[f].items()], "modality string, feature string, l string, value double")).where("l = label").drop("l")
+    features = spark.createDataFrame([("s0", "gene", "g"), ("s1", "gene", "g"), ("s0", "image", "f6")], "section string, modality string, feature string")
+    ranked = r.infer_tree(expr, obs, features, {"gene": 1.0, "image": 0.5, "Spatial": 0.0}, 3.0)["ranked"]
+    got = {(x.region_i, x.region_j): x.distance for x in ranked.collect()}
+    gene, image = {"ab": 0.0, "ac": 1.0, "bc": 2 / 3}, {"ab": 1.0, "ac": 0.0, "bc": 0.5}
+    assert got == pytest.approx({tuple(k): gene[k] + 0.25 * image[k] for k in gene})
