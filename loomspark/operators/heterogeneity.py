@@ -8,62 +8,90 @@ a region, so regions of more than some hundred thousand observations should be s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.blocks import block_pairs
 from loomspark.functions.joins import if_small
+from loomspark.sources.materialise import materialise
 
 #: Rows of a block, and replicates whose sums are added up in one task.
 BLOCK_ROWS, CHUNK = 1_024, 25
 
 
+def _stacked(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _number_type(n_groups: int) -> type:
+    return np.uint8 if n_groups <= 256 else np.int32
+
+
 def _replicate_silhouettes(members: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(region, replicate, silhouette, n_obs)`` of ``members(region, obs_id, vector, groups)``.
 
     ``groups`` has an observation's group number in every replicate; a group of one scores 0. Group numbers
-    run from 0, and a group is as large in each replicate as in the first.
+    run from 0, and a group is as large in each replicate as in the first. Rows are packed in blocks; a task adds up
+    a block's sums over the blocks it meets, and only these sums go on.
     """
+    members = materialise(members)
     n = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max(F.get("groups", 0)).alias("last"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int")
     plan = if_small(n.select("region", blocks.alias("blocks"), (F.col("last") + 1).alias("n_groups")))
     dealt = members.join(plan, "region").withColumn("own", F.pmod(F.xxhash64("obs_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.select("region", "own", other.alias("other"), "obs_id", "vector", "groups", "n_groups")
-    right = dealt.select(F.col("region").alias("region_b"), F.col("own").alias("other_b"), other.alias("own_b"), F.col("vector").alias("vector_b"), F.col("groups").alias("groups_b"))
-
-    def stacked(column: pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(column), -1)
-
-    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
-        kinds = pa.schema([("region", pa.string()), ("own", pa.int32()), ("chunk", pa.int32()), ("obs_id", pa.int64()), ("groups", pa.list_(pa.int32())), ("n_groups", pa.int32()), ("sums", pa.list_(pa.float64()))])
-        if not len(a) or not len(b):
-            return kinds.empty_table()
-        x, y, theirs, mine = stacked(a["vector"]), stacked(b["vector_b"]), stacked(b["groups_b"]), stacked(a["groups"])
-        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
-        d[d < 1e-7 * (1 + np.sqrt((x**2).sum(1))[:, None])] = 0  # what rounding leaves of a distance of 0
-        n_groups, out = a["n_groups"][0].as_py(), []
-        for c in range(0, theirs.shape[1], CHUNK):
-            part = theirs[:, c : c + CHUNK]
-            member = (part[:, :, None] == np.arange(n_groups)).reshape(len(y), -1).astype(float)
-            own, ids = (pa.array([v] * len(x), t) for v, t in ((a["own"][0].as_py(), pa.int32()), (c // CHUNK, pa.int32())))
-            columns = [a["region"].combine_chunks(), own, ids, a["obs_id"].combine_chunks(), pa.array(list(mine[:, c : c + CHUNK]), pa.list_(pa.int32())), pa.array([n_groups] * len(x), pa.int32()), pa.array(list(d @ member), pa.list_(pa.float64()))]
-            out.append(pa.table(columns, schema=kinds))
-        return pa.concat_tables(out)
-
-    groups = left.groupBy("region", "own", "other").cogroup(right.groupBy("region_b", "own_b", "other_b"))
-    parts = groups.applyInArrow(sums, "region string, own int, chunk int, obs_id long, groups array<int>, n_groups int, sums array<double>")
+
+    def pack(table: pa.Table) -> pa.Table:
+        n_groups, number = table["n_groups"][0].as_py(), table["own"][0].as_py()
+        held = [_stacked(table["vector"]).astype(np.float64).tobytes(), _stacked(table["groups"]).astype(_number_type(n_groups)).tobytes()]
+        one = [pa.array([v], k) for v, k in ((table["region"][0].as_py(), pa.string()), (number, pa.int32()), (len(table), pa.int32()), (n_groups, pa.int32()))]
+        return pa.table([*one, *[pa.array([v], pa.binary()) for v in held]], names=["region", "own", "n_rows", "n_groups", "vectors", "groups"])
+
+    packed = materialise(dealt.groupBy("region", "own").applyInArrow(pack, "region string, own int, n_rows int, n_groups int, vectors binary, groups binary"))
+    pairs = block_pairs(packed, packed.drop("n_groups"), "region")
+    names, kinds = ["region", "own", "chunk", "n_rows", "n_groups", "groups", "sums"], [pa.string(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x, mine, total = None, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0, 0))
+
+        def added() -> Iterator[pa.RecordBatch]:
+            for c in range(0, mine.shape[1], CHUNK):
+                row = [now[0], now[1], c // CHUNK, len(x), total.shape[2], mine[:, c : c + CHUNK].tobytes(), total[:, c : c + CHUNK].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+
+        for batch in batches:
+            of = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(len(batch)):  # a row a pair of blocks
+                at = tuple(of[c][i].as_py() for c in ("region", "own", "span"))
+                read = lambda c, n, kind: np.frombuffer(of[c][i].as_buffer(), dtype=kind).reshape(n, -1)  # noqa: B023, E731
+                n_groups = of["n_groups"][i].as_py()
+                if at != now:
+                    if now is not None:
+                        yield from added()
+                    n_rows = of["n_rows"][i].as_py()
+                    now, x, mine = at, read("vectors", n_rows, np.float64).copy(), read("groups", n_rows, _number_type(n_groups)).copy()
+                    total = np.zeros((len(x), mine.shape[1], n_groups))
+                n_rows = of["n_rows_b"][i].as_py()
+                y, theirs = read("vectors_b", n_rows, np.float64), read("groups_b", n_rows, _number_type(n_groups))
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
+                d[d < 1e-7 * (1 + np.sqrt((x**2).sum(1))[:, None])] = 0  # what rounding leaves of a distance of 0
+                member = (theirs[:, :, None] == np.arange(n_groups)).reshape(len(y), -1).astype(float)
+                total += (d @ member).reshape(total.shape)
+        if now is not None:
+            yield from added()
+
+    parts = pairs.mapInArrow(sums, "region string, own int, chunk int, n_rows int, n_groups int, groups binary, sums binary")
     sizes = members.select("region", F.get("groups", 0).alias("g")).groupBy("region", "g").agg(F.count(F.lit(1)).alias("n"))
     sizes = if_small(sizes.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "n"))), lambda v: v["n"]).alias("sizes")))
 
     def score(table: pa.Table) -> pa.Table:
-        ids, at, first = np.unique(table["obs_id"].to_numpy(), return_index=True, return_inverse=True)[:3]
-        total = np.zeros((len(ids), stacked(table["sums"]).shape[1]))
-        np.add.at(total, first, stacked(table["sums"]))
-        groups, n = stacked(table["groups"])[at], np.array(table["sizes"][0].as_py(), dtype=float)
-        total = total.reshape(len(ids), groups.shape[1], len(n))
+        n_rows, n_groups = table["n_rows"][0].as_py(), table["n_groups"][0].as_py()
+        total = sum(np.frombuffer(s.as_buffer()) for s in table["sums"]).reshape(n_rows, -1, n_groups)
+        groups, n = np.frombuffer(table["groups"][0].as_buffer(), dtype=_number_type(n_groups)).reshape(n_rows, -1).astype(np.int64), np.array(table["sizes"][0].as_py(), dtype=float)
         inside = np.take_along_axis(total, groups[:, :, None], axis=2)[:, :, 0] / np.maximum(n[groups] - 1, 1)
         outside = total / n
         np.put_along_axis(outside, groups[:, :, None], np.inf, axis=2)
@@ -71,7 +99,7 @@ def _replicate_silhouettes(members: DataFrame, block_rows: int = BLOCK_ROWS) ->
         s = np.where(n[groups] <= 1, 0.0, (b - inside) / np.maximum(np.maximum(inside, b), 1e-300))
         replicate = np.arange(groups.shape[1], dtype=np.int32) + CHUNK * table["chunk"][0].as_py()
         region = pa.array([table["region"][0].as_py()] * len(replicate), pa.string())
-        return pa.table([region, pa.array(replicate.astype(np.int32)), pa.array(s.sum(axis=0)), pa.array(np.full(len(replicate), len(ids), dtype=np.int64))], names=["region", "replicate", "s", "n_obs"])
+        return pa.table([region, pa.array(replicate.astype(np.int32)), pa.array(s.sum(axis=0)), pa.array(np.full(len(replicate), n_rows, dtype=np.int64))], names=["region", "replicate", "s", "n_obs"])
 
     scored = parts.join(sizes, "region").groupBy("region", "own", "chunk").applyInArrow(score, "region string, replicate int, s double, n_obs long")
     total = scored.groupBy("region", "replicate").agg((F.sum("s") / F.sum("n_obs")).alias("silhouette"), F.sum("n_obs").alias("n_obs"))
@@ -106,7 +134,7 @@ def permuted_silhouette(vectors: DataFrame, n_perm: int = 200, seed: int = 0, re
     A permutation orders a region's observations by a hash and hands out the groups' places in that order, so
     every group keeps its size. Only ids go through it, and vectors once.
     """
-    named = _numbered(vectors, region, group)
+    named = materialise(_numbered(vectors, region, group))
     size = named.groupBy("region", "g").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("region").orderBy("g"))  # a row a group
     ends = if_small(size.withColumn("upto", upto).groupBy("region").agg(F.array_sort(F.collect_list("upto")).alias("ends")))
@@ -115,7 +143,7 @@ def permuted_silhouette(vectors: DataFrame, n_perm: int = 200, seed: int = 0, re
     given = shuffled.join(ends, "region").select("region", "obs_id", "replicate", F.size(F.filter("ends", lambda e: e < F.col("place"))).alias("g"))
     lists = given.groupBy("region", "obs_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "g"))), lambda x: x["g"]).alias("drawn"))
     members = named.join(lists, ["region", "obs_id"]).select("region", "obs_id", "vector", F.concat(F.array("g"), "drawn").alias("groups"))
-    scored = _replicate_silhouettes(members)
+    scored = materialise(_replicate_silhouettes(members))  # a row a region and replicate
     seen = scored.where("replicate = 0").select("region", F.col("silhouette").alias("observed"), "n_obs")
     wide = scored.where("replicate > 0").drop("n_obs").join(seen, "region").groupBy("region", "observed", "n_obs")
     count = lambda c: F.sum(c.cast("int"))

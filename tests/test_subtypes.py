@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.functions import blocks
 from loomspark.operators import config_choice as cc
 from loomspark.operators import embedding as e
 from loomspark.operators import heterogeneity as h
@@ -150,3 +151,31 @@ def test_trees_refined_labels_and_choices_come_back(spark, planted, tmp_path):
     scores = spark.createDataFrame([("Gene", 0.5)], "modality string, mean double")
     sinks.write_clustering_config({"modalities": ["Gene", "Image"], "dim_reduction_method": "pca", "modality_scores": scores, "method_scores": scores}, f"{tmp_path}/config", spark)
     assert tuple(spark.read.parquet(f"{tmp_path}/config/chosen").first()) == ("Gene;Image", "pca")
+
+
+def test_a_block_travels_a_few_times_however_many_it_meets(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LANES", 3)
+    monkeypatch.setattr(blocks, "SPAN", 16)
+    table = spark.createDataFrame([(key, i) for key, n in (("a", 40), ("b", 2)) for i in range(n)], "key string, own int")
+    left, right, tasks = blocks.sent(table, table, "key")
+    assert left.count() == 40 * 3 + 2 and right.count() == 40 * 3 + 2 * 2 and tasks == 3 * 3 + 2
+    pairs = blocks.block_pairs(table, table, "key")
+    assert pairs.count() == pairs.select("key", "own", "own_b").distinct().count() == 40 * 40 + 4
+
+
+def test_silhouettes_over_many_blocks_and_spans(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LANES", 3)
+    monkeypatch.setattr(blocks, "SPAN", 2)
+    r = np.random.default_rng(3)
+    x, g = r.normal(size=(120, 4)), np.arange(120) % 3
+    drawn = np.stack([g, *[r.permutation(g) for _ in range(30)]], axis=1)  # more replicates than a chunk
+    rows = [("m", i, x[i].tolist(), drawn[i].tolist()) for i in range(120)]
+    found = h._replicate_silhouettes(spark.createDataFrame(rows, "region string, obs_id long, vector array<double>, groups array<int>"), block_rows=16)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {row.replicate: row for row in found.collect()}
+    assert sorted(got) == list(range(31))
+    for k, row in got.items():
+        of = np.stack([d[:, drawn[:, k] == c].sum(axis=1) for c in range(3)], axis=1)
+        own = np.arange(3)[None] == drawn[:, k : k + 1]
+        inside, outside = of[own] / 39, np.where(own, np.inf, of / 40).min(axis=1)
+        assert row.n_obs == 120 and abs(row.silhouette - ((outside - inside) / np.maximum(inside, outside)).mean()) < 1e-9
