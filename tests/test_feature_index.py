@@ -77,3 +77,24 @@ def test_queries_of_many_lists_leave_a_task_in_slices(spark, monkeypatch):
     whole = fi.pa.table({"key": [""] * len(x), "query_id": list(range(len(x))), "vector": x.tolist()}).to_batches()
     wide = [len(b) for b in task(iter(whole))]
     assert sum(wide) == 10 * len(x) and max(wide) <= 32
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_queries_of_very_many_lists_go_by_blocks(spark, monkeypatch, text):
+    """No copy of a query for each list; answers are those of the search by lists."""
+    monkeypatch.setattr(fi, "QUERY_ROWS", 100)
+    monkeypatch.setattr(fi, "ENTRY_ROWS", 64)
+    monkeypatch.setattr(fi, "SLICE_QUERIES", 32)
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.normal(size=(380, 6)), np.zeros((20, 6))))
+    df = spark.createDataFrame([(f"n{i:03}" if text else i, v.tolist()) for i, v in enumerate(x)], f"obs_id {'string' if text else 'long'}, vector array<double>")
+    index = fi.build_index(df, n_lists=40)
+    tasks = []
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, task, schema: tasks.append(schema) or plain(self, task, schema))
+    rows = lambda t: sorted((r.query_id, r.place, r.ref_id, round(r.distance, 8)) for r in t.collect())
+    by_blocks = rows(fi.search_index(index, df, 5, 25, 3))
+    assert not any("cell" in schema for schema in tasks)
+    monkeypatch.setattr(fi, "LANES", 100)
+    assert by_blocks == rows(fi.search_index(index, df, 5, 25, 3)) and len(by_blocks) == 5 * len(x)
+    assert any("cell" in schema for schema in tasks)
