@@ -74,3 +74,22 @@ def test_only_small_tables_are_broadcast(spark):
     for bounds in ({"most": 29}, {"most_bytes": 1_000}):
         kept = if_small(wide, **bounds)
         assert not hinted(kept) and kept.count() == 30
+
+
+def test_a_block_of_queries_is_compared_in_slices():
+    """A task's peak follows a slice of queries, not the block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(2_048, 8))
+    table = lambda name: pa.table({"key": ["a"] * len(x), name: list(range(len(x))), "vector": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    left, right = table("query_id"), table("ref_id")
+    tracemalloc.start()
+    found = n._nearest(left, right, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert found.column("ref_id").to_pylist() == d.argsort(axis=1, kind="stable")[:, :3].ravel().tolist()
+    assert peak < 2_048 * 2_048 * 8
