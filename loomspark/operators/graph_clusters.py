@@ -125,37 +125,55 @@ class Block:
         volume = np.concatenate((near_volume, far_volume))[at]
         return cls(ids, len(own), np.append(begin, len(a)), place(b), w, table.column("degree").to_numpy()[order][begin], np.searchsorted(names, labels), names, volume, float(table.column("two_m")[0].as_py()))
 
+    def near(self) -> list[list[tuple[int, float]]]:
+        """``(place in ids, weight)`` of the links of each own node, but those with itself."""
+        to, w, first = self.to.tolist(), self.w.tolist(), self.first.tolist()
+        return [[x for x in zip(to[first[i] : first[i + 1]], w[first[i] : first[i + 1]], strict=True) if x[0] != i] for i in range(self.n_own)]
+
     def settle(self, resolution: float, seed: int) -> np.ndarray:
         """Communities (places in names) of the own nodes after moving them, one at a time, until none gains."""
         label, volume, names = self.community.tolist(), self.volume.tolist(), self.names
-        to, w, first, degree, scale = self.to.tolist(), self.w.tolist(), self.first.tolist(), self.degree.tolist(), resolution / self.two_m
+        near, degree, scale = self.near(), self.degree.tolist(), resolution / self.two_m
         at_home = np.zeros(len(names), dtype=bool)
         at_home[self.community[: self.n_own]] = True
         foreign = np.zeros(len(names), dtype=bool)
         foreign[self.community[self.n_own :]] = True
         # A community is this block's alone if only own nodes of it are known; others may change meanwhile.
-        alone, tossed = (at_home & ~foreign).tolist(), _scattered(names, seed)
+        alone, coin = (at_home & ~foreign).tolist(), (_scattered(names, seed) & np.uint64(1)).tolist()
         rank = np.argsort(_scattered(self.ids[: self.n_own], seed + 1), kind="stable").tolist()
+        # A node that stayed stays again until one of the communities that it is in or linked with has gained or lost a node.
+        moves, changed = 0, [0] * len(names)
+        stayed, around = [-1] * self.n_own, [()] * self.n_own
         for _ in range(PASSES):
             n_moved = 0
             for i in rank:
+                since = stayed[i]
+                if since >= 0:
+                    for c in around[i]:
+                        if changed[c] > since:
+                            break
+                    else:
+                        continue
                 own, links = label[i], {}
-                for e in range(first[i], first[i + 1]):
-                    if to[e] != i:
-                        c = label[to[e]]
-                        links[c] = links.get(c, 0.0) + w[e]
-                best, most = own, links.get(own, 0.0) - scale * degree[i] * (volume[own] - degree[i]) + 1e-9
+                for j, weight in near[i]:
+                    c = label[j]
+                    links[c] = links.get(c, 0.0) + weight
+                pull = scale * degree[i]
+                best, most = own, links.get(own, 0.0) - pull * (volume[own] - degree[i]) + 1e-9
                 for c, weight in links.items():
-                    gain = weight - scale * degree[i] * volume[c]
-                    if c != own and gain > most:
-                        free = alone[c] or alone[own] or (int(tossed[c] ^ tossed[own]) & 1 == 1) == (c < own)
-                        if free:
-                            best, most = c, gain
+                    gain = weight - pull * volume[c]
+                    if gain > most and c != own and (alone[c] or alone[own] or (coin[c] != coin[own]) == (c < own)):
+                        best, most = c, gain
                 if best != own:
                     volume[own] -= degree[i]
                     volume[best] += degree[i]
                     label[i] = best
                     n_moved += 1
+                    moves += 1
+                    changed[own] = changed[best] = moves
+                    stayed[i] = -1
+                else:
+                    stayed[i], around[i] = moves, (own, *links)
             if not n_moved:
                 break
         return np.array(label[: self.n_own], dtype=np.int64)
