@@ -102,8 +102,8 @@ w{no} AS (SELECT first(vote ORDER BY c DESC, vote) AS vote FROM v{no}), {now} AS
 
 @query("l06_reassign_novel", f"WITH {_CROSS}, {_OBS}, {_PLAIN}, s0 AS (SELECT obs.obs_id, obs.x, obs.y, cu.cluster, CASE WHEN percent > 55 THEN branch ELSE 'novel_cluster' END AS label FROM obs JOIN cu USING (obs_id) JOIN pl ON pl.cluster = cu.cluster AND r = 1), {', '.join(_novel_step(i, i) for i in range(7))} SELECT obs_id, cluster, label FROM s7")
 def reassign_novel(spark: SparkSession, d: str) -> DataFrame:
-    given = a.assign_clusters(_cross(spark, d), least_percent=55.0)
-    placed = _axis_clusters(spark, d).join(given.select("cluster", F.col("branch").alias("label")), "cluster")
+    given = materialise(a.assign_clusters(_cross(spark, d), least_percent=55.0))  # a row a cluster
+    placed = materialise(_axis_clusters(spark, d).join(given.select("cluster", F.col("branch").alias("label")), "cluster"))
     again = a.novel_clusters(given, placed.count())
     return a.reassign_novel(placed, again).select("obs_id", "cluster", "label")
 
