@@ -48,13 +48,14 @@ def bandwidths(d: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
     return nearest, np.maximum(width, np.maximum(LEAST_BANDWIDTH * mean, 1e-12))
 
 
-def neighbour_graph(vectors: DataFrame, key: str, k: int = 15, metric: str = "euclidean") -> DataFrame:
+def neighbour_graph(vectors: DataFrame, key: str, k: int = 15, metric: str = "euclidean", found: DataFrame | None = None) -> DataFrame:
     """The weighted graph ``(key, a, b, w)``, each edge in both directions, of ``vectors(key, obs_id, vector)``.
 
     Each point is linked with its k - 1 nearest others, k being cut to the group's rows less one, by the weight of
     ``bandwidths`` with the target log2(k); the weights u and v that two points give each other join to u + v - uv.
+    ``found`` is the answer of that search where the caller has it.
     """
-    near = feature_neighbours(vectors, vectors, k, key, metric).where("query_id != ref_id")
+    near = (feature_neighbours(vectors, vectors, k, key, metric) if found is None else found).where("query_id != ref_id")
     sizes = if_small(vectors.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")))
     asked = F.least(F.lit(k), F.greatest(F.col("n") - 1, F.lit(1))).cast("int")
     own = near.groupBy("key", "query_id").agg(F.array_sort(F.collect_list(F.struct("distance", "ref_id"))).alias("near"))
@@ -71,10 +72,11 @@ def neighbour_graph(vectors: DataFrame, key: str, k: int = 15, metric: str = "eu
             nearest, width = bandwidths(d, target)
             w = np.exp(-np.maximum(d - nearest[:, None], 0) / width[:, None])[inside]
             row = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), batch.column(3).flatten(), pa.array(w)], ["key", "a", "b", "w"])
+            a, b = batch.column(1).take(row), batch.column(3).flatten()
+            for ends in ((a, b), (b, a)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *ends, pa.array(w)], ["key", "a", "b", "w"])
 
-    given = flat.mapInArrow(weigh, "key string, a long, b long, w double")
-    both = given.union(given.select("key", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    both = flat.mapInArrow(weigh, "key string, a long, b long, w double")
     joined = F.sum("w") - F.when(F.count(F.lit(1)) > 1, F.min("w") * F.max("w")).otherwise(0.0)
     return both.groupBy("key", "a", "b").agg(joined.alias("w"))
 

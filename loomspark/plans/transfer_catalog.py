@@ -242,8 +242,9 @@ SELECT section, a, b, n_given, round(max(d), 6) AS distance FROM e GROUP BY ALL"
 def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
     """Who is linked with whom, and how many of the two chose the other."""
     v = s.vectors(spark, d)
-    edges = gc.neighbour_graph(v, "section", 10).where("a < b").select("key", "a", "b")
-    near = n.feature_neighbours(v, v, 10, "section").where("query_id != ref_id").withColumn("no", F.row_number().over(Window.partitionBy("key", "query_id").orderBy("place"))).where("no <= 9")
+    found = materialise(n.feature_neighbours(v, v, 10, "section"))
+    edges = gc.neighbour_graph(v, "section", 10, found=found).where("a < b").select("key", "a", "b")
+    near = found.where("query_id != ref_id").withColumn("no", F.row_number().over(Window.partitionBy("key", "query_id").orderBy("place"))).where("no <= 9")
     given = near.groupBy("key", F.least("query_id", "ref_id").alias("a"), F.greatest("query_id", "ref_id").alias("b")).agg(F.count(F.lit(1)).alias("n_given"), F.max("distance").alias("distance"))
     return edges.join(given, ["key", "a", "b"], "left").select(F.col("key").alias("section"), "a", "b", "n_given", _r("distance"))
 
